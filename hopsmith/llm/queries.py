@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopsmith.llm import language, quality, topk
+from hopsmith.llm import language, quality, simhash, topk
 from hopsmith.llm.common import is_held_out
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, bits=2, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs, ~is_held_out(F.col("doc_id")))
@@ -48,6 +53,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def queries() -> dict:
     return {
+        "op2_simhash": op2_simhash,
         "op3_language_id": op3_language_id,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_exact_topk": op9_exact_topk,
