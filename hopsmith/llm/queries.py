@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopsmith.llm import language, quality, simhash, topk
-from hopsmith.llm.common import is_held_out
+from hopsmith.llm import language, packing, quality, simhash, tokenfile, topk
+from hopsmith.llm.common import is_held_out, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer, end_id=2, capacity=4096)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"), ~is_held_out(F.col("doc_id")))
@@ -35,6 +42,12 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}-token-files"
+    tokenfile.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
@@ -55,8 +68,10 @@ def queries() -> dict:
     return {
         "op2_simhash": op2_simhash,
         "op3_language_id": op3_language_id,
+        "op5_packing": op5_packing,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_exact_topk": op9_exact_topk,
+        "op10_token_files": op10_token_files,
     }
 
 
