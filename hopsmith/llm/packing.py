@@ -118,13 +118,15 @@ def pack(cut: DataFrame, capacity: int = 4096, windows_per_shard: int = 128) ->
     shards = max(1, round(total / (capacity * windows_per_shard)))
     full = rows.where(F.col("length") == capacity).select(*cut.columns, (2 * F.col("_row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
+    columns = [*cut.columns, "sequence_id", "offset"]
+
     def windows(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
         window = pack_sizes(shard["length"].to_numpy(), capacity)
         shard = shard.assign(sequence_id=2 * ((shard["_shard"].to_numpy() << 24) + window))
         shard = shard.sort_values(["sequence_id", "_row"], kind="stable")
         ends = shard.groupby("sequence_id")["length"].cumsum()
-        return shard.assign(offset=ends - shard["length"])[[*cut.columns, "sequence_id", "offset"]]
+        return shard.assign(offset=ends - shard["length"])[columns]
 
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in cut.dtypes)
     dealt = rows.where(F.col("length") < capacity).withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
