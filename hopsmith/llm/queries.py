@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopsmith.llm import language, packing, quality, simhash, tokenfile, topk
+from hopsmith.llm import language, packing, quality, simhash, suffix, tokenfile, topk
 from hopsmith.llm.common import is_held_out, shared_dir
 
 
@@ -38,6 +38,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -70,6 +76,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op5_packing": op5_packing,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_topk": op9_exact_topk,
         "op10_token_files": op10_token_files,
     }
