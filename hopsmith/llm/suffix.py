@@ -281,7 +281,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("i"))
     unclear = ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").limit(1).count()
     if not unclear:
-        return docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("binary").alias("text"), rest.alias("row"))
+        # no id is null; said again so that both joins deal the texts by one exchange
+        return docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("binary").alias("text"), rest.alias("row")).where("rid IS NOT NULL")
     ordered = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("binary").alias("text"), rest.alias("row")).repartitionByRange("i", "text").sortWithinPartitions("i", "text")
     return written(ordered.select(F.monotonically_increasing_id().alias("rid"), "text", "row"), "numbered")
 
