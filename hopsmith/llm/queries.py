@@ -6,14 +6,55 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopsmith.llm import language, packing, quality, simhash, suffix, tokenfile, topk
-from hopsmith.llm.common import is_held_out, shared_dir
+from hopsmith.llm import language, packing, quality, rollup, simhash, suffix, tokenfile, topk, unigram
+from hopsmith.llm.common import is_held_out, shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+EMAIL = r"[^\x00-\x20]+@[^\x00-\x20]+"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads every document under two tokenizer versions, takes back later exact copies,
+    revises the counts of texts whose e-mail addresses go, and replays a batch."""
+    docs = _table(spark, sf_dir, "documents")
+    masked = F.regexp_replace("text", EMAIL, "")
+    counts = [F.struct(F.lit(v).alias("tokenizer_version"), rollup.counted(F.col("text"), v).alias("n_tokens"), rollup.counted(masked, v).alias("n_masked")) for v in rollup.COUNTERS]
+    rows = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.explode(F.array(*counts)).alias("c"))
+    rows = written(rows.select("doc_id", "source", "lang", "digest", "c.*"), "counts")
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    ranked = rows.join(first, "digest")
+    copies, kept = ranked.where("doc_id > first_id"), ranked.where("doc_id <= first_id OR doc_id IS NULL")
+    revised = kept.where("n_masked <> n_tokens")
+    ledger = rollup.TokenRollup(spark, f"{shared_dir(spark)}-rollup")
+    load = {v: rollup.signed(rows.where(F.col("tokenizer_version") == v), 1) for v in rollup.COUNTERS}
+    for version, changes in load.items():
+        ledger.commit(f"load-{version}", changes)
+    ledger.commit("drop-copies", rollup.signed(copies, -1))
+    ledger.compact()
+    ledger.commit("mask-emails", rollup.signed(revised, -1).unionByName(rollup.signed(revised.withColumn("n_tokens", F.col("n_masked")), 1)))
+    ledger.commit("load-words-1", load["words-1"])  # a replay: no effect
+    return ledger.totals()
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT source, lang, coalesce(text, '') AS text, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS is_copy FROM documents
+), m AS (
+  SELECT source, lang, regexp_replace(text, '[^\x00-\x20]+@[^\x00-\x20]+', '', 'g') AS text FROM d WHERE is_copy IS NOT TRUE
+), c AS (
+  SELECT source, lang, 'words-1' AS tokenizer_version, len(regexp_extract_all(text, '[^\x00-\x20]+')) AS n FROM m
+  UNION ALL
+  SELECT source, lang, 'parts-1', len(regexp_extract_all(text, '[^\x00-\x20!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]')) FROM m
+)
+SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM c GROUP BY source, lang, tokenizer_version
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, bits=2, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,6 +72,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
+    both = unigram.decode(unigram.encode(_table(spark, sf_dir, "documents"), model), model)
+    n = (F.length("ids") / 4).cast("long")
+    return both.select("doc_id", n.alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"), ~is_held_out(F.col("doc_id")))
@@ -72,9 +120,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def queries() -> dict:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
         "op3_language_id": op3_language_id,
         "op5_packing": op5_packing,
+        "op6_unigram": op6_unigram,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_topk": op9_exact_topk,
@@ -83,4 +133,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_topk": OP9_SQL}
+    return {"op1_token_counts": OP1_SQL, "op9_exact_topk": OP9_SQL}
