@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import unicodedata
 import zlib
 from array import array
@@ -19,6 +20,7 @@ import numpy as np
 
 #: Words kept by a worker; a word takes about 200 bytes.
 CACHED_WORDS = 1_200_000
+PUNCTUATION = string.punctuation
 #: Longer words aren't kept.
 CACHED_LENGTH = 48
 
@@ -47,7 +49,11 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.by_word = splits_at_spaces(json.load(file))
+            definition = json.load(file)
+        self.by_word = splits_at_spaces(definition)
+        normal = definition.get("normalizer") or {}
+        self.lowers = any(n.get("type") == "Lowercase" for n in normal.get("normalizers", [normal]))
+        self.guards = [a["content"].lower() for a in definition.get("added_tokens", [])]
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
 
@@ -66,26 +72,67 @@ class Encoder:
         cuts = [0, *(4 * np.searchsorted(begins, ends)).tolist()]
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _lowered(self, text: str) -> str | None:
+        """The text in lower case if the tokenizer would make the same of it; None if
+        the text may hold an added token, which must be found as it stands."""
+        lower = text.lower()
+        if any(g in lower for g in self.guards):
+            return None
+        if not self.lowers:
+            return text
+        if text.isascii() or ("\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower)):
+            return lower
+        return text
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new words. Punctuation after a letter is a token run of its own, so
+        a word and what follows it are encoded apart and put together."""
+        known, cuts = self.known, []
+        units = set()
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            if core and len(core) < len(w) and core[-1].isalpha():
+                units.add(core)
+                units.add(w[len(core) :])
+                cuts.append((w, core, w[len(core) :]))
+            else:
+                units.add(w)
+        new = [u for u in units if u not in known]
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            known.update(zip(part, self._word_ids(part)))
+        for w, core, rest in cuts:
+            known[w] = known[core] + known[rest]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text (null: empty), the end id last."""
         if not self.by_word:
             return [ids + self.end for ids in self._ids([t or "" for t in texts])]
-        known, out = self.known, []
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            known.update(zip(part, self._word_ids(part)))
-        get = known.__getitem__
-        for ws in words:
-            out.append(b"".join(map(get, ws)) + self.end)
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                known.pop(w, None)
-        return out
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        get = self.known.get
+        out: list = []
+        missing: dict[str, list[tuple[list, int]]] = {}
+        for text in texts:
+            lower = self._lowered(text or "")
+            if lower is None:
+                out.append([self._ids([text])[0]])
+                continue
+            words = lower.replace("\n", " ").split(" ")
+            parts = list(map(get, words))
+            if None in parts:
+                for i, part in enumerate(parts):
+                    if part is None:
+                        missing.setdefault(words[i], []).append((parts, i))
+            out.append(parts)
+        self._learn(set(missing))
+        for word, places in missing.items():
+            ids = self.known[word]
+            for parts, i in places:
+                parts[i] = ids
+            if len(word) > CACHED_LENGTH:
+                del self.known[word]
+        return [b"".join(parts) + self.end for parts in out]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
