@@ -35,47 +35,80 @@ _LOW32 = _U64(0xFFFFFFFF)
 
 
 class _Mixer:
-    """Adaptive state of the lanes."""
+    """Adaptive state of the lanes; orders 1 and 2 are the rows of two-row arrays."""
 
     def __init__(self, lanes: int, total_bits: int):
-        self.k = total_bits
-        self.tables = [np.zeros(lanes << CONTEXT_BITS, _U32) for _ in range(2)]
-        self.rates = [np.full(lanes * 4, 1 << 14, np.int32) for _ in range(2)]
-        self.base = np.arange(lanes, dtype=np.int64) << CONTEXT_BITS
-        self.quad = np.arange(lanes, dtype=np.int64) * 4
+        self.k = _U32(total_bits)
+        self.table = np.zeros(2 * lanes << CONTEXT_BITS, _U32)
+        self.rate = np.full(2 * lanes * 4, 1 << 14, np.int32)
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << CONTEXT_BITS
+        self.quad = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 4
         self.last, self.before = np.zeros(lanes, _U32), np.zeros(lanes, _U32)
+        self._buffers(lanes)
+
+    def _buffers(self, lanes: int) -> None:
+        self.context = np.empty((2, lanes), _U32)
+        self.at = np.empty((2, lanes), np.int64)
+        self.rate_at = np.empty((2, lanes), np.int64)
+        self.share = np.empty((2, lanes), _U32)
 
     def shrink(self, lanes: int) -> None:
-        self.base, self.quad, self.last, self.before = self.base[:lanes], self.quad[:lanes], self.last[:lanes], self.before[:lanes]
+        self.base, self.quad, self.last, self.before = self.base[:, :lanes], self.quad[:, :lanes], self.last[:lanes], self.before[:lanes]
+        self._buffers(lanes)
 
     def predict(self):
-        """Predicted ids of order 1 and 2, and the shares of orders 0, 1 and 2."""
-        shift = _U32(32 - CONTEXT_BITS)
-        h = self.last * _U32(0x9E3779B1)
-        self.at = (self.base + (h >> shift), self.base + (((h ^ (self.before * _U32(0x85EBCA77))) * _U32(0xC2B2AE3D)) >> shift))
-        entries = [t[a] for t, a in zip(self.tables, self.at)]
-        self.confidence = [e & _U32(3) for e in entries]
-        self.rate_at = [self.quad + c for c in self.confidence]
-        r1, r2 = (r[a] for r, a in zip(self.rates, self.rate_at))
-        u2 = (r2.astype(_U32) * MOST) >> _U32(16)
-        u1 = (r1.astype(_U32) * (MOST - u2)) >> _U32(16)
-        self.p1, self.p2 = entries[0] >> _U32(2), entries[1] >> _U32(2)
-        return self.p1, self.p2, _U32(256) - u1 - u2, u1, u2
-
-    def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        for table, rate, at, rate_at, c, hit in zip(self.tables, self.rates, self.at, self.rate_at, self.confidence, (hit1, hit2)):
-            old = rate[rate_at]
-            rate[rate_at] = old + (((hit.astype(np.int32) << 16) - hit - old) >> RATE)
-            table[at] = (x << _U32(2)) | (np.minimum(c + _U32(1), _U32(3)) * hit)
+        """Ids predicted by orders 1 and 2, their shares shifted to the total, and
+        the share of order 0."""
+        context = self.context
+        np.multiply(self.last, _U32(0x9E3779B1), out=context[0])
+        np.multiply(self.before, _U32(0x85EBCA77), out=context[1])
+        context[1] ^= context[0]
+        context[1] *= _U32(0xC2B2AE3D)
+        context >>= _U32(32 - CONTEXT_BITS)
+        np.add(self.base, context, out=self.at)
+        entry = self.table.take(self.at, mode="wrap")
+        self.confidence = entry & _U32(3)
+        entry >>= _U32(2)
+        np.add(self.quad, self.confidence, out=self.rate_at)
+        self.old = self.rate.take(self.rate_at, mode="wrap")
+        share = self.share
+        share[:] = self.old
+        share[1] *= MOST
+        share[1] >>= _U32(16)
+        share[0] *= MOST - share[1]
+        share[0] >>= _U32(16)
+        plain = _U32(256) - share[0]
+        plain -= share[1]
+        share <<= self.k
+        return entry, share, plain
+
+    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
+        old = self.old
+        step = np.where(hit, 65535 - old, -old)
+        step >>= RATE
+        old += step
+        self.rate[self.rate_at] = old
+        confidence = np.minimum(self.confidence + _U32(1), _U32(3))
+        confidence *= hit
+        confidence |= x << _U32(2)
+        self.table[self.at] = confidence
         self.before, self.last = self.last, x
 
 
-def _span(x, p1, p2, u0, u1, u2, freq, cum, k):
-    """Begin and width of x in the mixed distribution, and whether orders 1 and 2 hit."""
-    hit1, hit2 = p1 == x, p2 == x
-    begin = u0 * cum[x] + ((u1 * (p1 < x) + u2 * (p2 < x)) << _U32(k))
-    width = u0 * freq[x] + ((u1 * hit1 + u2 * hit2) << _U32(k))
-    return begin, width, hit1, hit2
+def _span(x, predicted, share, plain, freq, cum):
+    """Begin and width of x in the mixed distribution, and which orders hit."""
+    hit = predicted == x
+    begin = cum.take(x, mode="wrap")
+    begin *= plain
+    below = (predicted < x) * share
+    begin += below[0]
+    begin += below[1]
+    width = freq.take(x, mode="wrap")
+    width *= plain
+    own = hit * share
+    width += own[0]
+    width += own[1]
+    return begin, width, hit
 
 
 def _renormalised(low, width, emit):
@@ -108,8 +141,14 @@ def _lanes(n: int) -> tuple[int, int]:
 
 def encode_ids(ids: np.ndarray) -> bytes:
     """Order-0 table, block directory and code words of unsigned 32-bit ids."""
-    distinct, ranks = np.unique(ids, return_inverse=True)
-    ranks = ranks.astype(_U32)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        distinct = np.flatnonzero(np.bincount(ids))
+        rank = np.zeros(int(distinct[-1]) + 1, _U32)
+        rank[distinct] = np.arange(len(distinct))
+        ranks = rank[ids]
+    else:
+        distinct, ranks = np.unique(ids, return_inverse=True)
+        ranks = ranks.astype(_U32)
     freq, k = _order0(ranks, len(distinct)) if len(distinct) else (np.empty(0, _U32), 16)
     cum = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(_U32) if len(freq) else freq
     lanes, tail = _lanes(len(ids))
@@ -131,14 +170,14 @@ def encode_ids(ids: np.ndarray) -> bytes:
             active = lanes - 1
             mixer.shrink(active)
         x = steps[t, :active]
-        p1, p2, u0, u1, u2 = mixer.predict()
-        begin, size, hit1, hit2 = _span(x, p1, p2, u0, u1, u2, freq, cum, k)
+        predicted, share, plain = mixer.predict()
+        begin, size, hit = _span(x, predicted, share, plain, freq, cum)
         l, w = low[:active], width[:active]
         r = w >> _U64(k + 8)
         l += r * begin
         np.multiply(r, size, out=w)
         _renormalised(l, w, emit)
-        mixer.learn(x, hit1, hit2)
+        mixer.learn(x, hit)
     for _ in range(2):  # flush
         emit(np.arange(lanes), low >> _WORD)
         low <<= _WORD
@@ -182,22 +221,35 @@ def decode_ids(data: bytes) -> np.ndarray:
         if t == tail and active == lanes:
             active = lanes - 1
             mixer.shrink(active)
-        p1, p2, u0, u1, u2 = mixer.predict()
+        predicted, share, plain = mixer.predict()
         l, w = low[:active], width[:active]
         r = w >> shift
         v = np.minimum((code[:active] - l) // r, most).astype(_U32)
-        # a table entry never written predicts rank 0, as in encoding
-        b1, s1, _, _ = _span(p1, p1, p2, u0, u1, u2, freq, cum, k)
-        b2, s2, _, _ = _span(p2, p1, p2, u0, u1, u2, freq, cum, k)
-        is1, is2 = (v - b1) < s1, (v - b2) < s2  # unsigned: below the begin wraps around
-        plain = v - ((u1 * (v >= b1 + s1) + u2 * (v >= b2 + s2)) << _U32(k))
-        x = symbol[np.minimum(plain // u0, _U32((1 << k) - 1))]
-        x = np.where(is2, p2, np.where(is1, p1, x))
-        begin, size, hit1, hit2 = _span(x, p1, p2, u0, u1, u2, freq, cum, k)
+        # where the predicted ids lie; what is left, without them, is order 0's
+        p1, p2 = predicted
+        begin = cum.take(predicted, mode="wrap")
+        begin *= plain
+        begin[0] += (p2 < p1) * share[1]
+        begin[1] += (p1 < p2) * share[0]
+        size = freq.take(predicted, mode="wrap")
+        size *= plain
+        size += share
+        both = p1 == p2
+        size[0] += both * share[1]
+        size[1] += both * share[0]
+        inside = v - begin
+        is_in = inside < size  # unsigned: below the begin wraps around
+        beyond = (~is_in & (v >= begin)) * share
+        rest = v - beyond[0]
+        rest -= beyond[1]
+        rest //= plain
+        x = symbol.take(rest, mode="clip")
+        x = np.where(is_in[1], p2, np.where(is_in[0], p1, x))
+        begin, size, hit = _span(x, predicted, share, plain, freq, cum)
         l += r * begin
         np.multiply(r, size, out=w)
         _renormalised(l, w, take)
-        mixer.learn(x, hit1, hit2)
+        mixer.learn(x, hit)
         steps[t, :active] = x
     ids = distinct[np.ascontiguousarray(steps.T).reshape(-1)[:n]]
     raw = np.ascontiguousarray(ids, "<u4")

@@ -27,7 +27,7 @@ from hopsmith.llm.tokens import encoder, ids_crc32, text_slices
 CHUNK = "file int, chunk int, n_docs long, n_tokens long, payload binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chunk_tokens: int = 1 << 22) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chunk_tokens: int = 1 << 23) -> None:
     """Encode ``docs(doc_id, text)`` to the dataset ``path``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ definition, and any other tokenizer encodes whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import string
@@ -110,6 +111,15 @@ class Encoder:
             return [ids + self.end for ids in self._ids([t or "" for t in texts])]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
+        collecting = gc.isenabled()
+        gc.disable()  # many short-lived lists, none in a cycle
+        try:
+            return self._by_words(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _by_words(self, texts: list[str | None]) -> list[bytes]:
         get = self.known.get
         out: list = []
         missing: dict[str, list[tuple[list, int]]] = {}
