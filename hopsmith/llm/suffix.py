@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from hopsmith.llm.common import written
 
 GRAM = 32
+#: A hash this frequent in a batch is sent as one row with a list.
+FREQUENT = 8
 _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 #: Longest stretch taken at once; longer texts go in stretches.
@@ -295,14 +297,34 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 22
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for number, at, n, h in _stretches([x or b"" for x in batch.column("text").to_pylist()], length):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid[number]), pa.array((at << 8) | n)], ["h", "rid", "at"])
-
-    marked = base.select("rid", "text").mapInArrow(mark, "h long, rid long, at long")
+            found = [np.concatenate(x) for x in zip(*_stretches([x or b"" for x in batch.column("text").to_pylist()], length))]
+            if not found:
+                continue
+            number, at, n, h = found
+            h, own, at = h.view(np.int64), rid[number], (at << 8) | n
+            # a frequent hash becomes one row of the batch, its other places beside it
+            by = np.lexsort((at, own, h))
+            h, own, at = h[by], own[by], at[by]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            sizes = np.diff(np.append(starts, len(h)))
+            frequent = sizes >= FREQUENT
+            alone = np.repeat(~frequent, sizes)
+            alone[starts] = True
+            extra = ~alone
+            counts = np.zeros(len(h), np.int64)
+            counts[starts[frequent]] = sizes[frequent] - 1
+            counts = counts[alone]
+            places = pa.StructArray.from_arrays([pa.array(own[extra]), pa.array(at[extra])], ["rid", "at"])
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), places)
+            yield pa.RecordBatch.from_arrays([pa.array(h[alone]), pa.array(own[alone]), pa.array(at[alone]), more], ["h", "rid", "at", "more"])
+
+    marked = base.select("rid", "text").mapInArrow(mark, "h long, rid long, at long, more array<struct<rid: long, at: long>>")
     same = Window.partitionBy("h")
-    shared = marked.select("rid", "at", F.count("*").over(same).alias("n"), F.min(F.struct("rid", "at")).over(same).alias("first")).where("n > 1")
+    counted = marked.select("rid", "at", "more", F.sum(F.size("more") + 1).over(same).alias("n"), F.min(F.struct("rid", "at")).over(same).alias("first")).where("n > 1")
     bucket = F.xxhash64("first.rid", F.shiftright("first.at", 20))  # 4096 strings of the first document
-    by_doc = shared.groupBy("rid").agg(F.collect_list(F.struct("at", bucket.alias("bucket"))).alias("owned"))
+    places = F.explode(F.concat(F.array(F.struct("rid", "at")), F.col("more")))
+    shared = counted.select(bucket.alias("bucket"), places.alias("place")).select("bucket", "place.rid", "place.at")
+    by_doc = shared.groupBy("rid").agg(F.collect_list(F.struct("at", "bucket")).alias("owned"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
