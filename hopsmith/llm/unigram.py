@@ -21,20 +21,21 @@ marker in the text itself comes back as a space; lone bytes decode with U+FFFD.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hopsmith.llm.tokens import text_slices
-
 MARKER = "▁"
 UNKNOWN = 10.0
-CACHED_UNITS, CACHED_LENGTH = 600_000, 48
+#: A worker keeps the ids of so many units, at most so long, whatever models it has met.
+CACHED_UNITS, CACHED_LENGTH = 300_000, 48
+_KNOWN: dict[str, dict[str, bytes]] = {}
 
 
 @dataclass
@@ -50,10 +51,7 @@ class UnigramModel:
     byte_ids: list[int]
     surface: list[bytes]
     units: str | None
-    known: dict[str, bytes] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+    digest: str
 
 
 def double_array(keys: dict[bytes, int]) -> tuple[array, array, array]:
@@ -131,7 +129,8 @@ def make(normal: dict[str, int], scores: list[float], byte_ids: list[int], surfa
     units = f"{MARKER}*[^{MARKER}{apart}]+|{MARKER}+" + (f"|{apart}" if apart else "") if leading else None
     base, check, value = double_array({p.encode(): i for p, i in normal.items()})
     least = min((scores[i] for i in normal.values()), default=0.0)
-    return UnigramModel(base, check, value, scores, least - UNKNOWN, byte_ids, surface, units)
+    digest = hashlib.sha256(repr((sorted(normal.items()), scores, byte_ids)).encode()).hexdigest()
+    return UnigramModel(base, check, value, scores, least - UNKNOWN, byte_ids, surface, units, digest)
 
 
 def segment(model: UnigramModel, text: str) -> list[int]:
@@ -182,9 +181,10 @@ def encode_texts(model: UnigramModel, texts: list[str | None]) -> list[bytes]:
     marked = [(MARKER + t.replace(" ", MARKER)) if t else "" for t in texts]
     if model.units is None:
         return [array("I", segment(model, t)).tobytes() for t in marked]
-    find, known = re.compile(model.units).findall, model.known
-    if len(known) > CACHED_UNITS:
-        known.clear()
+    find, known = re.compile(model.units).findall, _KNOWN.setdefault(model.digest, {})
+    if sum(map(len, _KNOWN.values())) > CACHED_UNITS:
+        _KNOWN.clear()
+        known = _KNOWN.setdefault(model.digest, {})
     out = []
     for text in marked:
         parts = []
@@ -211,10 +211,9 @@ def encode(docs: DataFrame, model: UnigramModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in text_slices(texts):
-                ids = pa.array(encode_texts(shared.value, texts[a:b]), pa.binary())
-                part = batch.slice(a, b - a)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = pa.array(encode_texts(shared.value, part.column("text").to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], ["doc_id", "text", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -227,8 +226,10 @@ def decode(coded: DataFrame, model: UnigramModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            decoded = pa.array([decode_ids(shared.value, i) for i in batch.column("ids").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], ["doc_id", "text", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                decoded = pa.array([decode_ids(shared.value, i) for i in part.column("ids").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], ["doc_id", "text", "ids", "decoded"])
 
     kind = dict(coded.dtypes)["doc_id"]
     return coded.select("doc_id", "text", "ids").mapInArrow(run, f"doc_id {kind}, text string, ids binary, decoded string")
