@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopsmith.llm import language, packing, quality, rollup, simhash, suffix, tokenfile, topk, unigram
+from hopsmith.llm import language, media, packing, quality, rollup, simhash, suffix, tokenfile, topk, unigram
 from hopsmith.llm.common import is_held_out, shared_dir, written
 
 
@@ -66,6 +71,50 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def drawn(html: str | None, edit: int | None) -> bytes | None:
+    """A page's picture: smoothed noise seeded by its HTML; ``edit`` 0 crops it, 1 changes
+    contrast and brightness, 2 turns it by a quarter, 3 covers a part."""
+    if html is None:
+        return None
+    rng = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(html.encode("utf-8", "replace"))))
+    coarse = rng.integers(0, 256, (17, 17)).astype(np.float32)
+    steps = np.arange(64) / 4
+    low, part = steps.astype(int), (steps % 1).astype(np.float32)
+    rows = coarse[low] * (1 - part)[:, None] + coarse[low + 1] * part[:, None]
+    image = (rows[:, low] * (1 - part) + rows[:, low + 1] * part).astype(np.uint8)
+    if edit == 0:
+        image = image[10:58, 6:54]
+    elif edit == 1:
+        image = (image * 0.75 + 30).astype(np.uint8)
+    elif edit == 2:
+        image = np.rot90(image)
+    elif edit == 3:
+        image = image.copy()
+        image[4:20, 40:60] = 128
+    return media.write_pgm(image)
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """(media_id, image): the tables hold no images, so each page is drawn twice, once
+    edited; the pictures of page p have the ids 2p and 2p + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                ids, images = [], []
+                for page, html in zip(*(whole.slice(at, 256).column(c).to_pylist() for c in ("page_id", "html"))):
+                    for edit in (None, 0 if page is None else page % 4):
+                        ids.append(None if page is None else 2 * page + (edit is not None))
+                        images.append(drawn(html, edit))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], ["media_id", "image"])
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "media_id long, image binary")
+
+
+def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.near_copies(page_images(_table(spark, sf_dir, "pages")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer, end_id=2, capacity=4096)
@@ -123,6 +172,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
         "op3_language_id": op3_language_id,
+        "op4_media_copies": op4_media_copies,
         "op5_packing": op5_packing,
         "op6_unigram": op6_unigram,
         "op7_quality_classifier": op7_quality_classifier,
