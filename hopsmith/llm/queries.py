@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopsmith.llm import language, media, packing, quality, rollup, simhash, suffix, tokenfile, topk, unigram
@@ -27,7 +27,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     revises the counts of texts whose e-mail addresses go, and replays a batch."""
     docs = _table(spark, sf_dir, "documents")
     masked = F.regexp_replace("text", EMAIL, "")
-    counts = [F.struct(F.lit(v).alias("tokenizer_version"), rollup.counted(F.col("text"), v).alias("n_tokens"), rollup.counted(masked, v).alias("n_masked")) for v in rollup.COUNTERS]
+    may_have_email = F.contains("text", F.lit("@"))  # spares most texts the search
+
+    def count(version: str) -> Column:
+        n = rollup.counted(F.col("text"), version)
+        after = F.when(may_have_email, rollup.counted(masked, version))
+        return F.struct(F.lit(version).alias("tokenizer_version"), n.alias("n_tokens"), after.alias("n_masked"))
+
+    counts = [count(v) for v in rollup.COUNTERS]
     rows = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.explode(F.array(*counts)).alias("c"))
     rows = written(rows.select("doc_id", "source", "lang", "digest", "c.*"), "counts")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
