@@ -118,6 +118,18 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     return langs, scores
 
 
+def keep_rows(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of ``docs`` in a learned language with a posterior of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = score_texts(shared.value, batch.column("text").to_pylist())
+            yield batch.filter(pa.array((np.array(langs, object) != UNDETERMINED) & (scores >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs(doc_id, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

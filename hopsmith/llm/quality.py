@@ -139,15 +139,29 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     return QualityModel(weights, intercept, orders, bits)
 
 
+def score_texts(model: QualityModel, texts: list[bytes]) -> np.ndarray:
+    dots = np.fromiter((float(model.weights[i] @ v) for i, v in features(texts, model.orders, model.bits)), np.float64, len(texts))
+    return 1 / (1 + np.exp(-np.clip(dots + model.intercept, -35, 35)))
+
+
+def keep_rows(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(shared.value, utf8_list(batch.column("text"))) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def predict(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) for every row of ``docs(doc_id, text)``; higher: label 1 likelier."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            dots = np.fromiter((float(m.weights[i] @ v) for i, v in features(utf8_list(batch.column("text")), m.orders, m.bits)), np.float64, batch.num_rows)
-            scores = 1 / (1 + np.exp(-np.clip(dots + m.intercept, -35, 35)))
+            scores = score_texts(shared.value, utf8_list(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]

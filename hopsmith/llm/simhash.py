@@ -36,6 +36,16 @@ from hopsmith.llm.common import connected_components, local_components, utf8_lis
 POSITIONS = 8
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes (none: zero)."""
+    counts, size = np.zeros(64, np.int64), 1 << 15
+    for at in range(0, len(hashes), size):
+        part = hashes[at : at + size]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """Of the lower-cased (A-Z) text's word shingles, repeats included."""
     parts = text.lower().split()  # bytes: cuts at ASCII white space, lowers A-Z only
@@ -49,14 +59,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1)
         begins = np.concatenate(([0], ends[: n - words]))
         spans = [joined[a:b] for a, b in zip(begins.tolist(), (ends[words - 1 :] - 1).tolist())]
-    counts, size = np.zeros(64, np.int64), 1 << 15
-    for at in range(0, len(spans), size):
-        part = spans[at : at + size]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(seed)), np.uint64, len(part))
-        # column sums of bytes would overflow beyond 255 rows: 16-bit sums per slice
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > len(spans), bitorder="little").view("<u8")[0])
+    return majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, spans, repeat(seed)), np.uint64, len(spans)))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:

@@ -411,3 +411,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 22
 
     row = base.schema["row"].dataType.simpleString()
     return base.join(covered, "rid", "left").select("rid", "text", "row", "covers").mapInArrow(remove, f"row {row}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with repeats removed from ``text`` and ``n_chars`` (where there is one)
+    following it. Bytes of a character cut in part are dropped; rows left without any
+    of their text go, rows that had none stay as they were."""
+    found = remove_repeats(docs, length)
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [k.decode("utf-8", "ignore") for k in part.column("kept").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("n_bytes"), pa.array(texts, pa.string())], ["row", "n_bytes", "text"])
+
+    row = found.schema["row"].dataType.simpleString()
+    told = found.select("row", "n_bytes", "kept").mapInArrow(back, f"row {row}, n_bytes long, text string").where("n_bytes = 0 OR text <> ''")
+    columns = []
+    for name, kind in docs.dtypes:
+        if name == "text":
+            columns.append(F.col("text"))
+        elif name == "n_chars":
+            columns.append(F.length("text").cast(kind).alias(name))
+        else:
+            columns.append(F.col(f"row.`{name}`"))
+    return told.select(*columns)
