@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopsmith.llm.common import written
-from hopsmith.llm.tokens import encoder, ids_crc32, text_slices
+from hopsmith.llm.tokens import encoder, ids_crc32, row_slices, text_slices
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path, end_id)
-        for batch in batches:
+        for batch in row_slices(batches):
             texts = batch.column("text").to_pylist()
             for a, b in text_slices(texts):
                 row, start, length, crc, total, ids = [], [], [], [], [], []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopsmith.llm.rangecoder import decode_chunk, encode_chunk
-from hopsmith.llm.tokens import encoder, ids_crc32, text_slices
+from hopsmith.llm.tokens import encoder, ids_crc32, row_slices, text_slices
 
 CHUNK = "file int, chunk int, n_docs long, n_tokens long, payload binary"
 
@@ -41,7 +41,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chun
             row = ([file], [chunk], [len(held)], [int(lengths.sum())], [payload])
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["file", "chunk", "n_docs", "n_tokens", "payload"])
 
-        for batch in batches:
+        for batch in row_slices(batches):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in text_slices(texts):
                 for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts[a:b])):

@@ -20,7 +20,7 @@ from array import array
 import numpy as np
 
 #: Words kept by a worker; a word takes about 200 bytes.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 800_000
 PUNCTUATION = string.punctuation
 #: Longer words aren't kept.
 CACHED_LENGTH = 48
@@ -155,6 +155,13 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
+def row_slices(batches, rows: int = 512):
+    """Short slices of Arrow batches, so that few texts are held as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_slices(texts: list, limit: int = 1 << 20):
     """Ranges of texts that hold about ``limit`` characters each."""
     start = size = 0
