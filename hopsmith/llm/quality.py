@@ -108,7 +108,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
     return solve(z, n).astype(np.float32), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", orders: int = 2, bits: int = 20, labelled_limit: int = 20_000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", orders: int = 2, bits: int = 20, labelled_limit: int = 10_000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05) -> QualityModel:
     """Fit on the labels for which ``usable`` (a condition on ``doc_id``) holds."""
     known = labels.where(usable & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_most")).where("_y = _most").select("doc_id", "_y")
     known = hash_sampled(known, F.col("doc_id"), bounded_fraction(known, labelled_limit))

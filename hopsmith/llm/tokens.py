@@ -19,8 +19,8 @@ from array import array
 
 import numpy as np
 
-#: Words kept by a worker; a word takes about 200 bytes.
-CACHED_WORDS = 800_000
+#: Words that a worker keeps after their second use, and others; a word takes about 200 bytes.
+CACHED_WORDS, RECENT_WORDS = 300_000, 150_000
 PUNCTUATION = string.punctuation
 #: Longer words aren't kept.
 CACHED_LENGTH = 48
@@ -57,6 +57,7 @@ class Encoder:
         self.guards = [a["content"].lower() for a in definition.get("added_tokens", [])]
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,32 +86,49 @@ class Encoder:
             return lower
         return text
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of new words. Punctuation after a letter is a token run of its own, so
-        a word and what follows it are encoded apart and put together."""
-        known, cuts = self.known, []
-        units = set()
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't kept. Punctuation after a letter is a token run of its
+        own, so a word and what follows it are encoded apart and put together."""
+        known, recent, out = self.known, self.recent, {}
+        cuts, units = [], {}
         for w in words:
+            ids = recent.pop(w, None)
+            if ids is not None:
+                known[w] = out[w] = ids
+                continue
             core = w.rstrip(PUNCTUATION)
             if core and len(core) < len(w) and core[-1].isalpha():
-                units.add(core)
-                units.add(w[len(core) :])
                 cuts.append((w, core, w[len(core) :]))
+                units[core] = units[w[len(core) :]] = None
             else:
-                units.add(w)
-        new = [u for u in units if u not in known]
+                units[w] = None
+        new = []
+        for u in units:
+            ids = known.get(u)
+            if ids is None and (ids := recent.pop(u, None)) is not None:
+                known[u] = ids
+            units[u] = ids
+            if ids is None:
+                new.append(u)
         for at in range(0, len(new), 2048):
             part = new[at : at + 2048]
-            known.update(zip(part, self._word_ids(part)))
+            units.update(zip(part, self._word_ids(part)))
+        if len(recent) > RECENT_WORDS:
+            recent.clear()
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        recent.update((u, units[u]) for u in new if len(u) <= CACHED_LENGTH)
         for w, core, rest in cuts:
-            known[w] = known[core] + known[rest]
+            units[w] = units[core] + units[rest]
+            if len(w) <= CACHED_LENGTH:
+                recent[w] = units[w]
+        out.update((w, units[w]) for w in words if w in units)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text (null: empty), the end id last."""
         if not self.by_word:
             return [ids + self.end for ids in self._ids([t or "" for t in texts])]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
         collecting = gc.isenabled()
         gc.disable()  # many short-lived lists, none in a cycle
         try:
@@ -135,13 +153,11 @@ class Encoder:
                     if part is None:
                         missing.setdefault(words[i], []).append((parts, i))
             out.append(parts)
-        self._learn(set(missing))
+        learned = self._learn(list(missing))
         for word, places in missing.items():
-            ids = self.known[word]
+            ids = learned[word]
             for parts, i in places:
                 parts[i] = ids
-            if len(word) > CACHED_LENGTH:
-                del self.known[word]
         return [b"".join(parts) + self.end for parts in out]
 
 
