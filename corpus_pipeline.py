@@ -27,32 +27,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopsmith.llm import language, near, packing, quality, suffix
-from hopsmith.llm.common import is_held_out, shared_dir
+from hopsmith.llm.common import is_held_out, shared_dir, short_batches
 
 #: SQL can express none of the stages.
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, ~is_held_out(F.col("doc_id")))
     return quality.keep_rows(docs, model, 0.3)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     model = language.train(docs, ~is_held_out(F.col("doc_id")))
     return language.keep_rows(docs, model, 0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return near.one_of_each(docs, words=5, similarity=0.8)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return suffix.without_repeats(docs, length=100)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 

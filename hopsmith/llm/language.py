@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import bounded_fraction, hash_sampled
+from hopsmith.llm.common import bounded_fraction, hash_sampled, map_arrow
 
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -85,7 +85,7 @@ def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labe
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(values)], ["lang", "bucket", "n"])
 
     # at most max_languages x (buckets + 1) rows, whatever the size of the corpus
-    counted = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_arrow(labelled, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     if len(languages) > max_languages:
         raise ValueError(f"{len(languages)} languages; the model holds at most {max_languages}")
@@ -127,7 +127,7 @@ def keep_rows(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
             langs, scores = score_texts(shared.value, batch.column("text").to_pylist())
             yield batch.filter(pa.array((np.array(langs, object) != UNDETERMINED) & (scores >= least)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -140,4 +140,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", "text"), score, f"doc_id {kind}, lang_pred string, score double")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import connected_components, utf8_list, written
+from hopsmith.llm.common import connected_components, map_arrow, utf8_list, written
 from hopsmith.llm.simhash import majority_bits
 
 SEEDS = (1, 2)
@@ -47,7 +47,7 @@ def _keys(docs: DataFrame) -> DataFrame:
             prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["doc_id", "same", "f0", "f1"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, same binary, f0 long, f1 long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), run, "doc_id long, same binary, f0 long, f1 long")
 
 
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
@@ -66,7 +66,7 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows or [np.empty(0, np.int64)])))], ["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return map_arrow(texts.select("node", "text"), run, "node long, shingles array<long>")
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import written
+from hopsmith.llm.common import map_arrow, written
 from hopsmith.llm.tokens import encoder, ids_crc32, row_slices, text_slices
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
@@ -61,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = PIECE.format(id=dict(docs.dtypes)["doc_id"]) + (", ids binary" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return map_arrow(docs.select("doc_id", "text"), cut, schema)
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -72,29 +73,33 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """
     if not len(sizes):
         return np.empty(0, np.int64)
-    heap = [(-int(s) if k > 1 else 0, i, [(int(s), [i])]) for i, s in enumerate(sizes)]
+    # a window's items are a tree of pairs, so that joining two windows copies nothing
+    heap = [(-s if k > 1 else 0, i, [(s, i)]) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     stamp = len(heap)
     while len(heap) > 1:
         _, _, one = heapq.heappop(heap)
         _, _, two = heapq.heappop(heap)
         # descending against ascending: the fullest of one meets the emptiest of the other
-        merged = []
-        first_of_two = k - len(two)
-        for place in range(len(one)):
-            total, items = one[place]
-            if place >= first_of_two:
-                more, others = two[k - 1 - place]
-                total, items = total + more, items + others
-            merged.append((total, items))
-        merged += two[: max(0, min(len(two), k - len(one)))]
-        merged.sort(key=lambda w: -w[0])
+        alone = k - len(two)
+        if len(one) <= alone:
+            merged = one + two
+        else:
+            both = [(a + b, (x, y)) for (a, x), (b, y) in zip(one[alone:], reversed(two[k - len(one) :]))]
+            merged = one[:alone] + both + two[: k - len(one)]
+        merged.sort(key=itemgetter(0), reverse=True)
         least = merged[-1][0] if len(merged) == k else 0
         heapq.heappush(heap, (least - merged[0][0], stamp, merged))
         stamp += 1
     window = np.empty(len(sizes), np.int64)
     for number, (_, items) in enumerate(heap[0][2]):
-        window[items] = number
+        open_ = [items]
+        while open_:
+            item = open_.pop()
+            if isinstance(item, tuple):
+                open_.extend(item)
+            else:
+                window[item] = number
     return window
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import arrow_batches, bounded_fraction, hash_sampled, utf8_list
+from hopsmith.llm.common import arrow_batches, bounded_fraction, hash_sampled, map_arrow, utf8_list
 
 _BYTES = np.arange(256)
 _IS_WORD = (_BYTES >= 128) | np.array([chr(b).isalnum() and b < 128 for b in _BYTES])
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
         at = np.flatnonzero(w)
         return pd.DataFrame({"index": [at.astype("<u4").tobytes()], "value": [w[at].tobytes()], "b": [b]})
 
-    sparse = texts.select("doc_id", "_y", "text").mapInArrow(featurise, "id string, y double, index binary, value binary")
+    sparse = map_arrow(texts.select("doc_id", "_y", "text"), featurise, "id string, y double, index binary, value binary")
     # one group of at most about labelled_limit rows
     rows = sparse.groupBy().applyInPandas(fit, "index binary, value binary, b double").collect()
     weights, intercept = np.zeros(1 << bits, np.float32), 0.0
@@ -152,7 +152,7 @@ def keep_rows(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(score_texts(shared.value, utf8_list(batch.column("text"))) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
 
 
 def predict(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -165,4 +165,4 @@ def predict(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
+    return map_arrow(docs.select("doc_id", "text"), score, f"doc_id {kind}, score double")

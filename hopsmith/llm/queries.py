@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopsmith.llm import language, media, packing, quality, rollup, simhash, suffix, tokenfile, topk, unigram
-from hopsmith.llm.common import is_held_out, shared_dir, written
+from hopsmith.llm.common import is_held_out, map_arrow, shared_dir, short_batches, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return short_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 EMAIL = r"[^\x00-\x20]+@[^\x00-\x20]+"
@@ -115,7 +115,7 @@ def page_images(pages: DataFrame) -> DataFrame:
                         images.append(drawn(html, edit))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], ["media_id", "image"])
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "media_id long, image binary")
+    return map_arrow(pages.select(F.col("page_id").cast("long"), "html"), run, "media_id long, image binary")
 
 
 def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

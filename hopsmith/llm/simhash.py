@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import connected_components, local_components, utf8_list, written
+from hopsmith.llm.common import connected_components, local_components, map_arrow, utf8_list, written
 
 POSITIONS = 8
 
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
             fps = np.fromiter((fingerprint(t, words, seed) for t in utf8_list(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), of, "doc_id long, fp long")
 
 
 def _masks(bits: int, width: int) -> np.ndarray:
@@ -144,7 +144,7 @@ def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
             yield out([r[:last] for r in rows])
         yield out(held)
 
-    return dealt.mapInArrow(meet, "src long, dst long")
+    return map_arrow(dealt, meet, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import written
+from hopsmith.llm.common import map_arrow, written
 
 GRAM = 32
 #: A hash this frequent in a batch is sent as one row with a list.
@@ -289,7 +289,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(ordered.select(F.monotonically_increasing_id().alias("rid"), "text", "row"), "numbered")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 22) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 21) -> DataFrame:
     """For every row of ``docs(doc_id, text, ...)``: row (its columns but the text),
     n_bytes, spans (maximal removed byte ranges) and kept (the bytes left)."""
     base = _numbered(docs)
@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 22
             more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), places)
             yield pa.RecordBatch.from_arrays([pa.array(h[alone]), pa.array(own[alone]), pa.array(at[alone]), more], ["h", "rid", "at", "more"])
 
-    marked = base.select("rid", "text").mapInArrow(mark, "h long, rid long, at long, more array<struct<rid: long, at: long>>")
+    marked = map_arrow(base.select("rid", "text"), mark, "h long, rid long, at long, more array<struct<rid: long, at: long>>")
     same = Window.partitionBy("h")
     counted = marked.select("rid", "at", "more", F.sum(F.size("more") + 1).over(same).alias("n"), F.min(F.struct("rid", "at")).over(same).alias("first")).where("n > 1")
     bucket = F.xxhash64("first.rid", F.shiftright("first.at", 20))  # 4096 strings of the first document
@@ -357,7 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 22
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "rid", "lo", "hi", "piece"])
 
-    segments = base.join(by_doc, "rid").select("rid", "text", "row", "owned").mapInArrow(cut, "bucket long, rid long, lo long, hi long, piece binary")
+    segments = map_arrow(base.join(by_doc, "rid").select("rid", "text", "row", "owned"), cut, "bucket long, rid long, lo long, hi long, piece binary")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
@@ -388,7 +388,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 22
         for rest in (held + open_,) if held_bytes + open_bytes <= part_bytes else (held, open_):
             yield out(resolve(rest, length, part_bytes))
 
-    covers = segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, "rid long, lo long, hi long")
+    covers = map_arrow(segments.repartition("bucket").sortWithinPartitions("bucket"), decide, "rid long, lo long, hi long")
     covered = covers.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("covers"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +410,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 22
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["row", "n_bytes", "spans", "kept"])
 
     row = base.schema["row"].dataType.simpleString()
-    return base.join(covered, "rid", "left").select("rid", "text", "row", "covers").mapInArrow(remove, f"row {row}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    return map_arrow(base.join(covered, "rid", "left").select("rid", "text", "row", "covers"), remove, f"row {row}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -427,7 +427,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("n_bytes"), pa.array(texts, pa.string())], ["row", "n_bytes", "text"])
 
     row = found.schema["row"].dataType.simpleString()
-    told = found.select("row", "n_bytes", "kept").mapInArrow(back, f"row {row}, n_bytes long, text string").where("n_bytes = 0 OR text <> ''")
+    told = map_arrow(found.select("row", "n_bytes", "kept"), back, f"row {row}, n_bytes long, text string").where("n_bytes = 0 OR text <> ''")
     columns = []
     for name, kind in docs.dtypes:
         if name == "text":

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hopsmith.llm.common import map_arrow
 from hopsmith.llm.rangecoder import decode_chunk, encode_chunk
 from hopsmith.llm.tokens import encoder, ids_crc32, row_slices, text_slices
 
@@ -55,7 +56,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chun
 
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("doc_id is null")).cast("long")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, CHUNK).write.mode("overwrite").parquet(path)
+    map_arrow(ordered, encode, CHUNK).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -83,4 +84,4 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return chunks.join(starts, ["file", "chunk"]).select("first", "payload").mapInArrow(decode, schema)
+    return map_arrow(chunks.join(starts, ["file", "chunk"]).select("first", "payload"), decode, schema)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopsmith.llm.common import map_arrow
+
 LARGEST = 1 << 28
 
 
@@ -49,7 +51,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
                     rows.append(x.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["vec_id", "weights"])
 
-    return vectors.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(pack, "vec_id long, weights binary")
+    return map_arrow(vectors.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")), pack, "vec_id long, weights binary")
 
 
 def _matrix(rows: list[bytes]) -> np.ndarray:

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hopsmith.llm.common import map_arrow
+
 MARKER = "▁"
 UNKNOWN = 10.0
 #: A worker keeps the ids of so many units, at most so long, whatever models it has met.
@@ -217,7 +219,7 @@ def encode(docs: DataFrame, model: UnigramModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], ["doc_id", "text", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, ids binary")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, text string, ids binary")
 
 
 def decode(coded: DataFrame, model: UnigramModel) -> DataFrame:
@@ -232,4 +234,4 @@ def decode(coded: DataFrame, model: UnigramModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], ["doc_id", "text", "ids", "decoded"])
 
     kind = dict(coded.dtypes)["doc_id"]
-    return coded.select("doc_id", "text", "ids").mapInArrow(run, f"doc_id {kind}, text string, ids binary, decoded string")
+    return map_arrow(coded.select("doc_id", "text", "ids"), run, f"doc_id {kind}, text string, ids binary, decoded string")
