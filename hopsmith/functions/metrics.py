@@ -98,7 +98,11 @@ def last_word_match(pred: Column, gold: Column) -> Column:
 def label_f1(pred: Column, gold: Column, labels: list[str]) -> Column:
     """F1 of the labels found inside the lower-cased texts; labels keep their case."""
     every = F.array(*map(F.lit, labels))
-    p, g = (F.filter(every, lambda x, c=c: F.contains(F.lower(c), x)) for c in (pred, gold))
+
+    def named(c: Column) -> Column:
+        return F.filter(every, lambda x: F.contains(F.lower(c), x))
+
+    p, g = named(pred), named(gold)
     same = F.size(F.array_intersect(p, g))
     either = (F.size(p) == 0) | (F.size(g) == 0)
     return F.when(either, (F.size(p) == F.size(g)).cast("double")).otherwise(_f1(_ratio(same, F.size(p)), _ratio(same, F.size(g))))
