@@ -538,11 +538,11 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CAND + """,
 z AS (SELECT id, unnest(logp) - unnest(b) AS shift, unnest(j) AS j FROM c)
-SELECT id, round(0.02 * (coalesce(avg(shift) FILTER (j = 1), 0) - coalesce(avg(shift) FILTER (j <> 1), 0)), 4) AS reward FROM z GROUP BY id
+SELECT id, round(0.02 * (coalesce(avg(shift) FILTER (j = 1), 0) - coalesce(avg(shift) FILTER (j <> 1), 0)), 10) + 0.0::DOUBLE AS reward FROM z GROUP BY id
 """)
 def candidate_beta_reward(spark, sf_dir):
     reward = rewards.candidate_beta(F.col("logp"), F.col("judgements"), F.col("betas"), 0.02)
-    return _candidates(spark, sf_dir).select("id", F.round(reward, 4).alias("reward"))
+    return _candidates(spark, sf_dir).select("id", (F.round(reward, 10) + F.lit(0.0)).alias("reward"))
 
 
 @query(_CAND + """,

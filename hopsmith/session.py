@@ -14,5 +14,6 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.log.level", "ERROR")
         .getOrCreate()
     )
