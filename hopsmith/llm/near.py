@@ -1,15 +1,19 @@
 """One document of each group of near duplicates, nominated by SimHash.
 
-The SimHash index of ``simhash`` at a wider radius: fingerprints of 128 bits over a
-text's distinct lower-cased words stand as eight positions of two bytes each. The
+The SimHash index of ``simhash`` at a wider radius: two fingerprints of 128 bits over a
+text's distinct lower-cased words, each standing as eight positions of two bytes. The
 tally asks for two equal positions, which fingerprints that differ in up to 6 bits
 are bound to have and others have in part, so the postings are kept per pair of positions
-(28 of 32 bits each). Pairs are verified by the Jaccard similarity of their sets of
+(28 of 32 bits each, for each fingerprint). Pairs are verified by the Jaccard similarity of their sets of
 ``words``-word shingles.
 
-No posting's pairs are all made. First every member meets the posting's first one;
-members that this (and what it connects) hasn't joined to the first one then meet the
-rest. Two members that aren't compared are connected already.
+No posting's pairs are all made. First every member meets the posting's first one.
+Members that this (and what it connects) hasn't joined to the first one then meet the
+rest, but for pairs that can't be similar enough: of a text's n shingles s occur in
+another text that shares a posting with it or its like, so two texts have at most
+min(s, s') shingles in common. In a large group of copies, those too far from the first
+one are mostly too far from all others by this bound. Two members that aren't compared
+are connected already or known to be apart.
 
 Texts of equal words are one node. Defined cases: null and wordless texts are equal to
 each other; texts of fewer than ``words`` words are one shingle; rows with null
@@ -30,11 +34,13 @@ from pyspark.sql import functions as F
 from hopsmith.llm.common import connected_components, map_arrow, utf8_list, written
 from hopsmith.llm.simhash import majority_bits
 
-SEEDS = (1, 2)
+#: Two to a fingerprint.
+SEEDS = (1, 2, 3, 4)
+PRINTS = [f"f{i}" for i in range(len(SEEDS))]
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, f0, f1): a hash of the words in a row and the fingerprint."""
+    """(doc_id, same, f0 ...): a hash of the words in a row and 64 bits by seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,10 +50,10 @@ def _keys(docs: DataFrame) -> DataFrame:
                 same.append(xxhash.xxh128_digest(b" ".join(parts)))
                 distinct = list(set(parts))
                 prints.append([majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(seed)), np.uint64, len(distinct))) for seed in SEEDS])
-            prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["doc_id", "same", "f0", "f1"])
+            prints = np.array(prints, np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), *map(pa.array, prints.T.copy())], ["doc_id", "same", *PRINTS])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), run, "doc_id long, same binary, f0 long, f1 long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), run, "doc_id long, same binary, " + ", ".join(f"{p} long" for p in PRINTS))
 
 
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
@@ -72,10 +78,10 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every non-null ``doc_id`` of ``docs(doc_id, text)``."""
     keys = written(_keys(docs), "keys")
-    same = keys.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("f0").alias("f0"), F.min("f1").alias("f1"))
+    same = keys.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.min(p).alias(p) for p in PRINTS])
     same = written(same, "same")
-    positions = [F.shiftrightunsigned(f, 16 * i).bitwiseAND(F.lit(0xFFFF)) for f in (F.col("f0"), F.col("f1")) for i in range(4)]
-    pairs_of = [F.xxhash64(F.lit(8 * i + j), positions[i], positions[j]) for i, j in combinations(range(8), 2)]
+    positions = [F.shiftrightunsigned(p, 16 * i).bitwiseAND(F.lit(0xFFFF)) for p in PRINTS for i in range(4)]
+    pairs_of = [F.xxhash64(F.lit(64 * i + j), positions[i], positions[j]) for i, j in combinations(range(len(positions)), 2) if i // 8 == j // 8]
     postings = same.select("node", F.explode(F.array(*pairs_of)).alias("key"))
     in_key = Window.partitionBy("key")
     met = postings.select("node", "key", F.min("node").over(in_key).alias("first"), F.count("*").over(in_key).alias("n")).where("n > 1")
@@ -83,22 +89,31 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     leads = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     wanted = met.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").dropDuplicates(["node"]) if _repeats(docs) else docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    shingles = written(_shingles(texts.join(wanted, "node", "left_semi"), words), "shingles")
+    shingles = written(_shingles(texts.join(wanted.hint("merge"), "node", "left_semi"), words), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = shingles.toDF("a", "sa"), shingles.toDF("b", "sb")
         both = F.size(F.array_intersect("sa", "sb"))
         jaccard = both / (F.size("sa") + F.size("sb") - both)
-        return pairs.join(one, "a").join(two, "b").where(jaccard >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(jaccard >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     first = written(verified(leads), "first")
     linked = connected_components(first)
     placed = met.join(linked, "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("own"))
     heads = linked.toDF("first", "head")
     placed = placed.join(heads, "first", "left").select("node", "key", "first", "own", F.coalesce("head", "first").alias("head"))
-    apart = placed.where("own <> head").select("key", F.col("node").alias("m"), F.col("own").alias("m_own"))
-    others = placed.where("node <> first").select("key", F.col("node").alias("k"), F.col("own").alias("k_own"))
-    rest = apart.join(others, "key").where("m_own <> k_own").select(F.least("m", "k").alias("a"), F.greatest("m", "k").alias("b")).distinct()
+    # postings with at least two members besides the first, one of them apart
+    spread = Window.partitionBy("key")
+    placed = placed.withColumn("open", F.count_if((F.col("own") != F.col("head")) & (F.col("node") != F.col("first"))).over(spread)).withColumn("n", F.count("*").over(spread))
+    placed = written(placed.where("open > 0 AND n > 2").select("key", "node", "first", "own", "head"), "placed")
+    among = shingles.join(placed.select("node").distinct().hint("merge"), "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    met_again = F.count("*").over(Window.partitionBy("s")) > 1
+    sizes = among.select("node", "n", met_again.cast("int").alias("again")).groupBy("node", "n").agg(F.sum("again").alias("s"))
+    placed = placed.join(sizes.hint("merge"), "node").withColumn("least", F.min("n").over(spread))
+    reaches = lambda s, n, other: s / (n + other - s) >= similarity - 1e-9
+    apart = placed.where("own <> head").where(reaches(F.col("s"), F.col("n"), F.greatest("least", F.col("s")))).select("key", F.col("node").alias("m"), F.col("own").alias("m_own"), F.col("n").alias("m_n"), F.col("s").alias("m_s"))
+    others = placed.where("node <> first").select("key", F.col("node").alias("k"), F.col("own").alias("k_own"), F.col("n").alias("k_n"), F.col("s").alias("k_s"))
+    rest = apart.join(others.hint("merge"), "key").where("m_own <> k_own").where(reaches(F.least("m_s", "k_s"), F.col("m_n"), F.col("k_n"))).select(F.least("m", "k").alias("a"), F.greatest("m", "k").alias("b")).distinct()
     found = first.unionByName(written(verified(rest), "rest"))
     # rows of one doc_id with different words are one document
     ties = keys.join(same.select("same", "node"), "same").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))

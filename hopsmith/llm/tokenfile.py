@@ -48,9 +48,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chun
                 for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts[a:b])):
                     held.append((doc_id, ids))
                     size += len(ids) // 4
-                if size >= chunk_tokens:
-                    yield out()
-                    held, size, chunk = [], 0, chunk + 1
+                    if size >= chunk_tokens:
+                        yield out()
+                        held, size, chunk = [], 0, chunk + 1
         if held:
             yield out()
 

@@ -1,0 +1,28 @@
+"""The queries with SQL against DuckDB, and that all are registered."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from hopsmith.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+duckdb = pytest.importorskip("duckdb")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, DATA).toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    rows = lambda df: sorted(tuple(str(v) for v in r) for r in df[columns].itertuples(index=False))
+    assert sorted(want.columns) == columns and rows(got) == rows(want)
+
+
+def test_registered():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit())
+    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
