@@ -56,11 +56,20 @@ def exact_match(pred: Column, gold: Column) -> Column:
     return (normalize_answer(pred) == normalize_answer(gold)).cast("int")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: Spark would put a shared column's
+    expression into every place that uses it, inside lambdas once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _numbered(ordered: Column) -> Column:
+    """Each word of a sorted list with the number of its occurrence."""
+    return F.transform(ordered, lambda w, i: F.concat(w, F.lit("\x01"), (i - F.array_position(ordered, w)).cast("string")))
+
+
 def _overlap(p: Column, g: Column) -> Column:
-    """Size of the multiset intersection of two word lists."""
-    shared = F.array_distinct(F.array_intersect(p, g))
-    count = lambda where, w: F.size(F.filter(where, lambda x: x == w))
-    return F.aggregate(shared, F.lit(0), lambda n, w: n + F.least(count(p, w), count(g, w)))
+    """Size of the multiset intersection of two sorted word lists."""
+    return F.size(F.array_intersect(_numbered(p), _numbered(g)))
 
 
 def token_scores(pred: Column, gold: Column, normal: Callable[[Column], Column] = normalize_answer, empties: str = "agree") -> Column:
@@ -69,15 +78,18 @@ def token_scores(pred: Column, gold: Column, normal: Callable[[Column], Column]
     ``empties``: with "agree", no words on both sides score 1 and on one side f1 0 (the
     empty side's own ratio is 1); with "zero", no words on any side score 0.
     """
-    p, g = words(normal(pred)), words(normal(gold))
-    same, n_p, n_g = _overlap(p, g), F.size(p), F.size(g)
-    precision, recall = _ratio(same, n_p), _ratio(same, n_g)
-    f1 = _f1(precision, recall)
-    if empties == "agree":
-        both = (n_p == 0) & (n_g == 0)
-        f1 = F.when(both, 1.0).otherwise(f1)
-        precision, recall = F.when(n_p == 0, 1.0).otherwise(precision), F.when(n_g == 0, 1.0).otherwise(recall)
-    return F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+    both = F.struct(F.array_sort(words(normal(pred))).alias("p"), F.array_sort(words(normal(gold))).alias("g"))
+    counts = bound(both, lambda v: F.struct(_overlap(v["p"], v["g"]).alias("same"), F.size(v["p"]).alias("p"), F.size(v["g"]).alias("g")))
+
+    def scores(n):
+        precision, recall = _ratio(n["same"], n["p"]), _ratio(n["same"], n["g"])
+        f1 = _f1(precision, recall)
+        if empties == "agree":
+            f1 = F.when((n["p"] == 0) & (n["g"] == 0), 1.0).otherwise(f1)
+            precision, recall = F.when(n["p"] == 0, 1.0).otherwise(precision), F.when(n["g"] == 0, 1.0).otherwise(recall)
+        return F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+
+    return bound(counts, scores)
 
 
 def token_f1(pred: Column, gold: Column) -> Column:

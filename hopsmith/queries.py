@@ -253,7 +253,8 @@ o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(list_intersect(p,
 
 @query(_PAIR + """
 SELECT conv_id, turn, CASE WHEN p = g THEN 1 ELSE 0 END AS em,
-  round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN same = 0 THEN 0.0 ELSE 2.0 * same / (len(p) + len(g)) END, 6) AS f1 FROM o
+  round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN same = 0 THEN 0.0
+    ELSE 2 * (same::DOUBLE / len(p)) * (same::DOUBLE / len(g)) / (same::DOUBLE / len(p) + same::DOUBLE / len(g)) END, 6) AS f1 FROM o
 """)
 def token_f1_pairs(spark, sf_dir):
     t = _turns(spark, sf_dir)
