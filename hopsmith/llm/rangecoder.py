@@ -24,8 +24,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMRC1\0"
-BLOCK = 4096
-CONTEXT_BITS = 11
+BLOCK = 2048
+CONTEXT_BITS = 10
 #: Shares are out of 256; what orders 1 and 2 can take together leaves some to order 0.
 MOST = np.uint32(244)
 RATE = 4
