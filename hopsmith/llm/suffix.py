@@ -289,9 +289,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(ordered.select(F.monotonically_increasing_id().alias("rid"), "text", "row"), "numbered")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 21) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 21, as_text: bool = False) -> DataFrame:
     """For every row of ``docs(doc_id, text, ...)``: row (its columns but the text),
-    n_bytes, spans (maximal removed byte ranges) and kept (the bytes left)."""
+    n_bytes, spans (maximal removed byte ranges) and kept (the bytes left; ``as_text``: a
+    string, without characters that were cut in part)."""
     base = _numbered(docs)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,35 +406,26 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 21
                 sizes.append(len(text))
                 spans.append([{"start": a, "stop": b} for a, b in merged])
                 edges = [0, *(x for m in merged for x in m), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["row", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string() if as_text else pa.binary())], ["row", "n_bytes", "spans", "kept"])
 
     row = base.schema["row"].dataType.simpleString()
-    return map_arrow(base.join(covered, "rid", "left").select("rid", "text", "row", "covers"), remove, f"row {row}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    return map_arrow(base.join(covered, "rid", "left").select("rid", "text", "row", "covers"), remove, f"row {row}, n_bytes long, spans array<struct<start: long, stop: long>>, kept {'string' if as_text else 'binary'}")
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with repeats removed from ``text`` and ``n_chars`` (where there is one)
     following it. Bytes of a character cut in part are dropped; rows left without any
     of their text go, rows that had none stay as they were."""
-    found = remove_repeats(docs, length)
-
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [k.decode("utf-8", "ignore") for k in part.column("kept").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("n_bytes"), pa.array(texts, pa.string())], ["row", "n_bytes", "text"])
-
-    row = found.schema["row"].dataType.simpleString()
-    told = map_arrow(found.select("row", "n_bytes", "kept"), back, f"row {row}, n_bytes long, text string").where("n_bytes = 0 OR text <> ''")
+    told = remove_repeats(docs, length, as_text=True).where("n_bytes = 0 OR kept <> ''")
     columns = []
     for name, kind in docs.dtypes:
         if name == "text":
-            columns.append(F.col("text"))
+            columns.append(F.col("kept").alias("text"))
         elif name == "n_chars":
-            columns.append(F.length("text").cast(kind).alias(name))
+            columns.append(F.length("kept").cast(kind).alias(name))
         else:
             columns.append(F.col(f"row.`{name}`"))
     return told.select(*columns)

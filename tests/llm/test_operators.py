@@ -181,7 +181,7 @@ def test_media(spark):
     expected = {i: i - i % 2 for i in range(24)} | {100: 0} | {i: i for i in (101, 102, 103, 104)}
     found = sum(got[i].component_id == c for i, c in expected.items())
     assert found >= len(expected) - 2 and all(got[i].component_id in (c, i) for i, c in expected.items())
-    assert got[101].n_links == got[104].n_corners == 0
+    assert got[101].n_links == got[104].n_links == 0
     assert media.near_copies(spark.createDataFrame([], "media_id long, image binary")).count() == 0
 
 
