@@ -132,7 +132,7 @@ def dataset_statistics(rows: DataFrame, text: str = "text", kind: str | None = N
 
 
 # Fixed value: a reward's timing line.
-TIMING = r"qrag\.reward_ms=([0-9.]+) feedback=(\S+) is_final=(\S+) reward=(\S+)"
+TIMING = r"reward_ms=([0-9.]+) feedback=(\S+) is_final=(\S+) reward=(\S+)"
 
 
 def timing_rows(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -614,3 +614,188 @@ def stream_event_windows(spark, sf_dir):
     run = windowed_values(source).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- summaries, parsers and step rewards ------------------------------------
+
+
+@query(_SCORED + """
+, m AS (SELECT CASE WHEN len(list_intersect(pred_idx, sf_idx)) = len(sf_idx) THEN 1.0 ELSE 0.0 END AS em, len(pred_idx) AS n FROM logged)
+SELECT count(*) AS n, round(avg(em), 6) AS mean_return, round(stddev_pop(em), 6) AS std_return, round(avg(n), 6) AS mean_text_len, round(avg(em), 6) AS em FROM m
+""")
+def retriever_summary(spark, sf_dir):
+    m = metrics.fact_metrics(F.col("pred_idx"), F.col("sf_idx"))
+    rows = _log(spark, sf_dir).withColumns({"return": m["em"], "text_len": F.size("pred_idx").cast("long")})
+    return aggregates.retriever_summary(rows).select("n", *[F.round(c, 6).alias(c) for c in ("mean_return", "std_return", "mean_text_len", "em")])
+
+
+@query("SELECT count(*) AS n, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem")
+def beta_summary(spark, sf_dir):
+    return aggregates.beta_summary(_candidates(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@query("""
+SELECT count(*) FILTER (j = 1) AS correct, count(*) FILTER (j = 0) AS incorrect, count(*) FILTER (j = -1) AS failed, round(100.0 * count(*) FILTER (j = 1) / count(*), 6) AS accuracy
+FROM (SELECT coalesce(l.quality, -1) AS j FROM documents d LEFT JOIN labels l USING (doc_id))
+""")
+def judge_accuracy(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = d.join(l, "doc_id", "left").select(F.coalesce("quality", F.lit(-1)).alias("judgement"))
+    return aggregates.judge_accuracy(rows).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(_STEPS + "SELECT env_id, step, round(avg(reward) OVER (PARTITION BY env_id ORDER BY step), 9) AS running_mean FROM s")
+def running_mean(spark, sf_dir):
+    rows = aggregates.running_mean(_steps(spark, sf_dir), "reward", "step", "env_id")
+    return rows.select("env_id", "step", F.round("running_mean", 9).alias("running_mean"))
+
+
+@query(_STEPS + """
+, m AS (SELECT env_id, step, reward, max(reward) OVER (PARTITION BY env_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM s)
+SELECT env_id AS run, step, reward FROM m WHERE best IS NULL OR reward > best
+""")
+def best_checkpoints(spark, sf_dir):
+    return aggregates.best_checkpoints(_steps(spark, sf_dir).select(F.col("env_id").alias("run"), "step", "reward"))
+
+
+@query(_STEPS + "SELECT env_id, step, round(0.5 * greatest(0.0, coalesce(lag(reward) OVER (PARTITION BY env_id ORDER BY step) - reward, 0.0)), 6) AS reward FROM s")
+def uncertainty_drop(spark, sf_dir):
+    rows = _steps(spark, sf_dir).select(F.col("env_id").alias("episode"), "step", F.col("reward").alias("p"))
+    return rewards.uncertainty(rows, "uncertainty_drop", 0.5).select(F.col("episode").alias("env_id"), "step", F.round("reward", 6).alias("reward"))
+
+
+@query(_STEPS + """
+, v AS (SELECT env_id, step, ln(greatest(abs(reward) / (1 + abs(reward)), 1.0::DOUBLE / 9)) AS v FROM s)
+SELECT env_id, step, round(coalesce(v - lag(v) OVER (PARTITION BY env_id ORDER BY step), 0.0), 5) + 0.0::DOUBLE AS reward FROM v
+""")
+def information_gain_steps(spark, sf_dir):
+    p = F.abs("reward") / (1 + F.abs("reward"))
+    rows = _steps(spark, sf_dir).select(F.col("env_id").alias("episode"), "step", p.alias("p_gold"), F.lit(False).alias("is_final"), F.lit(0.0).alias("exact_share"))
+    return rewards.information_gain(rows, n_samples=8).select(F.col("episode").alias("env_id"), "step", (F.round("reward", 5) + F.lit(0.0)).alias("reward"))
+
+
+@query(_TURNS + """
+, u AS (SELECT conv_id, turn, upper(pred) AS u, regexp_replace(string_split_regex(trim(upper(pred)), '[ \\t\\n\\r]+')[1], '[^A-Z]', '', 'g') AS w FROM t)
+SELECT conv_id, turn, CAST(CASE WHEN w = 'YES' THEN 1 WHEN w = 'NO' THEN 0 WHEN strpos(u, 'YES') > 0 THEN 1 WHEN strpos(u, 'NO') > 0 THEN 0 END AS INTEGER) AS yes_no FROM u
+WHERE w = 'YES' OR w = 'NO' OR strpos(u, 'YES') > 0 OR strpos(u, 'NO') > 0
+""")
+def yes_no_parse(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", text.yes_no(F.col("pred")).alias("yes_no")).where("yes_no IS NOT NULL")
+
+
+@query(_TURNS + """
+SELECT conv_id, turn, pred AS last_search, gold AS answer FROM (
+  SELECT conv_id, turn, regexp_replace(pred, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') AS pred, regexp_replace(gold, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') AS gold FROM t)
+""")
+def agent_tags(spark, sf_dir):
+    """Tags around the turns are parsed back: the last search, the first answer."""
+    t = _turns(spark, sf_dir)
+    reply = F.concat(F.lit("<search>old</search> <search> "), "pred", F.lit("</search><answer>"), "gold", F.lit(" </answer><answer>late</answer>"))
+    return t.select("conv_id", "turn", text.last_search(reply).alias("last_search"), text.tagged_answer(reply).alias("answer"))
+
+
+@query(_TURNS + "SELECT conv_id, turn, pred || chr(10) || 'A) ' || role || chr(10) || 'B) ' || gold AS prompt FROM t")
+def options_query(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return t.select("conv_id", "turn", F.concat("pred", text.letters(F.array("role", "gold"))).alias("prompt"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || replace(format('{:,}', CAST(o_custkey AS BIGINT)), ',', '') AS answers FROM orders")
+def number_answers(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    solution = F.concat(F.lit("so #### "), F.format_number("o_custkey", 0), F.lit(" #### 7"))
+    two_step = F.concat(F.lit("<think>1</think> Final Answer: "), F.format_number("o_orderkey", 0), F.lit("."))
+    return o.select("o_orderkey", F.concat(text.two_step_answer(two_step), text.gsm_answer(solution)).alias("answers"))
+
+
+@query(_PAIR.replace(", lambda w: w NOT IN ('a', 'an', 'the'))", ", lambda w: w <> '')").replace("translate(lower(pred)", "translate(regexp_replace(' ' || regexp_replace(lower(pred), '[ \\t\\n\\r]+', '  ', 'g') || ' ', '([^a-z0-9_\\x80-\\x{10FFFF}])(a|an|the)([^a-z0-9_\\x80-\\x{10FFFF}])', '\\1 \\3', 'g')").replace("translate(lower(gold)", "translate(regexp_replace(' ' || regexp_replace(lower(gold), '[ \\t\\n\\r]+', '  ', 'g') || ' ', '([^a-z0-9_\\x80-\\x{10FFFF}])(a|an|the)([^a-z0-9_\\x80-\\x{10FFFF}])', '\\1 \\3', 'g')") + """
+SELECT conv_id, turn, round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN same = 0 THEN 0.0
+    ELSE 2 * (same::DOUBLE / len(p)) * (same::DOUBLE / len(g)) / (same::DOUBLE / len(p) + same::DOUBLE / len(g)) END, 6) AS f1 FROM o
+""")
+def token_f1_articles_first(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return t.select("conv_id", "turn", F.round(metrics.token_f1_articles_first(F.col("pred"), F.col("gold")), 6).alias("f1"))
+
+
+@query("""
+SELECT event_id, round(CASE WHEN event_id < 100 THEN event_id / 100.0::DOUBLE ELSE 0.1 + 0.9 * 0.5 * (1 + cos(least(1.0::DOUBLE, (event_id - 100) / 9900.0::DOUBLE) * pi())) END, 6) AS warm,
+  round(1.0 + (0.2 - 1.0) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, event_id / 5000.0::DOUBLE)), 6) AS anneal FROM events
+""")
+def schedules(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    step = F.col("event_id")
+    return e.select("event_id", F.round(vectors.cosine_warmup(step, 100, 10000, 0.1), 6).alias("warm"), F.round(vectors.linear_anneal(step, 1.0, 0.2, 5000), 6).alias("anneal"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT t.vec_id, round(list_sum(list_transform(list_zip(t.e, s.e), lambda z: z[1] * 0.9 + z[2] * 0.1)), 5) AS total FROM v t JOIN v s ON s.vec_id = t.vec_id + 1
+""")
+def soft_update(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    s = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("s"))
+    return e.join(s, "vec_id").select("vec_id", F.round(vectors.total(vectors.soft_update(F.col("e"), F.col("s"), 0.1)), 5).alias("total"))
+
+
+@query("""
+SELECT event_type AS feedback, count(*) AS n, round(avg(round(value, 2)), 6) AS mean, round(min(round(value, 2)), 6) AS min, round(max(round(value, 2)), 6) AS max
+FROM events WHERE value >= 0 AND user_id % 2 = 1 GROUP BY event_type
+""")
+def reward_timing(spark, sf_dir):
+    """Events as lines of a timing log, those of odd users marked final."""
+    e = table(spark, sf_dir, "events").where("value >= 0")
+    final = F.when(F.col("user_id") % 2 == 1, "True").otherwise("False")
+    line = F.concat(F.lit("log reward_ms="), F.round("value", 2).cast("decimal(18,2)").cast("string"), F.lit(" feedback="), "event_type", F.lit(" is_final="), final, F.lit(" reward=1.0"))
+    rows = aggregates.timing_summary(aggregates.timing_rows(e.select(line.alias("value"), F.col("event_id").alias("_pos"))))
+    return rows.select("feedback", "n", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max")])
+
+
+@query("SELECT 'customer' AS source, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS nations, 0 AS priorities FROM customer UNION ALL SELECT 'orders', count(*), 0, count(DISTINCT o_orderpriority) FROM orders")
+def labelled_union(spark, sf_dir):
+    from hopsmith.operators.adapt import labelled_union as union
+
+    rows = union({"customer": table(spark, sf_dir, "customer").select("c_nationkey"), "orders": table(spark, sf_dir, "orders").select("o_orderpriority")})
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum("c_nationkey"), F.lit(0)).alias("nations"), F.count_distinct("o_orderpriority").alias("priorities"))
+
+
+@query("SELECT l_returnflag AS type, l_linestatus AS source, count(*) AS n, round(avg(l_quantity), 6) AS quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 40 GROUP BY 1, 2")
+def token_window(spark, sf_dir):
+    from hopsmith.sources.readers import token_window as window
+
+    rows = window(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), 10, 40)
+    return rows.groupBy(F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("source")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("quantity"))
+
+
+@query("""
+SELECT id, CAST(min(p) AS BIGINT) AS _pos, count(*) - 1 AS repeats FROM (SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderkey AS p FROM orders) GROUP BY id
+""")
+def ordered_distinct(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("_pos"))
+    return aggregates.ordered_distinct(rows)
+
+
+@query("""
+WITH g AS (SELECT o_custkey AS id, max(o_totalprice) AS em FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT round(sum(coalesce(g.em, 0)) / count(*), 4) AS em FROM customer c LEFT JOIN g ON g.id = c.c_custkey
+""")
+def prediction_against_gold(spark, sf_dir):
+    pred = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("em"))
+    return aggregates.answer_scores(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), pred, ["em"]).select(F.round("em", 4).alias("em"))
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    """Sentences of every document; see the tests for its rules."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences("text")).alias("n_sentences"))
+
+
+@query()
+def shifting_query_episode(spark, sf_dir):
+    """Three greedy steps whose query moves towards what is selected."""
+    from hopsmith.operators import episodes
+
+    queries, chunks = _vectors(spark, sf_dir)
+    listed = chunks.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("vector").cast("array<double>").alias("v")))).alias("c"))
+    rows = queries.join(listed, "sample_id").select(F.col("sample_id").cast("string").alias("id"), F.transform("query", lambda x: x.cast("double")).alias("query"), F.transform("c", lambda x: x["chunk_idx"].cast("string")).alias("chunks"), F.col("c.v").alias("vectors"))
+    done = episodes.greedy_episode(rows, episodes.shifting_scores(0.5), 3)
+    return done.select("id", F.transform("selected", lambda i: F.get("chunks", i)).alias("taken"), F.transform("q_values", lambda q: F.round(q, 6)).alias("q_values"))

@@ -84,7 +84,7 @@ def test_sweep_and_area(spark):
 
 
 def test_timing(spark):
-    rows = [(0, "x qrag.reward_ms=12.5 feedback=em is_final=True reward=1.0"), (1, "noise"), (2, "qrag.reward_ms=2.5 feedback=em is_final=False reward=0.0")]
+    rows = [(0, "x step.reward_ms=12.5 feedback=em is_final=True reward=1.0"), (1, "noise"), (2, "step.reward_ms=2.5 feedback=em is_final=False reward=0.0")]
     t = aggregates.timing_rows(spark.createDataFrame(rows, "_pos int, value string"))
     assert aggregates.timing_summary(t).first()[1:3] == (1, 12.5) and aggregates.timing_summary(t, final_only=False).first().n == 2
 
