@@ -18,6 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The tokens around each section of an answerability model's reply.
+SECTIONS = {
+    "query_analysis": (None, "<|query_analysis_end|>"),
+    "source_analysis": ("<|source_analysis_start|>", "<|source_analysis_end|>"),
+    "reasoning": ("<|reasoning_start|>", "<|reasoning_end|>"),
+    "status": ("<|status_start|>", "<|status_end|>"),
+    "answer": ("<|answer_start|>", "<|answer_end|>"),
+}
+
+
 class Backend(Protocol):
     def generate(self, messages: list, n: int) -> list[list[str]]: ...
 
@@ -136,5 +146,4 @@ def answer_status(generation: Column) -> Column:
     """Sections of an answerability model's reply."""
     from hopsmith.functions.text import section
 
-    names = ("query_analysis", "evidence", "reasoning", "status", "answer")
-    return F.struct(*[section(generation, f"<{n}>", f"</{n}>", at_start=n == "query_analysis").alias(n) for n in names])
+    return F.struct(*[section(generation, start, end).alias(name) for name, (start, end) in SECTIONS.items()])

@@ -1,7 +1,7 @@
 """Chat messages as array<struct<role, content>> columns.
 
-System texts are parameters: they belong to the model that is asked. The
-defaults are this package's own; the ways in which contexts are joined are fixed.
+System texts are parameters with fixed defaults; so are the ways in which contexts
+are joined, which differ by builder.
 """
 
 from __future__ import annotations
@@ -14,17 +14,47 @@ from hopsmith.functions.text import SEPARATOR, stripped
 # How each builder joins its passages.
 JOINS = {"reader": "\n\n---\n\n", "passages": "\n\n", "documents": "\n", "facts": " ", "chat": "\n"}
 
-#: Our own short instructions by task; replace them with those a model was tuned for.
+# The instructions by task, which replies and scores depend on.
+QA = """You are a precise question answering assistant.
+Answer questions based on the relevant information within the provided context and ignore misleading text.
+Keep your reasoning brief. Make your final answer as short as possible.
+ALWAYS give your final answer after the words "Final Answer:"."""
+GSM8K = """You are a precise solver of simple math problems.
+Keep your reasoning very brief and concise.
+Do not use scientific notation for your final answer.
+Always end your response with "Final Answer: [your final answer]"."""
+MATH = r"""You are a precise solver of math problems.
+Keep your reasoning brief. Use LaTeX for mathematical operations and simplify the result.
+Give the final answer in the format "\\boxed{final_answer}"."""
+HELLASWAG = """Select the option that most logically follows from the context.
+The entire final answer must be a single letter: A, B, C, or D."""
+XLSUM = """Write a concise abstractive summary of the news article.
+Usually use one sentence and return only the summary."""
+MMLU_PRO = """Solve the professional-level multiple-choice question.
+The entire final answer must be a single letter from A to J."""
+INFORMATION_GAIN = """You are a precise question answering assistant used to estimate information gain.
+Answer questions based ONLY on the relevant information within the provided context and ignore misleading text.
+Make your final answer as short as possible.
+Give me your short and precise final answer
+"""
+UNCERTAINTY = """You are a precise question answering assistant.
+Answer questions based ONLY on the relevant information within the provided context and ignore misleading text.
+Make your final answer as short as possible.
+Give me your short and precise final answer
+"""
+FACTOID = """You are a factoid question answering system.
+Return only the answer itself.
+The answer must be a single entity, number, date, yes/no, or short phrase.
+No explanations, no reasoning, no extra text.
+Do not write labels such as 'Final answer:' or 'Answer:'."""
+CONCISE = "You are a helpful assistant. Answer concisely."
+STORY = "Your are an AI assistant, your job is to answer questions given to you by the user."
 SYSTEM = {
-    **dict.fromkeys(["HotPotQA", "Musique", "2WikiMultihopQA", "HotPotQA+2WikiMultihopQA", "NQ+HotPotQA"], "Answer from the given passages. End with Final Answer: and the answer."),
-    "GSM8K": "Solve the problem briefly. End with Final Answer: and the number.",
-    "MATH": "Solve the problem. Give the simplified result in \\boxed{}.",
-    "HellaSwag": "Reply with the letter of the best ending.",
-    "XL-Sum": "Summarise the article in one sentence.",
-    "MMLU-Pro": "Reply with the letter of the right option.",
-    "SSIG": "Answer from the given context only, as briefly as possible.",
-    "SEP": "Answer from the given context only, as briefly as possible.",
-}
+    "HotPotQA": QA, "Musique": QA, "2WikiMultihopQA": QA, "HotPotQA+2WikiMultihopQA": QA, "NQ+HotPotQA": QA, "GSM8K": GSM8K, "MATH": MATH,
+    "HellaSwag": HELLASWAG, "XL-Sum": XLSUM, "MMLU-Pro": MMLU_PRO, "SSIG": INFORMATION_GAIN, "SEP": UNCERTAINTY,
+}
+BY_DOCUMENTS = "Answer the question based on the given document. Only give me the answer and do not output any other words.\nThe following are given documents.\n"
+BY_KNOWLEDGE = "Answer the question based on your own knowledge. Only give me the answer and do not output any other words.\n"
 
 
 def system_text(task: Column, texts: dict[str, str] | None = None) -> Column:
@@ -51,11 +81,11 @@ def filled(template: str, **columns: Column) -> Column:
 SHORT_ANSWER = "GIVEN PASSAGES:\n{context}\n\nQUESTION:\n{question}\n\nReturn only the short answer."
 
 
-def short_answer_messages(question: Column, context: Column, system: str = SYSTEM["HotPotQA"]) -> Column:
+def short_answer_messages(question: Column, context: Column, system: str = FACTOID) -> Column:
     return messages(system, filled(SHORT_ANSWER, context=context, question=question))
 
 
-def reader_messages(question: Column, chunks: Column, system: str = SYSTEM["HotPotQA"]) -> Column:
+def reader_messages(question: Column, chunks: Column, system: str = FACTOID) -> Column:
     return messages(system, filled("\n" + SHORT_ANSWER, context=F.array_join(chunks, JOINS["reader"]), question=question))
 
 
@@ -65,12 +95,13 @@ def passage_messages(question: Column, chunks: Column, system: str = SYSTEM["Hot
     return messages(system, F.when(F.size(chunks) > 0, given).otherwise(asked))
 
 
-def document_messages(question: Column, chunks: Column, system: str = SYSTEM["SSIG"]) -> Column:
-    given = F.concat(F.array_join(chunks, JOINS["documents"]), F.lit("\nQuestion: "), question)
-    return messages(system, F.when(F.size(chunks) > 0, given).otherwise(F.concat(F.lit("Question: "), question)))
+def document_messages(question: Column, chunks: Column, system: str = CONCISE) -> Column:
+    asked = F.concat(F.lit("Question: "), question)
+    given = F.concat(F.lit(BY_DOCUMENTS), F.array_join(chunks, JOINS["documents"]), F.lit("\n"), asked)
+    return messages(system, F.when(F.size(chunks) > 0, given).otherwise(F.concat(F.lit(BY_KNOWLEDGE), asked)))
 
 
-def story_messages(question: Column, facts: Column, template: str, system: str = SYSTEM["SEP"]) -> Column:
+def story_messages(question: Column, facts: Column, template: str, system: str = STORY) -> Column:
     return messages(system, stripped(filled(template, context=F.array_join(facts, JOINS["facts"]), question=question)))
 
 

@@ -131,10 +131,10 @@ def tagged_answer(c: Column) -> Column:
     return F.coalesce(stripped(tagged), F.try_element_at(lines, F.lit(-1)), F.lit(""))
 
 
-def section(c: Column, start: str, end: str, at_start: bool = False) -> Column:
-    """The last text between two tokens (from the very start if asked), or null."""
-    begin = f"^.*?{re.escape(start)}" if at_start else re.escape(start)
-    return stripped(F.try_element_at(F.regexp_extract_all(c, F.lit(f"(?s){begin}(.*?){re.escape(end)}"), 1), F.lit(-1)))
+def section(c: Column, start: str | None, end: str) -> Column:
+    """The last text from one token (None: the very start) to another or to the end, or null."""
+    begin = r"\A" if start is None else re.escape(start)
+    return stripped(F.try_element_at(F.regexp_extract_all(c, F.lit(rf"(?s){begin}(.*?)(?:{re.escape(end)}|\z)"), 1), F.lit(-1)))
 
 
 def gsm_answer(c: Column) -> Column:

@@ -161,19 +161,22 @@ def absolute_positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def cosine_warmup(step: Column, warmup: int, steps: int, least: float = 0.0) -> Column:
-    """Linear rise, then half a cosine down to ``least``."""
-    part = F.least(F.lit(1.0), (step - warmup) / float(max(1, steps - warmup)))
-    return F.when(step < warmup, step / float(max(1, warmup))).otherwise(least + (1 - least) * 0.5 * (1 + F.cos(part * math.pi)))
+def cosine_warmup(step: Column, warmup: int, steps: int, ratio: float = 0.1) -> Column:
+    """Linear rise to 1, then a quarter of a cosine down to ``ratio``."""
+    part = (step - warmup) / float(steps - warmup)
+    return F.when(step < warmup, step / float(max(1, warmup))).otherwise(ratio + (1 - ratio) * F.cos(part * (math.pi / 2)))
 
 
-def linear_warmup(step: Column, warmup: int) -> Column:
-    return F.least(F.lit(1.0), step / float(max(1, warmup)))
+def linear_warmup(step: Column, warmup: int, steps: int, ratio: float) -> Column:
+    """Rises to 1 - ``ratio``, then falls from 1 in a line that meets ``ratio`` at ``steps``."""
+    fall = 1 + (ratio - 1) * (step - warmup) / float(max(1, steps - warmup))
+    return F.when(step < warmup, (1 - ratio) * step / float(max(1, warmup))).otherwise(F.greatest(F.lit(0.0), fall))
 
 
-def linear_anneal(step: Column, start: float, end: float, steps: int) -> Column:
-    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), step / float(max(1, steps))))
-    return start + (end - start) * part
+def linear_anneal(step: Column, start: float, end: float, steps: int, warmup: int = 0) -> Column:
+    """``start`` up to ``warmup``, ``end`` after ``steps``, a line between them."""
+    line = start + (end - start) * (step - warmup) / float(max(1, steps - warmup))
+    return F.when(step <= warmup, F.lit(float(start))).when(step > steps, F.lit(float(end))).otherwise(line)
 
 
 def prompt_logprob(tokens: Column, from_token: Column, strict: bool = True) -> Column:

@@ -718,13 +718,14 @@ def token_f1_articles_first(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, round(CASE WHEN event_id < 100 THEN event_id / 100.0::DOUBLE ELSE 0.1 + 0.9 * 0.5 * (1 + cos(least(1.0::DOUBLE, (event_id - 100) / 9900.0::DOUBLE) * pi())) END, 6) AS warm,
-  round(1.0 + (0.2 - 1.0) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, event_id / 5000.0::DOUBLE)), 6) AS anneal FROM events
+SELECT event_id, round(CASE WHEN event_id < 100 THEN event_id / 100.0::DOUBLE ELSE 0.1 + 0.9 * cos((event_id - 100) / 99900.0::DOUBLE * pi() / 2) END, 6) AS warm,
+  round(CASE WHEN event_id <= 50 THEN 1.0::DOUBLE WHEN event_id > 5000 THEN 0.2::DOUBLE ELSE 1.0 + (0.2 - 1.0) * (event_id - 50) / 4950.0::DOUBLE END, 6) AS anneal,
+  round(CASE WHEN event_id < 100 THEN 0.9 * event_id / 100.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - 0.9 * (event_id - 100) / 9900.0::DOUBLE) END, 6) AS linear FROM events
 """)
 def schedules(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     step = F.col("event_id")
-    return e.select("event_id", F.round(vectors.cosine_warmup(step, 100, 10000, 0.1), 6).alias("warm"), F.round(vectors.linear_anneal(step, 1.0, 0.2, 5000), 6).alias("anneal"))
+    return e.select("event_id", F.round(vectors.cosine_warmup(step, 100, 100000, 0.1), 6).alias("warm"), F.round(vectors.linear_anneal(step, 1.0, 0.2, 5000, 50), 6).alias("anneal"), F.round(vectors.linear_warmup(step, 100, 10000, 0.1), 6).alias("linear"))
 
 
 @query("""

@@ -99,13 +99,36 @@ def token_window(df: DataFrame, n_tokens: Column, least: int | None, most: int |
     return df if most is None else df.where(n_tokens <= most)
 
 
-def multihop_split(spark: SparkSession, folder: str, split: str, length: int | None = None, least: int | None = None, most: int | None = None, seed: int = 52) -> DataFrame:
-    """train, eval, all (eval, then train), fullwiki_eval, or train-clean (lines)."""
-    files = {"train": ["train.json"], "eval": ["dev_distractor.json"], "all": ["dev_distractor.json", "train.json"], "fullwiki_eval": ["dev_fullwiki.json"]}
+# File names of the public data sets, and of cleaned training files.
+HOTPOT_FILES = {
+    "train": ["hotpot_train_v1.1.json"],
+    "eval": ["hotpot_dev_distractor_v1.json"],
+    "all": ["hotpot_dev_distractor_v1.json", "hotpot_train_v1.1.json"],
+    "fullwiki_eval": ["hotpot_dev_fullwiki_v1.json"],
+}
+HOTPOT_CLEAN = ["hotpot_candidate_train_q0_s1.jsonl", "hotpot_train_candidates_q0_s1.jsonl"]
+TWO_WIKI_FILES = {"train": "train.json", "dev": "dev.json", "test": "test.json"}
+TWO_WIKI_CLEAN = ["2wiki_candidate_train_q0_s1.jsonl", "train_candidates_q0_s1.jsonl"]
+
+
+def first_existing(spark: SparkSession, path: str, names: list[str]) -> str:
+    """``path`` if it is a file, else the first of the named files that is there (the
+    first name if none is). Works on any store that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(path)) and fs.getFileStatus(hadoop(path)).isFile():
+        return path
+    there = [f"{path}/{n}" for n in names if fs.exists(hadoop(f"{path}/{n}"))]
+    return (there or [f"{path}/{names[0]}"])[0]
+
+
+def multihop_split(spark: SparkSession, folder: str, split: str, length: int | None = None, least: int | None = None, most: int | None = None, seed: int = 52, clean: str | None = None) -> DataFrame:
+    """train, eval, all (eval, then train), fullwiki_eval, or train-clean (lines; the
+    token bounds don't apply)."""
     if split == "train-clean":
-        rows = multihop(spark, folder if folder.endswith(".jsonl") else f"{folder}/train_clean.jsonl")
-    elif split in files:
-        parts = [multihop(spark, f"{folder}/{f}", array=True).withColumn("_file", F.lit(i)) for i, f in enumerate(files[split])]
+        rows = multihop(spark, first_existing(spark, folder, [clean, *HOTPOT_CLEAN] if clean else HOTPOT_CLEAN))
+    elif split in HOTPOT_FILES:
+        parts = [multihop(spark, f"{folder}/{f}", array=True).withColumn("_file", F.lit(i)) for i, f in enumerate(HOTPOT_FILES[split])]
         text = F.concat_ws(" ", "question", F.array_join(F.flatten(F.transform("context", lambda c: c["sentences"])), " "))
         rows = token_window(reduce(DataFrame.unionByName, parts), T.word_count(text), least, most)
     else:
@@ -123,11 +146,13 @@ def is_bridge_comparison(c: Column) -> Column:
     return F.lower(F.translate(c, "-_", "  ")) == "bridge comparison"
 
 
-def two_wiki_split(spark: SparkSession, folder: str, split: str, skip_bridge: bool = True, length: int = 0, seed: int = 100) -> DataFrame:
-    files = {"train": "train.json", "dev": "dev.json", "test": "test.json", "train-clean": "train_clean.jsonl"}
-    if split not in files:
+def two_wiki_split(spark: SparkSession, folder: str, split: str, skip_bridge: bool = True, length: int = 0, seed: int = 100, clean: str | None = None) -> DataFrame:
+    if split == "train-clean":
+        rows = multihop(spark, first_existing(spark, folder, [clean, *TWO_WIKI_CLEAN] if clean else TWO_WIKI_CLEAN))
+    elif split in TWO_WIKI_FILES:
+        rows = multihop(spark, f"{folder}/{TWO_WIKI_FILES[split]}", array=True)
+    else:
         raise ValueError(f"unknown split: {split}")
-    rows = multihop(spark, f"{folder}/{files[split]}", array=files[split].endswith(".json"))
     rows = without_bridge_comparison(rows) if skip_bridge else rows
     return first_rows(rows, length if length > 0 else None, *hash_order(seed, "_id"))
 
@@ -274,7 +299,7 @@ def originals(parts: list[DataFrame]) -> DataFrame:
 
 
 # Spellings of data-set names.
-ALIASES = {"hotpot": "hotpotqa", "hotpotqa": "hotpotqa", "2wiki": "2wikimultihopqa", "twowiki": "2wikimultihopqa", "2wikimultihopqa": "2wikimultihopqa"}
+ALIASES = {"hotpot": "hotpotqa", "hotpotqa": "hotpotqa", "2wiki": "2wiki", "twowiki": "2wiki", "2wikimultihopqa": "2wiki", "all": "all"}
 
 
 def dataset_name(name: str) -> str:
@@ -283,6 +308,28 @@ def dataset_name(name: str) -> str:
     return ALIASES[name.lower()]
 
 
+def success_samples(spark: SparkSession, folder: str, dataset: str, split: str, keep_nonstandard: bool = False, skip_bridge: bool = True, limit: int = 0) -> DataFrame:
+    """Samples for a success-rate run, each with the split of the file it is from; Hotpot
+    samples without exactly 10 chunks and 2 supports go unless kept. ``all``: both sets."""
+    from hopsmith.operators.adapt import multihop as adapted
+    from hopsmith.operators.filters import standard_shape
+
+    name = dataset_name(dataset)
+    if name == "all":
+        both = [success_samples(spark, f"{folder}/{d}", d, split, keep_nonstandard, skip_bridge, limit) for d in ("hotpotqa", "2wiki")]
+        return both[0].unionByName(both[1])
+    files = HOTPOT_FILES[{"dev": "eval"}.get(split, split)] if name == "hotpotqa" else [TWO_WIKI_FILES[split]]
+    parts = []
+    for f in files:
+        rows = multihop(spark, f"{folder}/{f}", array=True)
+        rows = without_bridge_comparison(rows) if name == "2wiki" and skip_bridge else rows
+        kind = f.removesuffix(".json") if name == "2wiki" else "fullwiki_dev" if "fullwiki" in f else "train" if "train" in f else "dev"
+        parts.append(adapted(rows, name).withColumn("split", F.lit(kind)))
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = standard_shape(rows) if name == "hotpotqa" and not keep_nonstandard else rows
+    return rows.limit(limit) if limit > 0 else rows
+
+
 def question_rows(df: DataFrame, kind: str) -> DataFrame:
     """id, question, answer of raw records; the 2wiki kind loses bridge comparisons."""
     df = without_bridge_comparison(df) if kind == "2wiki" else df

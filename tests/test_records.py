@@ -133,3 +133,45 @@ def test_labelled_union_and_round_robin(spark):
     assert sorted((r.v, r.source) for r in adapt.labelled_union({"A": a, "B": b}).collect()) == [("p", "B"), ("x", "A"), ("y", "A")]
     got = [r.v for r in adapt.round_robin({"A": a, "B": b}, 6, {"A": 2}).orderBy("turn").collect()]
     assert got == ["x", "y", "p", "x", "y", "p"]
+
+
+def test_split_files(spark, tmp_path):
+    rows = [{k: RAW[k] for k in ("_id", "question", "answer", "supporting_facts", "context")} | {"_id": str(i), "type": t} for i, t in enumerate(["bridge_comparison", "comparison", "x"])]
+    (tmp_path / "hotpot_train_v1.1.json").write_text(json.dumps(rows[:2]))
+    (tmp_path / "hotpot_dev_distractor_v1.json").write_text(json.dumps(rows[2:]))
+    (tmp_path / "dev.json").write_text(json.dumps(rows))
+    lines(tmp_path / "hotpot_train_candidates_q0_s1.jsonl", rows[:1])
+    ids = lambda df: sorted(r[0] for r in df.select("_id").collect())
+    folder = str(tmp_path)
+    assert ids(readers.multihop_split(spark, folder, "all")) == ["0", "1", "2"] and ids(readers.multihop_split(spark, folder, "eval")) == ["2"]
+    assert ids(readers.multihop_split(spark, folder, "train-clean")) == ["0"]
+    assert len(ids(readers.multihop_split(spark, folder, "all", length=2))) == 2 and ids(readers.multihop_split(spark, folder, "all", least=100)) == []
+    assert ids(readers.two_wiki_split(spark, folder, "dev")) == ["1", "2"] and len(ids(readers.two_wiki_split(spark, folder, "dev", False, 2))) == 2
+    with pytest.raises(ValueError):
+        readers.multihop_split(spark, folder, "validation")
+    got = readers.success_samples(spark, folder, "hotpot", "all", keep_nonstandard=True).collect()
+    assert sorted((r.id, r.split) for r in got) == [("0", "train"), ("1", "train"), ("2", "dev")]
+    assert readers.success_samples(spark, folder, "hotpot", "all").count() == 0 and readers.success_samples(spark, folder, "TwoWiki", "dev").first().split == "dev"
+
+
+def test_success_summary_columns(spark):
+    from hopsmith import schemas
+
+    row = {"id": "1", "chunks": ["a", "b"], "sf_idx": [1], "noise_idx": [0], "chunk_count": 2, "sf_count": 1, "question_only": {"judgements": [1, -1]}, "with_support_facts": None, "with_support_facts_success_rate": 1.0}
+    df = spark.createDataFrame([(json.dumps(row),)], "j string").select(F.from_json("j", schemas.SUCCESS_RATE).alias("r")).select("r.*")
+    short, full = writers.success_summary(df), writers.success_summary(df, full=True)
+    assert len(short.columns) == 16 and len(full.columns) == 21 and full.columns[-1] == "supporting_facts_text"
+    got = full.first()
+    assert (got.delta_success_rate, got.question_only_correct, got.question_only_failed_judge, got.with_support_facts_total, got.supporting_facts_text, got.noise_idx) == (1.0, 1, 1, 0, "b", "0")
+
+
+def test_prompts(spark):
+    from hopsmith.functions import prompts
+
+    df = spark.createDataFrame([("q", ["c", "d"]), ("q", [])], "q string, c array<string>")
+    got = df.select(prompts.document_messages(F.col("q"), F.col("c")).alias("d"), prompts.passage_messages(F.col("q"), F.col("c")).alias("p"), prompts.reader_messages(F.col("q"), F.col("c")).alias("r"), prompts.system_text(F.lit("GSM8K")).alias("s")).collect()
+    assert got[0].d[1].content.endswith("documents.\nc\nd\nQuestion: q") and got[1].d[1].content.endswith("words.\nQuestion: q")
+    assert got[0].p[1].content == "Below are passages you should use:\n\nc\n\nd\n\nQuestion: q" and got[1].p[1].content == "Question: q"
+    assert got[0].r[1].content == "\nGIVEN PASSAGES:\nc\n\n---\n\nd\n\nQUESTION:\nq\n\nReturn only the short answer." and got[0].s.startswith("You are a precise solver of simple")
+    parts = spark.createDataFrame([(["a\n #||# b\n #||# c", "none"],)], "e array<string>").select(prompts.prepared_examples(F.col("e"))).first()[0]
+    assert [(p.question, p.answer) for p in parts] == [("a", "b\n #||# c")]

@@ -41,7 +41,8 @@ def test_yes_no_and_lists(spark):
 def test_tags(spark):
     assert one(spark, T.last_search, "<search>a</search> <search> b\n</search>", "none", "<search></search>") == ["b", None, ""]
     assert one(spark, T.tagged_answer, "<answer> x </answer><answer>y</answer>", "p\n q \n\n", "<answer></answer>", " ") == ["x", "q", "", ""]
-    assert one(spark, lambda c: T.section(c, "<s>", "</s>"), "<s>a</s><s>b</s>", "n") == ["b", None]
+    assert one(spark, lambda c: T.section(c, "<s>", "</s>"), "<s>a</s><s>b</s>", "n", "<s> open") == ["b", None, "open"]
+    assert one(spark, lambda c: T.section(c, None, "<e>"), "a<e>b<e>", "") == ["a", ""]
 
 
 def test_numbers(spark):
