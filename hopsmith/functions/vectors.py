@@ -102,11 +102,19 @@ def hash_uniform(seed: Column | int, *keys: Column) -> Column:
 
 
 def soft_value(logits: Column, available: Column, alpha: float, k: int = 5) -> Column:
-    """alpha * log(sum(exp(logit / alpha))) over the top ``k`` available, sum at least 1e-10."""
-    kept = top_k(logits, available, k)
-    values = F.transform(kept, lambda i: F.get(logits, i))
-    most = F.array_max(values)
-    return most + alpha * F.log(F.greatest(total(F.transform(values, lambda x: F.exp((x - most) / alpha))), F.lit(1e-10)))
+    """alpha * log(sum(exp(logit / alpha))) over those of the ``k`` largest logits that are
+    available; relative to the largest logit of all, the sum is at least 1e-10."""
+    every = F.transform(logits, lambda _: F.lit(True))
+    kept = F.filter(top_k(logits, every, k), lambda i: F.get(available, i))
+    most = F.array_max(logits)
+    return most + alpha * F.log(F.greatest(total(F.transform(kept, lambda i: F.exp((F.get(logits, i) - most) / alpha))), F.lit(1e-10)))
+
+
+def soft_twin_values(state: Column, actions: Column, available: Column, alpha: float, k: int = 5) -> Column:
+    """struct(v1, v2): soft values of the halves' inner products with each action."""
+    (s1, s2) = halves(state)
+    q1, q2 = F.transform(actions, lambda a: dot(s1, halves(a)[0])), F.transform(actions, lambda a: dot(s2, halves(a)[1]))
+    return F.struct(soft_value(q1, available, alpha, k).alias("v1"), soft_value(q2, available, alpha, k).alias("v2"))
 
 
 def lambda_returns(steps: Column, gamma: float, lam: float) -> Column:

@@ -92,10 +92,10 @@ def metric_reward(metric: Column, threshold: float = 1.0) -> Column:
     return F.struct(metric.alias("reward"), (metric >= threshold).alias("completed"))
 
 
-def information_gain(steps: DataFrame, mode: str = "golden_class", n_samples: int = 8, em_weight: float = 0.0) -> DataFrame:
+def information_gain(steps: DataFrame, mode: str = "golden_class", n_samples: int = 8, em_weight: float = 0.0, scale: float = 1.0) -> DataFrame:
     """``reward`` and ``completed`` from p_gold or entropy of each step's answer clusters
     (step 0: empty context): the gain in log p of the gold cluster, with floor
-    1 / (n_samples + 1), or the drop in entropy; at the end more for a majority of exact answers."""
+    1 / (n_samples + 1), or the drop in entropy, times ``scale``; at the end more for a majority of exact answers."""
     if mode == "golden_class":
         value = F.log(F.greatest("p_gold", F.lit(1.0 / (n_samples + 1))))
         done = F.col("p_gold") > 0.8
@@ -103,7 +103,7 @@ def information_gain(steps: DataFrame, mode: str = "golden_class", n_samples: in
         value, done = -F.col("entropy"), F.col("entropy") < 0.1
     rows = steps.withColumn("_v", value).withColumn("_before", F.lag("_v").over(_by_step()))
     bonus = F.when(F.col("is_final") & (F.col("exact_share") > 0.5), F.lit(em_weight)).otherwise(0.0)
-    return rows.withColumns({"reward": F.coalesce(F.col("_v") - F.col("_before"), F.lit(0.0)) + bonus, "completed": done}).drop("_v", "_before")
+    return rows.withColumns({"reward": scale * F.coalesce(F.col("_v") - F.col("_before"), F.lit(0.0)) + bonus, "completed": done}).drop("_v", "_before")
 
 
 def uncertainty(steps: DataFrame, mode: str = "uncertainty_penalty", scale: float = 1.0, threshold: float = 0.5, only_final: bool = False) -> DataFrame:

@@ -78,6 +78,13 @@ def test_policies(spark):
     assert row[4] == pytest.approx(3 + 0.693147, abs=1e-5) and row[5] == 1
 
 
+def test_soft_values_of_halves(spark):
+    kind = "s array<double>, a array<array<double>>, m array<boolean>"
+    df = spark.createDataFrame([([1.0, 2.0], [[1.0, 0.0], [3.0, 1.0]], [True, True]), ([1.0, 2.0], [[1.0, 0.0], [3.0, 1.0]], [True, False]), ([1.0, 0.0], [[1.0, 0.0]], [False])], kind)
+    got = [tuple(r[0]) for r in df.select(V.soft_twin_values(F.col("s"), F.col("a"), F.col("m"), 1.0)).collect()]
+    assert got[0] == pytest.approx((3 + 0.126928, 2 + 0.126928), abs=1e-5) and got[1] == pytest.approx((1, 0)) and got[2][0] == pytest.approx(1 - 23.02585, abs=1e-4)
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0])], "a array<double>, b array<double>")
     row = df.select(V.cosine(F.col("a"), F.col("b")), V.cosine(F.col("a"), F.col("a")), V.norm(V.rotated(F.col("a"), F.lit(2.0))), V.soft_update(F.col("a"), F.col("b"), 0.5), V.relative_positions(F.lit(5), F.array(F.lit(2)))).first()
