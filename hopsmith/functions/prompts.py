@@ -85,6 +85,32 @@ def short_answer_messages(question: Column, context: Column, system: str = FACTO
     return messages(system, filled(SHORT_ANSWER, context=context, question=question))
 
 
+def reward_messages(question: Column, chunks: Column, leading_line: bool, system: str = FACTOID) -> Column:
+    """What a reward scores an answer against. Step and gold-shift rewards begin with an
+    empty line, candidate betas and their reward don't: the two are different scales."""
+    return messages(system, filled("\n" * leading_line + SHORT_ANSWER, context=F.array_join(chunks, JOINS["passages"]), question=question))
+
+
+# The user turns of chat clients.
+CHAT = "CONTEXT:\n{context}\n\nQUESTION:\n{question}\n\nFinal Answer:"
+JUDGED = "QUESTION: {question}\nPREDICTED ANSWER: {prediction}\nGROUNDTRUTH ANSWER: {answer}"
+
+
+def chat_messages(question: Column, passages: Column, system: str = QA) -> Column:
+    return messages(system, filled(CHAT, context=F.array_join(passages, JOINS["chat"]), question=question))
+
+
+def judge_messages(question: Column, prediction: Column, answer: Column, system: str) -> Column:
+    return messages(system, filled(JUDGED, question=question, prediction=prediction, answer=answer))
+
+
+def example_messages(question: Column, examples: Column, system: str = GSM8K) -> Column:
+    """Turns of ``prepared_examples`` before the question."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    shown = F.flatten(F.transform(examples, lambda e: F.array(turn("user", e["question"]), turn("assistant", e["answer"]))))
+    return F.concat(F.array(turn("system", F.lit(system))), shown, F.array(turn("user", question)))
+
+
 def reader_messages(question: Column, chunks: Column, system: str = FACTOID) -> Column:
     return messages(system, filled("\n" + SHORT_ANSWER, context=F.array_join(chunks, JOINS["reader"]), question=question))
 

@@ -114,9 +114,10 @@ def numbered_items(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?m)^\s*\d+[.)]\s*(.+?)\s*$"), 1)
 
 
-def fitted(items: Column, n: int, filler: str = "") -> Column:
+def fitted(items: Column, n: int, filler: Column | str = "") -> Column:
     """Exactly ``n`` items: cut, or filled up."""
-    return F.slice(F.concat(items, F.array_repeat(F.lit(filler), n)), 1, n)
+    filler = F.lit(filler) if isinstance(filler, str) else filler
+    return F.slice(F.concat(items, F.array_repeat(filler, n)), 1, n) if n else F.array().cast("array<string>")
 
 
 def last_search(c: Column) -> Column:

@@ -16,13 +16,25 @@ from hopsmith.operators.joins import merged_candidates
 
 
 def generate(questions: DataFrame, n: int, make=backends.StubBackend, done: DataFrame | None = None) -> DataFrame:
-    """(id, question, answer, candidates, guided_ok): ``n`` candidates a question, from one
-    numbered list or from ``n`` replies."""
+    """(id, question, answer, candidates): ``n`` replies to each question without context."""
     rows = questions if done is None else not_done(questions, done)
     asked = rows.withColumn("messages", prompts.short_answer_messages(F.col("question"), F.lit("")))
-    told = backends.generated(asked, "messages", n, make).drop("messages")
-    cleaned = F.transform("generations", text.strip_answer_label)
-    return told.select("id", "question", "answer", text.fitted(cleaned, n).alias("candidates"), (F.size("generations") == n).alias("guided_ok"))
+    told = backends.generated(asked, "messages", n, make)
+    return told.select("id", "question", "answer", F.col("generations").alias("candidates"))
+
+
+def generate_guided(questions: DataFrame, k_correct: int, k_wrong: int, correct_prompt: str, wrong_prompt: str, make=backends.StubBackend, done: DataFrame | None = None) -> DataFrame:
+    """(id, question, answer, candidates, guided_ok) from two numbered lists, of right and of
+    wrong answers. Prompts have {question} and {answer}. A short list is filled up with the
+    answer or with empty texts, a long one cut; ``guided_ok`` tells that both fitted."""
+    rows = questions if done is None else not_done(questions, done)
+    for name, prompt in (("_right", correct_prompt), ("_wrong", wrong_prompt)):
+        asked = F.array(F.struct(F.lit("user").alias("role"), prompts.filled(prompt, question=F.col("question"), answer=F.col("answer")).alias("content")))
+        rows = backends.generated(rows.withColumn("messages", asked), "messages", 1, make).drop("messages")
+        rows = rows.withColumn(name, text.numbered_items(F.get("generations", F.lit(0)))).drop("generations")
+    right, wrong = text.fitted(F.col("_right"), k_correct, F.col("answer")), text.fitted(F.col("_wrong"), k_wrong)
+    fits = (F.size("_right") == k_correct) & (F.size("_wrong") == k_wrong)
+    return rows.select("id", "question", "answer", F.concat(right, wrong).alias("candidates"), fits.alias("guided_ok"))
 
 
 def judge(candidates: DataFrame, make=backends.StubBackend, done: DataFrame | None = None) -> DataFrame:
@@ -34,9 +46,10 @@ def judge(candidates: DataFrame, make=backends.StubBackend, done: DataFrame | No
 
 
 def beta(judged: DataFrame, make=backends.StubBackend) -> DataFrame:
-    """Adds the gold answer as a correct candidate and every candidate's log-probability
-    without context, minus infinity where scoring failed."""
-    whole = judged.withColumns({"candidates": F.concat("candidates", F.array("answer")), "judgements": F.concat("judgements", F.array(F.lit(1)))})
+    """Candidates without their labels, the gold answer as a correct one more, and the
+    log-probability of each without context, minus infinity where scoring failed."""
+    cleaned = F.transform("candidates", text.strip_answer_label)
+    whole = judged.withColumns({"candidates": F.concat(cleaned, F.array("answer")), "judgements": F.concat("judgements", F.array(F.lit(1)))})
     each = whole.select("id", "question", F.posexplode("candidates").alias("k", "text")).withColumn("messages", prompts.short_answer_messages(F.col("question"), F.lit("")))
     told = backends.text_logp(each, "messages", "text", make).select("id", "k", F.coalesce("logp", F.lit(float("-inf"))).alias("b"))
     betas = told.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "b"))), lambda s: s["b"]).alias("betas"))

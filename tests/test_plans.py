@@ -36,6 +36,17 @@ def test_candidate_plan(spark):
     assert scored.candidates[-1] == "here" and scored.judgements[-1] == 1
 
 
+def test_guided_candidates(spark):
+    class Lists(backends.StubBackend):
+        def generate(self, messages, n):
+            return [["1. yes\n2) also yes" if "right" in m[-1]["content"] else "1. no\n2. never\n3. not"] for m in messages]
+
+    q = spark.createDataFrame([("1", "q?", "gold")], "id string, question string, answer string")
+    got = candidates.generate_guided(q, 3, 2, "right answers to {question}: {answer}", "wrong ones to {question}", Lists).first()
+    assert got.candidates == ["yes", "also yes", "gold", "no", "never"] and not got.guided_ok
+    assert candidates.generate_guided(q, 2, 3, "right {question}", "wrong", Lists).first().guided_ok
+
+
 def test_failed_model_calls(spark):
     class Broken:
         def logp(self, messages, texts):

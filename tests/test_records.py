@@ -173,5 +173,8 @@ def test_prompts(spark):
     assert got[0].d[1].content.endswith("documents.\nc\nd\nQuestion: q") and got[1].d[1].content.endswith("words.\nQuestion: q")
     assert got[0].p[1].content == "Below are passages you should use:\n\nc\n\nd\n\nQuestion: q" and got[1].p[1].content == "Question: q"
     assert got[0].r[1].content == "\nGIVEN PASSAGES:\nc\n\n---\n\nd\n\nQUESTION:\nq\n\nReturn only the short answer." and got[0].s.startswith("You are a precise solver of simple")
+    more = df.select(prompts.reward_messages(F.col("q"), F.col("c"), True).alias("a"), prompts.chat_messages(F.col("q"), F.col("c")).alias("b"), prompts.judge_messages(F.col("q"), F.lit("p"), F.lit("g"), "s").alias("j"), prompts.example_messages(F.col("q"), F.array(F.struct(F.lit("x").alias("question"), F.lit("y").alias("answer")))).alias("e")).first()
+    assert more.a[1].content.startswith("\nGIVEN PASSAGES:\nc\n\nd\n") and more.b[1].content == "CONTEXT:\nc\nd\n\nQUESTION:\nq\n\nFinal Answer:"
+    assert more.j[1].content.endswith("ANSWER: p\nGROUNDTRUTH ANSWER: g") and [m.role for m in more.e] == ["system", "user", "assistant", "user"]
     parts = spark.createDataFrame([(["a\n #||# b\n #||# c", "none"],)], "e array<string>").select(prompts.prepared_examples(F.col("e"))).first()[0]
     assert [(p.question, p.answer) for p in parts] == [("a", "b\n #||# c")]
