@@ -237,11 +237,9 @@ def in_context_split(train: DataFrame, samples: int, examples: int, seed: int, e
         n = train.count()
         if examples + samples > n:
             raise ValueError(f"{examples} examples and {samples} samples of {n} rows")
-        ranked = train.withColumn("_rank", F.row_number().over(Window.orderBy(*hash_order(seed, "_pos"))))
-        shown = ranked.where(F.col("_rank") <= examples).drop("_rank")
-        asked = ranked.where(F.col("_rank") > examples)
-        asked = asked.where(F.col("_rank") <= examples + samples) if samples else asked
-        return asked.drop("_rank"), shown
+        shown = first_rows(train, examples, *hash_order(seed, "_pos"))
+        rest = train.join(shown.select("_pos"), "_pos", "left_anti").select(train.columns)
+        return first_rows(rest, samples or None, *hash_order(seed, "_pos")), shown
     return first_rows(evaluation, samples or None, "_pos"), first_rows(train, examples, *hash_order(seed, "_pos"))
 
 

@@ -49,6 +49,10 @@ def test_stories(spark, tmp_path):
     got = readers.stories(readers.story_lines(spark, str(tmp_path / "s.txt"))).orderBy("line").collect()
     assert [r.facts for r in got] == [["Mary went to the kitchen."], ["Mary went to the kitchen.", "Mary went out."], ["Bob sat."]]
     assert [r.references_idx for r in got] == [[0], [1], [0]] and [r.answer for r in got] == ["kitchen", "out", "Bob"]
+    (tmp_path / "t.txt").write_text("1 Bob sat.\n2 Who?\tBob\t1\n")
+    both = adapt.stories(readers.stories(readers.story_lines(spark, str(tmp_path / "*.txt")))).collect()
+    assert sorted(r.id for r in both) == ["0", "1", "2", "3"] and both[0].source == "babilong"
+    assert readers.stories(readers.story_lines(spark, str(tmp_path / "s.txt")), most_facts=2).count() == 2
 
 
 def test_in_context(spark, tmp_path):
