@@ -7,9 +7,9 @@ are bound to have and others have in part, so the postings are kept per pair of
 (28 of 32 bits each, for each fingerprint). Pairs are verified by the Jaccard similarity of their sets of
 ``words``-word shingles.
 
-No posting's pairs are all made. First every member meets the posting's first one.
-Members that this (and what it connects) hasn't joined to the first one then meet the
-rest, but for pairs that can't be similar enough: of a text's n shingles s occur in
+No posting's pairs are all made. First every text meets one other, the smallest of the
+first members of its postings. Members that this (and what it connects) hasn't joined to
+the first one of a posting then meet the rest of it, but for pairs that can't be similar enough: of a text's n shingles s occur in
 another text that shares a posting with it or its like, so two texts have at most
 min(s, s') shingles in common. In a large group of copies, those too far from the first
 one are mostly too far from all others by this bound. Two members that aren't compared
@@ -86,7 +86,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     in_key = Window.partitionBy("key")
     met = postings.select("node", "key", F.min("node").over(in_key).alias("first"), F.count("*").over(in_key).alias("n")).where("n > 1")
     met = written(met.select("node", "key", "first"), "met")
-    leads = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    leads = met.where("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
     wanted = met.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").dropDuplicates(["node"]) if _repeats(docs) else docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     shingles = written(_shingles(texts.join(wanted.hint("merge"), "node", "left_semi"), words), "shingles")
@@ -102,18 +102,19 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     placed = met.join(linked, "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("own"))
     heads = linked.toDF("first", "head")
     placed = placed.join(heads, "first", "left").select("node", "key", "first", "own", F.coalesce("head", "first").alias("head"))
-    # postings with at least two members besides the first, one of them apart
+    # postings that have a member apart
     spread = Window.partitionBy("key")
-    placed = placed.withColumn("open", F.count_if((F.col("own") != F.col("head")) & (F.col("node") != F.col("first"))).over(spread)).withColumn("n", F.count("*").over(spread))
-    placed = written(placed.where("open > 0 AND n > 2").select("key", "node", "first", "own", "head"), "placed")
+    placed = placed.withColumn("open", F.count_if(F.col("own") != F.col("head")).over(spread))
+    placed = written(placed.where("open > 0").select("key", "node", "own", "head"), "placed")
     among = shingles.join(placed.select("node").distinct().hint("merge"), "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     met_again = F.count("*").over(Window.partitionBy("s")) > 1
     sizes = among.select("node", "n", met_again.cast("int").alias("again")).groupBy("node", "n").agg(F.sum("again").alias("s"))
     placed = placed.join(sizes.hint("merge"), "node").withColumn("least", F.min("n").over(spread))
     reaches = lambda s, n, other: s / (n + other - s) >= similarity - 1e-9
     apart = placed.where("own <> head").where(reaches(F.col("s"), F.col("n"), F.greatest("least", F.col("s")))).select("key", F.col("node").alias("m"), F.col("own").alias("m_own"), F.col("n").alias("m_n"), F.col("s").alias("m_s"))
-    others = placed.where("node <> first").select("key", F.col("node").alias("k"), F.col("own").alias("k_own"), F.col("n").alias("k_n"), F.col("s").alias("k_s"))
+    others = placed.select("key", F.col("node").alias("k"), F.col("own").alias("k_own"), F.col("n").alias("k_n"), F.col("s").alias("k_s"))
     rest = apart.join(others.hint("merge"), "key").where("m_own <> k_own").where(reaches(F.least("m_s", "k_s"), F.col("m_n"), F.col("k_n"))).select(F.least("m", "k").alias("a"), F.greatest("m", "k").alias("b")).distinct()
+    rest = rest.join(leads.hint("merge"), ["a", "b"], "left_anti")
     found = first.unionByName(written(verified(rest), "rest"))
     # rows of one doc_id with different words are one document
     ties = keys.join(same.select("same", "node"), "same").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
