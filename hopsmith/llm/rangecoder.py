@@ -155,6 +155,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
     padded = np.zeros(lanes * BLOCK, _U32)
     padded[: len(ranks)] = ranks
     steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+    del padded, ranks
     words = np.zeros((lanes, BLOCK + 8), "<u4")
     used = np.zeros(lanes, np.int64)
     low, width = np.zeros(lanes, _U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U64)

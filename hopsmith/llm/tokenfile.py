@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import map_arrow
+from hopsmith.llm.common import map_arrow, release_memory
 from hopsmith.llm.rangecoder import decode_chunk, encode_chunk
 from hopsmith.llm.tokens import encoder, ids_crc32, row_slices, text_slices
 
 CHUNK = "file int, chunk int, n_docs long, n_tokens long, payload binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chunk_tokens: int = 1 << 23) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chunk_tokens: int = 1 << 22) -> None:
     """Encode ``docs(doc_id, text)`` to the dataset ``path``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,6 +40,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chun
             lengths = np.array([len(ids) // 4 for _, ids in held], np.int64)
             payload = encode_chunk(np.array([i for i, _ in held], np.int64), lengths, np.frombuffer(b"".join(ids for _, ids in held), "<u4"))
             row = ([file], [chunk], [len(held)], [int(lengths.sum())], [payload])
+            release_memory()  # a chunk's arrays are the most that this task holds
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["file", "chunk", "n_docs", "n_tokens", "payload"])
 
         for batch in row_slices(batches):
@@ -81,6 +82,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 if with_ids:
                     columns.append(pa.array(parts, pa.binary()))
                     names.append("ids")
+                release_memory()
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
