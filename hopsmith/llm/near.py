@@ -9,7 +9,7 @@ are bound to have and others have in part, so the postings are kept per pair of
 
 No posting's pairs are all made. First every text meets one other, the smallest of the
 first members of its postings. Members that this (and what it connects) hasn't joined to
-the first one of a posting then meet the rest of it, but for pairs that can't be similar enough: of a text's n shingles s occur in
+the largest component in a posting then meet the rest of it, but for pairs that can't be similar enough: of a text's n shingles s occur in
 another text that shares a posting with it or its like, so two texts have at most
 min(s, s') shingles in common. In a large group of copies, those too far from the first
 one are mostly too far from all others by this bound. Two members that aren't compared
@@ -99,9 +99,10 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
 
     first = written(verified(leads), "first")
     linked = connected_components(first)
-    placed = met.join(linked, "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("own"))
-    heads = linked.toDF("first", "head")
-    placed = placed.join(heads, "first", "left").select("node", "key", "first", "own", F.coalesce("head", "first").alias("head"))
+    placed = met.select("node", "key").join(linked, "node", "left").select("node", "key", F.coalesce("component", "node").alias("own"))
+    # a posting's head is the component that most of its members are in
+    placed = placed.withColumn("size", F.count("*").over(Window.partitionBy("key", "own")))
+    placed = placed.withColumn("head", F.max(F.struct("size", "own")).over(Window.partitionBy("key"))["own"]).drop("size")
     # postings that have a member apart
     spread = Window.partitionBy("key")
     placed = placed.withColumn("open", F.count_if(F.col("own") != F.col("head")).over(spread))
