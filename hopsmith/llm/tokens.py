@@ -139,25 +139,26 @@ class Encoder:
 
     def _by_words(self, texts: list[str | None]) -> list[bytes]:
         get = self.known.get
-        rows: list[tuple[list, list]] = []
-        missing: set[str] = set()
+        out: list = []
+        missing: dict[str, list[tuple[list, int]]] = {}
         for text in texts:
             lower = self._lowered(text or "")
             if lower is None:
-                rows.append(([self._ids([text])[0]], []))
+                out.append([self._ids([text])[0]])
                 continue
             words = lower.replace("\n", " ").split(" ")
             parts = list(map(get, words))
-            new = {w for w, p in zip(words, parts) if p is None}
-            missing |= new
-            rows.append((parts, words if new else []))
+            if None in parts:
+                for i, part in enumerate(parts):
+                    if part is None:
+                        missing.setdefault(words[i], []).append((parts, i))
+            out.append(parts)
         learned = self._learn(list(missing))
-        end, out = self.end, []
-        for parts, words in rows:
-            if words:
-                parts = [learned[w] if p is None else p for w, p in zip(words, parts)]
-            out.append(b"".join(parts) + end)
-        return out
+        for word, places in missing.items():
+            ids = learned[word]
+            for parts, i in places:
+                parts[i] = ids
+        return [b"".join(parts) + self.end for parts in out]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
