@@ -9,7 +9,7 @@ that the one before has kept; all but the last return the columns of ``documents
 2. ``language``: documents without a letter, or in none of the languages it has learned
    with a posterior of at least 0.5, go.
 3. ``near_duplicates``: of each group of near duplicates the smallest ``doc_id`` stays.
-   Fingerprints of five-word shingles nominate; see ``near_duplicates``.
+   Those of a Jaccard similarity of 0.8 or more over five-word shingles are all found.
 4. ``repeats``: bytes of 100-byte strings that start earlier go; a document that loses
    all its text goes; ``n_chars`` follows the text.
 5. ``packing``: windows of 4096 tokens.

@@ -1,19 +1,18 @@
-"""One document of each group of near duplicates, nominated by SimHash.
+"""One document of each group of near duplicates, nominated by a prefix filter.
 
-The SimHash index of ``simhash`` at a wider radius: two fingerprints of 128 bits over a
-text's distinct lower-cased words, each standing as eight positions of two bytes. The
-tally asks for two equal positions, which fingerprints that differ in up to 6 bits
-are bound to have and others have in part, so the postings are kept per pair of positions
-(28 of 32 bits each, for each fingerprint). Pairs are verified by the Jaccard similarity of their sets of
-``words``-word shingles.
+Pairs are those whose sets of ``words``-word shingles have a Jaccard similarity of at least
+``similarity``. All shingles have one order, the same in every text; two sets of that
+similarity t share one of the first n - ceil(t n) + 1 shingles of each, so these are a text's
+postings and no pair is missed. Of a pair's first common shingle, at positions i and j of n
+and n', it is also known that at most min(n - i, n' - j) are in common: pairs for which that
+isn't enough don't meet there. The order is by the number of sampled texts that hold a shingle,
+then by its hash; the sample decides how long postings get, not what is found.
 
 No posting's pairs are all made. First every text meets one other, the smallest of the
 first members of its postings. Members that this (and what it connects) hasn't joined to
-the largest component in a posting then meet the rest of it, but for pairs that can't be similar enough: of a text's n shingles s occur in
-another text that shares a posting with it or its like, so two texts have at most
-min(s, s') shingles in common. In a large group of copies, those too far from the first
-one are mostly too far from all others by this bound. Two members that aren't compared
-are connected already or known to be apart.
+the largest component in a posting then meet the rest of it, but for pairs that the
+positions rule out. Two members that aren't compared are connected already or known to be
+apart.
 
 Texts of equal words are one node. Defined cases: null and wordless texts are equal to
 each other; texts of fewer than ``words`` words are one shingle; rows with null
@@ -23,7 +22,7 @@ each other; texts of fewer than ``words`` words are one shingle; rows with null
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,65 +30,99 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import connected_components, map_arrow, utf8_list, written
-from hopsmith.llm.simhash import majority_bits
+from hopsmith.llm.common import bounded_fraction, connected_components, hash_sampled, map_arrow, utf8_list, written
 
-#: Two to a fingerprint.
-SEEDS = (1, 2, 3, 4)
-PRINTS = [f"f{i}" for i in range(len(SEEDS))]
+#: Keeps divisions from ruling out a pair at the limit.
+SLACK = 1e-9
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, f0 ...): a hash of the words in a row and 64 bits by seed."""
+    """(doc_id, same): a hash of the words in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, prints = [], []
-            for text in utf8_list(batch.column("text")):
-                parts = text.lower().split()
-                same.append(xxhash.xxh128_digest(b" ".join(parts)))
-                distinct = list(set(parts))
-                prints.append([majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(seed)), np.uint64, len(distinct))) for seed in SEEDS])
-            prints = np.array(prints, np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), *map(pa.array, prints.T.copy())], ["doc_id", "same", *PRINTS])
+            same = [xxhash.xxh128_digest(b" ".join(text.lower().split())) for text in utf8_list(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary())], ["doc_id", "same"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), run, "doc_id long, same binary, " + ", ".join(f"{p} long" for p in PRINTS))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), run, "doc_id long, same binary")
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    parts = text.lower().split()
+    spans = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, spans, repeat(0)), np.uint64, len(spans)).view(np.int64))
 
 
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): distinct hashes of the shingles of ``texts(node, text)``."""
+    """(node, shingles) of ``texts(node, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows = []
-                for text in utf8_list(batch.column("text")):
-                    parts = text.lower().split()
-                    spans = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
-                    h = np.fromiter(map(xxhash.xxh64_intdigest, spans, repeat(0)), np.uint64, len(spans))
-                    rows.append(np.unique(h).view(np.int64))
+                rows = [shingle_set(text, words) for text in utf8_list(batch.column("text"))]
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows or [np.empty(0, np.int64)])))], ["node", "shingles"])
 
     return map_arrow(texts.select("node", "text"), run, "node long, shingles array<long>")
 
 
+def _common(texts: DataFrame, words: int, sample: int = 5000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most of about ``sample`` texts hold (sorted), and how many hold each."""
+    some = hash_sampled(texts, F.col("node"), bounded_fraction(texts.select("node"), sample))
+    counted = _shingles(some, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "s").limit(most).toPandas().sort_values("s")
+    return found["s"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Those of a sorted set that a set of ``similarity`` must share one of, rare ones first."""
+    known, times = common
+    held = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        held = np.where(known[at] == shingles, times[at], 0)
+    n = len(shingles)
+    return shingles[np.argsort(held, kind="stable")[: n - int(np.ceil(similarity * n - SLACK)) + 1]]
+
+
+def _postings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, node, at, n): a row for each shingle of the prefix, its position and the size of the set."""
+    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                sets = [shingle_set(text, words) for text in utf8_list(batch.column("text"))]
+                keys = [prefix(s, shared.value, similarity) for s in sets]
+                counts = [len(k) for k in keys]
+                at = np.concatenate([np.arange(c, dtype=np.int32) for c in counts] or [np.empty(0, np.int32)])
+                node, n = np.repeat(batch.column("node").to_numpy(), counts), np.repeat(np.array([len(s) for s in sets], np.int32), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [np.empty(0, np.int64)])), pa.array(node), pa.array(at), pa.array(n)], ["key", "node", "at", "n"])
+
+    return map_arrow(texts.select("node", "text"), run, "key long, node long, at int, n int")
+
+
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every non-null ``doc_id`` of ``docs(doc_id, text)``."""
     keys = written(_keys(docs), "keys")
-    same = keys.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.min(p).alias(p) for p in PRINTS])
-    same = written(same, "same")
-    positions = [F.shiftrightunsigned(p, 16 * i).bitwiseAND(F.lit(0xFFFF)) for p in PRINTS for i in range(4)]
-    pairs_of = [F.xxhash64(F.lit(64 * i + j), positions[i], positions[j]) for i, j in combinations(range(len(positions)), 2) if i // 8 == j // 8]
-    postings = same.select("node", F.explode(F.array(*pairs_of)).alias("key"))
+    same = written(keys.groupBy("same").agg(F.min("doc_id").alias("node")), "same")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL")
+    if _repeats(docs):
+        texts = texts.dropDuplicates(["node"])
+    nodes = texts.join(same.select("node").distinct().hint("merge"), "node", "left_semi")
     in_key = Window.partitionBy("key")
-    met = postings.select("node", "key", F.min("node").over(in_key).alias("first"), F.count("*").over(in_key).alias("n")).where("n > 1")
-    met = written(met.select("node", "key", "first"), "met")
-    leads = met.where("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
-    wanted = met.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").dropDuplicates(["node"]) if _repeats(docs) else docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    shingles = written(_shingles(texts.join(wanted.hint("merge"), "node", "left_semi"), words), "shingles")
+    met = _postings(nodes, words, similarity).withColumn("first", F.min(F.struct("node", "at", "n")).over(in_key)).withColumn("members", F.count("*").over(in_key))
+    met = written(met.where("members > 1").drop("members"), "met")
+
+    def reach(at, n, other_at, other_n):
+        both = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
+        return both / (F.col(n) + F.col(other_n) - both) >= similarity - SLACK
+
+    leads = met.where("node <> first.node").where(reach("at", "n", "first.at", "first.n")).groupBy(F.col("node").alias("b")).agg(F.min("first.node").alias("a")).select("a", "b")
+    shingles = written(_shingles(texts.join(met.select("node").distinct().hint("merge"), "node", "left_semi"), words), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = shingles.toDF("a", "sa"), shingles.toDF("b", "sb")
@@ -99,26 +132,21 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
 
     first = written(verified(leads), "first")
     linked = connected_components(first)
-    placed = met.select("node", "key").join(linked, "node", "left").select("node", "key", F.coalesce("component", "node").alias("own"))
+    placed = met.select("key", "node", "at", "n").join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
     # a posting's head is the component that most of its members are in
     placed = placed.withColumn("size", F.count("*").over(Window.partitionBy("key", "own")))
-    placed = placed.withColumn("head", F.max(F.struct("size", "own")).over(Window.partitionBy("key"))["own"]).drop("size")
+    placed = placed.withColumn("head", F.max(F.struct("size", "own")).over(in_key)["own"]).drop("size")
     # postings that have a member apart
-    spread = Window.partitionBy("key")
-    placed = placed.withColumn("open", F.count_if(F.col("own") != F.col("head")).over(spread))
-    placed = written(placed.where("open > 0").select("key", "node", "own", "head"), "placed")
-    among = shingles.join(placed.select("node").distinct().hint("merge"), "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    met_again = F.count("*").over(Window.partitionBy("s")) > 1
-    sizes = among.select("node", "n", met_again.cast("int").alias("again")).groupBy("node", "n").agg(F.sum("again").alias("s"))
-    placed = placed.join(sizes.hint("merge"), "node").withColumn("least", F.min("n").over(spread))
-    reaches = lambda s, n, other: s / (n + other - s) >= similarity - 1e-9
-    apart = placed.where("own <> head").where(reaches(F.col("s"), F.col("n"), F.greatest("least", F.col("s")))).select("key", F.col("node").alias("m"), F.col("own").alias("m_own"), F.col("n").alias("m_n"), F.col("s").alias("m_s"))
-    others = placed.select("key", F.col("node").alias("k"), F.col("own").alias("k_own"), F.col("n").alias("k_n"), F.col("s").alias("k_s"))
-    rest = apart.join(others.hint("merge"), "key").where("m_own <> k_own").where(reaches(F.least("m_s", "k_s"), F.col("m_n"), F.col("k_n"))).select(F.least("m", "k").alias("a"), F.greatest("m", "k").alias("b")).distinct()
+    placed = placed.withColumn("open", F.count_if(F.col("own") != F.col("head")).over(in_key))
+    placed = written(placed.where("open > 0").drop("open"), "placed")
+    apart = placed.where("own <> head").select("key", *[F.col(c).alias(f"m_{c}") for c in ("node", "own", "at", "n")])
+    others = placed.select("key", (F.col("own") == F.col("head")).alias("in_head"), *[F.col(c).alias(f"k_{c}") for c in ("node", "own", "at", "n")])
+    once = F.col("in_head") | (F.col("m_node") < F.col("k_node"))
+    rest = apart.join(others.hint("merge"), "key").where("m_own <> k_own").where(once & reach("m_at", "m_n", "k_at", "k_n")).select(F.least("m_node", "k_node").alias("a"), F.greatest("m_node", "k_node").alias("b")).distinct()
     rest = rest.join(leads.hint("merge"), ["a", "b"], "left_anti")
     found = first.unionByName(written(verified(rest), "rest"))
     # rows of one doc_id with different words are one document
-    ties = keys.join(same.select("same", "node"), "same").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
+    ties = keys.join(same, "same").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     component = connected_components(found.unionByName(ties))
     return keys.select("doc_id").distinct().join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -480,3 +480,26 @@ def test_near(spark, docs, empty):
     kept = near.one_of_each(df)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i, c in want.items() if i == c] + ["None"])
     assert near.one_of_each(empty).count() == 0 and near.one_of_each(docs).columns == docs.columns
+
+
+def test_near_finds_cut_and_appended_copies(spark):
+    words = [f"w{i}" for i in range(2000)]
+    sets = lambda w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    alike = lambda a, b: len(a & b) / len(a | b)
+    texts, near_enough = [], []
+    for length in (30, 100, 400, 1000):
+        for least in (0.8, 0.85, 0.9, 0.95):
+            for _ in range(5):
+                base = rng.choices(words, k=length)
+                cut, longer, few = list(base), list(base), list(base)
+                while alike(sets(base), sets(cut[:-1])) >= least:
+                    cut.pop()
+                while alike(sets(base), sets(longer + ["new"])) >= least:
+                    longer.append(rng.choice(words))
+                few = few[: len(cut) - 1] if least == 0.8 else base[::-1]  # just below, or unlike
+                near_enough += [(len(texts), len(texts) + 1), (len(texts), len(texts) + 2)]
+                texts += [base, cut, longer, few]
+    own = [sets(t) for t in texts]
+    want = plain_components(range(len(texts)), lambda a, b: a // 4 == b // 4 and alike(own[a], own[b]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in near.groups(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in near_enough) == len(near_enough) and got == want
