@@ -6,6 +6,11 @@ hash buckets per language. It may use a bounded sample of the labelled rows
 (buckets x languages, at most ``max_languages``) is broadcast with the scoring
 function, which gathers and sums the sparse rows of many texts at once.
 
+A posterior compares the learned languages only. Whether a text is in one of them at all
+(``keep_rows``) is told by its mean log-probability an n-gram: the labelled texts, each
+under counts without its own, show where a language's texts lie and how far they spread at
+their length, and texts far below are in none.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is
 every text if there is nothing to learn from. Rows with null ``lang`` are scored
 but never learned from. Repeated rows count as often as they occur; equal
@@ -38,6 +43,10 @@ class LanguageModel:
     log_prior: np.ndarray
     orders: int
     bits: int
+    centre: np.ndarray  # by language, median log-probability an n-gram of its texts
+    between: float  # variance of texts' means around it
+    within: float  # variance of an n-gram's log-probability in a text
+    lowest: float  # deviations from the centre below which a text is in no learned language
 
 
 def ngram_buckets(texts: list[str], orders: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -95,13 +104,59 @@ def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labe
     counts[bucket[bucket >= 0], column[bucket >= 0]] = n[bucket >= 0]
     texts[column[bucket < 0]] = n[bucket < 0]
     log_prob = np.log(counts + alpha) - np.log((counts + alpha).sum(axis=0))
-    return LanguageModel(languages, log_prob.astype(np.float32), np.log(texts / max(texts.sum(), 1)), orders, bits)
+    model = LanguageModel(languages, log_prob.astype(np.float32), np.log(texts / max(texts.sum(), 1)), orders, bits, np.zeros(len(languages)), 0.0, 0.0, -np.inf)
+    if languages:
+        _learn_spread(model, labelled, (counts + alpha).sum(axis=0), alpha)
+    return model
+
+
+def _learn_spread(model: LanguageModel, labelled: DataFrame, totals: np.ndarray, alpha: float) -> None:
+    """Where the labelled texts lie under their own language, each left out of its counts."""
+    shared, number = labelled.sparkSession.sparkContext.broadcast(model), {x: i for i, x in enumerate(model.languages)}
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            rows = []
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                if not LETTER.search(text):
+                    continue
+                bucket, own = np.unique(np.concatenate(ngram_buckets([text], known.orders, known.bits)[0]), return_counts=True)
+                column, n = number[lang], own.sum()
+                others = np.exp(known.log_prob[bucket, column].astype(np.float64)) * totals[column] - own
+                p = np.log(np.maximum(others, alpha) / (totals[column] - n))
+                mean = (own * p).sum() / n
+                rows.append((column, n, mean, (own * (p - mean) ** 2).sum() / n))
+            columns = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, t)) for c, t in zip(columns, ("i8", "i8", "f8", "f8"))], ["lang", "n", "mean", "var"])
+
+    # at most about labelled_limit rows
+    seen = map_arrow(labelled, fit, "lang long, n long, mean double, var double").toPandas()
+    if seen.empty:
+        return
+    model.centre = seen.groupby("lang")["mean"].median().reindex(range(len(model.languages)), fill_value=-np.inf).to_numpy()
+    off = seen["mean"].to_numpy() - model.centre[seen["lang"]]
+    model.within = float(seen["var"].mean())
+    model.between = float((1.4826 * np.median(np.abs(off))) ** 2)
+    model.lowest = min(-4.0, 1.5 * float(np.quantile(deviations(model, seen["lang"].to_numpy(), seen["mean"].to_numpy(), seen["n"].to_numpy()), 0.01)))
+
+
+def deviations(model: LanguageModel, lang: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How far texts of ``n`` n-grams lie from their language's centre; n-grams of ``orders``
+    orders at ``orders`` places overlap, so that many squared count as one."""
+    return (mean - model.centre[lang]) / np.sqrt(np.maximum(model.between + model.within * model.orders**2 / n, 1e-12))
 
 
 def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and posterior of each text."""
+    langs, scores, _ = _scored(model, texts)
+    return langs, scores
+
+
+def _scored(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, posterior and deviation from that language's texts."""
     named = [i for i, t in enumerate(texts) if model.languages and t is not None and LETTER.search(t)]
-    langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    langs, scores, off = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     at = 0
     while at < len(named):
         size, end = 0, at
@@ -109,13 +164,16 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
             size += len(texts[named[end]])
             end += 1
         orders, starts = ngram_buckets([texts[i] for i in named[at:end]], model.orders, model.bits)
-        summed = np.add.reduceat(sum(model.log_prob[b].astype(np.float64) for b in orders), starts, axis=0) + model.log_prior
+        likely = np.add.reduceat(sum(model.log_prob[b].astype(np.float64) for b in orders), starts, axis=0)
+        summed = likely + model.log_prior
         best = summed.argmax(axis=1)
         posterior = 1 / np.exp(summed - summed.max(axis=1, keepdims=True)).sum(axis=1)
-        for i, b, p in zip(named[at:end], best, posterior):
-            langs[i], scores[i] = model.languages[b], p
+        n = np.diff(np.append(starts, len(orders[0]))) * model.orders
+        away = deviations(model, best, likely[np.arange(len(best)), best] / n, n)
+        for i, b, p, z in zip(named[at:end], best, posterior, away):
+            langs[i], scores[i], off[i] = model.languages[b], p, z
         at = end
-    return langs, scores
+    return langs, scores, off
 
 
 def keep_rows(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
@@ -124,8 +182,8 @@ def keep_rows(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = score_texts(shared.value, batch.column("text").to_pylist())
-            yield batch.filter(pa.array((np.array(langs, object) != UNDETERMINED) & (scores >= least)))
+            langs, scores, off = _scored(shared.value, batch.column("text").to_pylist())
+            yield batch.filter(pa.array((np.array(langs, object) != UNDETERMINED) & (scores >= least) & (off >= shared.value.lowest)))
 
     return map_arrow(docs, keep, docs.schema)
 

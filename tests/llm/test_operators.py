@@ -159,6 +159,21 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"} and language.predict(empty, none).count() == 0
 
 
+def test_language_leaves_out_what_it_has_not_learned(spark):
+    words = {
+        "en": "the of and to in that is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split(),
+        "fr": "le de un et être avoir que pour dans ce il qui ne sur se pas plus par je avec tout faire son mettre autre on mais nous comme ou si leur y dire elle devoir avant deux même prendre aussi celui donner bien où fois vous encore nouveau aller cela entre premier vouloir déjà grand mon me moins aucun lui temps très savoir falloir voir quelque sans raison notre dont non an monde jour monsieur demander alors après trouver personne rendre part dernier venir pendant passer peu lequel suite bon comprendre depuis point ainsi heure rester toujours homme femme maison petit vie pays question moyen rien chose toucher travail gouvernement année quand pouvoir".split(),
+    }
+    german = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei schon wenn ich zwischen können müssen jahre größer straße".split()
+    text = lambda vocabulary, n: " ".join(rng.choices(vocabulary, k=n))
+    labelled = [(i, text(words[lang], rng.randint(20, 120)), lang) for i, lang in enumerate(["en", "fr"] * 100)]
+    model = language.train(spark.createDataFrame(labelled, "doc_id long, text string, lang string"), F.lit(True))
+    known = [text(words[lang], n) for n in (10, 40, 200) for lang in ("en", "fr") for _ in range(10)]
+    unknown = [text(german, n) for n in (40, 200) for _ in range(5)] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300)) for _ in range(5)] + ["xq" * 100, "это русский текст о погоде и природе"]
+    df = spark.createDataFrame(list(enumerate(known + unknown)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in language.keep_rows(df, model, 0.5).collect()) == list(range(len(known)))
+
+
 IDS_OF_NULL = next(i for i, t in IDS.items() if t is None)
 
 
