@@ -1,13 +1,14 @@
 """Cropped and edited copies of images by local descriptors.
 
-1. Corners (Harris response, 3 x 3 maxima) are found at ``levels`` scales, each half
-   the size of the one before; the strongest of each scale stay.
-2. A corner's orientation is that of its patch's intensity centroid; 128 binary
+1. Corners (Harris response, 3 x 3 maxima) are found at scales half an octave apart; of
+   each scale the strongest stay, as many as its area holds at ``density``.
+2. A corner's orientation is that of its patch's intensity centroid; 192 binary
    tests of smoothed intensities are turned by it. Test positions are rotated by
    steps of a quarter turn exactly and within a quarter by rounding.
-3. Hamming tables: a descriptor enters ``TABLES`` tables under its 64-bit words, so
-   descriptors that differ in fewer than that many bits, and all that share a word,
-   meet in a keyed join.
+3. Hamming tables: a descriptor enters ``TABLES`` tables under its words of 192 / ``TABLES``
+   bits, so descriptors that differ in fewer than that many bits, and all that share a
+   word, meet in a keyed join, which leaves out those that differ in more than
+   ``FARTHEST`` bits.
 4. Geometric consensus: a match votes for a turn, a scale ratio and a shift (bins laid
    twice, half a bin apart). Images with ``least`` distinct corners in one bin are
    linked; components of links are groups of copies.
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from hopsmith.llm.common import connected_components, map_arrow, written
 
-RADIUS, MARGIN, TURNS, TABLES = 7, 9, 32, 2
-TESTED = 64 * TABLES
+RADIUS, MARGIN, TURNS, TABLES = 7, 9, 32, 4
+TESTED, FARTHEST = 192, 48
 #: A corner as it is kept.
 PLACE = np.dtype([("x", "<i2"), ("y", "<i2"), ("turn", "u1"), ("level", "u1")])
 _HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+(\d+)\s")
@@ -88,15 +89,34 @@ def _box(stack: np.ndarray, r: int) -> np.ndarray:
     return out
 
 
-def describe(stack: np.ndarray, strongest: tuple[int, ...] = (8, 4)) -> list[tuple[np.ndarray, np.ndarray]]:
+def resized(stack: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Images (n, height, width) at another size, by linear interpolation."""
+    for axis, size in ((1, height), (2, width)):
+        old = stack.shape[axis]
+        at = np.clip((np.arange(size) + 0.5) * (old / size) - 0.5, 0, old - 1)
+        low = np.minimum(at.astype(np.int64), max(old - 2, 0))
+        part = (at - low).astype(np.float32).reshape([-1 if i == axis else 1 for i in range(3)])
+        stack = np.take(stack, low, axis) * (1 - part) + np.take(stack, np.minimum(low + 1, old - 1), axis) * part
+    return stack
+
+
+def describe(stack: np.ndarray, density: float = 10 / 64**2, levels: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
     """For equally large images (n, height, width): each one's corners (x, y, turn, level)
-    and their descriptors (16 bytes each)."""
+    and their descriptors (24 bytes each)."""
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in stack]
-    level_stack = stack.astype(np.float32)
-    for level, keep in enumerate(strongest):
+    level_stack = whole = stack.astype(np.float32)
+    for level in range(levels):
+        scale = 2.0 ** (level / 2)
+        if level:
+            height, width = round(stack.shape[1] / scale), round(stack.shape[2] / scale)
+            if level % 2 == 0:  # an octave: means of 2 x 2, so that nothing finer is left
+                even = whole[:, : whole.shape[1] // 2 * 2, : whole.shape[2] // 2 * 2]
+                whole = (even[:, ::2, ::2] + even[:, 1::2, ::2] + even[:, ::2, 1::2] + even[:, 1::2, 1::2]) / 4
+            level_stack = whole if level % 2 == 0 else resized(whole, height, width)
         n, height, width = level_stack.shape
         if min(height, width) <= 2 * MARGIN + 2:
             break
+        keep = max(4, round(density * height * width))
         gx, gy = np.zeros_like(level_stack), np.zeros_like(level_stack)
         gx[:, :, 1:-1] = level_stack[:, :, 2:] - level_stack[:, :, :-2]
         gy[:, 1:-1] = level_stack[:, 2:] - level_stack[:, :-2]
@@ -121,20 +141,17 @@ def describe(stack: np.ndarray, strongest: tuple[int, ...] = (8, 4)) -> list[tup
         at = TESTS[turn]
         ends = smooth[image[:, None, None], y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
         bits = np.packbits(ends[:, :, 0] < ends[:, :, 1], axis=1)
-        scale = 1 << level
         places = np.zeros(len(x), PLACE)
-        places["x"], places["y"], places["turn"], places["level"] = x * scale, y * scale, turn, level
+        places["x"], places["y"], places["turn"], places["level"] = np.rint(x * scale), np.rint(y * scale), turn, level
         cuts = np.searchsorted(image, np.arange(n + 1))
         for i in range(n):
             found[i].append((places[cuts[i] : cuts[i + 1]], bits[cuts[i] : cuts[i + 1]]))
-        even = level_stack[:, : height // 2 * 2, : width // 2 * 2]
-        level_stack = (even[:, ::2, ::2] + even[:, 1::2, ::2] + even[:, ::2, 1::2] + even[:, 1::2, 1::2]) / 4
     none = (np.empty(0, PLACE), np.empty((0, TESTED // 8), np.uint8))
     return [tuple(np.concatenate(x) for x in zip(*parts)) if parts else none for parts in found]
 
 
 def descriptors(media: DataFrame) -> DataFrame:
-    """(node, places, bits) of ``media(media_id, image)``; node is a hash of the bytes."""
+    """(node, places, tests) of ``media(media_id, image)``; node is a hash of the bytes, tests are the descriptors as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -149,47 +166,57 @@ def descriptors(media: DataFrame) -> DataFrame:
                 for which in by_shape.values():
                     for i, (p, b) in zip(which, describe(np.stack([images[i] for i in which]))):
                         places[i], bits[i] = p.tobytes(), b.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(places, pa.binary()), pa.array(bits, pa.binary())], ["node", "places", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(places, pa.binary()), pa.array([np.frombuffer(x, np.int64) for x in bits], pa.list_(pa.int64()))], ["node", "places", "tests"])
+
+    return map_arrow(media.where("image IS NOT NULL").select(F.xxhash64("image").alias("node"), "image"), run, "node long, places binary, tests array<long>")
+
 
-    return map_arrow(media.where("image IS NOT NULL").select(F.xxhash64("image").alias("node"), "image"), run, "node long, places binary, bits binary")
+def _words(bits: np.ndarray) -> np.ndarray:
+    """The words of descriptors (n, bytes), one a table."""
+    own = bits.reshape(len(bits), TABLES, -1)
+    return (own.astype(np.uint64) << (8 * np.arange(own.shape[2], dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
-    """(key, node, place): a row per corner and table; place holds corner, x, y, turn and level."""
+    """(key, node, place, t0 ...): a row per corner and table; place holds corner, x, y, turn and level."""
+    names = [f"t{i}" for i in range(TESTED // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = [np.frombuffer(x, PLACE) for x in batch.column("places").to_pylist()]
-            words = [np.frombuffer(x, "<u8").reshape(-1, TABLES) for x in batch.column("bits").to_pylist()]
+            tests = batch.column("tests").flatten().to_numpy(zero_copy_only=False).reshape(-1, TESTED // 64)
+            word = _words(np.ascontiguousarray(tests).view(np.uint8))
             counts = [len(p) for p in places]
             if not sum(counts):
                 continue
             node = np.repeat(batch.column("node").to_numpy(), counts)
             corner = np.concatenate([np.arange(c) for c in counts])
-            place, word = np.concatenate(places), np.concatenate(words)
+            place = np.concatenate(places)
             x, y, turn, level = (place[c].astype(np.int64) for c in ("x", "y", "turn", "level"))
             packed = corner << 48 | x << 32 | y << 16 | turn << 8 | level
             for table in range(TABLES):
-                key = (word[:, table] + np.uint64(table)) * np.uint64(0x9E3779B97F4A7C15)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(packed)], ["key", "node", "place"])
+                key = (word[:, table] << np.uint64(8) | np.uint64(table)) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(packed), *map(pa.array, tests.T.copy())], ["key", "node", "place", *names])
 
-    return map_arrow(nodes.select("node", "places", "bits"), run, "key long, node long, place long")
+    return map_arrow(nodes.select("node", "places", "tests"), run, "key long, node long, place long, " + ", ".join(f"{t} long" for t in names))
 
 
 def links(nodes: DataFrame, least: int = 3, bin_size: int = 8) -> DataFrame:
     """(a, b) of distinct nodes whose matches agree on one transformation."""
     entries = _entries(nodes)
-    one, two = entries.toDF("key", "a_node", "a"), entries.toDF("key", "b_node", "b")
-    met = one.join(two, "key").where("a_node < b_node").drop("key").repartition("a_node", "b_node").distinct()
+    tests = [f"t{i}" for i in range(TESTED // 64)]
+    one, two = (entries.toDF("key", f"{side}_node", side, *[f"{side}_{t}" for t in tests]) for side in "ab")
+    differ = sum((F.bit_count(F.col(f"a_{t}").bitwiseXOR(F.col(f"b_{t}"))) for t in tests), F.lit(0))
+    met = one.join(two, "key").where("a_node < b_node").where(differ <= FARTHEST).select("a_node", "a", "b_node", "b").repartition("a_node", "b_node").distinct()
     fields = (("corner", 48, 0x7FFF), ("x", 32, 0xFFFF), ("y", 16, 0xFFFF), ("turn", 8, 0xFF), ("level", 0, 0xFF))
     met = met.select("a_node", "b_node", *[F.shiftright(side, by).bitwiseAND(F.lit(mask)).alias(f"{side}_{name}") for side in "ab" for name, by, mask in fields])
     eighth = F.pmod(F.round((F.col("b_turn") - F.col("a_turn")) * (8 / TURNS)).cast("int"), F.lit(8))
     turn = eighth * (np.pi / 4)
-    ratio = F.pow(F.lit(2.0), F.col("b_level") - F.col("a_level"))
+    ratio = F.pow(F.lit(2.0), (F.col("b_level") - F.col("a_level")) / 2)
     shift_x = F.col("b_x") - ratio * (F.col("a_x") * F.cos(turn) - F.col("a_y") * F.sin(turn))
     shift_y = F.col("b_y") - ratio * (F.col("a_x") * F.sin(turn) + F.col("a_y") * F.cos(turn))
     grids = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    # the rows of a pair are in one task from here on; most pairs have met by chance, once
+    # the rows of a pair are in one task from here on
     enough = F.count("*").over(Window.partitionBy("a_node", "b_node")) >= least
     votes = met.select("a_node", "b_node", "a_corner", eighth.alias("eighth"), (F.col("b_level") - F.col("a_level")).alias("zoom"), shift_x.alias("sx"), shift_y.alias("sy"), enough.alias("enough")).where("enough")
     votes = votes.withColumn("g", grids)
@@ -203,8 +230,8 @@ def near_copies(media: DataFrame, least: int = 3) -> DataFrame:
     """For every row of ``media(media_id, image)``: media_id, n_links (other images, by bytes,
     that agree with it) and component_id (smallest media_id reachable)."""
     known = written(media.select(F.col("media_id").cast("long"), F.when(F.col("image").isNotNull(), F.xxhash64("image")).alias("node")), "images")
-    described = descriptors(media).where("length(bits) > 0")
-    nodes = described.groupBy("node").agg(F.first(F.struct("places", "bits")).alias("d")).select("node", "d.*")
+    described = descriptors(media).where("size(tests) > 0")
+    nodes = written(described.groupBy("node").agg(F.first(F.struct("places", "tests")).alias("d")).select("node", "d.*"), "nodes")
     found = written(links(nodes, least), "links")
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     # a node's links tie images through the bytes they share

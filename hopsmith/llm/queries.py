@@ -78,9 +78,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+EDITS = 7
+
+
 def drawn(html: str | None, edit: int | None) -> bytes | None:
     """A page's picture: smoothed noise seeded by its HTML; ``edit`` 0 crops it, 1 changes
-    contrast and brightness, 2 turns it by a quarter, 3 covers a part."""
+    contrast and brightness, 2 turns it by a quarter, 3 covers a part, 4 crops it at odd
+    offsets, 5 makes it three quarters as large, 6 adds noise."""
     if html is None:
         return None
     rng = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(html.encode("utf-8", "replace"))))
@@ -98,6 +102,12 @@ def drawn(html: str | None, edit: int | None) -> bytes | None:
     elif edit == 3:
         image = image.copy()
         image[4:20, 40:60] = 128
+    elif edit == 4:
+        image = image[7:58, 5:54]
+    elif edit == 5:
+        image = np.rint(media.resized(image[None].astype(np.float32), 48, 48)[0])
+    elif edit == 6:
+        image = np.clip(image + np.rint(rng.normal(0, 4, image.shape)), 0, 255)
     return media.write_pgm(image)
 
 
@@ -110,7 +120,7 @@ def page_images(pages: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 ids, images = [], []
                 for page, html in zip(*(whole.slice(at, 256).column(c).to_pylist() for c in ("page_id", "html"))):
-                    for edit in (None, 0 if page is None else page % 4):
+                    for edit in (None, 0 if page is None else page % EDITS):
                         ids.append(None if page is None else 2 * page + (edit is not None))
                         images.append(drawn(html, edit))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], ["media_id", "image"])

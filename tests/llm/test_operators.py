@@ -200,6 +200,21 @@ def test_media(spark):
     assert media.near_copies(spark.createDataFrame([], "media_id long, image binary")).count() == 0
 
 
+def test_media_of_harder_edits(spark):
+    edits = (0, 4, 6)
+    images = [(10 * p + k, queries.drawn(f"<p>{p}</p>", e)) for p in range(40) for k, e in enumerate((None, *edits))]
+    got = {r.media_id: r.component_id for r in media.near_copies(spark.createDataFrame(images, "media_id long, image binary")).collect()}
+    assert all(c in (i, i - i % 10) for i, c in got.items())
+    for k, _ in enumerate(edits, 1):
+        assert sum(got[10 * p + k] == 10 * p for p in range(40)) >= 37
+    large = np.tile(media.read_pgm(images[0][1]), (3, 3))
+    assert len(media.describe(np.stack([large]))[0][0]) >= 6 * len(media.describe(np.stack([large[:64, :64]]))[0][0])
+    # descriptors that differ in three bits meet in a table
+    bits = np.zeros((2, media.TESTED // 8), np.uint8)
+    bits[1, [0, 6, 12]] = 1
+    assert (media._words(bits)[0] == media._words(bits)[1]).any()
+
+
 def test_descriptor_turns_with_the_image():
     image = media.read_pgm(queries.drawn("turn", None))
     a, b = media.describe(np.stack([image])), media.describe(np.stack([np.rot90(image)]))
