@@ -10,8 +10,8 @@ Blocks of queries meet blocks of candidates by an equi-join on the pair of
 block numbers, so a task holds one block of each and nothing is broadcast.
 
 Defined cases: vectors that are null or hold a null or non-finite component take
-no part; so do vectors with a quantised component of 2**28 or more, whose scores
-would not fit a long; empty vectors score 0; vectors of unequal length are
+no part; so do vectors with a quantised component that doesn't fit a long; a score
+among the best k that doesn't fit one is an error; empty vectors score 0; vectors of unequal length are
 compared as if padded with zeros; repeated candidate rows each take a rank,
 repeated query rows count once; no rows give no rows.
 """
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from hopsmith.llm.common import map_arrow
 
-LARGEST = 1 << 28
+LARGEST = 2.0**63
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, weights): floor(scale * x) as packed little-endian 32-bit integers."""
+    """(vec_id, weights): floor(scale * x) as packed little-endian 64-bit integers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +48,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
                 # a null component arrives as NaN
                 if ok and key is not None and np.isfinite(x).all() and (np.abs(x) < LARGEST).all():
                     ids.append(key)
-                    rows.append(x.astype("<i4").tobytes())
+                    rows.append(x.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["vec_id", "weights"])
 
     return map_arrow(vectors.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")), pack, "vec_id long, weights binary")
@@ -56,7 +56,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
 
 def _matrix(rows: list[bytes]) -> np.ndarray:
     width = max((len(r) for r in rows), default=0)
-    return np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), "<i4").reshape(len(rows), width // 4)
+    return np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), "<i8").reshape(len(rows), width // 8)
 
 
 def term_at_a_time(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -64,13 +64,14 @@ def term_at_a_time(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     terms = min(queries.shape[1], block.shape[1])
     size = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(terms, 1)
     kind = np.int32 if size < 2**31 else np.int64
+    queries, block = queries.astype(kind), block.astype(kind)
     scores = np.zeros((len(queries), len(block)), kind)
     for term in range(terms):
         weighted = np.flatnonzero(queries[:, term])
         posting = np.flatnonzero(block[:, term])
         if not len(weighted) or not len(posting):
             continue
-        add = np.multiply.outer(queries[weighted, term].astype(kind), block[posting, term].astype(kind))
+        add = np.multiply.outer(queries[weighted, term], block[posting, term])
         if len(weighted) == len(queries) and len(posting) == len(block):
             scores += add
         else:
@@ -78,6 +79,23 @@ def term_at_a_time(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     return scores
 
 
+def too_large(queries: np.ndarray, block: np.ndarray, scores: np.ndarray) -> np.ndarray | None:
+    """Where a score doesn't fit a long (None: nowhere); ``scores`` gets the nearest long there.
+
+    Sums of longs wrap, so a score that fits is right whatever its parts are.
+    """
+    terms = min(queries.shape[1], block.shape[1])
+    one, two = np.abs(queries[:, :terms].astype(np.float64)), np.abs(block[:, :terms].astype(np.float64))
+    if one.max(initial=0) * two.max(initial=0) * max(terms, 1) < 2.0**62:
+        return None
+    out = np.zeros(scores.shape, bool)
+    for i, j in zip(*np.nonzero(one @ two.T >= 2.0**62)):
+        exact = sum(int(a) * int(b) for a, b in zip(queries[i, :terms], block[j, :terms]))
+        out[i, j] = not -(2**63) <= exact < 2**63
+        scores[i, j] = max(-(2**63), min(2**63 - 1, exact))
+    return out
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 2048, block: int = 4096) -> DataFrame:
     """The k best candidates of each query: query_id, rank, vec_id, score.
 
@@ -106,7 +124,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, i
         own, terms = queries["vec_id"].to_numpy(), _matrix(queries["weights"].tolist())
         for at in range(0, len(own) if len(ids) else 0, step):
             scores = term_at_a_time(terms[at : at + step], rows)
-            for query, line in zip(own[at : at + step], scores):
+            large = too_large(terms[at : at + step], rows, scores)
+            for number, (query, line) in enumerate(zip(own[at : at + step], scores)):
                 lo, hi = np.searchsorted(ids, query), np.searchsorted(ids, query, "right")
                 keep = k + hi - lo  # its own rows may stand among the best
                 if keep < len(line):
@@ -118,7 +137,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, i
                 else:
                     picked = np.arange(len(line))
                 picked = picked[ids[picked] != query]
-                picked = picked[np.lexsort((ids[picked], -line[picked].astype(np.int64)))[:k]]
+                # ~ turns the order round, and unlike - has no overflow
+                picked = picked[np.lexsort((ids[picked], ~line[picked].astype(np.int64)))[:k]]
+                if large is not None and large[number, picked].any():
+                    raise OverflowError(f"a score of query {query} doesn't fit a long")
                 out.append((np.full(len(picked), query), ids[picked], line[picked].astype(np.int64)))
         columns = [np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ((), (), ()))]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))

@@ -486,6 +486,20 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_keeps_large_vectors(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, (r.integers(-9, 10, 4) * 2.0 ** r.integers(-3, 22)).tolist()) for i in range(60)]
+    rows = [(i, [v[0] % 8, *v[1:]]) for i, v in rows]
+    rows += [(100, [2.0**26, -1.0, 0.0, 3.0]), (101, [0.0, 2.0**21, 1.0, 0.0])]  # the first one's own square is over 2**63
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(x) for x in np.floor(256 * np.array(v))]) for i, v in rows]
+    expected = []
+    for q, w in [x for x in whole if x[0] % 50 == 0]:
+        scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for i, v in whole if i != q)[:5]
+        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert sorted(tuple(x) for x in topk.search(df, F.col("vec_id") % 50 == 0, scale=256).collect()) == sorted(expected)
+
+
 # --- near duplicates of the pipeline ---------------------------------------
 
 
