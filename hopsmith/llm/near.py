@@ -14,6 +14,10 @@ the largest component in a posting then meet the rest of it, but for pairs that
 positions rule out. Two members that aren't compared are connected already or known to be
 apart.
 
+Before texts are read again, pairs are looked at by parities: 1,024 bits a set, each the parity
+of its shingles in one part of the hash range. Bits that differ between two sets are at most as
+many as the shingles in one of them only, so pairs with more than ``similarity`` allows are known to be apart.
+
 Texts of equal words are one node. Defined cases: null and wordless texts are equal to
 each other; texts of fewer than ``words`` words are one shingle; rows with null
 ``doc_id`` stay; of rows that repeat the ``doc_id`` that stays, one stays.
@@ -34,6 +38,11 @@ from hopsmith.llm.common import bounded_fraction, connected_components, hash_sam
 
 #: Keeps divisions from ruling out a pair at the limit.
 SLACK = 1e-9
+PARITIES = [f"p{i}" for i in range(16)]
+
+
+def _same(text: bytes) -> bytes:
+    return xxhash.xxh128_digest(b" ".join(text.lower().split()))
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -41,7 +50,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [xxhash.xxh128_digest(b" ".join(text.lower().split())) for text in utf8_list(batch.column("text"))]
+            same = list(map(_same, utf8_list(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary())], ["doc_id", "same"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), run, "doc_id long, same binary")
@@ -87,22 +96,30 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return shingles[np.argsort(held, kind="stable")[: n - int(np.ceil(similarity * n - SLACK)) + 1]]
 
 
-def _postings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, node, at, n): a row for each shingle of the prefix, its position and the size of the set."""
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Sixteen words of the parities by the first ten bits of the hash."""
+    part = (shingles.view(np.uint64) >> np.uint64(54)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=1024) & 1).view(np.int64)
+
+
+def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, same, n, keys, p0 ...): a hash of the words, and of the set of shingles its size, prefix and parities."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                sets = [shingle_set(text, words) for text in utf8_list(batch.column("text"))]
+                raw = utf8_list(batch.column("text"))
+                sets = [shingle_set(text, words) for text in raw]
                 keys = [prefix(s, shared.value, similarity) for s in sets]
-                counts = [len(k) for k in keys]
-                at = np.concatenate([np.arange(c, dtype=np.int32) for c in counts] or [np.empty(0, np.int32)])
-                node, n = np.repeat(batch.column("node").to_numpy(), counts), np.repeat(np.array([len(s) for s in sets], np.int32), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [np.empty(0, np.int64)])), pa.array(node), pa.array(at), pa.array(n)], ["key", "node", "at", "n"])
+                offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys or [np.empty(0, np.int64)])))
+                bits = np.array([parities(s) for s in sets], np.int64).reshape(-1, len(PARITIES))
+                columns = [batch.column("node"), pa.array(list(map(_same, raw)), pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists, *map(pa.array, bits.T.copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "same", "n", "keys", *PARITIES])
 
-    return map_arrow(texts.select("node", "text"), run, "key long, node long, at int, n int")
+    return map_arrow(texts.select("node", "text"), run, "node long, same binary, n int, keys array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -111,10 +128,12 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     same = written(keys.groupBy("same").agg(F.min("doc_id").alias("node")), "same")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL")
     if _repeats(docs):
-        texts = texts.dropDuplicates(["node"])
-    nodes = texts.join(same.select("node").distinct().hint("merge"), "node", "left_semi")
+        texts = texts.groupBy("node").agg(F.min("text").alias("text"))
+    alike = [F.first(c).alias(c) for c in ("n", "keys", *PARITIES)]  # of equal words
+    nodes = written(_sets(texts, words, similarity).groupBy("same").agg(F.min("node").alias("node"), *alike).drop("same"), "nodes")
+    postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     in_key = Window.partitionBy("key")
-    met = _postings(nodes, words, similarity).withColumn("first", F.min(F.struct("node", "at", "n")).over(in_key)).withColumn("members", F.count("*").over(in_key))
+    met = postings.withColumn("first", F.min(F.struct("node", "at", "n")).over(in_key)).withColumn("members", F.count("*").over(in_key))
     met = written(met.where("members > 1").drop("members"), "met")
 
     def reach(at, n, other_at, other_n):
@@ -122,9 +141,15 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
         return both / (F.col(n) + F.col(other_n) - both) >= similarity - SLACK
 
     leads = met.where("node <> first.node").where(reach("at", "n", "first.at", "first.n")).groupBy(F.col("node").alias("b")).agg(F.min("first.node").alias("a")).select("a", "b")
-    shingles = written(_shingles(texts.join(met.select("node").distinct().hint("merge"), "node", "left_semi"), words), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        sketches = nodes.select("node", "n", *PARITIES)
+        one, two = (sketches.toDF(side, *[f"{side}_{c}" for c in ("n", *PARITIES)]).hint("merge") for side in "ab")
+        differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES), F.lit(0))
+        allowed = (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        pairs = written(pairs.join(one, "a").join(two, "b").where(differ <= allowed).select("a", "b"), "pairs")
+        members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        shingles = written(_shingles(texts.join(members.hint("merge"), "node", "left_semi"), words), "shingles")
         one, two = shingles.toDF("a", "sa"), shingles.toDF("b", "sb")
         both = F.size(F.array_intersect("sa", "sb"))
         jaccard = both / (F.size("sa") + F.size("sb") - both)
