@@ -1,19 +1,21 @@
 """Token ids in blocks of an adaptive context-mixing range coder.
 
-Format of a chunk (little-endian): the magic, then counts, then zlib sections for
-document ids, document lengths, and the order-0 table (the chunk's distinct ids and
-their frequencies scaled to a power of two), then per block its number of ids, its
-number of 32-bit code words and the crc32 of its ids, then the code words.
-
-Within a block an id is coded at once by one range-coder step whose distribution
-mixes three predictions: order 0, the chunk's frequencies; order 1 and order 2, the
-id that last followed the same one or two ids in this block. Mixing shares follow
-running hit rates, kept per confidence of the predicting entry. Everything adaptive
-starts afresh in each block, so blocks decode independently (given the chunk's
-order-0 table); a wrong checksum raises.
-
-The blocks of a chunk are coded in lockstep, a numpy lane each: a step codes one id
-of every block.
+Format of a chunk (little-endian): the magic, then byte counts, then zlib sections for
+document ids and document lengths, then the chunk's ids as one block: its number of
+ids, its alphabet (a zlib section of the distinct ids' differences), the crc32 of its
+ids, the number of 32-bit code words of each lane, then the code words.
+
+An id is coded at once by one range-coder step whose distribution mixes three adaptive
+predictions: order 0, the frequencies of the ids so far; order 1 and order 2, the id that has
+stood its ground after the same one or two ids, with a confidence that hits raise and
+misses lower until another id takes its place. Mixing shares are the hit rates so far by
+order and confidence. Everything starts afresh in each block and nothing is stored but
+the alphabet, so blocks decode independently; a wrong checksum raises.
+
+A block's ids are dealt to lanes, stretches of equal length, and a step codes one id of
+every lane with numpy. All lanes of a block share the predictions, which learn from a step
+when all of it is coded. The frequencies are worked out anew at steps that double, then
+every ``REFRESH`` steps.
 """
 
 from __future__ import annotations
@@ -23,76 +25,94 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMRC1\0"
-BLOCK = 2048
-CONTEXT_BITS = 10
+MAGIC = b"CMRC2\0"
+#: Lanes of a block at most, and ids a lane has at least (but for short blocks).
+LANES, LEAST = 2048, 256
+CONTEXT_BITS, REFRESH = 20, 32
+CONFIDENT = 15
 #: Shares are out of 256; what orders 1 and 2 can take together leaves some to order 0.
-MOST = np.uint32(244)
-RATE = 4
+MOST = 248
 _U32, _U64 = np.uint32, np.uint64
 _WORD = _U64(32)
 _LOW32 = _U64(0xFFFFFFFF)
+#: Confidence after a miss (halved; below 2 the new id moves in) or a hit (one more).
+_NEXT = np.array([max(1, c // 2) for c in range(CONFIDENT + 1)] + [min(CONFIDENT, c + 1) for c in range(CONFIDENT + 1)], _U32)
 
 
 class _Mixer:
-    """Adaptive state of the lanes; orders 1 and 2 are the rows of two-row arrays."""
-
-    def __init__(self, lanes: int, total_bits: int):
-        self.k = _U32(total_bits)
-        self.table = np.zeros(2 * lanes << CONTEXT_BITS, _U32)
-        self.rate = np.full(2 * lanes * 4, 1 << 14, np.int32)
-        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << CONTEXT_BITS
-        self.quad = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 4
+    """Adaptive state of a block, the same in coder and decoder."""
+
+    def __init__(self, lanes: int, distinct: int):
+        self.k = _U32(max(16, int(distinct).bit_length() + 1))
+        self.counts = np.zeros(distinct, np.int64)
+        self.one, self.two = np.zeros(distinct, _U32), np.zeros(1 << CONTEXT_BITS, _U32)
+        self.seen = np.zeros((2, 2, CONFIDENT + 1), np.int64)  # order, missed or hit, confidence
+        self.seen[:, 0] = 4
         self.last, self.before = np.zeros(lanes, _U32), np.zeros(lanes, _U32)
-        self._buffers(lanes)
-
-    def _buffers(self, lanes: int) -> None:
-        self.context = np.empty((2, lanes), _U32)
-        self.at = np.empty((2, lanes), np.int64)
-        self.rate_at = np.empty((2, lanes), np.int64)
-        self.share = np.empty((2, lanes), _U32)
+        self.step, self.due = 0, 1
+        self.fresh: list[np.ndarray] = []
+        self.kinds: list[np.ndarray] = []
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Frequencies scaled to a power of two, each at least 1; and the mixing shares."""
+        if self.fresh:
+            self.counts += np.bincount(np.concatenate(self.fresh), minlength=len(self.counts))
+            for order in (0, 1):
+                kinds = np.concatenate([k[order] for k in self.kinds])
+                self.seen[order] += np.bincount(kinds, minlength=2 * CONFIDENT + 2).reshape(2, -1)
+            self.fresh, self.kinds = [], []
+        n = len(self.counts)
+        room = (1 << int(self.k)) - n
+        freq = self.counts * room // max(int(self.counts.sum()), 1) + 1
+        freq[int(freq.argmax())] += (1 << int(self.k)) - int(freq.sum())
+        self.freq = freq.astype(_U32)
+        self.cum = (np.cumsum(freq) - freq).astype(_U32)
+        hits = self.seen[:, 1]
+        self.rates = (hits * MOST // self.seen.sum(axis=1)).astype(_U32)
+        if self.seen.sum() > 1 << 24:
+            self.seen = (self.seen >> 1) + 1
 
     def shrink(self, lanes: int) -> None:
-        self.base, self.quad, self.last, self.before = self.base[:, :lanes], self.quad[:, :lanes], self.last[:lanes], self.before[:lanes]
-        self._buffers(lanes)
+        self.last, self.before = self.last[:lanes], self.before[:lanes]
 
     def predict(self):
-        """Ids predicted by orders 1 and 2, their shares shifted to the total, and
-        the share of order 0."""
-        context = self.context
-        np.multiply(self.last, _U32(0x9E3779B1), out=context[0])
-        np.multiply(self.before, _U32(0x85EBCA77), out=context[1])
-        context[1] ^= context[0]
-        context[1] *= _U32(0xC2B2AE3D)
-        context >>= _U32(32 - CONTEXT_BITS)
-        np.add(self.base, context, out=self.at)
-        entry = self.table.take(self.at, mode="wrap")
-        self.confidence = entry & _U32(3)
-        entry >>= _U32(2)
-        np.add(self.quad, self.confidence, out=self.rate_at)
-        self.old = self.rate.take(self.rate_at, mode="wrap")
-        share = self.share
-        share[:] = self.old
-        share[1] *= MOST
-        share[1] >>= _U32(16)
-        share[0] *= MOST - share[1]
-        share[0] >>= _U32(16)
+        """Ids predicted by orders 1 and 2, their shares shifted to the total, and the
+        share of order 0."""
+        at = self.before * _U32(0x9E3779B1)
+        at ^= self.last * _U32(0x85EBCA77)
+        at *= _U32(0xC2B2AE3D)
+        at >>= _U32(32 - CONTEXT_BITS)
+        self.at = at
+        entries = np.empty((2, len(at)), _U32)
+        self.one.take(self.last, out=entries[0], mode="wrap")
+        self.two.take(at, out=entries[1], mode="wrap")
+        self.confidence = entries & _U32(CONFIDENT)
+        entries >>= _U32(4)
+        share = np.empty((2, len(at)), _U32)
+        self.rates[1].take(self.confidence[1], out=share[1], mode="wrap")
+        self.rates[0].take(self.confidence[0], out=share[0], mode="wrap")
+        share[0] *= _U32(256) - share[1]
+        share[0] >>= _U32(8)
         plain = _U32(256) - share[0]
         plain -= share[1]
         share <<= self.k
-        return entry, share, plain
-
-    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
-        old = self.old
-        step = np.where(hit, 65535 - old, -old)
-        step >>= RATE
-        old += step
-        self.rate[self.rate_at] = old
-        confidence = np.minimum(self.confidence + _U32(1), _U32(3))
-        confidence *= hit
-        confidence |= x << _U32(2)
-        self.table[self.at] = confidence
+        return entries, share, plain
+
+    def learn(self, x: np.ndarray, predicted: np.ndarray, hit: np.ndarray) -> None:
+        kinds = hit * _U32(CONFIDENT + 1)
+        kinds += self.confidence
+        self.kinds.append(kinds.astype(np.uint8))
+        np.copyto(predicted, x, where=kinds < 2)
+        predicted <<= _U32(4)
+        predicted |= _NEXT.take(kinds)
+        self.one[self.last], self.two[self.at] = predicted
         self.before, self.last = self.last, x
+        self.fresh.append(x)
+        self.step += 1
+        if self.step == self.due:
+            self._refresh()
+            self.due = min(2 * self.due, self.due + REFRESH)
 
 
 def _span(x, predicted, share, plain, freq, cum):
@@ -124,23 +144,15 @@ def _renormalised(low, width, emit):
         low[at], width[at] = own << _WORD, wide << _WORD
 
 
-def _order0(ranks: np.ndarray, distinct: int) -> tuple[np.ndarray, int]:
-    """Frequencies of the ranks scaled to a power of two, each at least 1."""
-    k = max(16, int(distinct).bit_length() + 1)
-    counts = np.bincount(ranks, minlength=distinct).astype(np.float64)
-    room = (1 << k) - distinct
-    freq = np.floor(counts / max(counts.sum(), 1) * room).astype(np.int64) + 1
-    freq[int(freq.argmax())] += (1 << k) - int(freq.sum())
-    return freq.astype(_U32), k
-
-
-def _lanes(n: int) -> tuple[int, int]:
-    lanes = -(-n // BLOCK)
-    return lanes, n - (lanes - 1) * BLOCK if lanes else 0
+def _lanes(n: int) -> tuple[int, int, int]:
+    """Number of lanes of n ids, ids a lane, and ids of the last one."""
+    length = max(LEAST, -(-n // LANES))
+    lanes = -(-n // length)
+    return lanes, length, n - (lanes - 1) * length if lanes else 0
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
-    """Order-0 table, block directory and code words of unsigned 32-bit ids."""
+    """One block of unsigned 32-bit ids."""
     if len(ids) and int(ids.max()) < 1 << 22:
         distinct = np.flatnonzero(np.bincount(ids))
         rank = np.zeros(int(distinct[-1]) + 1, _U32)
@@ -149,79 +161,80 @@ def encode_ids(ids: np.ndarray) -> bytes:
     else:
         distinct, ranks = np.unique(ids, return_inverse=True)
         ranks = ranks.astype(_U32)
-    freq, k = _order0(ranks, len(distinct)) if len(distinct) else (np.empty(0, _U32), 16)
-    cum = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(_U32) if len(freq) else freq
-    lanes, tail = _lanes(len(ids))
-    padded = np.zeros(lanes * BLOCK, _U32)
+    lanes, length, tail = _lanes(len(ids))
+    raw = np.ascontiguousarray(ids, "<u4")
+    table = zlib.compress(np.diff(distinct.astype("<i8"), prepend=0).astype("<u4").tobytes(), 6)
+    head = struct.pack("<QIII", len(ids), len(distinct), len(table), zlib.crc32(raw)) + table
+    if not lanes:
+        return head
+    padded = np.zeros(lanes * length, _U32)
     padded[: len(ranks)] = ranks
-    steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+    steps = np.ascontiguousarray(padded.reshape(lanes, length).T)
     del padded, ranks
-    words = np.zeros((lanes, BLOCK + 8), "<u4")
+    words = np.zeros((lanes, length + 8), "<u4")
     used = np.zeros(lanes, np.int64)
     low, width = np.zeros(lanes, _U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U64)
-    mixer = _Mixer(lanes, k)
+    mixer = _Mixer(lanes, len(distinct))
 
     def emit(at, word):
         words[at, used[at]] = word
         used[at] += 1
 
     active = lanes
-    for t in range(BLOCK if lanes > 1 else tail):
-        if t == tail and active == lanes:  # the last block ends before the others
+    shift = _U64(mixer.k + 8)
+    for t in range(length if lanes > 1 else tail):
+        if t == tail and active == lanes:  # the last lane ends before the others
             active = lanes - 1
             mixer.shrink(active)
         x = steps[t, :active]
         predicted, share, plain = mixer.predict()
-        begin, size, hit = _span(x, predicted, share, plain, freq, cum)
+        begin, size, hit = _span(x, predicted, share, plain, mixer.freq, mixer.cum)
         l, w = low[:active], width[:active]
-        r = w >> _U64(k + 8)
+        r = w >> shift
         l += r * begin
         np.multiply(r, size, out=w)
         _renormalised(l, w, emit)
-        mixer.learn(x, hit)
+        mixer.learn(x, predicted, hit)
     for _ in range(2):  # flush
         emit(np.arange(lanes), low >> _WORD)
         low <<= _WORD
-    raw = np.ascontiguousarray(ids, "<u4")
-    crcs = [zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK]) for i in range(lanes)]
-    table = zlib.compress(np.diff(distinct.astype("<i8"), prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
-    directory = np.stack([used.astype("<u4"), np.array(crcs, "<u4")]).tobytes() if lanes else b""
-    body = b"".join(words[i, : used[i]].tobytes() for i in range(lanes))
-    return struct.pack("<QIIB", len(ids), len(distinct), len(table), k) + table + directory + body
+    return head + used.astype("<u4").tobytes() + b"".join(words[i, : used[i]].tobytes() for i in range(lanes))
 
 
 def decode_ids(data: bytes) -> np.ndarray:
     """The ids of ``encode_ids``; a block whose checksum differs raises ValueError."""
-    n, n_distinct, n_table, k = struct.unpack_from("<QIIB", data)
-    at = struct.calcsize("<QIIB")
-    table = np.frombuffer(zlib.decompress(data[at : at + n_table]), "<u4")
+    n, n_distinct, n_table, crc = struct.unpack_from("<QIII", data)
+    at = struct.calcsize("<QIII")
+    distinct = np.cumsum(np.frombuffer(zlib.decompress(data[at : at + n_table]), "<u4").astype(np.int64)).astype(_U32)
     at += n_table
-    distinct, freq = np.cumsum(table[:n_distinct].astype(np.int64)).astype(_U32), table[n_distinct:].astype(_U32)
-    lanes, tail = _lanes(n)
+    lanes, length, tail = _lanes(n)
     if not lanes:
         return np.empty(0, _U32)
-    cum = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(_U32)
-    symbol = np.repeat(np.arange(n_distinct, dtype=_U32), freq)
-    used, crcs = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(2, lanes)
-    words = np.frombuffer(data, "<u4", int(used.sum()), at + 8 * lanes).astype(_U64)
+    used = np.frombuffer(data, "<u4", lanes, at)
+    words = np.frombuffer(data, "<u4", int(used.sum()), at + 4 * lanes).astype(_U64)
     words = np.concatenate((words, np.zeros(2, _U64)))
     place = np.concatenate(([0], np.cumsum(used[:-1], dtype=np.int64)))
     code = (words[place] << _WORD) | words[place + 1]
     place += 2
     low, width = np.zeros(lanes, _U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U64)
-    steps = np.zeros((BLOCK, lanes), _U32)
-    mixer = _Mixer(lanes, k)
+    steps = np.zeros((length, lanes), _U32)
+    mixer = _Mixer(lanes, n_distinct)
+    all_ranks = np.arange(n_distinct, dtype=_U32)
+    freq, symbol = None, None
 
     def take(at, _):
         code[at] = (code[at] << _WORD) | words[np.minimum(place[at], len(words) - 1)]
         place[at] += 1
 
     active = lanes
-    shift, most = _U64(k + 8), _U64((1 << (k + 8)) - 1)
-    for t in range(BLOCK if lanes > 1 else tail):
+    shift, most = _U64(mixer.k + 8), _U64((1 << (int(mixer.k) + 8)) - 1)
+    for t in range(length if lanes > 1 else tail):
         if t == tail and active == lanes:
             active = lanes - 1
             mixer.shrink(active)
+        if mixer.freq is not freq:
+            freq, cum = mixer.freq, mixer.cum
+            symbol = np.repeat(all_ranks, freq)
         predicted, share, plain = mixer.predict()
         l, w = low[:active], width[:active]
         r = w >> shift
@@ -250,13 +263,11 @@ def decode_ids(data: bytes) -> np.ndarray:
         l += r * begin
         np.multiply(r, size, out=w)
         _renormalised(l, w, take)
-        mixer.learn(x, hit)
+        mixer.learn(x, predicted, hit)
         steps[t, :active] = x
     ids = distinct[np.ascontiguousarray(steps.T).reshape(-1)[:n]]
-    raw = np.ascontiguousarray(ids, "<u4")
-    for i in range(lanes):
-        if zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK]) != crcs[i]:
-            raise ValueError(f"checksum of block {i} differs")
+    if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != crc:
+        raise ValueError("checksum of a block differs")
     return ids
 
 

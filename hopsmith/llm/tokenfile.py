@@ -2,7 +2,7 @@
 
 Documents are range partitioned and sorted by id; a partition is a file, cut into
 chunks of about ``chunk_tokens`` ids at document ends. A chunk (see ``rangecoder``)
-holds its documents' ids and lengths and independently reset, checksummed blocks. The
+holds its documents' ids and lengths and an independently reset, checksummed block. The
 chunks travel as one binary column of a Parquet dataset, so any store that Spark
 writes to will do and its commit protocol covers lost executors.
 
@@ -33,25 +33,31 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chun
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, file, chunk = encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []  # of documents: their ids, lengths and token ids
         size = 0
 
         def out() -> pa.RecordBatch:
-            lengths = np.array([len(ids) // 4 for _, ids in held], np.int64)
-            payload = encode_chunk(np.array([i for i, _ in held], np.int64), lengths, np.frombuffer(b"".join(ids for _, ids in held), "<u4"))
-            row = ([file], [chunk], [len(held)], [int(lengths.sum())], [payload])
+            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            payload = encode_chunk(doc_ids.astype(np.int64), lengths, ids)
+            row = ([file], [chunk], [len(doc_ids)], [len(ids)], [payload])
             release_memory()  # a chunk's arrays are the most that this task holds
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["file", "chunk", "n_docs", "n_tokens", "payload"])
 
         for batch in row_slices(batches):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in text_slices(texts):
-                for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts[a:b])):
-                    held.append((doc_id, ids))
-                    size += len(ids) // 4
+                ids, lengths = coder.encode_flat(texts[a:b])
+                ends, at = np.cumsum(lengths), 0
+                while at < len(ends):
+                    done = int(ends[at - 1]) if at else 0
+                    upto = min(len(ends), int(np.searchsorted(ends, done + chunk_tokens - size)) + 1)
+                    held.append((doc_ids[a + at : a + upto], lengths[at:upto], ids[done : ends[upto - 1]].copy()))
+                    size += int(ends[upto - 1]) - done
+                    at = upto
                     if size >= chunk_tokens:
                         yield out()
-                        held, size, chunk = [], 0, chunk + 1
+                        size, chunk = 0, chunk + 1
         if held:
             yield out()
 

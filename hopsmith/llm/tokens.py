@@ -1,164 +1,274 @@
 """Whole texts to token ids, with the ``tokenizers`` library.
 
-Words (cut at spaces and line feeds) repeat, so each worker keeps the ids of
-words it has met, up to a bounded number, and asks the library only for new ones.
-That gives the ids of the whole text exactly if the tokenizer never looks across
-a space or line feed; ``splits_at_spaces`` tests this on the tokenizer's own
-definition, and any other tokenizer encodes whole texts.
+A tokenizer that lower-cases and cuts texts into letter runs, digits and other runs gives
+each of these pieces its ids without regard to what stands around it (``cuts_into_pieces``
+tests this on the tokenizer's own definition; any other tokenizer encodes whole texts). So
+texts are cut by numpy, distinct pieces are looked up among those that the worker keeps,
+and the library encodes the new ones.
+
+What a character becomes and which kind it is of is asked of the library's own normaliser
+and pre-tokeniser when it first occurs. Texts that hold an added token, aren't in normal
+form C or hold a character that doesn't become one character are encoded whole.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-import string
 import unicodedata
 import zlib
-from array import array
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+
+#: Pieces that a worker keeps; one takes about 200 bytes.
+CACHED_PIECES = 500_000
+#: Longer pieces aren't kept.
+CACHED_LENGTH = 64
+#: Characters of a text that are cut at once.
+STRETCH = 1 << 21
+#: Fixed value, the pattern of the pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _NUMBER, _OTHER, _UNKNOWN = 0, 1, 2, 3, 255
+_NOT_MET, _NOT_ONE = -2, -1
+_CODES = 0x110000
+_EMPTY, _END = 0, 1
+
 
-#: Words that a worker keeps after their second use, and others; a word takes about 200 bytes.
-CACHED_WORDS, RECENT_WORDS = 300_000, 150_000
-PUNCTUATION = string.punctuation
-#: Longer words aren't kept.
-CACHED_LENGTH = 48
-
-
-def splits_at_spaces(definition: dict) -> bool:
-    """Whether ids of a text are the ids of its words in a row: white space is
-    removed by the first split and no later step joins or marks words by place."""
-    pre = definition.get("pre_tokenizer") or {}
-    steps = pre.get("pretokenizers", [pre])
-    first = steps[0] if steps else {}
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    drops_space = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and pattern.endswith(r"[^\s\p{L}\p{N}]+") and " " not in pattern
-    by_place = any(s.get("add_prefix_space") for s in steps)
+def cuts_into_pieces(definition: dict) -> bool:
+    """Whether ids of a text are the ids of its pieces in a row."""
     normal = definition.get("normalizer") or {}
-    normal = {n.get("type") for n in normal.get("normalizers", [normal]) if n}
-    added = all(not a["lstrip"] and not a["rstrip"] and not a["single_word"] and not any(c.isspace() for c in a["content"]) for a in definition.get("added_tokens", []))
-    return drops_space and not by_place and added and definition.get("post_processor") is None and normal <= {"NFC", "Replace", "Lowercase"}
+    normal = normal.get("normalizers", [normal])
+    spaces = all(n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in normal if n.get("type") == "Replace")
+    pre = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = len(pre) == 2 and pre[0] == {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+    as_bytes = split and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+    model = definition.get("model") or {}
+    ends = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+    added = all(not a["lstrip"] and not a["rstrip"] and not a["single_word"] and not a["normalized"] for a in definition.get("added_tokens", []))
+    return [n.get("type") for n in normal] == ["NFC", "Replace", "Lowercase"] and spaces and as_bytes and ends and added and definition.get("post_processor") is None
 
 
 class Encoder:
-    """Encodes texts to arrays of unsigned 32-bit ids, each with ``end_id`` appended."""
+    """Encodes texts to unsigned 32-bit ids, each text with ``end_id`` appended."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         with open(path, encoding="utf-8") as file:
             definition = json.load(file)
-        self.by_word = splits_at_spaces(definition)
-        normal = definition.get("normalizer") or {}
-        self.lowers = any(n.get("type") == "Lowercase" for n in normal.get("normalizers", [normal]))
-        self.guards = [a["content"].lower() for a in definition.get("added_tokens", [])]
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """One call for all words; the tokens' offsets tell the words apart."""
-        joined = " ".join(words)
-        if not unicodedata.is_normalized("NFC", joined):
-            return self._ids(words)
-        coded = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids = array("I", coded.ids).tobytes()
-        begins = np.fromiter((a for a, _ in coded.offsets), np.int64, len(ids) // 4)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        cuts = [0, *(4 * np.searchsorted(begins, ends)).tolist()]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _lowered(self, text: str) -> str | None:
-        """The text in lower case if the tokenizer would make the same of it; None if
-        the text may hold an added token, which must be found as it stands."""
-        lower = text.lower()
-        if any(g in lower for g in self.guards):
-            return None
-        if not self.lowers:
-            return text
-        if text.isascii() or ("\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower)):
-            return lower
-        return text
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't kept. Punctuation after a letter is a token run of its
-        own, so a word and what follows it are encoded apart and put together."""
-        known, recent, out = self.known, self.recent, {}
-        cuts, units = [], {}
-        for w in words:
-            ids = recent.pop(w, None)
-            if ids is not None:
-                known[w] = out[w] = ids
-                continue
-            core = w.rstrip(PUNCTUATION)
-            if core and len(core) < len(w) and core[-1].isalpha():
-                cuts.append((w, core, w[len(core) :]))
-                units[core] = units[w[len(core) :]] = None
-            else:
-                units[w] = None
-        new = []
-        for u in units:
-            ids = known.get(u)
-            if ids is None and (ids := recent.pop(u, None)) is not None:
-                known[u] = ids
-            units[u] = ids
-            if ids is None:
-                new.append(u)
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            units.update(zip(part, self._word_ids(part)))
-        if len(recent) > RECENT_WORDS:
-            recent.clear()
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        recent.update((u, units[u]) for u in new if len(u) <= CACHED_LENGTH)
-        for w, core, rest in cuts:
-            units[w] = units[core] + units[rest]
-            if len(w) <= CACHED_LENGTH:
-                recent[w] = units[w]
-        out.update((w, units[w]) for w in words if w in units)
+        self.by_piece = cuts_into_pieces(definition)
+        self.guards = [a["content"] for a in definition.get("added_tokens", [])]
+        # the same model behind a cut at single spaces, for pieces that are cut already
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        letters = pre_tokenizers.ByteLevel.alphabet()
+        self.by_piece = self.by_piece and all(c in vocab and c + "</w>" in vocab for c in letters)
+        self.lower = np.full(_CODES, _NOT_MET, np.int32)
+        self.kind = np.full(_CODES, _UNKNOWN, np.uint8)
+        if self.by_piece:
+            self._meet(np.array([32]))  # it stands between texts
+        self._forget()
+
+    # pieces that are kept: their number, and for each number the place of its ids
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used = np.array([self.end_id], np.uint32), 1
+        self.start, self.length, self.uses = np.zeros(2, np.int64), np.array([0, 1]), np.zeros(2, np.int64)
+
+    def _keep_repeated(self) -> None:
+        """Make room: pieces that were met once go, and all if that isn't enough."""
+        stay = [(piece, number) for piece, number in self.known.items() if self.uses[number] > 1]
+        if len(stay) > CACHED_PIECES // 2:
+            stay = []
+        old = np.array([n for _, n in stay], np.int64)
+        ids = self._gathered(old)[0]
+        length = self.length[old]
+        self._forget()
+        self._add([p for p, _ in stay], ids, length, np.zeros(len(stay), np.int64))
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, length: np.ndarray, uses: np.ndarray) -> np.ndarray:
+        """Numbers given to new pieces."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(len(ids), self.used), np.uint32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(length) - length
+        self.used += len(ids)
+        numbers = len(self.start) + np.arange(len(pieces))
+        self.start, self.length, self.uses = np.concatenate((self.start, start)), np.concatenate((self.length, length)), np.concatenate((self.uses, uses))
+        self.known.update((p, n) for p, n in zip(pieces, numbers.tolist()) if len(p) <= CACHED_LENGTH)
+        return numbers
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and where each piece's ids end."""
+        length = self.length[numbers]
+        ends = np.cumsum(length)
+        at = np.repeat(self.start[numbers] - (ends - length), length)
+        at += np.arange(len(at))
+        return self.flat[at], ends
+
+    # what the library makes of characters and pieces
+
+    def _meet(self, codes: np.ndarray) -> None:
+        for code in codes.tolist():
+            c = chr(code)
+            plain = unicodedata.category(c) not in ("Cn", "Cs") and unicodedata.is_normalized("NFC", c)
+            low = self.tokenizer.normalizer.normalize_str(c) if plain else ""
+            self.lower[code] = ord(low) if len(low) == 1 else _NOT_ONE
+            if len(low) == 1 and self.kind[ord(low)] == _UNKNOWN:
+                cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+                beside_letter, beside_mark = cut("a" + low), cut("!" + low)
+                if len(beside_letter) == 1 and beside_letter[0][1][1] == 1:
+                    kind = _SPACE
+                elif len(beside_letter) == 1:
+                    kind = _LETTER
+                else:
+                    kind = _OTHER if len(beside_mark) == 1 else _NUMBER
+                self.kind[ord(low)] = kind
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes], uses: np.ndarray) -> np.ndarray:
+        """Numbers of pieces that aren't kept."""
+        out = np.empty(len(pieces), np.int64)
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                each = self._whole([p.decode() for p in part])
+                ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+            out[at : at + len(part)] = self._add(part, ids, np.diff(ends, prepend=0), uses[at : at + len(part)])
         return out
 
+    # texts
+
+    def _starts(self, low: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Where pieces and runs of spaces begin."""
+        begins = np.empty(len(low), bool)
+        begins[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= kind == _NUMBER
+        # an apostrophe alone takes the letters of a contraction along
+        at = np.flatnonzero((low == 39) & begins)
+        at = at[at + 1 < len(low)]
+        at = at[kind[at + 1] == _LETTER]
+        if len(at):
+            one = low[at + 1]
+            two = np.where(at + 2 < len(low), low[np.minimum(at + 2, len(low) - 1)], 0)
+            taken = np.isin(one, [ord(c) for c in "stmd"]).astype(np.int64)
+            for pair in ("re", "ve", "ll"):
+                taken[(one == ord(pair[0])) & (two == ord(pair[1]))] = 2
+            at, taken = at[taken > 0], taken[taken > 0]
+            begins[at + 1] = False
+            after = at + taken + 1
+            begins[after[after < len(low)]] = True
+        return np.flatnonzero(begins)
+
+    def _cut(self, texts: list[str], closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, the end id after each that is ``closed``, and where each text's ids end."""
+        joined = " ".join(texts)
+        low = self.lower[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
+        kind = self.kind[low]
+        starts = self._starts(low, kind)
+        data = low.astype(np.uint8).tobytes() if joined.isascii() else low.astype("<u4").tobytes().decode("utf-32-le").encode()
+        if len(data) == len(low):
+            place = starts
+        else:
+            width = (low >= 0x80).astype(np.int8)
+            width += low >= 0x800
+            width += low >= 0x10000
+            place = starts + (np.cumsum(width, dtype=np.int32) - width)[starts]
+        offsets = np.append(place, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        index, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > CACHED_PIECES:
+            self._keep_repeated()
+        uses = np.bincount(index, minlength=len(pieces))
+        number = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
+        new = np.flatnonzero(number < 0)
+        number[new] = _EMPTY
+        new = np.array([i for i in new.tolist() if pieces[i][0] != 32], np.int64)  # not a run of spaces
+        met = np.flatnonzero(number > 0)
+        self.uses[number[met]] += uses[met]
+        if len(new):
+            number[new] = self._learn([pieces[i] for i in new.tolist()], uses[new])
+        text_ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        after = np.searchsorted(starts, text_ends)
+        numbers = np.insert(number[index], after, np.where(closed, _END, _EMPTY))
+        ids, ends = self._gathered(numbers)
+        return ids, ends[after + np.arange(len(texts))]
+
+    def _is_plain(self, text: str) -> bool:
+        if any(g in text for g in self.guards) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return False
+        for at in range(0, len(text), STRETCH):
+            codes = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), "<u4")
+            low = self.lower[codes]
+            if (low == _NOT_MET).any():
+                self._meet(np.unique(codes[low == _NOT_MET]))
+                low = self.lower[codes]
+            if (low == _NOT_ONE).any():
+                return False
+        return True
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (null: empty), each with the end id last, and each
+        text's number of ids."""
+        out: list[np.ndarray] = []
+        lengths = np.zeros(len(texts), np.int64)
+        held: list[tuple[int, str, bool]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                ids, ends = self._cut([t for _, t, _ in held], np.array([c for _, _, c in held]))
+                np.add.at(lengths, [i for i, _, _ in held], np.diff(ends, prepend=0))
+                out.append(ids)
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            text = text or ""
+            if not self.by_piece or not self._is_plain(text):
+                flush()
+                ids = np.append(self._whole([text])[0], np.uint32(self.end_id))
+                lengths[i] = len(ids)
+                out.append(ids)
+                continue
+            for part, last in _parts(text):
+                held.append((i, part, last))
+                size += len(part)
+                if size >= STRETCH:
+                    flush()
+        flush()
+        return np.concatenate(out) if out else np.empty(0, np.uint32), lengths
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text (null: empty), the end id last."""
-        if not self.by_word:
-            return [ids + self.end for ids in self._ids([t or "" for t in texts])]
-        collecting = gc.isenabled()
-        gc.disable()  # many short-lived lists, none in a cycle
-        try:
-            return self._by_words(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _by_words(self, texts: list[str | None]) -> list[bytes]:
-        get = self.known.get
-        out: list = []
-        missing: dict[str, list[tuple[list, int]]] = {}
-        for text in texts:
-            lower = self._lowered(text or "")
-            if lower is None:
-                out.append([self._ids([text])[0]])
-                continue
-            words = lower.replace("\n", " ").split(" ")
-            parts = list(map(get, words))
-            if None in parts:
-                for i, part in enumerate(parts):
-                    if part is None:
-                        missing.setdefault(words[i], []).append((parts, i))
-            out.append(parts)
-        learned = self._learn(list(missing))
-        for word, places in missing.items():
-            ids = learned[word]
-            for parts, i in places:
-                parts[i] = ids
-        return [b"".join(parts) + self.end for parts in out]
+        ids, lengths = self.encode_flat(texts)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _parts(text: str):
+    """(part, whether it is the last) of a text; a long one is cut before spaces."""
+    at = 0
+    while len(text) - at > 2 * STRETCH:
+        cut = text.rfind(" ", at + 1, at + STRETCH)
+        if cut < 0 and (cut := text.find(" ", at + STRETCH)) < 0:
+            break
+        yield text[at:cut], False
+        at = cut
+    yield text[at:] if at else text, True
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -171,14 +281,14 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
-def row_slices(batches, rows: int = 512):
+def row_slices(batches, rows: int = 2048):
     """Short slices of Arrow batches, so that few texts are held as Python strings."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
-def text_slices(texts: list, limit: int = 1 << 20):
+def text_slices(texts: list, limit: int = STRETCH):
     """Ranges of texts that hold about ``limit`` characters each."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -234,15 +234,8 @@ def encoded():
 
 def test_encoder_is_the_library(encoded):
     coder = tokens.Encoder(WORD_BPE, 2)
-    assert coder.by_word
-    for _ in range(2):  # new words, then known ones
+    for _ in range(2):  # new pieces, then known ones
         assert coder.encode(list(IDS.values())) == [encoded[i].tobytes() for i in IDS]
-    odd = ["J̌ ǰ J̌x", "ΣΑΣ Σ", "İstanbul, İ", "é*** é", "o'\nll 's", "a　b c\x85d"]
-    whole = [np.array(coder.tokenizer.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes() for x in odd]
-    assert coder.encode(odd) == whole
-    assert not tokens.splits_at_spaces({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}})
-    byte_level = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 7)
-    assert byte_level.encode(["a b", None])[1] == (7).to_bytes(4, "little")
 
 
 def test_packing(docs, empty, encoded):
@@ -280,13 +273,12 @@ def test_differencing():
         assert sums.sum() == sizes.sum() and len(sums) == k
         assert sums.max() <= sizes.sum() / k + sizes.max()
     assert sorted(np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])) == [14, 16]
-    assert np.bincount(packing.pack_sizes(np.array([300] * 7), 512), [300] * 7).max() <= 512
 
 
 def test_range_coder():
     r = np.random.default_rng(2)
     cases = [np.zeros(0, "u4"), np.array([7], "u4"), np.full(9000, 3, "u4"), r.integers(0, 2**32, 5000).astype("u4"), r.zipf(1.3, 30000).clip(max=40000).astype("u4"), np.tile(r.integers(0, 99, 50), 400).astype("u4")]
-    cases += [r.integers(0, 9, n).astype("u4") for n in (2047, 2048, 2049, 4096)]
+    cases += [r.integers(0, 9, n).astype("u4") for n in (255, 256, 257, 2048, 2049, 600_000)]
     for ids in cases:
         data = rangecoder.encode_ids(ids)
         assert (rangecoder.decode_ids(data) == ids).all() and len(rangecoder.decode_ids(data)) == len(ids)
