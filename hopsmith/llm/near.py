@@ -1,4 +1,9 @@
-"""One document of each group of near duplicates, nominated by a prefix filter.
+"""One document of each group of near duplicates, nominated by SimHash and a prefix filter.
+
+First, SimHash fingerprints of the shingle sets go through the byte-position index with
+count filtering (``simhash.links``), and pairs that it retains (at most ``BITS`` bits) are verified by
+their Jaccard similarity. No number of bits guarantees a similarity, so a prefix filter,
+which misses none, completes this.
 
 Pairs are those whose sets of ``words``-word shingles have a Jaccard similarity of at least
 ``similarity``. All shingles have one order, the same in every text; two sets of that
@@ -8,13 +13,13 @@ and n', it is also known that at most min(n - i, n' - j) are in common: pairs fo
 isn't enough don't meet there. The order is by the number of sampled texts that hold a shingle,
 then by its hash; the sample decides how long postings get, not what is found.
 
-No posting's pairs are all made. First every text meets one other, the smallest of the
-first members of its postings. Members that this (and what it connects) hasn't joined to
+No posting's pairs are all made. First every text meets, beside those that SimHash nominates,
+one other, the smallest of the first members of its postings. Members that this (and what it connects) hasn't joined to
 the largest component in a posting then meet the rest of it, but for pairs that the
 positions rule out. Two members that aren't compared are connected already or known to be
 apart.
 
-Before texts are read again, pairs are looked at by parities: 1,024 bits a set, each the parity
+Before texts are read again, and in the join of a posting's members itself, pairs are looked at by parities: 1,024 bits a set, each the parity
 of its shingles in one part of the hash range. Bits that differ between two sets are at most as
 many as the shingles in one of them only, so pairs with more than ``similarity`` allows are known to be apart.
 
@@ -34,11 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopsmith.llm import simhash
 from hopsmith.llm.common import bounded_fraction, connected_components, hash_sampled, map_arrow, utf8_list, written
 
 #: Keeps divisions from ruling out a pair at the limit.
 SLACK = 1e-9
 PARITIES = [f"p{i}" for i in range(16)]
+#: Fingerprints that differ in at most so many bits are nominated.
+BITS = 2
 
 
 def _same(text: bytes) -> bytes:
@@ -103,7 +111,7 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, same, n, keys, p0 ...): a hash of the words, and of the set of shingles its size, prefix and parities."""
+    """(node, same, n, keys, fp, p0 ...): a hash of the words, and of the set of shingles its size, prefix, SimHash and parities."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +124,11 @@ def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys or [np.empty(0, np.int64)])))
                 bits = np.array([parities(s) for s in sets], np.int64).reshape(-1, len(PARITIES))
-                columns = [batch.column("node"), pa.array(list(map(_same, raw)), pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists, *map(pa.array, bits.T.copy())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "same", "n", "keys", *PARITIES])
+                fps = np.array([simhash.majority_bits(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64)
+                columns = [batch.column("node"), pa.array(list(map(_same, raw)), pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(fps), *map(pa.array, bits.T.copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "same", "n", "keys", "fp", *PARITIES])
 
-    return map_arrow(texts.select("node", "text"), run, "node long, same binary, n int, keys array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
+    return map_arrow(texts.select("node", "text"), run, "node long, same binary, n int, keys array<long>, fp long, " + ", ".join(f"{p} long" for p in PARITIES))
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -129,7 +138,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL")
     if _repeats(docs):
         texts = texts.groupBy("node").agg(F.min("text").alias("text"))
-    alike = [F.first(c).alias(c) for c in ("n", "keys", *PARITIES)]  # of equal words
+    alike = [F.first(c).alias(c) for c in ("n", "keys", "fp", *PARITIES)]  # of equal words
     nodes = written(_sets(texts, words, similarity).groupBy("same").agg(F.min("node").alias("node"), *alike).drop("same"), "nodes")
     postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     in_key = Window.partitionBy("key")
@@ -140,14 +149,23 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
         both = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
         return both / (F.col(n) + F.col(other_n) - both) >= similarity - SLACK
 
-    leads = met.where("node <> first.node").where(reach("at", "n", "first.at", "first.n")).groupBy(F.col("node").alias("b")).agg(F.min("first.node").alias("a")).select("a", "b")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sketches = nodes.select("node", "n", *PARITIES)
-        one, two = (sketches.toDF(side, *[f"{side}_{c}" for c in ("n", *PARITIES)]).hint("merge") for side in "ab")
-        differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES), F.lit(0))
-        allowed = (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        pairs = written(pairs.join(one, "a").join(two, "b").where(differ <= allowed).select("a", "b"), "pairs")
+    def may_agree(one: str, two: str):
+        """Parities differ in at most as many bits as sets that are similar enough."""
+        differ = sum((F.bit_count(F.col(f"{one}_{p}").bitwiseXOR(F.col(f"{two}_{p}"))) for p in PARITIES), F.lit(0))
+        return differ <= (F.col(f"{one}_n") + F.col(f"{two}_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+    first_met = met.where("node <> first.node").where(reach("at", "n", "first.at", "first.n")).groupBy(F.col("node").alias("b")).agg(F.min("first.node").alias("a")).select("a", "b")
+    of_fp = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    by_simhash = simhash.links(of_fp, BITS).toDF("a", "b")
+    same_fp = nodes.select("fp", F.col("node").alias("b")).join(of_fp, "fp").where("node < b").select(F.col("node").alias("a"), "b")
+    leads = by_simhash.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same_fp).unionByName(first_met).distinct()
+    leads = written(leads, "leads")
+
+    def verified(pairs: DataFrame, ruled: bool = False) -> DataFrame:
+        if not ruled:
+            sketches = nodes.select("node", "n", *PARITIES)
+            one, two = (sketches.toDF(side, *[f"{side}_{c}" for c in ("n", *PARITIES)]).hint("merge") for side in "ab")
+            pairs = written(pairs.join(one, "a").join(two, "b").where(may_agree("a", "b")).select("a", "b"), "pairs")
         members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         shingles = written(_shingles(texts.join(members.hint("merge"), "node", "left_semi"), words), "shingles")
         one, two = shingles.toDF("a", "sa"), shingles.toDF("b", "sb")
@@ -164,12 +182,16 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     # postings that have a member apart
     placed = placed.withColumn("open", F.count_if(F.col("own") != F.col("head")).over(in_key))
     placed = written(placed.where("open > 0").drop("open"), "placed")
-    apart = placed.where("own <> head").select("key", *[F.col(c).alias(f"m_{c}") for c in ("node", "own", "at", "n")])
-    others = placed.select("key", (F.col("own") == F.col("head")).alias("in_head"), *[F.col(c).alias(f"k_{c}") for c in ("node", "own", "at", "n")])
+    # their parities come along, so that the join itself leaves out pairs that are known to be apart
+    placed = placed.join(nodes.select("node", *PARITIES).hint("merge"), "node")
+    told = ("node", "own", "at", "n", *PARITIES)
+    apart = placed.where("own <> head").select("key", *[F.col(c).alias(f"m_{c}") for c in told])
+    others = placed.select("key", (F.col("own") == F.col("head")).alias("in_head"), *[F.col(c).alias(f"k_{c}") for c in told])
     once = F.col("in_head") | (F.col("m_node") < F.col("k_node"))
-    rest = apart.join(others.hint("merge"), "key").where("m_own <> k_own").where(once & reach("m_at", "m_n", "k_at", "k_n")).select(F.least("m_node", "k_node").alias("a"), F.greatest("m_node", "k_node").alias("b")).distinct()
-    rest = rest.join(leads.hint("merge"), ["a", "b"], "left_anti")
-    found = first.unionByName(written(verified(rest), "rest"))
+    can_be = (F.col("m_own") != F.col("k_own")) & once & reach("m_at", "m_n", "k_at", "k_n") & may_agree("m", "k")
+    rest = apart.join(others.hint("merge"), "key").where(can_be).select(F.least("m_node", "k_node").alias("a"), F.greatest("m_node", "k_node").alias("b")).distinct()
+    rest = written(rest.join(leads.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    found = first.unionByName(written(verified(rest, ruled=True), "rest"))
     # rows of one doc_id with different words are one document
     ties = keys.join(same, "same").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     component = connected_components(found.unionByName(ties))
@@ -182,8 +204,11 @@ def _repeats(docs: DataFrame) -> bool:
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is the smallest of its group."""
-    gone = groups(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    gone = groups(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     if not _repeats(docs):
         return kept
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
