@@ -47,6 +47,10 @@ SLACK = 1e-9
 PARITIES = [f"p{i}" for i in range(16)]
 #: Fingerprints that differ in at most so many bits are nominated.
 BITS = 2
+#: Members of postings whose pairs meet without a look at their parities.
+FEW = 16
+#: Bits of the bitmap that picks texts to verify: 4 MB.
+BITMAP = 1 << 25
 
 
 def _same(text: bytes) -> bytes:
@@ -140,10 +144,16 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
         texts = texts.groupBy("node").agg(F.min("text").alias("text"))
     alike = [F.first(c).alias(c) for c in ("n", "keys", "fp", *PARITIES)]  # of equal words
     nodes = written(_sets(texts, words, similarity).groupBy("same").agg(F.min("node").alias("node"), *alike).drop("same"), "nodes")
-    postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    # place and size travel as one number
+    spot = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("spot")
+    postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", spot)
     in_key = Window.partitionBy("key")
-    met = postings.withColumn("first", F.min(F.struct("node", "at", "n")).over(in_key)).withColumn("members", F.count("*").over(in_key))
-    met = written(met.where("members > 1").drop("members"), "met")
+    met = postings.withColumn("first", F.min(F.struct("node", "spot")).over(in_key)).withColumn("members", F.count("*").over(in_key)).where("members > 1")
+
+    def at_n(spot: str, *names: str):
+        return F.col(spot).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(names[0]), F.shiftright(spot, 32).cast("int").alias(names[1])
+
+    met = written(met.select("key", "node", *at_n("spot", "at", "n"), "members", F.struct("first.node", *at_n("first.spot", "at", "n")).alias("first")), "met")
 
     def reach(at, n, other_at, other_n):
         both = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
@@ -161,13 +171,13 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     leads = by_simhash.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same_fp).unionByName(first_met).distinct()
     leads = written(leads, "leads")
 
-    def verified(pairs: DataFrame, ruled: bool = False) -> DataFrame:
-        if not ruled:
-            sketches = nodes.select("node", "n", *PARITIES)
-            one, two = (sketches.toDF(side, *[f"{side}_{c}" for c in ("n", *PARITIES)]).hint("merge") for side in "ab")
-            pairs = written(pairs.join(one, "a").join(two, "b").where(may_agree("a", "b")).select("a", "b"), "pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
+        sketches = nodes.select("node", "n", *PARITIES)
+        one, two = (sketches.toDF(side, *[f"{side}_{c}" for c in ("n", *PARITIES)]).hint("merge") for side in "ab")
+        pairs = written(pairs.join(one, "a").join(two, "b").where(may_agree("a", "b")).select("a", "b"), "pairs")
         members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        shingles = written(_shingles(texts.join(members.hint("merge"), "node", "left_semi"), words), "shingles")
+        members = written(members, "members")
+        shingles = written(_shingles(_mostly_of(texts, members).join(members.hint("merge"), "node"), words), "shingles")
         one, two = shingles.toDF("a", "sa"), shingles.toDF("b", "sb")
         both = F.size(F.array_intersect("sa", "sb"))
         jaccard = both / (F.size("sa") + F.size("sb") - both)
@@ -175,29 +185,50 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
 
     first = written(verified(leads), "first")
     linked = connected_components(first)
-    placed = met.select("key", "node", "at", "n").join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+    placed = met.select("key", "node", "at", "n", "members").join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
     # a posting's head is the component that most of its members are in
     placed = placed.withColumn("size", F.count("*").over(Window.partitionBy("key", "own")))
     placed = placed.withColumn("head", F.max(F.struct("size", "own")).over(in_key)["own"]).drop("size")
     # postings that have a member apart
     placed = placed.withColumn("open", F.count_if(F.col("own") != F.col("head")).over(in_key))
     placed = written(placed.where("open > 0").drop("open"), "placed")
-    # their parities come along, so that the join itself leaves out pairs that are known to be apart
-    placed = placed.join(nodes.select("node", *PARITIES).hint("merge"), "node")
-    told = ("node", "own", "at", "n", *PARITIES)
-    apart = placed.where("own <> head").select("key", *[F.col(c).alias(f"m_{c}") for c in told])
-    others = placed.select("key", (F.col("own") == F.col("head")).alias("in_head"), *[F.col(c).alias(f"k_{c}") for c in told])
-    once = F.col("in_head") | (F.col("m_node") < F.col("k_node"))
-    can_be = (F.col("m_own") != F.col("k_own")) & once & reach("m_at", "m_n", "k_at", "k_n") & may_agree("m", "k")
-    rest = apart.join(others.hint("merge"), "key").where(can_be).select(F.least("m_node", "k_node").alias("a"), F.greatest("m_node", "k_node").alias("b")).distinct()
-    rest = written(rest.join(leads.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    found = first.unionByName(written(verified(rest, ruled=True), "rest"))
+    def meetings(rows: DataFrame, *sketch: str) -> DataFrame:
+        told = ("node", "own", "at", "n", *sketch)
+        apart = rows.where("own <> head").select("key", *[F.col(c).alias(f"m_{c}") for c in told])
+        others = rows.select("key", (F.col("own") == F.col("head")).alias("in_head"), *[F.col(c).alias(f"k_{c}") for c in told])
+        once = F.col("in_head") | (F.col("m_node") < F.col("k_node"))
+        can_be = (F.col("m_own") != F.col("k_own")) & once & reach("m_at", "m_n", "k_at", "k_n")
+        if sketch:
+            can_be &= may_agree("m", "k")
+        return apart.join(others.hint("merge"), "key").where(can_be).select(F.least("m_node", "k_node").alias("a"), F.greatest("m_node", "k_node").alias("b"))
+
+    # members of long postings bring their parities, so that the join itself leaves out pairs that are known to be apart
+    long = placed.where(F.col("members") > FEW).join(nodes.select("node", *PARITIES).hint("merge"), "node")
+    rest = meetings(placed.where(F.col("members") <= FEW)).unionByName(meetings(long, *PARITIES)).distinct()
+    rest = rest.join(leads.hint("merge"), ["a", "b"], "left_anti")
+    found = first.unionByName(written(verified(rest), "rest"))
     # rows of one doc_id with different words are one document
     ties = keys.join(same, "same").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     component = connected_components(found.unionByName(ties))
     return keys.select("doc_id").distinct().join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _mostly_of(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``node`` is in ``members``, and some others, without a shuffle
+    of the texts: nodes are looked up in a bitmap of ``BITMAP`` bits by their hash. Its size,
+    that of the broadcast, is fixed; when it fills up, more rows come through."""
+
+    def slot():
+        return F.pmod(F.xxhash64("node"), F.lit(BITMAP)) + 1
+
+    bitmap = members.select(slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.bitmap_bit_position(slot()) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("getbit(_byte, _bit)") == 1
+    looked_up = texts.withColumn("bucket", F.bitmap_bucket_number(slot())).join(F.broadcast(bitmap), "bucket")
+    looked_up = looked_up.withColumn("_byte", byte).withColumn("_bit", (F.bitmap_bit_position(slot()) % 8).cast("int"))
+    return looked_up.where(is_set).select("node", "text")
+
+
 def _repeats(docs: DataFrame) -> bool:
     return bool(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
 
