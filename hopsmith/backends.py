@@ -85,9 +85,10 @@ class StubBackend:
         return self.embed(texts)
 
 
-def call(df: DataFrame, name: str, kind: str, make: Callable[[], object], run: Callable[[object, pd.DataFrame], list], tries: int = 3, wait: float = 0.0, strict: bool = False) -> DataFrame:
+def call(df: DataFrame, name: str, kind: str, make: Callable[[], object], run: Callable[[object, pd.DataFrame], list], tries: int = 3, wait: float = 0.0, strict: bool = False, error: str | None = None) -> DataFrame:
     """Adds a column of model results. ``make`` builds the backend once a partition;
-    after ``tries`` failures a batch's results are null, or an error if ``strict``."""
+    after ``tries`` failures a batch's results are null, or an error if ``strict``. With a
+    name as ``error``, a column of that name holds the last failure's text (null: none)."""
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,16 +96,17 @@ def call(df: DataFrame, name: str, kind: str, make: Callable[[], object], run: C
         for batch in batches:
             for attempt in range(tries):
                 try:
-                    result = run(backend, batch)
+                    result, failure = run(backend, batch), None
                     break
-                except Exception:
+                except Exception as e:
                     if strict and attempt == tries - 1:
                         raise
-                    result = [None] * len(batch)
+                    result, failure = [None] * len(batch), f"{type(e).__name__}: {e}"
                     time.sleep(wait * 2**attempt)
-            yield batch.assign(**{name: result})
+            told = batch.assign(**{name: result})
+            yield told if error is None else told.assign(**{error: [failure] * len(batch)})
 
-    return df.mapInPandas(over, f"{schema}, `{name}` {kind}")
+    return df.mapInPandas(over, f"{schema}, `{name}` {kind}" + (f", `{error}` string" if error else ""))
 
 
 def generated(df: DataFrame, messages: str, n: int = 1, make=StubBackend, **how) -> DataFrame:

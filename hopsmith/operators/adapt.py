@@ -86,19 +86,44 @@ def in_context(samples: DataFrame, examples: DataFrame, name: str) -> DataFrame:
     return _sample(both, F.col(key or "_pos"), question(), answer(), F.col("_pool"), F.array(F.lit(0)), name)
 
 
+#: Sources that a combined set may hold, with the columns that each of them needs.
+COMBINED = {
+    "hotpotqa": ["_id", "question", "answer", "context", "supporting_facts"],
+    "2WikiMultihopQA": ["_id", "question", "answer", "context", "supporting_facts"],
+    "musique": ["id", "question", "answer", "paragraphs", "question_decomposition"],
+    "babilong": ["question", "answer", "chunks", "references_idx", "_pos"],
+}
+
+
+def _story_sample(df: DataFrame, source: str) -> DataFrame:
+    return _sample(df, F.col("_pos"), F.col("question"), F.col("answer"), F.col("chunks"), F.col("references_idx"), source)
+
+
 def combined(df: DataFrame) -> DataFrame:
-    """Rows of several multi-hop sources, each adapted under its own name."""
-    known = F.col("source").isin("hotpotqa", "2WikiMultihopQA", "HotPotQA", "2wiki")
-    checked = F.when(known, F.col("source")).otherwise(F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null")))))
-    return multihop(df, checked)
+    """Rows of several sources (those of ``COMBINED``), each adapted in its own way; any
+    other source is an error. Columns of families that don't occur may be missing."""
+    by_source = {"musique": paragraphs, "babilong": _story_sample}
+    parts = [by_source.get(name, multihop)(df.where(F.col("source") == name), name) for name, needs in COMBINED.items() if set(needs) <= set(df.columns)]
+    there = [name for name, needs in COMBINED.items() if set(needs) <= set(df.columns)]
+    unknown = df.where(~F.coalesce(F.col("source").isin(*there), F.lit(False)))
+    message = F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null"))))
+    none = F.array().cast("array<string>")
+    refused = unknown.select(message.cast("string").alias("id"), F.lit("").alias("question"), F.lit("").alias("answer"), none.alias("chunks"), F.array().cast("array<int>").alias("sf_idx"), "source")
+    return reduce(DataFrame.unionByName, parts, refused)
 
 
 ADAPTERS = {"hotpotqa": multihop, "2wiki": multihop, "musique": paragraphs, "babilong": stories, "LongBench": long_context, "RulerQA": ruler, "NQ+HotPotQA": open_qa}
 
 
-def adapt(df: DataFrame, name: str) -> DataFrame:
+def adapt(df: DataFrame, name: str, examples: DataFrame | None = None) -> DataFrame:
+    """By name; in-context sets take their pool of examples as well."""
     if name == "combined":
         return combined(df)
+    name = {"2WikiMultihopQA": "2wiki", "gsm8k": "GSM8K"}.get(name, name)
+    if name in IN_CONTEXT:
+        if examples is None:
+            raise ValueError(f"{name} needs examples")
+        return in_context(df, examples, name)
     if name not in ADAPTERS:
         raise ValueError(f"unknown data set: {name}")
     return ADAPTERS[name](df, name)

@@ -11,7 +11,8 @@ def min_chunks(df: DataFrame, k: int, column: str = "context", length: int | Non
     rows = df.where(F.coalesce(F.size(column), F.lit(0)) >= k)
     if length is not None and length > (available := rows.count()):
         raise ValueError(f"{length} rows asked for, {available} there")
-    return rows if length is None else rows.limit(length)
+    order = [c for c in ("_pos", "_id", "id") if c in rows.columns][:1]
+    return rows if length is None else rows.orderBy(*order).limit(length)
 
 
 def not_all_correct(df: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopsmith.functions import metrics, prompts, text, uncertainty, vectors
-from hopsmith.operators import aggregates, filters, joins, ranking, rewards
+from hopsmith.operators import aggregates, episodes, filters, joins, ranking, rewards
+from hopsmith.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,7 +62,7 @@ p AS (
     list(chunk_idx ORDER BY chunk_idx) FILTER (q_label = c_label) AS all_gold
   FROM r GROUP BY sample_id
 ), logged AS (
-  SELECT sample_id, label, pred_idx, q_values, coalesce(list_slice(all_gold, 1, 3), []) AS sf_idx FROM log
+  SELECT sample_id, label, pred_idx, q_values, coalesce(all_gold, []) AS sf_idx FROM log
 )
 """
 
@@ -84,16 +85,26 @@ def topk_cosine_per_query(spark, sf_dir):
 @query(_SCORED + "SELECT sample_id, chunk_idx, dot AS score, dot_rank AS rank FROM r WHERE dot_rank <= 4")
 def masked_greedy_episode(spark, sf_dir):
     """Four greedy steps with a static state: the order in which chunks are taken."""
+    rows = _episodes(spark, sf_dir)
+    scores = lambda df: F.transform("vectors", lambda v: F.round(vectors.dot(F.col("query"), v), 6))
+    done = episodes.greedy_episode(rows, scores, 4)
+    taken = done.select(F.col("id").cast("long").alias("sample_id"), F.posexplode(F.arrays_zip("selected", "q_values")).alias("at", "s"), "chunks")
+    return taken.select("sample_id", F.get("chunks", F.col("s.selected")).cast("long").alias("chunk_idx"), F.col("s.q_values").alias("score"), (F.col("at") + 1).alias("rank"))
+
+
+def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, query, chunks, vectors) of each sample."""
     queries, chunks = _vectors(spark, sf_dir)
-    return ranking.nearest(queries, chunks, 4, "dot", digits=6)
+    listed = chunks.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("vector").cast("array<double>").alias("v")))).alias("c"))
+    return queries.join(listed, "sample_id").select(F.col("sample_id").cast("string").alias("id"), F.transform("query", lambda x: x.cast("double")).alias("query"), F.transform("c", lambda x: x["chunk_idx"].cast("string")).alias("chunks"), F.col("c.v").alias("vectors"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A retriever log: predicted are the ten nearest, gold the first three of the query's label."""
+    """A retriever log: predicted are the ten nearest, gold all of the query's label."""
     queries, chunks = _vectors(spark, sf_dir)
     near = ranking.nearest(queries, chunks, K, "cosine", digits=6)
     pred = near.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_idx", "score"))).alias("p"))
-    gold = chunks.join(queries, "sample_id").where("c_label = q_label").groupBy("sample_id").agg(F.slice(F.array_sort(F.collect_list("chunk_idx")), 1, 3).alias("sf_idx"))
+    gold = chunks.join(queries, "sample_id").where("c_label = q_label").groupBy("sample_id").agg(F.array_sort(F.collect_list("chunk_idx")).alias("sf_idx"))
     none = F.array().cast("array<bigint>")
     rows = queries.join(pred, "sample_id").join(gold, "sample_id", "left")
     return rows.select("sample_id", F.col("q_label").alias("label"), F.transform("p", lambda x: x["chunk_idx"]).alias("pred_idx"), F.transform("p", lambda x: x["score"]).alias("q_values"), F.coalesce("sf_idx", none).alias("sf_idx"))
@@ -389,10 +400,10 @@ def resume_anti_join(spark, sf_dir):
     return filters.not_done(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def missing_ids(spark, sf_dir):
     ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return joins.missing_ids(ids, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    return joins.missing_ids(ids, table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id")))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -603,17 +614,18 @@ def reader_with_stub(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_windows(spark, sf_dir):
     """The event table as a stream of files, in hourly windows by event time."""
-    import uuid
-
     from hopsmith.streaming.logs import windowed_values
 
-    name = f"w{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/hopsmith"
-    run = windowed_values(source).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    path = scratch(spark, "windows")
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)  # a complete result replaces the one before
+
+    run = windowed_values(source).writeStream.foreachBatch(store).outputMode("complete").option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(path).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 # --- summaries, parsers and step rewards ------------------------------------
@@ -694,10 +706,12 @@ def agent_tags(spark, sf_dir):
     return t.select("conv_id", "turn", text.last_search(reply).alias("last_search"), text.tagged_answer(reply).alias("answer"))
 
 
-@query(_TURNS + "SELECT conv_id, turn, pred || chr(10) || 'A) ' || role || chr(10) || 'B) ' || gold AS prompt FROM t")
+@query(_TURNS + "SELECT conv_id, turn, 'QUESTION: ' || pred || chr(10) || 'OPTIONS:' || chr(10) || 'A) ' || role || chr(10) || 'B) ' || gold AS prompt, pred || chr(10) || 'A) ' || role || chr(10) || 'B) ' || gold AS endings, chr(65 + CAST(turn % 2 AS INTEGER)) AS letter FROM t")
 def options_query(spark, sf_dir):
-    t = _turns(spark, sf_dir)
-    return t.select("conv_id", "turn", F.concat("pred", text.letters(F.array("role", "gold"))).alias("prompt"))
+    from hopsmith.sources import readers
+
+    t = _turns(spark, sf_dir).withColumns({"question": F.col("pred"), "ctx": F.col("pred"), "options": F.array("role", "gold"), "endings": F.array("role", "gold"), "label": F.col("turn") % 2})
+    return t.select("conv_id", "turn", readers.options_query(t).alias("prompt"), readers.endings_query(t).alias("endings"), readers.endings_answer(t).alias("letter"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || replace(format('{:,}', CAST(o_custkey AS BIGINT)), ',', '') AS answers FROM orders")
@@ -740,13 +754,14 @@ def soft_update(spark, sf_dir):
 
 @query("""
 SELECT event_type AS feedback, count(*) AS n, round(avg(round(value, 2)), 6) AS mean, round(min(round(value, 2)), 6) AS min, round(max(round(value, 2)), 6) AS max
-FROM events WHERE value >= 0 AND user_id % 2 = 1 GROUP BY event_type
+FROM events WHERE value >= 0 GROUP BY event_type
 """)
 def reward_timing(spark, sf_dir):
-    """Events as lines of a timing log, those of odd users marked final."""
+    """Every event as two lines of a timing log: a step on the way, twice as long, and the final one."""
     e = table(spark, sf_dir, "events").where("value >= 0")
-    final = F.when(F.col("user_id") % 2 == 1, "True").otherwise("False")
-    line = F.concat(F.lit("log reward_ms="), F.round("value", 2).cast("decimal(18,2)").cast("string"), F.lit(" feedback="), "event_type", F.lit(" is_final="), final, F.lit(" reward=1.0"))
+    e = e.withColumn("final", F.explode(F.array(F.lit("True"), F.lit("False"))))
+    final, spent = F.col("final"), F.when(F.col("final") == "True", F.round("value", 2)).otherwise(2 * F.round("value", 2))
+    line = F.concat(F.lit("log reward_ms="), spent.cast("decimal(18,2)").cast("string"), F.lit(" feedback="), "event_type", F.lit(" is_final="), final, F.lit(" reward=1.0"))
     rows = aggregates.timing_summary(aggregates.timing_rows(e.select(line.alias("value"), F.col("event_id").alias("_pos"))))
     return rows.select("feedback", "n", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max")])
 
@@ -793,10 +808,5 @@ def sentence_split(spark, sf_dir):
 @query()
 def shifting_query_episode(spark, sf_dir):
     """Three greedy steps whose query moves towards what is selected."""
-    from hopsmith.operators import episodes
-
-    queries, chunks = _vectors(spark, sf_dir)
-    listed = chunks.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("vector").cast("array<double>").alias("v")))).alias("c"))
-    rows = queries.join(listed, "sample_id").select(F.col("sample_id").cast("string").alias("id"), F.transform("query", lambda x: x.cast("double")).alias("query"), F.transform("c", lambda x: x["chunk_idx"].cast("string")).alias("chunks"), F.col("c.v").alias("vectors"))
-    done = episodes.greedy_episode(rows, episodes.shifting_scores(0.5), 3)
+    done = episodes.greedy_episode(_episodes(spark, sf_dir), episodes.shifting_scores(0.5), 3)
     return done.select("id", F.transform("selected", lambda i: F.get("chunks", i)).alias("taken"), F.transform("q_values", lambda q: F.round(q, 6)).alias("q_values"))

@@ -7,6 +7,7 @@ ranked by name and rows within a file by where they stand.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,28 +36,61 @@ def jsonl_strict(spark: SparkSession, path: str | list[str], schema: str) -> Dat
     return lines.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A whole file as one array; such a file is one task, so convert large ones once."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
-def concatenated_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects that follow one another without line ends."""
-
+def _objects(whole: str, array: bool) -> Iterator[str]:
+    """Each JSON value of a text: the members of one array, or values that follow one another."""
+    decoder, at, end = json.JSONDecoder(), 0, len(whole)
+    blank = re.compile(r"\s*")
+
+    def past(mark: str) -> bool:
+        nonlocal at
+        at = blank.match(whole, at).end()
+        found = whole.startswith(mark, at)
+        at = blank.match(whole, at + len(mark)).end() if found else at
+        return found
+
+    if array and not past("["):
+        raise ValueError("not an array")
+    more = not past("]") if array else not past("") or at < end
+    while more:
+        start = at
+        _, at = decoder.raw_decode(whole, at)
+        yield whole[start:at]
+        if array:
+            more = past(",")
+            if not more and not past("]"):
+                raise ValueError(f"broken array at character {at}")
+        else:
+            past("")
+            more = at < end
+    if array and at < end:
+        raise ValueError(f"something after the array at character {at}")
+
+
+def _whole_files(spark: SparkSession, path: str, schema: str, array: bool) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = json.JSONDecoder()
         for batch in batches:
             for whole in batch["value"]:
-                at, out = 0, []
-                while (at := at + len(whole[at:]) - len(whole[at:].lstrip())) < len(whole):
-                    item, at = decoder.raw_decode(whole, at)
-                    out.append(json.dumps(item, ensure_ascii=False))
-                yield pd.DataFrame({"value": out})
+                if whole.strip():
+                    yield pd.DataFrame({"value": list(_objects(whole, array))}, dtype=object)
 
     rows = spark.read.text(path, wholetext=True).mapInPandas(parse, "value string")
     return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A whole file as one array; such a file is one task, so convert large ones once.
+
+    The file is cut into its members first and these are parsed one by one: Spark's own
+    multi-line reader takes time that grows with the square of the file where a mixed list
+    is read as text."""
+    return _whole_files(spark, path, schema, True)
+
+
+def concatenated_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects that follow one another without line ends."""
+    return _whole_files(spark, path, schema, False)
+
+
 def latest_by_id(df: DataFrame, key: Column | str = "id", order: str = "_pos") -> DataFrame:
     """The last record of each id, which is compared as text."""
     key = F.col(key) if isinstance(key, str) else key
@@ -187,6 +221,13 @@ def ruler_qa(spark: SparkSession, path: str, length: int | None = None) -> DataF
     return split_documents(first_rows(with_position(jsonl(spark, path, schemas.RULER)), length, "_pos"))
 
 
+def needle_split(spark: SparkSession, folder: str, split: str, length: int | None = None, seed: int = 52) -> DataFrame:
+    """Needle samples of a split's file; validation is read from the training file."""
+    file = "train" if split in ("train", "validation") else split
+    rows = with_position(jsonl(spark, f"{folder}/{file}.jsonl", schemas.RULER))
+    return needle_samples(first_rows(rows, length, *hash_order(seed, "index")))
+
+
 def needle_samples(df: DataFrame) -> DataFrame:
     """id, question, answer, chunks, sf_idx of needle records (index, input, outputs); the
     last sentence is the question, and supports that point at it are dropped."""
@@ -325,7 +366,7 @@ def success_samples(spark: SparkSession, folder: str, dataset: str, split: str,
         parts.append(adapted(rows, name).withColumn("split", F.lit(kind)))
     rows = reduce(DataFrame.unionByName, parts)
     rows = standard_shape(rows) if name == "hotpotqa" and not keep_nonstandard else rows
-    return rows.limit(limit) if limit > 0 else rows
+    return first_rows(rows, limit if limit > 0 else None, "split", "id")
 
 
 def question_rows(df: DataFrame, kind: str) -> DataFrame:

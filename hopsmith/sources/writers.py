@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,20 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def json_array(df: DataFrame, path: str) -> None:
-    """A text whose lines make one array; for results of a report's size, in one file."""
-    rows = df.coalesce(1).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    whole = rows.agg(F.collect_list("j").alias("j"))
-    whole.select(F.concat(F.lit("["), F.array_join("j", ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    """One array in one file, a row a line, for results of a report's size. The file is written
+    by one task as rows pass through it; none is held."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = "["
+        for batch in batches:
+            rows = batch["value"].tolist()
+            if rows:
+                yield pd.DataFrame({"value": [held, *[r + "," for r in rows[:-1]]]})
+                held = rows[-1] + ","
+        yield pd.DataFrame({"value": ["[]" if held == "[" else held[:-1] + "]"]})
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
+    rows.mapInPandas(lines, "value string").write.mode("overwrite").text(path)
 
 
 def index_list(c: Column) -> Column:

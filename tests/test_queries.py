@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from hopsmith import queries
+from hopsmith import queries, record_queries  # noqa: F401  registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
