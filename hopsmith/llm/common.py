@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (tests, one
-    machine) a local folder is chosen.
+    The setting is read from the session; only where it is unset and the master is local (tests,
+    one machine) a local folder is chosen.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = set_dir.get() if set_dir.isDefined() else "/tmp/checkpoints/hopsmith"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -39,7 +39,7 @@ SPREAD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1],
 @dataclass
 class LanguageModel:
     languages: list[str]
-    log_prob: np.ndarray  # buckets x languages
+    log_prob: np.ndarray  # buckets x languages, and a row of zeros
     log_prior: np.ndarray
     orders: int
     bits: int
@@ -53,13 +53,17 @@ def ngram_buckets(texts: list[str], orders: int, bits: int) -> tuple[list[np.nda
     """Bucket numbers by order for the joined texts, and where each text starts.
 
     Texts are joined by as many zeros as keep n-grams of one text from reaching
-    into the next.
+    into the next; n-grams that begin in these zeros are in the bucket after the last,
+    which counts for nothing.
     """
     gap = "\0" * orders
     joined = gap.join([*texts, ""]).lower()
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter((len(t.lower()) + orders for t in texts), np.int64, len(texts))
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if texts else np.empty(0, np.int64)
+    between = np.ones(len(points), bool)
+    for start, length in zip(starts.tolist(), lengths.tolist()):
+        between[start : start + length - orders] = False
     out, h = [], np.zeros(len(points), np.uint32)
     for n in range(orders):
         ahead = np.zeros(len(points), np.uint32)
@@ -67,9 +71,32 @@ def ngram_buckets(texts: list[str], orders: int, bits: int) -> tuple[list[np.nda
         h = (h ^ (ahead + np.uint32(n + 1))) * SPREAD[n % len(SPREAD)]
         h ^= h >> np.uint32(15)
         out.append((h * SPREAD[1]) >> np.uint32(32 - bits))
+        out[-1][between] = 1 << bits
     return out, starts
 
 
+#: Characters of a text whose n-grams are gathered at once.
+STRETCH = 1 << 17
+
+
+def ngram_stretches(text: str, orders: int, bits: int) -> Iterator[np.ndarray]:
+    """The buckets of one text's n-grams, a stretch at a time: together those that
+    ``ngram_buckets`` has for the text alone."""
+    low = text.lower()
+    for at in range(0, max(len(low), 1), STRETCH):
+        last = at + STRETCH >= len(low)
+        for buckets in ngram_buckets([low[at : at + STRETCH + orders]], orders, bits)[0]:
+            yield buckets[: len(low) - at] if last else buckets[:STRETCH]
+
+
+def ngram_counts(text: str, orders: int, bits: int) -> np.ndarray:
+    """How many of a text's n-grams are in each bucket."""
+    counts = np.zeros(1 << bits, np.int64)
+    for buckets in ngram_stretches(text, orders, bits):
+        counts += np.bincount(buckets, minlength=1 << bits)
+    return counts
+
+
 def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labelled_limit: int = 20_000, max_languages: int = 400, alpha: float = 0.5) -> LanguageModel:
     """Fit on the rows of ``docs(doc_id, text, lang)`` for which ``usable`` holds."""
     labelled = docs.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -85,9 +112,13 @@ def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labe
             for lang, texts in by_lang.items():
                 total = totals.setdefault(lang, np.zeros(1 << bits, np.int64))
                 rows[lang] = rows.get(lang, 0) + len(texts)
-                for at in range(0, len(texts), 64):
-                    for buckets in ngram_buckets(texts[at : at + 64], orders, bits)[0]:
-                        total += np.bincount(buckets, minlength=1 << bits)
+                short = [t for t in texts if len(t) <= STRETCH]
+                for at in range(0, len(short), 64):
+                    for buckets in ngram_buckets(short[at : at + 64], orders, bits)[0]:
+                        total += np.bincount(buckets, minlength=(1 << bits) + 1)[:-1]
+                for text in texts:
+                    if len(text) > STRETCH:
+                        total += ngram_counts(text, orders, bits)
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             at, values = np.append(at, -1), np.append(total[at], rows[lang])  # bucket -1 counts texts
@@ -104,6 +135,7 @@ def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labe
     counts[bucket[bucket >= 0], column[bucket >= 0]] = n[bucket >= 0]
     texts[column[bucket < 0]] = n[bucket < 0]
     log_prob = np.log(counts + alpha) - np.log((counts + alpha).sum(axis=0))
+    log_prob = np.concatenate((log_prob, np.zeros((1, len(languages)))))
     model = LanguageModel(languages, log_prob.astype(np.float32), np.log(texts / max(texts.sum(), 1)), orders, bits, np.zeros(len(languages)), 0.0, 0.0, -np.inf)
     if languages:
         _learn_spread(model, labelled, (counts + alpha).sum(axis=0), alpha)
@@ -121,7 +153,9 @@ def _learn_spread(model: LanguageModel, labelled: DataFrame, totals: np.ndarray,
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 if not LETTER.search(text):
                     continue
-                bucket, own = np.unique(np.concatenate(ngram_buckets([text], known.orders, known.bits)[0]), return_counts=True)
+                own = ngram_counts(text, known.orders, known.bits)
+                bucket = np.flatnonzero(own)
+                own = own[bucket]
                 column, n = number[lang], own.sum()
                 others = np.exp(known.log_prob[bucket, column].astype(np.float64)) * totals[column] - own
                 p = np.log(np.maximum(others, alpha) / (totals[column] - n))
@@ -157,6 +191,26 @@ def _scored(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
     """Language, posterior and deviation from that language's texts."""
     named = [i for i, t in enumerate(texts) if model.languages and t is not None and LETTER.search(t)]
     langs, scores, off = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    rows: dict[int, tuple[np.ndarray, int]] = {}  # of long texts
+    for i in named:
+        if len(texts[i]) > STRETCH:
+            counts = ngram_counts(texts[i], model.orders, model.bits)
+            bucket, total = np.flatnonzero(counts), np.zeros(len(model.languages))
+            for part in np.array_split(bucket, -(-len(bucket) // 4096)):
+                total += counts[part].astype(np.float64) @ model.log_prob[part].astype(np.float64)
+            rows[i] = total, int(counts.sum())
+
+    def told(which: list[int], likely: np.ndarray, n: np.ndarray) -> None:
+        summed = likely + model.log_prior
+        best = summed.argmax(axis=1)
+        posterior = 1 / np.exp(summed - summed.max(axis=1, keepdims=True)).sum(axis=1)
+        away = deviations(model, best, likely[np.arange(len(best)), best] / n, n)
+        for i, b, p, z in zip(which, best, posterior, away):
+            langs[i], scores[i], off[i] = model.languages[b], p, z
+
+    for i, (total, n) in rows.items():
+        told([i], total[None], np.array([n]))
+    named = [i for i in named if i not in rows]
     at = 0
     while at < len(named):
         size, end = 0, at
@@ -165,13 +219,7 @@ def _scored(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
             end += 1
         orders, starts = ngram_buckets([texts[i] for i in named[at:end]], model.orders, model.bits)
         likely = np.add.reduceat(sum(model.log_prob[b].astype(np.float64) for b in orders), starts, axis=0)
-        summed = likely + model.log_prior
-        best = summed.argmax(axis=1)
-        posterior = 1 / np.exp(summed - summed.max(axis=1, keepdims=True)).sum(axis=1)
-        n = np.diff(np.append(starts, len(orders[0]))) * model.orders
-        away = deviations(model, best, likely[np.arange(len(best)), best] / n, n)
-        for i, b, p, z in zip(named[at:end], best, posterior, away):
-            langs[i], scores[i], off[i] = model.languages[b], p, z
+        told(named[at:end], likely, (np.diff(np.append(starts, len(orders[0]))) - model.orders) * model.orders)
         at = end
     return langs, scores, off
 

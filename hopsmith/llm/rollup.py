@@ -10,18 +10,25 @@ there. A replayed identifier changes nothing; a folder without the marker (a job
 died) is not read and is written anew by the next try. ``compact`` folds committed
 batches into one base that names them.
 
-Counting runs on JVM regular expressions (``COUNTERS``). Defined cases: a null text
+Counts are those of tokenizer files (``tokenised``; a version is named by its file), or of
+regular expressions in the JVM (``counted``). Defined cases: a null text
 counts as one document with no tokens; null sources and languages are groups of their
 own; groups whose documents and tokens have all been taken back have no row.
 """
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopsmith.llm.common import map_arrow
+from hopsmith.llm.tokens import encoder, row_slices
+
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
@@ -36,6 +43,49 @@ def counted(text: Column, version: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(COUNTERS[version])), F.lit(0)).cast("long")
 
 
+def _counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Numbers of tokens of texts by a tokenizer file, without special tokens; one per worker and file."""
+    if path not in _COUNTERS:
+        if path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+            byte_pairs = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _COUNTERS[path] = lambda texts: [len(byte_pairs.encode_ordinary(t)) for t in texts]
+        else:
+            coder = encoder(path, 0)
+            _COUNTERS[path] = lambda texts: (coder.encode_flat(texts)[1] - 1).tolist()  # the end id isn't a token of the text
+    return _COUNTERS[path]
+
+
+_COUNTERS: dict[str, Callable] = {}
+
+
+def tokenised(docs: DataFrame, versions: dict[str, str], columns: list[str]) -> DataFrame:
+    """A row per document and version (name -> tokenizer file): the other columns of ``docs``,
+    tokenizer_version, and for each text column c its number of tokens n_c (null text: null)."""
+    kept = [c for c in docs.columns if c not in columns]
+    types = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "tokenizer_version string", *(f"`n_{c}` long" for c in columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches, 512):
+            texts = [part.column(c).to_pylist() for c in columns]
+            for version, path in versions.items():
+                counts = []
+                for column in texts:
+                    there = [i for i, t in enumerate(column) if t is not None]
+                    n: list[int | None] = [None] * len(column)
+                    for i, size in zip(there, _counter(path)([column[i] for i in there])):
+                        n[i] = size
+                    counts.append(pa.array(n, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([version] * part.num_rows), *counts], [*kept, "tokenizer_version", *(f"n_{c}" for c in columns)])
+
+    return map_arrow(docs.select(*kept, *columns), run, schema)
+
+
 def signed(rows: DataFrame, sign: int) -> DataFrame:
     """Change rows of ``rows(source, lang, tokenizer_version, n_tokens)``."""
     return rows.select(*KEYS, F.lit(sign).cast("long").alias("n_docs"), (F.lit(sign) * F.col("n_tokens")).cast("long").alias("n_tokens"))
@@ -83,8 +133,11 @@ class TokenRollup:
         return sorted({n.removeprefix("batch-") for n in self._folders("batch-")} | self._base()[1])
 
     def totals(self) -> DataFrame:
-        base, within = self._base()
-        paths = [f"{self.path}/{n}" for n in self._folders("batch-") if n.removeprefix("batch-") not in within]
+        return self._totals(self._base(), self._folders("batch-"))
+
+    def _totals(self, based: tuple[str | None, set[str]], folders: list[str]) -> DataFrame:
+        base, within = based
+        paths = [f"{self.path}/{n}" for n in folders if n.removeprefix("batch-") not in within]
         paths += [f"{self.path}/{base}/totals"] if base else []
         parts = [self.spark.read.schema(SCHEMA).parquet(p) for p in paths]
         rows = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], SCHEMA))
@@ -92,9 +145,11 @@ class TokenRollup:
 
     def compact(self) -> None:
         """Fold all committed batches into a new base; readers switch at its marker."""
-        held = self.batches()
+        # one listing for both: a batch committed meanwhile is in neither and stays a batch
+        based, folders = self._base(), self._folders("batch-")
+        held = sorted({n.removeprefix("batch-") for n in folders} | based[1])
         number = len(self._folders("base-"))
         at = f"{self.path}/base-{number:08d}"
-        self.totals().write.mode("overwrite").parquet(f"{at}/totals")
+        self._totals(based, folders).write.mode("overwrite").parquet(f"{at}/totals")
         self.spark.createDataFrame([(b,) for b in held], "batch string").coalesce(1).write.mode("overwrite").text(f"{at}/batches")
         self._fs.create(self._path(f"{at}/_SUCCESS")).close()

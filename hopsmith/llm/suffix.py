@@ -17,11 +17,14 @@ the rest brings the strings that may be equal into one task.
    directly, the rest are induced by scanning the buckets of first bytes in order.
    Adjacent common prefixes of ``length`` or more join equal strings; all but the
    earliest are repeated. A bucket beyond ``part_bytes`` is split by its owners'
-   hashes (equal strings stay together), so memory is bounded by the part.
+   hashes (equal strings stay together) before it is sorted; its distinct segments are held until then.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep all;
 rows that share a ``doc_id`` are ordered by text, and a repeated row is a later copy;
 rows with null ``doc_id`` come before all others. No rows give no rows.
+
+Limits: the direct sort tells strings of equal bytes by a 64-bit hash of their words; an owner
+that very many *different* strings share is one task's bucket until it is split there.
 """
 
 from __future__ import annotations
@@ -292,7 +295,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 21, as_text: bool = False) -> DataFrame:
     """For every row of ``docs(doc_id, text, ...)``: row (its columns but the text),
     n_bytes, spans (maximal removed byte ranges) and kept (the bytes left; ``as_text``: a
-    string, without characters that were cut in part)."""
+    string, without characters that were cut in part). ``length``: 32 to 286 bytes."""
+    if not GRAM <= length <= 254 + GRAM:  # a run of one owner is counted in eight bits
+        raise ValueError(f"length must be {GRAM} to {254 + GRAM}")
     base = _numbered(docs)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

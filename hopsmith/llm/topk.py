@@ -96,7 +96,7 @@ def too_large(queries: np.ndarray, block: np.ndarray, scores: np.ndarray) -> np.
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 2048, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 8192, block: int = 4096) -> DataFrame:
     """The k best candidates of each query: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on ``vec_id``. Ties go to the smaller id.
