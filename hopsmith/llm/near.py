@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopsmith.llm import simhash
-from hopsmith.llm.common import bounded_fraction, connected_components, hash_sampled, map_arrow, utf8_list, written
+from hopsmith.llm.common import bounded_fraction, connected_components, discard, hash_sampled, map_arrow, utf8_list, written
 
 #: Keeps divisions from ruling out a pair at the limit.
 SLACK = 1e-9
@@ -89,9 +89,13 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
     return map_arrow(texts.select("node", "text"), run, "node long, shingles array<long>")
 
 
-def _common(texts: DataFrame, words: int, sample: int = 5000, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that most of about ``sample`` texts hold (sorted), and how many hold each."""
-    some = hash_sampled(texts, F.col("node"), bounded_fraction(texts.select("node"), sample))
+def _common(texts: DataFrame, words: int, share: float = 0.1, least: int = 5000, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most texts of a sample hold (sorted), and how many hold each.
+
+    The sample is a ``share`` of the texts, ``least`` at least, so that how long the postings of a
+    shingle that it doesn't hold get does not grow with the corpus. Only the ``most`` frequent shingles are broadcast.
+    """
+    some = hash_sampled(texts, F.col("node"), max(share, bounded_fraction(texts.select("node"), least)))
     counted = _shingles(some, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     found = counted.orderBy(F.desc("n"), "s").limit(most).toPandas().sort_values("s")
     return found["s"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
@@ -171,19 +175,26 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     leads = by_simhash.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same_fp).unionByName(first_met).distinct()
     leads = written(leads, "leads")
 
+    used: list[DataFrame] = []  # tables that verifying has written
+
     def verified(pairs: DataFrame) -> DataFrame:
         sketches = nodes.select("node", "n", *PARITIES)
         one, two = (sketches.toDF(side, *[f"{side}_{c}" for c in ("n", *PARITIES)]).hint("merge") for side in "ab")
         pairs = written(pairs.join(one, "a").join(two, "b").where(may_agree("a", "b")).select("a", "b"), "pairs")
+        used.append(pairs)
         members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         members = written(members, "members")
+        used.append(members)
         shingles = written(_shingles(_mostly_of(texts, members).join(members.hint("merge"), "node"), words), "shingles")
+        used.append(shingles)
         one, two = shingles.toDF("a", "sa"), shingles.toDF("b", "sb")
         both = F.size(F.array_intersect("sa", "sb"))
         jaccard = both / (F.size("sa") + F.size("sb") - both)
         return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(jaccard >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     first = written(verified(leads), "first")
+    discard(*used)
+    used.clear()
     linked = connected_components(first)
     placed = met.select("key", "node", "at", "n", "members").join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
     # a posting's head is the component that most of its members are in
@@ -206,10 +217,13 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     long = placed.where(F.col("members") > FEW).join(nodes.select("node", *PARITIES).hint("merge"), "node")
     rest = meetings(placed.where(F.col("members") <= FEW)).unionByName(meetings(long, *PARITIES)).distinct()
     rest = rest.join(leads.hint("merge"), ["a", "b"], "left_anti")
-    found = first.unionByName(written(verified(rest), "rest"))
+    checked = written(verified(rest), "rest")
+    discard(*used, nodes, of_fp, met, leads, linked, placed)
+    found = first.unionByName(checked)
     # rows of one doc_id with different words are one document
     ties = keys.join(same, "same").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     component = connected_components(found.unionByName(ties))
+    discard(first, checked, same)
     return keys.select("doc_id").distinct().join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
