@@ -133,6 +133,11 @@ def _ranked(key: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _index(n: int) -> type:
+    """The narrowest type for positions up to ``n``; arrays of them are most of a part's memory."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _direct(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Positions ordered by their first ``depth`` bytes, eight at a time."""
     if not len(at):
@@ -169,19 +174,21 @@ def two_stage(text: np.ndarray, depth: int = 104) -> tuple[np.ndarray, np.ndarra
     letter[present] = np.arange(1, len(present) + 1)  # UTF-8 leaves room for 0, the end
     s = letter[text]
     words = _words(s, depth)
-    differ = np.flatnonzero(s[1:] != s[:-1])
+    index = _index(n + depth)
+    differ = np.flatnonzero(s[1:] != s[:-1]).astype(index)
     # the end of the run of equal bytes that each position stands in
-    run_end = np.concatenate((differ, [n - 1]))
+    run_end = np.append(differ, index(n - 1))
     run_length = np.diff(run_end, prepend=-1)
     rises = np.concatenate((s[differ + 1] > s[differ], [False]))
     smaller = np.repeat(rises, run_length)  # smaller than its successor
-    left_in_run = np.repeat(run_end, run_length) - np.arange(n)
+    left_in_run = np.repeat(run_end, run_length) - np.arange(n, dtype=index)
     deep = ~smaller & (left_in_run >= depth)  # equal to each other over the depth
+    del differ, run_end, run_length, rises, left_in_run
     k = len(present) + 1
     total, n_smaller, n_deep = (np.bincount(x, minlength=k + 1) for x in (s, s[smaller], s[deep]))
     start = np.concatenate(([0], np.cumsum(total)))[: k + 1]
-    order = np.empty(n, np.int64)
-    direct = _direct(np.flatnonzero(smaller), words, depth)
+    direct = _direct(np.flatnonzero(smaller).astype(index), words, depth)
+    order = np.empty(n, index)
     deep_at = np.flatnonzero(deep)
     deep_at = deep_at[np.argsort(s[deep_at], kind="stable")]
     from_direct, from_deep = (np.concatenate(([0], np.cumsum(x))) for x in (n_smaller, n_deep))
@@ -217,11 +224,11 @@ def two_stage(text: np.ndarray, depth: int = 104) -> tuple[np.ndarray, np.ndarra
 
 def common_prefixes(order: np.ndarray, words: np.ndarray, cap: int) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in the order, up to ``cap``."""
-    shared = np.zeros(len(order), np.int64)
-    open_ = np.arange(1, len(order))
+    shared = np.zeros(len(order), np.int32)
+    open_ = np.arange(1, len(order), dtype=_index(len(order)))
     for j in range(0, cap, 8):
         x = words[order[open_] + j] ^ words[order[open_ - 1] + j]
-        shared[open_] = j + sum((x < np.uint64(1 << b)).astype(np.int64) for b in range(0, 64, 8))
+        shared[open_] = j + sum((x < np.uint64(1 << b)).astype(np.int8) for b in range(0, 64, 8)).astype(np.int32)
         open_ = open_[x == 0]
     return np.minimum(shared, cap)
 
@@ -233,8 +240,9 @@ def repeated_strings(segments: list[bytes], length: int) -> list[tuple[int, int,
         return []
     order, words = two_stage(text, -(-length // 8) * 8)
     ends = np.cumsum([len(x) for x in segments])
-    segment = np.repeat(np.arange(len(segments)), [len(x) for x in segments])
-    group = np.cumsum(common_prefixes(order, words, length) < length)
+    segment = np.repeat(np.arange(len(segments), dtype=_index(len(segments))), [len(x) for x in segments])
+    group = np.cumsum(common_prefixes(order, words, length) < length, dtype=_index(len(text)))
+    del words
     whole = ends[segment[order]] - order >= length
     order, group = order[whole], group[whole]
     if not len(order):
