@@ -197,6 +197,8 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     used.clear()
     linked = connected_components(first)
     placed = met.select("key", "node", "at", "n", "members").join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+    # dealt by posting once, for both windows below
+    placed = placed.repartition("key")
     # a posting's head is the component that most of its members are in
     placed = placed.withColumn("size", F.count("*").over(Window.partitionBy("key", "own")))
     placed = placed.withColumn("head", F.max(F.struct("size", "own")).over(in_key)["own"]).drop("size")
