@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopsmith.llm.common import map_arrow, written
-from hopsmith.llm.tokens import encoder, ids_crc32, row_slices, text_slices
+from hopsmith.llm.tokens import ENCODERS, encoder, ids_crc32, row_slices, text_slices
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, blocks binary"
 #: Ids between possible cuts.
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = PIECE.format(id=dict(docs.dtypes)["doc_id"]) + (", ids binary" if with_ids else "")
-    return map_arrow(docs.select("doc_id", "text"), cut, schema)
+    return map_arrow(docs.select("doc_id", "text"), cut, schema, ENCODERS)
 
 
 def joined_crc32(blocks: np.ndarray, length: int) -> int:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopsmith.llm.common import map_arrow
-from hopsmith.llm.tokens import encoder, row_slices
+from hopsmith.llm.tokens import ENCODERS, encoder, row_slices
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -83,7 +83,7 @@ def tokenised(docs: DataFrame, versions: dict[str, str], columns: list[str]) ->
                     counts.append(pa.array(n, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([version] * part.num_rows), *counts], [*kept, "tokenizer_version", *(f"n_{c}" for c in columns)])
 
-    return map_arrow(docs.select(*kept, *columns), run, schema)
+    return map_arrow(docs.select(*kept, *columns), run, schema, ENCODERS)
 
 
 def signed(rows: DataFrame, sign: int) -> DataFrame:

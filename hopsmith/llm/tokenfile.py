@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from hopsmith.llm.common import map_arrow, release_memory
 from hopsmith.llm.rangecoder import decode_chunk, encode_chunk
-from hopsmith.llm.tokens import encoder, ids_crc32, row_slices, text_slices
+from hopsmith.llm.tokens import ENCODERS, encoder, ids_crc32, row_slices, text_slices
 
 CHUNK = "file int, chunk int, n_docs long, n_tokens long, payload binary"
 
@@ -63,7 +63,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, chun
 
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("doc_id is null")).cast("long")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(ordered, encode, CHUNK).write.mode("overwrite").parquet(path)
+    map_arrow(ordered, encode, CHUNK, ENCODERS).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -22,6 +22,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
+from hopsmith.llm.common import kept
+
 #: Pieces that a worker keeps; one takes about 200 bytes.
 CACHED_PIECES = 500_000
 #: Longer pieces aren't kept.
@@ -271,14 +273,16 @@ def _parts(text: str):
     yield text[at:] if at else text, True
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+#: The kind under which a worker keeps its encoders (``common.kept``).
+ENCODERS = "encoders"
 
 
 def encoder(path: str, end_id: int) -> Encoder:
-    """One per worker process, tokenizer and end id."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    """One per worker process, tokenizer and end id, until tasks of another kind run there."""
+    held = kept(ENCODERS)
+    if (path, end_id) not in held:
+        held[path, end_id] = Encoder(path, end_id)
+    return held[path, end_id]
 
 
 def row_slices(batches, rows: int = 2048):
