@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from hopsmith.llm import packing, tokens
+from hopsmith.llm import common, packing, tokens
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,3 +60,16 @@ def test_pieces_are_cut_to_fill_windows(spark, sizes):
         ends = np.cumsum([n for _, n in sorted(parts)])
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
     assert len(windows) - 1 <= sum(sizes) / (0.95 * 4096)
+
+
+def test_tasks_of_another_kind_drop_what_a_worker_keeps():
+    class Direct:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([])))
+
+    store = common.kept("some kind")
+    store["held"] = 1
+    common.map_arrow(Direct(), iter, "x long", "some kind")
+    assert store == {"held": 1}
+    common.map_arrow(Direct(), iter, "x long")
+    assert store == {} and common.kept("some kind") is store
