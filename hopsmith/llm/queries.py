@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopsmith.llm import language, media, packing, quality, rollup, simhash, suffix, tokenfile, topk, unigram
+from hopsmith.llm import balls, importance, language, media, notices, packing, quality, rollup, simhash, suffix, tokenfile, topk, unigram
 from hopsmith.llm.common import is_held_out, map_arrow, shared_dir, short_batches, written
 
 
@@ -181,6 +181,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight centroids over all vectors of 64 components, ten rounds and a last assignment."""
+    return balls.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, width=64, seed=3)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the benchmark's words."""
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, target, orders=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+def op13_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and spoilt licence notices of every document; base columns are of phrases."""
+    found = notices.scan(_table(spark, sf_dir, "documents"))
+    words, base = F.col("places.word"), F.array_distinct("places.label")
+    joined = lambda labels: F.array_join(F.array_sort(labels), ",")
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"), joined(base).alias("base_labels"), joined(F.array_union(base, F.col("spans.label"))).alias("labels"), "score")
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
@@ -197,6 +216,65 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Each round is two tables: vectors with their nearest centroid, and the centroids after it."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, any_value(w) AS w, min({{'d': d, 'c': c}}) AS best FROM (
+    SELECT k.vec_id, k.w, c.c, CAST(list_sum(list_transform(list_zip(k.w, c.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM kept k, c{i} c
+  ) GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.w, o.w) AS w FROM c{i} o LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS w FROM (
+      SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(range(1, 65)) AS j, unnest(w) AS x FROM a{i}) GROUP BY c, j
+    ) GROUP BY c) m ON o.c = m.c)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, w FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8
+), {", ".join(steps)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON best.c = c.c
+"""
+
+
+OP12_SQL = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM range(256) r(i))
+), w AS MATERIALIZED (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT 'b', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), words AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: CAST('0x' || hex(encode(word))[2 * i - 1 : 2 * i] AS BIGINT))),
+    lambda a, b: xor(crc.t[xor(a, b) % 256 + 1], a // 256)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM w), crc
+), f AS MATERIALIZED (SELECT side, doc_id, bucket FROM w JOIN words USING (word)
+), totals AS (SELECT count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((count(*) FILTER (side = 'b') + 1) * (any_value(totals.s) + 10000) AS DOUBLE) / CAST((count(*) FILTER (side = 'd') + 1) * (any_value(totals.t) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM f, totals GROUP BY bucket
+), sums AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM f JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END AS weight,
+    CAST(('0x' || sha256('2024:' || doc_id)[1:8]) AS BIGINT) AS h
+  FROM documents LEFT JOIN sums USING (doc_id)
+), scored AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= drawn THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -210,8 +288,11 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_topk": op9_exact_topk,
         "op10_token_files": op10_token_files,
+        "op11_ball_clusters": op11_ball_clusters,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_license_notices": op13_license_notices,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"token_rollup_words": OP1_SQL, "op9_exact_topk": OP9_SQL}
+    return {"token_rollup_words": OP1_SQL, "op9_exact_topk": OP9_SQL, "op11_ball_clusters": _lloyd_sql(10), "op12_importance_resampling": OP12_SQL}
