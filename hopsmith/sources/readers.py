@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from hopsmith import schemas
 from hopsmith.functions import text as T
+from hopsmith.sources import arrays
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -36,61 +37,34 @@ def jsonl_strict(spark: SparkSession, path: str | list[str], schema: str) -> Dat
     return lines.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def _objects(whole: str, array: bool) -> Iterator[str]:
-    """Each JSON value of a text: the members of one array, or values that follow one another."""
-    decoder, at, end = json.JSONDecoder(), 0, len(whole)
-    blank = re.compile(r"\s*")
+def json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Arrays of objects, one a file, read by byte ranges; anything else is an error."""
+    return arrays.json_array(spark, path, schema).drop("_pos")
 
-    def past(mark: str) -> bool:
-        nonlocal at
-        at = blank.match(whole, at).end()
-        found = whole.startswith(mark, at)
-        at = blank.match(whole, at + len(mark)).end() if found else at
-        return found
-
-    if array and not past("["):
-        raise ValueError("not an array")
-    more = not past("]") if array else not past("") or at < end
-    while more:
+
+def _values(whole: str) -> Iterator[str]:
+    """Each of the JSON values that follow one another in a text."""
+    decoder, blank = json.JSONDecoder(), re.compile(r"\s*")
+    at = blank.match(whole).end()
+    while at < len(whole):
         start = at
         _, at = decoder.raw_decode(whole, at)
         yield whole[start:at]
-        if array:
-            more = past(",")
-            if not more and not past("]"):
-                raise ValueError(f"broken array at character {at}")
-        else:
-            past("")
-            more = at < end
-    if array and at < end:
-        raise ValueError(f"something after the array at character {at}")
-
-
-def _whole_files(spark: SparkSession, path: str, schema: str, array: bool) -> DataFrame:
+        at = blank.match(whole, at).end()
+
+
+def concatenated_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects that follow one another without line ends; a file is one task."""
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for whole in batch["value"]:
-                if whole.strip():
-                    yield pd.DataFrame({"value": list(_objects(whole, array))}, dtype=object)
+                yield pd.DataFrame({"value": list(_values(whole))}, dtype=object)
 
     rows = spark.read.text(path, wholetext=True).mapInPandas(parse, "value string")
     return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A whole file as one array; such a file is one task, so convert large ones once.
-
-    The file is cut into its members first and these are parsed one by one: Spark's own
-    multi-line reader takes time that grows with the square of the file where a mixed list
-    is read as text."""
-    return _whole_files(spark, path, schema, True)
-
-
-def concatenated_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects that follow one another without line ends."""
-    return _whole_files(spark, path, schema, False)
-
-
 def latest_by_id(df: DataFrame, key: Column | str = "id", order: str = "_pos") -> DataFrame:
     """The last record of each id, which is compared as text."""
     key = F.col(key) if isinstance(key, str) else key
@@ -112,8 +86,8 @@ def typed_multihop(df: DataFrame) -> DataFrame:
 
 
 def multihop(spark: SparkSession, path: str | list[str], array: bool = False, schema: str = schemas.MULTIHOP_RAW) -> DataFrame:
-    reader = json_array if array else jsonl
-    return with_position(typed_multihop(reader(spark, path, schema)))
+    rows = arrays.json_array(spark, path, schema) if array else with_position(jsonl(spark, path, schema))
+    return typed_multihop(rows)
 
 
 def hash_order(seed: int, *keys: str) -> list[Column]:

@@ -18,9 +18,19 @@ def append_log(df: DataFrame, path: str) -> None:
     jsonl(df, path, "append")
 
 
+def json_arrays(df: DataFrame, path: str) -> None:
+    """A folder of arrays: each task writes its rows as one array, a row a line."""
+    _arrays(df).write.mode("overwrite").text(path)
+
+
 def json_array(df: DataFrame, path: str) -> None:
-    """One array in one file, a row a line, for results of a report's size. The file is written
+    """One array in one file, for results of a report's size. The file is written
     by one task as rows pass through it; none is held."""
+    _arrays(df.coalesce(1)).write.mode("overwrite").text(path)
+
+
+def _arrays(df: DataFrame) -> DataFrame:
+    """The lines of each partition's array."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = "["
@@ -31,8 +41,8 @@ def json_array(df: DataFrame, path: str) -> None:
                 held = rows[-1] + ","
         yield pd.DataFrame({"value": ["[]" if held == "[" else held[:-1] + "]"]})
 
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
-    rows.mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return rows.mapInPandas(lines, "value string")
 
 
 def index_list(c: Column) -> Column:
