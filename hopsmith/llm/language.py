@@ -12,7 +12,8 @@ under counts without its own, show where a language's texts lie and how far they
 their length, and texts far below are in none.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is
-every text if there is nothing to learn from. Rows with null ``lang`` are scored
+every text if there is nothing to learn from. More languages than ``max_languages`` are an error, raised
+before counts are collected. Rows with null ``lang`` are scored
 but never learned from. Repeated rows count as often as they occur; equal
 posteriors go to the language first in alphabetical order.
 """
@@ -97,8 +98,9 @@ def ngram_counts(text: str, orders: int, bits: int) -> np.ndarray:
     return counts
 
 
-def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labelled_limit: int = 20_000, max_languages: int = 400, alpha: float = 0.5) -> LanguageModel:
-    """Fit on the rows of ``docs(doc_id, text, lang)`` for which ``usable`` holds."""
+def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labelled_limit: int = 20_000, max_languages: int = 400, alpha: float = 0.5, spread: bool = True) -> LanguageModel:
+    """Fit on the rows of ``docs(doc_id, text, lang)`` for which ``usable`` holds. ``spread``: learn
+    what ``keep_rows`` asks for besides, how far each language's texts lie from its centre."""
     labelled = docs.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = hash_sampled(labelled, F.col("doc_id"), bounded_fraction(labelled.select("doc_id"), labelled_limit))
 
@@ -124,11 +126,12 @@ def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labe
             at, values = np.append(at, -1), np.append(total[at], rows[lang])  # bucket -1 counts texts
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(values)], ["lang", "bucket", "n"])
 
+    found = [r.lang for r in labelled.select("lang").distinct().limit(max_languages + 1).collect()]
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     # at most max_languages x (buckets + 1) rows, whatever the size of the corpus
     counted = map_arrow(labelled, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
-    if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} languages; the model holds at most {max_languages}")
     counts, texts = np.zeros((1 << bits, len(languages))), np.zeros(len(languages))
     column = counted["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
     bucket, n = counted["bucket"].to_numpy(dtype=np.int64), counted["n"].to_numpy(dtype=np.float64)
@@ -137,7 +140,7 @@ def train(docs: DataFrame, usable: Column, orders: int = 3, bits: int = 16, labe
     log_prob = np.log(counts + alpha) - np.log((counts + alpha).sum(axis=0))
     log_prob = np.concatenate((log_prob, np.zeros((1, len(languages)))))
     model = LanguageModel(languages, log_prob.astype(np.float32), np.log(texts / max(texts.sum(), 1)), orders, bits, np.zeros(len(languages)), 0.0, 0.0, -np.inf)
-    if languages:
+    if languages and spread:
         _learn_spread(model, labelled, (counts + alpha).sum(axis=0), alpha)
     return model
 
@@ -225,7 +228,8 @@ def _scored(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
 
 
 def keep_rows(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
-    """The rows of ``docs`` in a learned language with a posterior of ``least`` or more."""
+    """The rows of ``docs`` in a learned language with a posterior of ``least`` or more; a model
+    that was trained with ``spread`` also drops texts that are in none of the languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

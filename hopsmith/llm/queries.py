@@ -87,7 +87,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language.train(docs, ~is_held_out(F.col("doc_id")))
+    model = language.train(docs, ~is_held_out(F.col("doc_id")), spread=False)
     return language.predict(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopsmith.llm.common import map_arrow
+from hopsmith.llm.common import kept, map_arrow
 from hopsmith.llm.tokens import ENCODERS, encoder, row_slices
 
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -44,8 +44,10 @@ def counted(text: Column, version: str) -> Column:
 
 
 def _counter(path: str) -> Callable[[list[str]], list[int]]:
-    """Numbers of tokens of texts by a tokenizer file, without special tokens; one per worker and file."""
-    if path not in _COUNTERS:
+    """Numbers of tokens of texts by a tokenizer file, without special tokens; one per worker and file,
+    until tasks of another kind run there."""
+    held = kept(ENCODERS)
+    if ("counter", path) not in held:
         if path.endswith(".tiktoken"):
             import public_tokenizers
             import tiktoken
@@ -53,22 +55,19 @@ def _counter(path: str) -> Callable[[list[str]], list[int]]:
             with open(path, "rb") as file:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
             byte_pairs = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _COUNTERS[path] = lambda texts: [len(byte_pairs.encode_ordinary(t)) for t in texts]
+            held["counter", path] = lambda texts: [len(byte_pairs.encode_ordinary(t)) for t in texts]
         else:
             coder = encoder(path, 0)
-            _COUNTERS[path] = lambda texts: (coder.encode_flat(texts)[1] - 1).tolist()  # the end id isn't a token of the text
-    return _COUNTERS[path]
-
-
-_COUNTERS: dict[str, Callable] = {}
+            held["counter", path] = lambda texts: (coder.encode_flat(texts)[1] - 1).tolist()  # the end id isn't a token of the text
+    return held["counter", path]
 
 
 def tokenised(docs: DataFrame, versions: dict[str, str], columns: list[str]) -> DataFrame:
     """A row per document and version (name -> tokenizer file): the other columns of ``docs``,
     tokenizer_version, and for each text column c its number of tokens n_c (null text: null)."""
-    kept = [c for c in docs.columns if c not in columns]
+    others = [c for c in docs.columns if c not in columns]
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "tokenizer_version string", *(f"`n_{c}` long" for c in columns)])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "tokenizer_version string", *(f"`n_{c}` long" for c in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 512):
@@ -81,9 +80,9 @@ def tokenised(docs: DataFrame, versions: dict[str, str], columns: list[str]) ->
                     for i, size in zip(there, _counter(path)([column[i] for i in there])):
                         n[i] = size
                     counts.append(pa.array(n, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([version] * part.num_rows), *counts], [*kept, "tokenizer_version", *(f"n_{c}" for c in columns)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([version] * part.num_rows), *counts], [*others, "tokenizer_version", *(f"n_{c}" for c in columns)])
 
-    return map_arrow(docs.select(*kept, *columns), run, schema, ENCODERS)
+    return map_arrow(docs.select(*others, *columns), run, schema, ENCODERS)
 
 
 def signed(rows: DataFrame, sign: int) -> DataFrame:

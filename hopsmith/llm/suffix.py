@@ -10,8 +10,8 @@ the rest brings the strings that may be equal into one task.
    owner is unique can't repeat and end here. The others go, with their document's
    neighbouring ones as one segment, to a bucket named by the place where their
    owner's hash first occurs. All occurrences of a string share that bucket.
-2. Equal segments of a bucket are one text: within a batch before the shuffle, and
-   again where the bucket is read, so groups of copies don't pile up.
+2. Equal segments of a bucket are one text: within a batch before the shuffle, and as
+   the bucket is read, so a copy is covered when it comes and groups of copies don't pile up.
 3. Buckets are read in parts of a few megabytes. Each part's suffix array is built
    by two-stage sorting: suffixes smaller than their successors are sorted
    directly, the rest are induced by scanning the buckets of first bytes in order.
@@ -375,7 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 21
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
-        open_: list[tuple[int, int, bytes]] = []  # of the bucket that is still arriving
+        open_: dict[bytes, tuple[int, int]] = {}  # of the bucket that is still arriving: where each distinct segment starts first
         held_bytes = open_bytes = 0
         current = None
 
@@ -393,13 +393,19 @@ def remove_repeats(docs: DataFrame, length: int = 100, part_bytes: int = 1 << 21
                     if held and held_bytes + open_bytes > part_bytes:
                         yield out(resolve(held, length, part_bytes))
                         held, held_bytes = [], 0
-                    held += open_
+                    held += [(*place, p) for p, place in open_.items()]
                     held_bytes += open_bytes
-                    open_, open_bytes, current = [], 0, bucket
-                open_.append((rid, lo, piece))
-                open_bytes += len(piece)
+                    open_, open_bytes, current = {}, 0, bucket
+                other = open_.setdefault(piece, (rid, lo))
+                if other == (rid, lo):
+                    open_bytes += len(piece)
+                else:  # a copy is covered as it comes
+                    open_[piece] = min(other, (rid, lo))
+                    later = max(other, (rid, lo))
+                    done.append((*later, later[1] + len(piece)))
             yield out(done)
-        for rest in (held + open_,) if held_bytes + open_bytes <= part_bytes else (held, open_):
+        last = [(*place, p) for p, place in open_.items()]
+        for rest in (held + last,) if held_bytes + open_bytes <= part_bytes else (held, last):
             yield out(resolve(rest, length, part_bytes))
 
     covers = map_arrow(segments.repartition("bucket").sortWithinPartitions("bucket"), decide, "rid long, lo long, hi long")

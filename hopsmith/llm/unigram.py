@@ -31,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hopsmith.llm.common import map_arrow
+from hopsmith.llm.common import kept, map_arrow
 
 MARKER = "▁"
 UNKNOWN = 10.0
-#: A worker keeps the ids of so many units, at most so long, whatever models it has met.
+#: A worker keeps the ids of so many units, at most so long, whatever models it has met, until
+#: tasks of another kind run there.
 CACHED_UNITS, CACHED_LENGTH = 300_000, 48
-_KNOWN: dict[str, dict[str, bytes]] = {}
+UNITS = "units"
 
 
 @dataclass
@@ -183,10 +184,10 @@ def encode_texts(model: UnigramModel, texts: list[str | None]) -> list[bytes]:
     marked = [(MARKER + t.replace(" ", MARKER)) if t else "" for t in texts]
     if model.units is None:
         return [array("I", segment(model, t)).tobytes() for t in marked]
-    find, known = re.compile(model.units).findall, _KNOWN.setdefault(model.digest, {})
-    if sum(map(len, _KNOWN.values())) > CACHED_UNITS:
-        _KNOWN.clear()
-        known = _KNOWN.setdefault(model.digest, {})
+    held = kept(UNITS)
+    if sum(map(len, held.values())) > CACHED_UNITS:
+        held.clear()
+    find, known = re.compile(model.units).findall, held.setdefault(model.digest, {})
     out = []
     for text in marked:
         parts = []
@@ -219,7 +220,7 @@ def encode(docs: DataFrame, model: UnigramModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], ["doc_id", "text", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, text string, ids binary")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, text string, ids binary", UNITS)
 
 
 def decode(coded: DataFrame, model: UnigramModel) -> DataFrame:
