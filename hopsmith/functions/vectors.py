@@ -65,6 +65,12 @@ def rotated(v: Column, position: Column, base: float = 10000.0) -> Column:
     return F.concat(turn(first), turn(second))
 
 
+def moved(v: Column, old: Column, new: Column, base: float = 10000.0) -> Column:
+    """A cached vector that was turned by its ``old`` position, as it is at the ``new`` one: only
+    the difference is turned."""
+    return rotated(v, new - old, base)
+
+
 def top_k(logits: Column, available: Column, k: int) -> Column:
     """Indices of the ``k`` largest available logits, ties to the smaller index."""
     named = F.filter(F.transform(logits, lambda x, i: F.struct((-x).alias("order"), i.alias("i"))), lambda s: F.get(available, s["i"]))
@@ -200,3 +206,39 @@ def prompt_logprob(tokens: Column, from_token: Column, strict: bool = True) -> C
 def token_logprob(values: Column, cumulative: bool = False) -> Column:
     summed = total(values)
     return summed if cumulative else F.try_divide(summed, F.size(values))
+
+
+def aligned_logprob(ids: Column, from_token: Column, payload: Column, lenient: bool = False) -> Column:
+    """struct(value, error) of a prompt's tokens from ``from_token`` on.
+
+    ``ids`` are the prompt's token ids, ``payload`` has for each place a map of token id (as text, as JSON
+    has it) to log-probability. A place that the payload doesn't reach, has no map for, or whose map lacks the
+    prompt's own id is an error that names the place; ``lenient``: a map of one entry counts whatever its id.
+    """
+    places = F.when(F.size(ids) > from_token, F.sequence(from_token, F.size(ids) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def entry(i):
+        known = F.get(payload, i)
+        own = F.try_element_at(known, F.get(ids, i).cast("string"))
+        only = F.when(F.size(known) == 1, F.get(F.map_values(known), F.lit(0))) if lenient else F.lit(None).cast("double")
+        value = F.coalesce(own, only)
+        what = F.when(i >= F.size(payload), F.lit("the payload ends before token ")).when(known.isNull(), F.lit("no log-probabilities at token ")).when(value.isNull(), F.lit("no log-probability of its own at token "))
+        return F.struct(value.cast("double").alias("value"), F.concat(what, i.cast("string")).alias("error"))
+
+    entries = F.transform(places, entry)
+    first = F.get(F.filter(entries, lambda e: e["error"].isNotNull()), F.lit(0))["error"]
+    error = F.when(payload.isNull(), F.lit("no payload")).otherwise(first)
+    return F.struct(F.when(error.isNull(), total(F.transform(entries, lambda e: e["value"]))).alias("value"), error.alias("error"))
+
+
+#: Fixed value: what stands for a completion that was cut off.
+UNFINISHED = "[unfinished content]"
+
+
+def completion(text: Column, finish_reason: Column, logprobs: Column, cumulative: bool = False) -> Column:
+    """struct(text, logprob) of a sampled completion: the mean (or sum) of its tokens'
+    log-probabilities, null without any. One that didn't stop by itself is ``UNFINISHED``, without
+    a value; one that stopped without a text is an error."""
+    done = F.coalesce(finish_reason == "stop", F.lit(False))
+    said = F.when(~done, F.lit(UNFINISHED)).when(F.coalesce(text, F.lit("")) == "", F.raise_error(F.lit("the completion is empty")).cast("string")).otherwise(text)
+    return F.struct(said.alias("text"), F.when(done & (F.size(logprobs) > 0), token_logprob(logprobs, cumulative)).alias("logprob"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopsmith.functions import text as T
+from hopsmith.operators.numbering import numbered
 from hopsmith.sources import readers
 
 
@@ -184,7 +185,7 @@ def round_robin(parts: dict[str, DataFrame], n: int, proportions: dict[str, int]
     view = []
     for name, df in parts.items():
         size = df.count()
-        ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy("_pos")) - 1)
+        ranked = numbered(df, "_pos", into="_rank")
         places = [i for i, t in enumerate(turns) if t == name]
         spots = F.element_at(F.array(*map(F.lit, places)), (F.col("_k") % share[name]).cast("int") + 1)
         draws = df.sparkSession.range(-(-n // len(turns)) * share[name]).withColumnRenamed("id", "_k").withColumn("turn", F.floor(F.col("_k") / share[name]) * len(turns) + spots)

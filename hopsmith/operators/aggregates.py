@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopsmith.functions.metrics import fact_metrics, fact_rates
 from hopsmith.operators.filters import cover_step, stop_label, stop_length
+from hopsmith.operators.numbering import running
 
 
 def _or_zero(c: Column) -> Column:
@@ -183,14 +184,15 @@ def optimal_threshold(values: DataFrame, column: str = "se", group: str = "model
     """Per group, the value that splits (below, at or above) with the least squared error
     within the two sides, the smallest of equals: (threshold, error).
 
-    Values are counted first, so the running sums go over distinct values.
+    Values are counted first and taken from their group's mean, so that squares don't cancel;
+    the running sums go over distinct values, in parts (``running``).
     """
-    x = F.col(column).cast("double")
-    counts = values.groupBy(group, x.alias("x")).agg(F.count("*").cast("double").alias("n"))
-    below = Window.partitionBy(group).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(group)
-    sums = [F.sum(F.col("n") * F.pow("x", p)) for p in (0, 1, 2)]
-    rows = counts.select(group, "x", *[F.coalesce(s.over(below), F.lit(0.0)).alias(f"b{p}") for p, s in enumerate(sums)], *[s.over(whole).alias(f"t{p}") for p, s in enumerate(sums)])
+    counts = values.groupBy(group, F.col(column).cast("double").alias("x")).agg(F.count("*").cast("double").alias("n"))
+    means = counts.groupBy(F.col(group).alias("_g")).agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"))
+    off = F.col("x") - F.col("mean")
+    rows = counts.join(means, F.col(group).eqNullSafe(F.col("_g"))).select(group, "x", F.col("n").alias("v0"), (F.col("n") * off).alias("v1"), (F.col("n") * off * off).alias("v2"))
+    totals = rows.groupBy(F.col(group).alias("_g")).agg(*(F.sum(f"v{p}").alias(f"t{p}") for p in range(3)))
+    rows = running(rows, group, "x", {f"b{p}": f"v{p}" for p in range(3)}).join(totals, F.col(group).eqNullSafe(F.col("_g")))
     spread = lambda n, s, s2: F.when(n > 0, s2 - s * s / n).otherwise(0.0)
     error = spread(F.col("b0"), F.col("b1"), F.col("b2")) + spread(F.col("t0") - F.col("b0"), F.col("t1") - F.col("b1"), F.col("t2") - F.col("b2"))
     rows = rows.withColumn("error", F.round(F.greatest(error, F.lit(0.0)), 9))

@@ -71,3 +71,18 @@ def _with_running_sums(dealt: DataFrame, sums: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     return dealt.mapInArrow(run, dealt.schema)
+
+
+def running(df: DataFrame, group: str, order: str, sums: dict[str, str], rows_a_part: int = 1 << 18) -> DataFrame:
+    """``df`` with, by ``sums`` (new column: numeric column), the sum over the group's rows before
+    each row. A group's rows stand in parts of at most ``rows_a_part``; the parts' sums, a few rows a group,
+    give each part its start, so a group of any size is no single task."""
+    rows = numbered(df, group, order, into="_row").withColumn("_part", F.floor(F.col("_row") / rows_a_part))
+    value = {name: F.coalesce(F.col(source).cast("double"), F.lit(0.0)) for name, source in sums.items()}
+    parts = rows.groupBy(group, "_part").agg(*(F.sum(v).alias(f"_sum_{name}") for name, v in value.items()))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), *(F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0.0)).alias(f"_start_{name}") for name in sums))
+    within = Window.partitionBy(group, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.select("*", *(F.coalesce(F.sum(v).over(within), F.lit(0.0)).alias(f"_own_{name}") for name, v in value.items()))
+    found = own.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return found.select(*(c for c in df.columns if c not in sums), *((F.col(f"_start_{name}") + F.col(f"_own_{name}")).alias(name) for name in sums))

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopsmith.functions.vectors import cosine, dot, hash_uniform
+from hopsmith.operators.numbering import numbered
+
+
+#: Rows that are picked as the first of an order without numbering all.
+PICKED = 10_000
 
 
 def top_by_score(pairs: DataFrame, k: int, group: str = "sample_id", score: str = "score", tie: str = "chunk_idx") -> DataFrame:
@@ -41,9 +46,13 @@ def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
 
 
 def window_of(df: DataFrame, start: int = 0, end: int | None = None, order: str = "_pos") -> DataFrame:
-    """Rows ``start`` to before ``end`` in order; None: to the last."""
-    rows = df.orderBy(order).offset(start)
-    return rows if end is None else rows.limit(max(0, end - start))
+    """Rows ``start`` to before ``end`` in order; None: to the last. A short beginning is picked
+    by each task; for the rest rows are numbered."""
+    if end is not None and end <= PICKED:
+        return df.orderBy(order).offset(start).limit(max(0, end - start))
+    place = F.col("_place")
+    rows = numbered(df, order, into="_place").where(place >= start)
+    return (rows if end is None else rows.where(place < end)).drop("_place")
 
 
 def limited(df: DataFrame, n: int, zero_is_all: bool, order: str = "_pos") -> DataFrame:
@@ -72,7 +81,7 @@ def chosen_rows(df: DataFrame, n: int, seed: int | None, order: str = "_pos") ->
 def drawn_with_replacement(df: DataFrame, draws: int, seed: int, order: str = "_pos") -> DataFrame:
     """``draws`` uniform draws: (episode, row...)."""
     n = df.count()
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = numbered(df, order, into="_rank")
     picks = df.sparkSession.range(draws).select(F.col("id").alias("episode"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("_rank"))
     return picks.join(ranked, "_rank").drop("_rank")
 
@@ -94,11 +103,12 @@ def noise_sentences(books: DataFrame, samples: DataFrame, n: int, seed: int, mos
     A sample draws stretches of up to ``most`` sentences; each draw meets its book by an
     equi-join.
     """
+    books = books.where(F.size("sentences") > 0)
     size = books.count()
     if not size:
         raise ValueError("no books")
     draws = max(1, 4 * -(-n // most))
-    ranked = books.where(F.size("sentences") > 0).withColumn("_book", F.row_number().over(Window.orderBy("book_id")) - 1)
+    ranked = numbered(books, "book_id", into="_book")
     picks = samples.select("id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
     picks = picks.withColumn("_book", F.pmod(F.xxhash64(F.lit(seed), "id", "d"), F.lit(size)))
     start = (hash_uniform(seed + 1, F.col("id"), F.col("d")) * F.size("sentences")).cast("int")
@@ -136,5 +146,5 @@ def random_positions(n: Column, most: int, seed: int, key: Column, splits: int =
 
 
 def every_nth(df: DataFrame, n: int, order: str = "_pos") -> DataFrame:
-    """Rows at places 0, n, 2n, ... of a report's series."""
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_r") % n == 0).drop("_r")
+    """Rows at places 0, n, 2n, ... of a series."""
+    return numbered(df, order, into="_r").where(F.col("_r") % n == 0).drop("_r")
