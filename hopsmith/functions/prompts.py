@@ -47,12 +47,20 @@ Return only the answer itself.
 The answer must be a single entity, number, date, yes/no, or short phrase.
 No explanations, no reasoning, no extra text.
 Do not write labels such as 'Final answer:' or 'Answer:'."""
+JUDGE = """You are an answer verification system for question-answering tasks.
+You are given a QUESTION, PREDICTED ANSWER and GROUNDTRUTH ANSWER.
+Compare the predicted and ground-truth answers for semantic equivalence.
+Ignore harmless wording, formatting, numeric, and date representation differences.
+If the predicted answer is only partially correct or misses key information, mark it incorrect.
+Your final answer must be exactly "Final Answer: CORRECT" or "Final Answer: INCORRECT"."""
+SHORT_REASONS = "You are a precise question answering assistant. Keep your reasoning brief. "
 CONCISE = "You are a helpful assistant. Answer concisely."
 STORY = "Your are an AI assistant, your job is to answer questions given to you by the user."
 SYSTEM = {
     "HotPotQA": QA, "Musique": QA, "2WikiMultihopQA": QA, "HotPotQA+2WikiMultihopQA": QA, "NQ+HotPotQA": QA, "GSM8K": GSM8K, "MATH": MATH,
     "HellaSwag": HELLASWAG, "XL-Sum": XLSUM, "MMLU-Pro": MMLU_PRO, "SSIG": INFORMATION_GAIN, "SEP": UNCERTAINTY,
 }
+# The instructions before documents, and without any.
 BY_DOCUMENTS = "Answer the question based on the given document. Only give me the answer and do not output any other words.\nThe following are given documents.\n"
 BY_KNOWLEDGE = "Answer the question based on your own knowledge. Only give me the answer and do not output any other words.\n"
 
@@ -100,7 +108,7 @@ def chat_messages(question: Column, passages: Column, system: str = QA) -> Colum
     return messages(system, filled(CHAT, context=F.array_join(passages, JOINS["chat"]), question=question))
 
 
-def judge_messages(question: Column, prediction: Column, answer: Column, system: str) -> Column:
+def judge_messages(question: Column, prediction: Column, answer: Column, system: str = JUDGE) -> Column:
     return messages(system, filled(JUDGED, question=question, prediction=prediction, answer=answer))
 
 

@@ -101,10 +101,22 @@ def sampled(policy: Column, draw: Column) -> Column:
     return F.size(F.filter(sums, lambda s: s <= draw))
 
 
-def hash_uniform(seed: Column | int, *keys: Column) -> Column:
-    """A draw in [0, 1) fixed by its keys."""
+#: Draws are below two to this power.
+DRAW_BITS = 52
+
+
+def draw(seed: Column | int, *keys: Column | str) -> Column:
+    """A whole number below 2**52, fixed by the seed and the keys: the first 13 hex digits of the md5
+    of both as texts, joined by colons. Any engine can tell it."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    return F.pmod(F.xxhash64(seed, *keys), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    digest = F.md5(F.concat_ws(":", *(c.cast("string") for c in (seed, *named))))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+def hash_uniform(seed: Column | int, *keys: Column | str) -> Column:
+    """A draw in [0, 1) fixed by its keys."""
+    return draw(seed, *keys).cast("double") / float(1 << DRAW_BITS)
 
 
 def soft_value(logits: Column, available: Column, alpha: float, k: int = 5) -> Column:

@@ -19,9 +19,17 @@ def _where(values: Column, test: Callable[[Column], Column]) -> Column:
     return F.filter(F.transform(values, lambda v, i: F.when(test(v), i)), lambda i: i.isNotNull())
 
 
+def _fields(id_: Column, question: Column, answer: Column, chunks: Column, sf_idx: Column) -> list[Column]:
+    return [id_.cast("string").alias("id"), question.alias("question"), answer.alias("answer"), chunks.alias("chunks"), sf_idx.cast("array<int>").alias("sf_idx")]
+
+
+def _record(*fields: Column) -> Column:
+    return F.struct(*_fields(*fields))
+
+
 def _sample(df: DataFrame, id_: Column, question: Column, answer: Column, chunks: Column, sf_idx: Column, source: Column | str) -> DataFrame:
     source = F.lit(source) if isinstance(source, str) else source
-    return df.select(id_.cast("string").alias("id"), question.alias("question"), answer.alias("answer"), chunks.alias("chunks"), sf_idx.cast("array<int>").alias("sf_idx"), source.alias("source"))
+    return df.select(*_fields(id_, question, answer, chunks, sf_idx), source.alias("source"))
 
 
 def title_chunks(context: Column) -> Column:
@@ -34,14 +42,26 @@ def title_support(context: Column, support: Column) -> Column:
     return _where(context, lambda c: F.array_contains(titles, c["title"]))
 
 
+def _multihop() -> Column:
+    return _record(F.col("_id"), F.col("question"), F.col("answer"), title_chunks(F.col("context")), title_support(F.col("context"), F.col("supporting_facts")))
+
+
+def _paragraphs() -> Column:
+    chunks = F.transform("paragraphs", lambda p: F.concat(p["title"], F.lit(". "), p["paragraph_text"]))
+    return _record(F.col("id"), F.col("question"), F.col("answer"), chunks, F.transform("question_decomposition", lambda d: d["paragraph_support_idx"]))
+
+
+def _adapted(df: DataFrame, record: Column, source: Column | str) -> DataFrame:
+    return df.select(record.alias("r"), (F.lit(source) if isinstance(source, str) else source).alias("source")).select("r.*", "source")
+
+
 def multihop(df: DataFrame, source: Column | str) -> DataFrame:
-    return _sample(df, F.col("_id"), F.col("question"), F.col("answer"), title_chunks(F.col("context")), title_support(F.col("context"), F.col("supporting_facts")), source)
+    return _adapted(df, _multihop(), source)
 
 
 def paragraphs(df: DataFrame, source: Column | str = "musique") -> DataFrame:
     """Supports in hop order as given, repeats included."""
-    chunks = F.transform("paragraphs", lambda p: F.concat(p["title"], F.lit(". "), p["paragraph_text"]))
-    return _sample(df, F.col("id"), F.col("question"), F.col("answer"), chunks, F.transform("question_decomposition", lambda d: d["paragraph_support_idx"]), source)
+    return _adapted(df, _paragraphs(), source)
 
 
 def stories(df: DataFrame, source: Column | str = "babilong") -> DataFrame:
@@ -76,15 +96,19 @@ IN_CONTEXT = {
 
 
 def in_context(samples: DataFrame, examples: DataFrame, name: str) -> DataFrame:
-    """Samples whose chunks are the shared pool of examples.
-
-    The pool is one row of at most the number of examples asked for; it meets the samples
-    by a broadcast of that row.
-    """
+    """Samples whose chunks are the shared pool of examples, which is a constant of the plan: more
+    than ``POOL_EXAMPLES``, or than ``POOL_LETTERS`` letters altogether, are an error."""
     question, answer, example, key = IN_CONTEXT[name]
-    pool = examples.select("_pos", example(examples).alias("e")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "e"))), lambda s: s["e"]).alias("_pool"))
-    both = samples.join(F.broadcast(pool), F.lit(True))
-    return _sample(both, F.col(key or "_pos"), question(), answer(), F.col("_pool"), F.array(F.lit(0)), name)
+    pool = examples.select("_pos", example(examples).alias("e"))
+    n, letters = pool.agg(F.count("*"), F.coalesce(F.sum(F.length("e")), F.lit(0))).first()
+    if n > POOL_EXAMPLES or letters > POOL_LETTERS:
+        raise ValueError(f"a pool of {n} examples of {letters} letters; at most {POOL_EXAMPLES} of {POOL_LETTERS}")
+    shown = F.array(*(F.lit(r.e) for r in pool.orderBy("_pos").collect())).cast("array<string>")  # bounded above
+    return _sample(samples, F.col(key or "_pos"), question(), answer(), shown, F.array(F.lit(0)), name)
+
+
+#: What a pool of examples may hold.
+POOL_EXAMPLES, POOL_LETTERS = 10_000, 8_000_000
 
 
 #: Sources that a combined set may hold, with the columns that each of them needs.
@@ -96,21 +120,18 @@ COMBINED = {
 }
 
 
-def _story_sample(df: DataFrame, source: str) -> DataFrame:
-    return _sample(df, F.col("_pos"), F.col("question"), F.col("answer"), F.col("chunks"), F.col("references_idx"), source)
-
-
 def combined(df: DataFrame) -> DataFrame:
-    """Rows of several sources (those of ``COMBINED``), each adapted in its own way; any
+    """Rows of several sources (those of ``COMBINED``), each adapted in its own way in one pass; any
     other source is an error. Columns of families that don't occur may be missing."""
-    by_source = {"musique": paragraphs, "babilong": _story_sample}
-    parts = [by_source.get(name, multihop)(df.where(F.col("source") == name), name) for name, needs in COMBINED.items() if set(needs) <= set(df.columns)]
-    there = [name for name, needs in COMBINED.items() if set(needs) <= set(df.columns)]
-    unknown = df.where(~F.coalesce(F.col("source").isin(*there), F.lit(False)))
-    message = F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null"))))
-    none = F.array().cast("array<string>")
-    refused = unknown.select(message.cast("string").alias("id"), F.lit("").alias("question"), F.lit("").alias("answer"), none.alias("chunks"), F.array().cast("array<int>").alias("sf_idx"), "source")
-    return reduce(DataFrame.unionByName, parts, refused)
+    records = {"hotpotqa": _multihop, "2WikiMultihopQA": _multihop, "musique": _paragraphs, "babilong": lambda: _record(F.col("_pos"), F.col("question"), F.col("answer"), F.col("chunks"), F.col("references_idx"))}
+    unknown = F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null"))))
+    found = None
+    for name, needs in COMBINED.items():
+        if set(needs) <= set(df.columns):
+            found = (F if found is None else found).when(F.col("source") == name, records[name]())
+    kind = "struct<id: string, question: string, answer: string, chunks: array<string>, sf_idx: array<int>>"
+    record = unknown.cast(kind) if found is None else found.otherwise(unknown.cast(kind))
+    return df.select(record.alias("r"), "source").select("r.*", "source")
 
 
 ADAPTERS = {"hotpotqa": multihop, "2wiki": multihop, "musique": paragraphs, "babilong": stories, "LongBench": long_context, "RulerQA": ruler, "NQ+HotPotQA": open_qa}

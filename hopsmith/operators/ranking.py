@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopsmith.functions.vectors import cosine, dot, hash_uniform
+from hopsmith.functions.vectors import cosine, dot, draw, hash_uniform
 from hopsmith.operators.numbering import numbered
 
 
@@ -42,7 +42,7 @@ def exploring(ranked: DataFrame, epsilon: float, seed: int, k: int, group: str =
 
 def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     """In a repeatable random order; give seed + epoch for another one."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    return df.orderBy(draw(seed, *keys), *keys)
 
 
 def window_of(df: DataFrame, start: int = 0, end: int | None = None, order: str = "_pos") -> DataFrame:
@@ -67,7 +67,7 @@ def stratified_split(df: DataFrame, test_size: int, stratum: str, key: str, seed
     w = Window.orderBy(F.desc(F.col("_q") - F.floor("_q")), stratum)
     quota = exact.withColumn("_r", F.row_number().over(w)).withColumn("_left", F.lit(test_size) - F.sum(F.floor("_q")).over(Window.partitionBy()))
     quota = quota.select(F.col(stratum).alias("_s"), (F.floor("_q") + (F.col("_r") <= F.col("_left")).cast("int")).alias("_quota"))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, key), key))
     return df.withColumn("_place", place).join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("is_test", F.col("_place") <= F.col("_quota")).drop("_place", "_s", "_quota")
 
 
@@ -75,14 +75,14 @@ def chosen_rows(df: DataFrame, n: int, seed: int | None, order: str = "_pos") ->
     """The first ``n`` rows, or ``n`` random ones back in reading order."""
     if seed is None:
         return df.orderBy(order).limit(n)
-    return df.orderBy(F.xxhash64(F.lit(seed), order), order).limit(n).orderBy(order)
+    return df.orderBy(draw(seed, order), order).limit(n).orderBy(order)
 
 
 def drawn_with_replacement(df: DataFrame, draws: int, seed: int, order: str = "_pos") -> DataFrame:
     """``draws`` uniform draws: (episode, row...)."""
     n = df.count()
     ranked = numbered(df, order, into="_rank")
-    picks = df.sparkSession.range(draws).select(F.col("id").alias("episode"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("_rank"))
+    picks = df.sparkSession.range(draws).select(F.col("id").alias("episode"), (draw(seed, "id") % F.lit(max(n, 1))).alias("_rank"))
     return picks.join(ranked, "_rank").drop("_rank")
 
 
@@ -90,7 +90,7 @@ def partial_context(chunks: Column, support: Column, n: int, seed: int, key: Col
     """``n`` chunks in one text, in order: a random number of supports (0 to all) and
     random others."""
     every = F.sequence(F.lit(0), F.greatest(F.size(chunks) - 1, F.lit(0)))
-    by_hash = lambda c: F.transform(F.array_sort(F.transform(c, lambda i: F.struct(F.xxhash64(F.lit(seed), key, i).alias("h"), i.cast("int").alias("i")))), lambda s: s["i"])
+    by_hash = lambda c: F.transform(F.array_sort(F.transform(c, lambda i: F.struct(draw(seed, key, i).alias("h"), i.cast("int").alias("i")))), lambda s: s["i"])
     right = (hash_uniform(seed + 1, key) * (F.least(F.size(support), F.lit(n)) + 1)).cast("int")
     picked = F.slice(by_hash(support), F.lit(1), right)
     others = F.slice(by_hash(F.array_except(every, support)), F.lit(1), F.lit(n) - right)
@@ -110,7 +110,7 @@ def noise_sentences(books: DataFrame, samples: DataFrame, n: int, seed: int, mos
     draws = max(1, 4 * -(-n // most))
     ranked = numbered(books, "book_id", into="_book")
     picks = samples.select("id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
-    picks = picks.withColumn("_book", F.pmod(F.xxhash64(F.lit(seed), "id", "d"), F.lit(size)))
+    picks = picks.withColumn("_book", draw(seed, "id", "d") % F.lit(size))
     start = (hash_uniform(seed + 1, F.col("id"), F.col("d")) * F.size("sentences")).cast("int")
     parts = picks.join(ranked, "_book").select("id", "d", F.slice("sentences", start + 1, F.lit(most)).alias("part"))
     joined = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "part"))).alias("p"))
@@ -122,7 +122,7 @@ def interleaved(facts: Column, noise: Column, seed: int, key: Column) -> Column:
     """struct(chunks, facts_idx): facts at random places among the noise, order kept."""
     total = F.size(facts) + F.size(noise)
     every = F.sequence(F.lit(0), total - 1)
-    picked = F.slice(F.array_sort(F.transform(every, lambda i: F.struct(F.xxhash64(F.lit(seed), key, i).alias("h"), i.alias("i")))), F.lit(1), F.size(facts))
+    picked = F.slice(F.array_sort(F.transform(every, lambda i: F.struct(draw(seed, key, i).alias("h"), i.alias("i")))), F.lit(1), F.size(facts))
     places = F.array_sort(F.transform(picked, lambda s: s["i"]))
     before = lambda i: F.size(F.filter(places, lambda p: p < i))
     chunks = F.transform(every, lambda i: F.when(F.array_contains(places, i), F.get(facts, before(i))).otherwise(F.get(noise, i - before(i))))
@@ -140,7 +140,7 @@ def random_positions(n: Column, most: int, seed: int, key: Column, splits: int =
     room = F.lit(most) - n
     indents = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(splits)), lambda i: (hash_uniform(seed, key, i) * F.greatest(room, F.lit(0))).cast("int")))
     inner = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
-    cuts = F.transform(F.slice(F.array_sort(F.transform(inner, lambda i: F.struct(F.xxhash64(F.lit(seed + 1), key, i).alias("h"), i.alias("i")))), F.lit(1), F.lit(splits - 1)), lambda s: s["i"])
+    cuts = F.transform(F.slice(F.array_sort(F.transform(inner, lambda i: F.struct(draw(seed + 1, key, i).alias("h"), i.alias("i")))), F.lit(1), F.lit(splits - 1)), lambda s: s["i"])
     moved = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i + F.get(indents, F.size(F.filter(cuts, lambda c: c <= i))))
     return F.when(room < 0, F.raise_error(F.lit("more chunks than positions")).cast("array<int>")).otherwise(moved)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hopsmith import backends, schemas
 from hopsmith.functions import metrics, prompts, text, uncertainty, vectors
 from hopsmith.operators import adapt, aggregates, episodes, filters, joins, ranking, rewards
+from hopsmith.operators.numbering import numbered
 from hopsmith.plans import search_agent
 from hopsmith.queries import _SCORED, _episodes, _log, query, table
 from hopsmith.session import scratch
@@ -464,7 +465,7 @@ def answer_parsers(spark, sf_dir):
 
 @query(f"""
 SELECT p_partkey, '\\frac{{1}}{{' || s || '}}' AS boxed, CASE WHEN s < 10 THEN '\\frac1' || s ELSE '\\frac1{{' || s || '}}' END AS simple, n || '|' || t AS items, n || '|' || t || '||' AS fitted, t AS section, 'OK' AS status, n AS reasoning,
-  b || ' [SEP] ' || n || ' [SEP] ' || t AS by_index, b || ' # ' || t || ' # ' || n AS as_chosen, 'Example: ' || n AS example, '0' AS refs
+  b || ' [SEP] ' || n || ' [SEP] ' || t AS by_index, b || ' # ' || t || ' # ' || n AS as_chosen, 'Example: ' || n AS example, concat_ws('|', CASE WHEN s % 3 = 0 THEN 3 ELSE 0 END, CASE WHEN s % 3 <> 0 AND s % 7 = 0 THEN 4 WHEN s % 5 = 0 THEN 2 WHEN s % 2 = 0 THEN 1 END) AS refs
 FROM ({_PART})
 """)
 def structured_parsers(spark, sf_dir):
@@ -473,6 +474,8 @@ def structured_parsers(spark, sf_dir):
     listed = F.concat(F.lit("Answers:\n1. "), "n", F.lit(" \n 2) "), "t", F.lit("\nnone"))
     reply = F.concat(F.lit("q<|query_analysis_end|><|reasoning_start|> "), "n", F.lit(" <|reasoning_end|><|status_start|> OK <|status_end|><|answer_start|>"), "t", F.lit("<|answer_end|>"))
     told = backends.answer_status(reply)
+    who = lambda n, where: F.concat(F.when(F.col("s") % n == 0, "Mary").otherwise("John"), F.lit(f" went to the {where}"))
+    story = F.array(F.lit("Mary took the ball"), who(2, "kitchen"), who(5, "office"), F.when(F.col("s") % 3 == 0, "Mary dropped the ball").otherwise("Mary slept"), who(7, "kitchen"))
     return p.select(
         "p_partkey",
         text.boxed_answer(F.concat(F.lit("\\boxed{0} is \\boxed{\\frac{1}{"), size, F.lit("}} here"))).alias("boxed"),
@@ -485,7 +488,7 @@ def structured_parsers(spark, sf_dir):
         text.state_text(F.col("b"), F.array("n", "t"), F.array(F.lit(1), F.lit(0))).alias("by_index"),
         text.state_text(F.col("b"), F.array("n", "t"), F.array(F.lit(1), F.lit(0)), " # ", by_index=False).alias("as_chosen"),
         F.trim(text.clean_examples(F.concat(F.lit("<example> "), "n", F.lit("</example>")))).alias("example"),
-        joined(F.slice(text.story_references(F.array(F.concat(F.lit("Mary took the "), F.lit("ball")), F.lit("Mary went to the kitchen")), F.concat(F.lit("Where is the ball? "), F.lit("")), F.array(F.lit("kitchen"))), 1, 1)).alias("refs"),
+        joined(text.story_references(story, F.lit("Where is the ball? "), F.array(F.lit("kitchen"), F.lit("office")))).alias("refs"),
     )
 
 
@@ -500,24 +503,40 @@ def example_turns(spark, sf_dir):
     return p.select("p_partkey", F.array_join(F.transform(m, lambda x: x["role"]), "|").alias("roles"), F.get(m, F.lit(1))["content"].alias("first"), F.element_at(m, -1)["content"].alias("last"), question.alias("passage_question"))
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _asked(system: str, user: str) -> str:
+    """The md5 of a system and a user turn, in SQL."""
+    return f"md5('system:' || {_text(system)} || '|user:' || {user})"
+
+
+_SHORT = "'GIVEN PASSAGES:\n' || {} || '\n\nQUESTION:\n' || b || '\n\nReturn only the short answer.'"
+
+
 @query(f"""
-SELECT p_partkey, chr(10) || 'GIVEN PASSAGES:' || chr(10) AS starts, contains(n, n) AND contains(t, t) AS holds, 'CONTEXT:' || chr(10) AS chat, 'QUESTION: ' || b || chr(10) || 'PREDICTED ANSWER: ' || n || chr(10) || 'GROUNDTRUTH ANSWER: ' || t AS judged,
-  left('GIVEN PASSAGES:', 6) AS unled, 'system' AS role, n || ' / ' || t AS story FROM ({_PART})
+SELECT p_partkey, {_asked(prompts.FACTOID, "'\n' || " + _SHORT.format("n || '\n\n---\n\n' || t"))} AS reader,
+  {_asked(prompts.FACTOID, "'\n' || " + _SHORT.format("n || '\n\n' || t"))} AS reward, {_asked(prompts.FACTOID, _SHORT.format("n || '\n\n' || t"))} AS unled,
+  {_asked(prompts.QA, "'CONTEXT:\n' || n || '\n' || t || '\n\nQUESTION:\n' || b || '\n\nFinal Answer:'")} AS chat,
+  {_asked(prompts.JUDGE, "'QUESTION: ' || b || '\nPREDICTED ANSWER: ' || n || '\nGROUNDTRUTH ANSWER: ' || t")} AS judged,
+  {_asked(prompts.CONCISE, _text(prompts.BY_DOCUMENTS) + " || n || '\n' || t || '\nQuestion: ' || b")} AS documents, {_asked(prompts.CONCISE, _text(prompts.BY_KNOWLEDGE) + " || 'Question: ' || b")} AS alone,
+  {_asked(prompts.QA, "'Below are passages you should use:\n\n' || n || '\n\n' || t || '\n\nQuestion: ' || b")} AS passages,
+  {_asked(prompts.STORY, "'From ' || n || ' ' || t || ' tell: ' || b")} AS story, md5({_text(prompts.SHORT_REASONS)}) AS occ,
+  md5(CASE s % 4 WHEN 0 THEN {_text(prompts.GSM8K)} WHEN 1 THEN {_text(prompts.MATH)} WHEN 2 THEN {_text(prompts.QA)} ELSE {_text(prompts.MMLU_PRO)} END) AS by_task
+FROM ({_PART})
 """)
 def prompt_layouts(spark, sf_dir):
+    """Every builder's turns, whole."""
     p = _part(spark, sf_dir)
-    user = lambda m: F.element_at(m, -1)["content"]
-    chunks = F.array("n", "t")
-    reader = user(prompts.reader_messages(F.col("b"), chunks))
-    documents = user(prompts.document_messages(F.col("b"), chunks))
+    b, n, t, chunks = F.col("b"), F.col("n"), F.col("t"), F.array("n", "t")
+    whole = lambda m: F.md5(F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|"))
+    task = F.element_at(F.array(*map(F.lit, ("GSM8K", "MATH", "Musique", "MMLU-Pro"))), (F.col("s") % 4 + 1).cast("int"))
     return p.select(
-        "p_partkey", F.left(reader, F.lit(17)).alias("starts"),
-        (F.contains(reader, F.col("n")) & F.contains(documents, F.col("t")) & F.contains(user(prompts.chat_messages(F.col("b"), chunks)), F.col("n"))).alias("holds"),
-        F.left(user(prompts.chat_messages(F.col("b"), chunks)), F.lit(9)).alias("chat"),
-        user(prompts.judge_messages(F.col("b"), F.col("n"), F.col("t"), "s")).alias("judged"),
-        F.left(user(prompts.reward_messages(F.col("b"), chunks, False)), F.lit(6)).alias("unled"),
-        F.get(prompts.story_messages(F.col("b"), chunks, "{context}{question}"), F.lit(0))["role"].alias("role"),
-        F.concat("n", F.lit(" / "), F.replace(user(prompts.story_messages(F.lit(""), F.array("t"), " {context}{question} ")), F.lit("\n"), F.lit(""))).alias("story"),
+        "p_partkey", whole(prompts.reader_messages(b, chunks)).alias("reader"), whole(prompts.reward_messages(b, chunks, True)).alias("reward"), whole(prompts.reward_messages(b, chunks, False)).alias("unled"),
+        whole(prompts.chat_messages(b, chunks)).alias("chat"), whole(prompts.judge_messages(b, n, t)).alias("judged"), whole(prompts.document_messages(b, chunks)).alias("documents"),
+        whole(prompts.document_messages(b, F.array().cast("array<string>"))).alias("alone"), whole(prompts.passage_messages(b, chunks)).alias("passages"),
+        whole(prompts.story_messages(b, chunks, " From {context} tell: {question}\n")).alias("story"), F.md5(F.lit(prompts.SHORT_REASONS)).alias("occ"), F.md5(prompts.system_text(task)).alias("by_task"),
     )
 
 
@@ -666,11 +685,14 @@ def exploring_never(spark, sf_dir):
     return ranking.exploring(ranking.top_by_score(_pairs(spark, sf_dir), 49), 0.0, 1, 3)
 
 
-@query("SELECT vec_id - vec_id % 50 AS sample_id, CAST(least(count(*), 5) AS BIGINT) AS n, CAST(least(count(*), 5) AS BIGINT) AS different FROM embeddings WHERE vec_id % 50 <> 0 AND vec_id - vec_id % 50 IN (SELECT vec_id FROM embeddings) GROUP BY 1")
+@query("""
+WITH e AS (SELECT vec_id - vec_id % 50 AS sample_id, vec_id AS chunk_idx, CAST('0x' || md5(concat_ws(':', 2, vec_id - vec_id % 50, vec_id))[1:13] AS BIGINT) AS h FROM embeddings
+  WHERE vec_id % 50 <> 0 AND vec_id - vec_id % 50 IN (SELECT vec_id FROM embeddings))
+SELECT sample_id, chunk_idx, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY h, chunk_idx) AS INTEGER) AS rank FROM e) WHERE rank <= 5
+""")
 def exploring_always(spark, sf_dir):
     """With full exploration five random chunks, none twice."""
-    found = ranking.exploring(ranking.top_by_score(_pairs(spark, sf_dir), 49), 1.0, 1, 5)
-    return found.groupBy("sample_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_idx").alias("different"))
+    return ranking.exploring(ranking.top_by_score(_pairs(spark, sf_dir), 49), 1.0, 1, 5).select("sample_id", "chunk_idx", "rank")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,13 +709,13 @@ def best_remaining(spark, sf_dir):
     return rows.withColumn("s", second).select(F.col("id").cast("long").alias("sample_id"), F.get("chunks", F.col("s.idx")).cast("long").alias("chunk_idx"), F.round("s.score", 6).alias("score"))
 
 
-@query("SELECT vec_id, round(1.0::DOUBLE / 63, 6) AS each, 0.0::DOUBLE AS masked, CAST(list_position(embedding, list_max(list_slice(embedding, 2, 64))) - 1 AS INTEGER) AS greedy FROM embeddings WHERE list_position(embedding, list_max(list_slice(embedding, 2, 64))) > 1")
+@query("SELECT vec_id, round(1.0::DOUBLE / 63, 6) AS each, 0.0::DOUBLE AS masked, CAST(list_position(list_slice(embedding, 2, 64), list_max(list_slice(embedding, 2, 64))) AS INTEGER) AS greedy FROM embeddings")
 def policies(spark, sf_dir):
     """A uniform policy and the best action with the first action masked."""
     e = table(spark, sf_dir, "embeddings")
     open_ = F.transform("embedding", lambda x, i: i > 0)
     uniform = vectors.uniform_policy(open_)
-    return e.select("vec_id", F.round(F.get(uniform, F.lit(5)), 6).alias("each"), F.get(uniform, F.lit(0)).alias("masked"), vectors.greedy(F.col("embedding"), open_).alias("greedy")).where(F.col("greedy") > 0)
+    return e.select("vec_id", F.round(F.get(uniform, F.lit(5)), 6).alias("each"), F.get(uniform, F.lit(0)).alias("masked"), vectors.greedy(F.col("embedding"), open_).alias("greedy"))
 
 
 @query("""
@@ -712,19 +734,22 @@ def window_of_rows(spark, sf_dir):
     return ranking.window_of(table(spark, sf_dir, "events").select("event_id", "user_id"), 100, 600, "event_id")
 
 
-@query("SELECT 'first' AS how, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS s FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 40) UNION ALL SELECT 'random', 40, 40 UNION ALL SELECT 'all', count(*), CAST(sum(event_id) AS BIGINT) FROM events UNION ALL SELECT 'none', 0, 0 UNION ALL SELECT 'shuffled', count(*), CAST(sum(event_id) AS BIGINT) FROM events")
+@query("SELECT 'first' AS how, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS s FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 40) UNION ALL SELECT 'random', 40, CAST(sum(event_id) AS BIGINT) FROM (SELECT event_id FROM events ORDER BY CAST('0x' || md5(concat_ws(':', 3, event_id))[1:13] AS BIGINT), event_id LIMIT 40) UNION ALL SELECT 'all', count(*), CAST(sum(event_id) AS BIGINT) FROM events UNION ALL SELECT 'none', 0, 0 UNION ALL SELECT 'shuffled', count(*), CAST(sum(event_id) AS BIGINT) FROM events")
 def chosen_rows(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id")
     told = lambda how, df, s=None: df.agg(F.lit(how).alias("how"), F.count("*").alias("n"), F.coalesce(F.sum("event_id") if s is None else s, F.lit(0)).alias("s"))
     random = ranking.chosen_rows(e, 40, 3, "event_id")
-    parts = [told("first", ranking.chosen_rows(e, 40, None, "event_id")), told("random", random, F.count_distinct("event_id")), told("all", ranking.limited(e, 0, True, "event_id")), told("none", ranking.limited(e, 0, False, "event_id")), told("shuffled", ranking.shuffled(e, 5, "event_id"))]
+    parts = [told("first", ranking.chosen_rows(e, 40, None, "event_id")), told("random", random), told("all", ranking.limited(e, 0, True, "event_id")), told("none", ranking.limited(e, 0, False, "event_id")), told("shuffled", ranking.shuffled(e, 5, "event_id"))]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
 
 
-@query("SELECT range AS episode, true AS known FROM range(300)")
+@query("""
+WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer),
+d AS (SELECT range AS episode, CAST('0x' || md5(concat_ws(':', 9, range))[1:13] AS BIGINT) % (SELECT count(*) FROM customer) AS r FROM range(3000))
+SELECT episode, c_custkey FROM d JOIN c USING (r)
+""")
 def drawn_with_replacement(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey")
-    return ranking.drawn_with_replacement(n, 300, 9, "n_nationkey").select("episode", F.col("n_nationkey").between(0, 24).alias("known"))
+    return ranking.drawn_with_replacement(table(spark, sf_dir, "customer").select("c_custkey"), 3000, 9, "c_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer) WHERE r % 7 = 0")
@@ -739,49 +764,121 @@ def within_budget(spark, sf_dir):
     return ranking.within_budget(rows, 90, F.col("l_quantity"), "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
 
 
-@query("SELECT c_custkey, true AS facts_in_order, 8 AS n, true AS places_rise, true AS picked, array_to_string(list_transform(range(c_custkey % 5 + 1), lambda i: i), '|') AS absolute FROM customer")
+def _draw(seed: int, *keys: str) -> str:
+    """The engine's draw (``vectors.draw``) in SQL."""
+    return f"CAST('0x' || md5(concat_ws(':', {seed}, {', '.join(keys)}))[1:13] AS BIGINT)"
+
+
+def _uniform(seed: int, *keys: str) -> str:
+    return f"({_draw(seed, *keys)} / 4503599627370496.0::DOUBLE)"
+
+
+def _shuffled(values: str, seed: int) -> str:
+    """A list's numbers by their draws."""
+    return f"list_transform(list_sort(list_transform({values}, lambda i: {{'h': {_draw(seed, 'c_custkey', 'i')}, 'i': i}})), lambda s: s.i)"
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, c_name, list_sort({_shuffled('range(8)', 3)}[1:3]) AS spots FROM customer),
+p AS (SELECT c_custkey, CAST(floor({_uniform(6, 'c_custkey')} * 3) AS INTEGER) AS n, {_shuffled('[1, 4]', 5)} AS support, {_shuffled('[0, 2, 3, 5]', 5)} AS rest FROM customer),
+m AS (SELECT c_custkey, list_sort(list_transform(range(1, 6), lambda i: CAST(floor({_uniform(2, 'c_custkey', 'i')} * 28) AS INTEGER))) AS indents, {_shuffled('range(1, 11)', 3)}[1:4] AS cuts FROM customer)
+SELECT c_custkey, array_to_string(spots, '|') AS facts_idx,
+  array_to_string(list_transform(range(8), lambda i: CASE WHEN list_contains(spots, i) THEN 'f' || len(list_filter(spots, lambda x: x < i)) || ' ' || c_name ELSE 'n' || (i - len(list_filter(spots, lambda x: x < i))) END), '|') AS chunks,
+  array_to_string(list_transform(range(12), lambda i: i + indents[1 + len(list_filter(cuts, lambda x: x <= i))]), '|') AS places,
+  array_to_string(list_transform(list_sort(list_concat(support[1:n], rest[1:3 - n])), lambda i: chr(97 + CAST(i AS INTEGER))), ' ') AS picked,
+  array_to_string(range(c_custkey % 5 + 1), '|') AS absolute
+FROM c JOIN p USING (c_custkey) JOIN m USING (c_custkey)
+""")
 def interleaving(spark, sf_dir):
-    """Facts stand at their places among noise, in order; a partial context holds three chunks."""
+    """Facts at drawn places among noise, positions moved on by drawn indents, and a partial context of three chunks."""
     key = F.col("c_custkey")
     facts, noise = F.array(*[F.concat(F.lit(f"f{i} "), "c_name") for i in range(3)]), F.array(*[F.lit(f"n{i}") for i in range(5)])
     mixed = ranking.interleaved(facts, noise, 3, key)
-    at = F.transform(mixed["facts_idx"], lambda i: F.get(mixed["chunks"], i))
-    moved = ranking.random_positions(F.lit(6), 40, 2, key)
-    rises = F.forall(F.sequence(F.lit(1), F.lit(5)), lambda i: F.get(moved, i) > F.get(moved, i - 1)) & (F.array_max(moved) < 40)
+    moved = ranking.random_positions(F.lit(12), 40, 2, key)
     partial = ranking.partial_context(F.array(*map(F.lit, "abcdef")), F.array(F.lit(1), F.lit(4)), 3, 5, key)
-    picked = (F.size(F.split(partial, " ")) == 3) & (F.array_sort(F.split(partial, " ")) == F.split(partial, " "))
     absolute = vectors.absolute_positions((key % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", (at == facts).alias("facts_in_order"), F.size(mixed["chunks"]).alias("n"), rises.alias("places_rise"), picked.alias("picked"), joined(absolute).alias("absolute"))
+    return table(spark, sf_dir, "customer").select("c_custkey", joined(mixed["facts_idx"]).alias("facts_idx"), joined(mixed["chunks"]).alias("chunks"), joined(moved).alias("places"), partial.alias("picked"), joined(absolute).alias("absolute"))
 
 
-@query("SELECT c_custkey, '0.0|9.0|10.0|13.0|16.0|19.0' AS places, '4|0' AS gathered FROM customer")
+@query("""
+WITH c AS (SELECT c_custkey, c_name, c_custkey % 5 + 3 AS n, [c_custkey % 3, c_custkey % 3 + c_custkey % 2 + 1] AS chosen FROM customer),
+e AS (SELECT *, list_concat(list_sort(chosen), [n]) AS ends FROM c)
+SELECT c_custkey, array_to_string(list_transform(range(n), lambda i: round(
+    coalesce(list_max(list_filter(ends, lambda x: x <= i)) * 0 + (i - list_max(list_filter(ends, lambda x: x <= i))) * 9.0::DOUBLE / nullif(list_min(list_filter(ends, lambda x: x > i)) - list_max(list_filter(ends, lambda x: x <= i)) - 1, 0),
+      CASE WHEN len(list_filter(ends, lambda x: x <= i)) = 0 THEN coalesce(i * 9.0::DOUBLE / nullif(list_min(ends) - 1, 0), 0.0::DOUBLE) ELSE 0.0::DOUBLE END)
+    + 10.0::DOUBLE * len(list_filter(ends, lambda x: x <= i)), 6)), '|') AS places,
+  c_custkey || '|' || c_name || '|x' AS gathered FROM e
+""")
 def relative_positions(spark, sf_dir):
-    n = F.lit(6) + F.col("c_custkey") * 0
-    chunks = F.array(*[F.lit(str(i)) for i in range(5)])
-    return table(spark, sf_dir, "customer").select("c_custkey", joined(F.transform(vectors.relative_positions(n.cast("int"), F.array(F.lit(2))), lambda x: F.round(x, 6))).alias("places"), joined(joins.texts_at(chunks, F.array(F.lit(-1), F.lit(0)))).alias("gathered"))
+    """Positions between two chosen indices, which differ by customer; texts by index, from the end as well."""
+    key = F.col("c_custkey")
+    first = (key % 3).cast("int")
+    places = vectors.relative_positions((key % 5 + 3).cast("int"), F.array(first, (first + key % 2 + 1).cast("int")))
+    gathered = joins.texts_at(F.array(F.col("c_name"), F.lit("x"), key.cast("string")), F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    return table(spark, sf_dir, "customer").select("c_custkey", joined(F.transform(places, lambda x: F.round(x, 6))).alias("places"), joined(gathered).alias("gathered"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id, 12 AS n, true AS known FROM customer")
+@query(f"""
+WITH b AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS book, n_name FROM nation),
+p AS (SELECT CAST(c_custkey AS VARCHAR) AS id, unnest(range(8)) AS d FROM customer),
+x AS (SELECT id, d, {_draw(4, 'id', 'd')} % (SELECT count(*) FROM nation) AS book, CAST(floor({_uniform(5, 'id', 'd')} * 40) AS INTEGER) AS start FROM p),
+s AS (SELECT id, d, start, n_name, unnest(range(start + 1, least(start + 10, 40) + 1)) AS i FROM x JOIN b USING (book)),
+r AS (SELECT id, n_name || ' ' || i AS sentence, row_number() OVER (PARTITION BY id ORDER BY d, i) AS place FROM s)
+SELECT id, string_agg(sentence, '|' ORDER BY place) AS noise FROM r WHERE place <= 12 GROUP BY id
+""")
 def noise_sentences(spark, sf_dir):
     """Noise for each customer from books that nations stand for."""
     books = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("book_id"), F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat("n_name", F.lit(" "), i.cast("string"))).alias("sentences"))
     samples = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
-    found = ranking.noise_sentences(books, samples, 12, 4, most=10)
-    return found.select("id", F.size("noise").alias("n"), F.forall("noise", lambda s: F.contains(s, F.lit(" "))).alias("known"))
+    return ranking.noise_sentences(books, samples, 12, 4, most=10).select("id", joined("noise").alias("noise"))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {_draw(7, 'p_partkey')} AS h FROM part), r AS (SELECT *, row_number() OVER (ORDER BY h, p_partkey) AS k FROM p),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_draw(5, 'o_orderkey')}, o_orderkey) - 1 AS place FROM orders)
+SELECT 'example' AS what, p_partkey AS key, CAST(NULL AS BIGINT) AS place FROM r WHERE k <= 7
+UNION ALL SELECT 'sample', p_partkey, NULL FROM (SELECT p_partkey FROM r WHERE k > 7 ORDER BY h, p_partkey LIMIT 40)
+UNION ALL SELECT 'shuffled', o_orderkey, place FROM o
+""")
+def disjoint_split(spark, sf_dir):
+    """Disjoint examples and samples of parts, and orders in a random order."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pos"))
+    samples, shown = readers.in_context_split(parts, 40, 7, 7)
+    told = lambda df, what: df.select(F.lit(what).alias("what"), F.col("_pos").alias("key"), F.lit(None).cast("long").alias("place"))
+    orders = numbered(ranking.shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), 5, "o_orderkey").withColumn("_at", F.monotonically_increasing_id()), "_at", into="place")
+    return told(samples, "sample").unionByName(told(shown, "example")).unionByName(orders.select(F.lit("shuffled").alias("what"), F.col("o_orderkey").alias("key"), "place"))
 
 
 # --- clusters, probes, models -------------------------------------------------
 
 
-@query("SELECT o_custkey, '0|1|0|2' AS mutual, '0|1|0|2' AS leaders, '0|0|0|1' AS chained, '0|0|1|2' AS first FROM (SELECT DISTINCT o_custkey FROM orders)")
+#: Four items of a customer match by their numbers; a match needs both directions.
+_CELL = "CASE WHEN i = j THEN 1.0::DOUBLE ELSE ((k * (7 * i + 3 * j + 5)) % 11) / 11.0::DOUBLE END"
+
+
+@query(f"""
+WITH n AS (SELECT c_custkey AS k, unnest(range(4)) AS i FROM customer),
+c AS (SELECT a.k, a.i, b.i AS j FROM n a JOIN n b ON a.k = b.k),
+s AS (SELECT k, i, j, {_CELL} AS v FROM c),
+e AS (SELECT x.k, x.i, x.j FROM s x JOIN s y ON x.k = y.k AND x.i = y.j AND x.j = y.i WHERE x.v > 0.35 AND y.v > 0.35),
+r1 AS (SELECT k, i, min(j) AS r FROM e GROUP BY k, i),
+r2 AS (SELECT e.k, e.i, min(r.r) AS r FROM e JOIN r1 r ON e.k = r.k AND e.j = r.i GROUP BY e.k, e.i),
+r3 AS (SELECT e.k, e.i, min(r.r) AS r FROM e JOIN r2 r ON e.k = r.k AND e.j = r.i GROUP BY e.k, e.i),
+g AS (SELECT a.k, a.i, count(DISTINCT b.r) FILTER (b.r < a.r) AS c FROM r3 a JOIN r3 b ON a.k = b.k GROUP BY a.k, a.i),
+m AS (SELECT k, bool_or(i = 0 AND j = 1) AS m01, bool_or(i = 0 AND j = 2) AS m02, bool_or(i = 0 AND j = 3) AS m03, bool_or(i = 1 AND j = 2) AS m12, bool_or(i = 1 AND j = 3) AS m13, bool_or(i = 2 AND j = 3) AS m23 FROM e GROUP BY k),
+l1 AS (SELECT *, CASE WHEN m01 THEN 0 ELSE 1 END AS c1 FROM m),
+l2 AS (SELECT *, CASE WHEN m02 THEN 0 WHEN c1 = 1 AND m12 THEN 1 ELSE 1 + c1 END AS c2, NOT m02 AND NOT (c1 = 1 AND m12) AS lead2 FROM l1),
+l3 AS (SELECT *, CASE WHEN m03 THEN 0 WHEN c1 = 1 AND m13 THEN 1 WHEN lead2 AND m23 THEN c2 ELSE 1 + c1 + CAST(lead2 AS INTEGER) END AS c3 FROM l2)
+SELECT l3.k AS c_custkey, (SELECT string_agg(CAST(g.c AS VARCHAR), '|' ORDER BY g.i) FROM g WHERE g.k = l3.k) AS mutual, '0|' || c1 || '|' || c2 || '|' || c3 AS leaders FROM l3
+""")
 def answer_clusters(spark, sf_dir):
-    """Items 0 and 2 entail each other; where 0-1 and 1-2 do, a chain is one cluster but has two leaders."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey").distinct()
-    pair = F.expr("array(array(1D, 0D, 0.9D, 0D), array(0.9D, 1D, 0D, 0D), array(0.8D, 0D, 1D, 0.2D), array(0D, 0D, 0.9D, 1D))")
-    chain = F.expr("array(array(1D, 0.9D, 0D, 0D), array(0.9D, 1D, 0.9D, 0D), array(0D, 0.9D, 1D, 0D), array(0D, 0D, 0D, 1D))")
-    agree = lambda c: F.transform(c, lambda r: F.transform(r, lambda x: x > 0.5))
-    half = F.lit(0.5)
-    return rows.select("o_custkey", joined(uncertainty.mutual_clusters(pair, half)).alias("mutual"), joined(uncertainty.leader_clusters(agree(pair))).alias("leaders"), joined(uncertainty.mutual_clusters(chain, half)).alias("chained"), joined(uncertainty.leader_clusters(agree(chain))).alias("first"))
+    """Four items a customer, whose entailments follow from its number, by connected matches and by leaders."""
+    items = F.sequence(F.lit(0), F.lit(3))
+    value = lambda i, j: F.when(i == j, 1.0).otherwise(((F.col("k") * (7 * i + 3 * j + 5)) % 11) / 11.0)
+    square = F.transform(items, lambda i: F.transform(items, lambda j: value(i, j)))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select(F.col("k").alias("c_custkey"), square.alias("s"))
+    above = F.transform("s", lambda r: F.transform(r, lambda x: x > 0.35))
+    return rows.select("c_custkey", joined(uncertainty.mutual_clusters(F.col("s"), F.lit(0.35))).alias("mutual"), joined(uncertainty.leader_clusters(above)).alias("leaders"))
 
 
 @query("SELECT vec_id, CAST(CASE WHEN CAST(embedding[1] AS DOUBLE) > 0.0 THEN 1 ELSE 0 END AS INTEGER) AS label, CAST(CASE WHEN CAST(embedding[1] AS DOUBLE) > (SELECT quantile_cont(CAST(embedding[1] AS DOUBLE), 0.5) FROM embeddings) THEN 1 ELSE 0 END AS INTEGER) AS by_median FROM embeddings")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from hopsmith import schemas
 from hopsmith.functions import text as T
+from hopsmith.functions.vectors import draw
 from hopsmith.sources import arrays
 
 
@@ -92,7 +93,7 @@ def multihop(spark: SparkSession, path: str | list[str], array: bool = False, sc
 
 def hash_order(seed: int, *keys: str) -> list[Column]:
     """A repeatable random order of rows."""
-    return [F.xxhash64(F.lit(seed), *keys), *[F.col(k) for k in keys]]
+    return [draw(seed, *keys), *[F.col(k) for k in keys]]
 
 
 def first_rows(df: DataFrame, length: int | None, *order: Column | str) -> DataFrame:
@@ -292,7 +293,7 @@ def candidate_rows(spark: SparkSession, path: str | list[str], combined: bool =
     if combined:
         known = F.col("source").isin("hotpotqa", "2WikiMultihopQA")
         rows = rows.withColumn("source", F.when(known, F.col("source")).otherwise(F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null"))))))
-    return rows.withColumn("_order", F.xxhash64(F.lit(seed), "_id"))
+    return rows.withColumn("_order", draw(seed, "_id"))
 
 
 def paragraph_eval(df: DataFrame, exactly: int | None = None) -> DataFrame:
