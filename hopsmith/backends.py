@@ -139,6 +139,18 @@ def hidden_features(df: DataFrame, text: str, make=StubBackend, **how) -> DataFr
     return call(df, "features", "array<double>", make, lambda b, f: b.hidden(list(f[text])), **how)
 
 
+def features_and_answer(df: DataFrame, messages: str, make=StubBackend, **how) -> DataFrame:
+    """What a probe is trained on: the greedy answer to a prompt, and the features of the prompt
+    with it; as ``probe``, a struct."""
+
+    def run(backend, frame: pd.DataFrame) -> list:
+        asked = [list(m) for m in frame[messages]]
+        answers = [r[0] for r in backend.generate(asked, 1)]
+        return [{"answer": a, "features": f} for a, f in zip(answers, backend.hidden([f"{m[-1]['content']} {a}" for m, a in zip(asked, answers)]))]
+
+    return call(df, "probe", "struct<answer: string, features: array<double>>", make, run, **how)
+
+
 def from_table(df: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
     """Results computed elsewhere, by key; missing ones are null."""
     return df.join(outputs, keys, "left")

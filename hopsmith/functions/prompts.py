@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hopsmith.functions.text import SEPARATOR, stripped
+from hopsmith.functions.text import SEPARATOR, clean_examples, stripped
 
 # How each builder joins its passages.
 JOINS = {"reader": "\n\n---\n\n", "passages": "\n\n", "documents": "\n", "facts": " ", "chat": "\n"}
@@ -135,6 +135,36 @@ def document_messages(question: Column, chunks: Column, system: str = CONCISE) -
     return messages(system, F.when(F.size(chunks) > 0, given).otherwise(F.concat(F.lit(BY_KNOWLEDGE), asked)))
 
 
+# Fixed value: layout of a story's prompt.
+STORY_TASK = "{instruction}\n{examples}\n{closing}\nContext: {context}\n\nQuestion: {question}?"
+
+
+def story_task(name: Column) -> Column:
+    """The task of a data set's name: what stands before its first underscore."""
+    return F.substring_index(name, "_", 1)
+
+
+def story_task_messages(question: Column, facts: Column, instruction: Column, examples: Column, closing: Column) -> Column:
+    """A story prompt by its task's texts (columns, so that a table of tasks can be joined); example
+    marks become words."""
+    shown = clean_examples(examples)
+    return messages(STORY, stripped(filled(STORY_TASK, instruction=instruction, examples=shown, closing=closing, context=F.array_join(facts, JOINS["facts"]), question=question)))
+
+
+# Fixed value: the yes/no judge's question.
+YES_NO = """You are evaluating answer correctness.
+
+Question: {question}
+Expected answer: {answer}
+Proposed answer: {prediction}
+
+Does the proposed answer convey the same meaning as the expected answer in the context of the question? Respond with ONLY 'yes' or 'no'."""
+
+
+def yes_no_messages(question: Column, answer: Column, prediction: Column, template: str = YES_NO) -> Column:
+    return F.array(F.struct(F.lit("user").alias("role"), filled(template, question=question, answer=answer, prediction=prediction).alias("content")))
+
+
 def story_messages(question: Column, facts: Column, template: str, system: str = STORY) -> Column:
     return messages(system, stripped(filled(template, context=F.array_join(facts, JOINS["facts"]), question=question)))
 

@@ -36,6 +36,22 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
 
 
+def mean_pooled(vectors: Column, mask: Column, divisor: float = 10.0) -> Column:
+    """The mean of the vectors whose mask is 1, divided by ``divisor``; null without any."""
+    open_ = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda z: z["m"] == 1)
+    n = F.size(open_)
+    width = F.size(F.get(vectors, F.lit(0)))
+    summed = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.aggregate(open_, F.lit(0.0), lambda a, z: a + F.get(z["v"], i)))
+    return F.when(n > 0, F.transform(summed, lambda x: x / n / divisor))
+
+
+def last_pooled(vectors: Column, mask: Column, all_padded_left: Column) -> Column:
+    """The last token's vector: the last of all where every text of the batch ends at the right edge
+    (``all_padded_left``), else the one at the number of open places."""
+    n = F.aggregate(mask, F.lit(0), lambda a, m: a + m.cast("int"))
+    return F.when(all_padded_left, F.element_at(vectors, -1)).otherwise(F.get(vectors, n - 1))
+
+
 def halves(a: Column) -> tuple[Column, Column]:
     n = (F.size(a) / 2).cast("int")
     return F.slice(a, F.lit(1), n), F.slice(a, n + 1, F.size(a) - n)

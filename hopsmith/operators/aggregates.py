@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopsmith.functions.metrics import fact_metrics, fact_rates
+from hopsmith.functions.metrics import exact_match, fact_metrics, fact_rates, support_text_metrics, token_scores
 from hopsmith.operators.filters import cover_step, stop_label, stop_length
 from hopsmith.operators.numbering import running
 
@@ -46,6 +46,13 @@ def judgement_buckets(rows: DataFrame) -> DataFrame:
     return counts.withColumn("mixed", F.col("total") - F.col("all_correct") - F.col("all_wrong") - F.col("unresolved"))
 
 
+def beta_buckets(rows: DataFrame) -> DataFrame:
+    """Records whose judgements are all 1, all 0, or neither."""
+    j = F.col("judgements")
+    counts = rows.agg(F.count_if(F.forall(j, lambda x: x == 1)).alias("all_correct"), F.count_if(F.forall(j, lambda x: x == 0)).alias("all_wrong"), F.count("*").alias("_n"))
+    return counts.select("all_correct", "all_wrong", (F.col("_n") - F.col("all_correct") - F.col("all_wrong")).alias("mixed"))
+
+
 def beta_summary(rows: DataFrame) -> DataFrame:
     """Over betas above minus infinity."""
     b = rows.select(F.explode("betas").alias("b")).where(F.col("b") > float("-inf"))
@@ -88,6 +95,12 @@ def success_statistics(rows: DataFrame, metrics: list[str]) -> DataFrame:
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
 
 
+def failed_judgements(rows: DataFrame, modes: list[str]) -> DataFrame:
+    """Over all records, how many judgements of each mode have failed (-1)."""
+    failed = lambda m: F.coalesce(F.sum(mode_counts(F.col(m))["failed"]), F.lit(0)).cast("long").alias(m)
+    return rows.agg(*map(failed, modes))
+
+
 def by_source(rows: DataFrame, metrics: list[str], source: str = "source") -> DataFrame:
     """Means over all and by source, in one pass; the total's source is ``<all>``."""
     out = rows.groupingSets([[], [source]], source)
@@ -159,6 +172,17 @@ def answer_scores(gold: DataFrame, pred: DataFrame, columns: list[str]) -> DataF
     return predictions_against_gold(gold, pred, columns).agg(*[F.avg(c).alias(c) for c in columns])
 
 
+def answer_and_support_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Eight means over all rows of ``gold(id, answer, support_texts)``: em, f1, precision and recall of the
+    answers and of the support texts of ``pred(id, answer, support_texts)``. A row without a
+    prediction counts as 0; predictions of other ids don't count."""
+    both = gold.join(pred.select("id", F.col("answer").alias("_answer"), F.col("support_texts").alias("_texts"), F.lit(True).alias("_there")), "id", "left")
+    a = token_scores(F.coalesce("_answer", F.lit("")), F.col("answer"))
+    s = support_text_metrics(F.coalesce("_texts", F.array().cast("array<string>")), F.col("support_texts"))
+    values = {"em": exact_match(F.coalesce("_answer", F.lit("")), F.col("answer")).cast("double"), "f1": a["f1"], "precision": a["precision"], "recall": a["recall"], **{f"support_{n}": s[n] for n in ("em", "f1", "precision", "recall")}}
+    return both.agg(*(F.avg(F.when(F.col("_there"), v).otherwise(0.0)).alias(n) for n, v in values.items()))
+
+
 def episodic_returns(steps: DataFrame) -> DataFrame:
     """Summed reward of each finished or open episode of an environment: (env_id, episode,
     episodic_return, n_steps, done)."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopsmith.operators.numbering import numbered
+
 
 def min_chunks(df: DataFrame, k: int, column: str = "context", length: int | None = None) -> DataFrame:
     """Rows with at least ``k`` chunks (a missing list has none)."""
@@ -45,6 +47,12 @@ def not_done(df: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return df.join(done.select(key).distinct(), key, "left_anti")
 
 
+def not_done_by_place(df: DataFrame, results: DataFrame, done: Column, order: str = "_pos") -> DataFrame:
+    """Rows of ``df`` at whose place in reading order ``results`` has nothing, or nothing ``done``."""
+    told = numbered(results.where(F.col(order).isNotNull()), order, into="_place").where(F.coalesce(done, F.lit(False))).select("_place")
+    return numbered(df, order, into="_place").join(told, "_place", "left_anti").drop("_place")
+
+
 def refuse_duplicates(df: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame:
     """``df``; an error if keys repeat or more rows are asked for than there are."""
     twice = df.groupBy(*keys).count().where("count > 1").limit(1).count()

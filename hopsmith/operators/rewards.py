@@ -88,6 +88,12 @@ def matched_or_judged(answer: Column, gold: Column, judged: Column) -> Column:
     return F.when(same, 1.0).otherwise(F.coalesce(judged.cast("double"), F.lit(0.0)))
 
 
+def judged_reward(reply: Column, is_final: Column, scale: float = 1.0, only_at_end: bool = True) -> Column:
+    """``scale`` where a yes/no judge's reply begins with yes, else 0, a missing reply included."""
+    said = F.coalesce(F.lower(F.trim(reply)).startswith("yes"), F.lit(False)).cast("double") * scale
+    return F.when(is_final, said).otherwise(0.0) if only_at_end else said
+
+
 def metric_reward(metric: Column, threshold: float = 1.0) -> Column:
     return F.struct(metric.alias("reward"), (metric >= threshold).alias("completed"))
 

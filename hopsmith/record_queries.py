@@ -91,11 +91,10 @@ def scan_hotpotqa(spark, sf_dir):
 
 @query(_LINES + "SELECT id, question, answer, chunks, sf_idx, 'hotpotqa' AS source FROM r WHERE n >= 3")
 def scan_hotpotqa_clean(spark, sf_dir):
+    """The cleaned training split, by the second of its names; short contexts go."""
     folder = scratch(spark, "hotpot")
-    _text(_raw(_lines(spark, sf_dir)).coalesce(1), f"{folder}/parts")
-    # a cleaned file is a single file; what Spark has written stands in for it
-    file = readers.multihop(spark, f"{folder}/parts")
-    return as_sample(adapt.adapt(filters.min_chunks(file, 3), "hotpotqa"))
+    _text(_raw(_lines(spark, sf_dir)), f"{folder}/{readers.HOTPOT_CLEAN[1]}")
+    return as_sample(adapt.adapt(filters.min_chunks(readers.multihop_split(spark, folder, "train-clean"), 3), "hotpotqa"))
 
 
 @query(_LINES + "SELECT id, question, answer, chunks, sf_idx, '2wiki' AS source FROM r WHERE type <> 'bridge_comparison'")
@@ -503,13 +502,13 @@ def example_turns(spark, sf_dir):
     return p.select("p_partkey", F.array_join(F.transform(m, lambda x: x["role"]), "|").alias("roles"), F.get(m, F.lit(1))["content"].alias("first"), F.element_at(m, -1)["content"].alias("last"), question.alias("passage_question"))
 
 
-def _text(value: str) -> str:
+def _literal(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
 def _asked(system: str, user: str) -> str:
     """The md5 of a system and a user turn, in SQL."""
-    return f"md5('system:' || {_text(system)} || '|user:' || {user})"
+    return f"md5('system:' || {_literal(system)} || '|user:' || {user})"
 
 
 _SHORT = "'GIVEN PASSAGES:\n' || {} || '\n\nQUESTION:\n' || b || '\n\nReturn only the short answer.'"
@@ -520,10 +519,10 @@ SELECT p_partkey, {_asked(prompts.FACTOID, "'\n' || " + _SHORT.format("n || '\n\
   {_asked(prompts.FACTOID, "'\n' || " + _SHORT.format("n || '\n\n' || t"))} AS reward, {_asked(prompts.FACTOID, _SHORT.format("n || '\n\n' || t"))} AS unled,
   {_asked(prompts.QA, "'CONTEXT:\n' || n || '\n' || t || '\n\nQUESTION:\n' || b || '\n\nFinal Answer:'")} AS chat,
   {_asked(prompts.JUDGE, "'QUESTION: ' || b || '\nPREDICTED ANSWER: ' || n || '\nGROUNDTRUTH ANSWER: ' || t")} AS judged,
-  {_asked(prompts.CONCISE, _text(prompts.BY_DOCUMENTS) + " || n || '\n' || t || '\nQuestion: ' || b")} AS documents, {_asked(prompts.CONCISE, _text(prompts.BY_KNOWLEDGE) + " || 'Question: ' || b")} AS alone,
+  {_asked(prompts.CONCISE, _literal(prompts.BY_DOCUMENTS) + " || n || '\n' || t || '\nQuestion: ' || b")} AS documents, {_asked(prompts.CONCISE, _literal(prompts.BY_KNOWLEDGE) + " || 'Question: ' || b")} AS alone,
   {_asked(prompts.QA, "'Below are passages you should use:\n\n' || n || '\n\n' || t || '\n\nQuestion: ' || b")} AS passages,
-  {_asked(prompts.STORY, "'From ' || n || ' ' || t || ' tell: ' || b")} AS story, md5({_text(prompts.SHORT_REASONS)}) AS occ,
-  md5(CASE s % 4 WHEN 0 THEN {_text(prompts.GSM8K)} WHEN 1 THEN {_text(prompts.MATH)} WHEN 2 THEN {_text(prompts.QA)} ELSE {_text(prompts.MMLU_PRO)} END) AS by_task
+  {_asked(prompts.STORY, "'From ' || n || ' ' || t || ' tell: ' || b")} AS story, md5({_literal(prompts.SHORT_REASONS)}) AS occ,
+  md5(CASE s % 4 WHEN 0 THEN {_literal(prompts.GSM8K)} WHEN 1 THEN {_literal(prompts.MATH)} WHEN 2 THEN {_literal(prompts.QA)} ELSE {_literal(prompts.MMLU_PRO)} END) AS by_task
 FROM ({_PART})
 """)
 def prompt_layouts(spark, sf_dir):

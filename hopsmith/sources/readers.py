@@ -212,9 +212,9 @@ def needle_samples(df: DataFrame) -> DataFrame:
     return told.select(F.col("index").cast("string").alias("id"), F.element_at("_s", -1).alias("question"), F.array_join("outputs", ",").alias("answer"), chunks.alias("chunks"), hits.alias("sf_idx"))
 
 
-def stories(lines: DataFrame, most_facts: int | None = None) -> DataFrame:
+def stories(lines: DataFrame, most_facts: int | None = None, strict: bool = False) -> DataFrame:
     """Samples of ``lines(file, line, value)`` of numbered stories: every question with the
-    facts of its story that stand before it."""
+    facts of its story that stand before it. ``strict``: a reference to anything else is an error."""
     number = F.split("value", " ", 2)
     parts = F.split(F.get(number, F.lit(1)), "\t")
     told = lines.select("file", "line", F.get(number, F.lit(0)).cast("int").alias("n"), F.get(parts, F.lit(0)).alias("text"), F.get(parts, F.lit(1)).alias("answer"), F.get(parts, F.lit(2)).alias("refs"))
@@ -230,7 +230,12 @@ def stories(lines: DataFrame, most_facts: int | None = None) -> DataFrame:
         T.stripped(F.col("text")).alias("question"),
         "answer",
         F.filter(F.transform(before, lambda f, i: F.when(F.array_contains(numbers, f["n"]), i)), lambda i: i.isNotNull()).alias("references_idx"),
+        F.array_distinct(numbers).alias("_asked"),
     )
+    if strict:
+        known = F.size("references_idx") == F.size("_asked")
+        rows = rows.withColumn("references_idx", F.when(known, F.col("references_idx")).otherwise(F.raise_error(F.concat(F.lit("a reference points at no earlier fact: "), "question")).cast("array<int>")))
+    rows = rows.drop("_asked")
     return rows if most_facts is None else rows.where(F.size("facts") + 1 <= most_facts)
 
 
@@ -287,13 +292,14 @@ def summary_example(df: DataFrame) -> Column:
     return F.concat(F.lit("TEXT:\n"), "text", F.lit(T.SEPARATOR + "SUMMARY:\n"), "summary")
 
 
-def candidate_rows(spark: SparkSession, path: str | list[str], combined: bool = False, seed: int = 42) -> DataFrame:
-    """Rows with candidates; a combined file may only hold the two known sources."""
+def candidate_rows(spark: SparkSession, path: str | list[str], combined: bool = False, seed: int = 42, length: int | None = None) -> DataFrame:
+    """Rows with candidates, the first ``length`` in a random order (``_order``); a combined file may
+    only hold the two known sources."""
     rows = multihop(spark, path, schema=schemas.CANDIDATE_RAW)
     if combined:
         known = F.col("source").isin("hotpotqa", "2WikiMultihopQA")
         rows = rows.withColumn("source", F.when(known, F.col("source")).otherwise(F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null"))))))
-    return rows.withColumn("_order", draw(seed, "_id"))
+    return first_rows(rows.withColumn("_order", draw(seed, "_id")), length, "_order", "_id", "_pos")
 
 
 def paragraph_eval(df: DataFrame, exactly: int | None = None) -> DataFrame:
@@ -306,6 +312,19 @@ def paragraph_eval(df: DataFrame, exactly: int | None = None) -> DataFrame:
     return rows if exactly is None else rows.where(F.size("references_idx") == exactly)
 
 
+def books(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(book_id, sentences) of a noise corpus in Parquet; books without a sentence go."""
+    rows = spark.read.schema("book_id bigint, sentences array<string>").parquet(path if isinstance(path, str) else path[0], *([] if isinstance(path, str) else path[1:]))
+    return rows.where(F.size("sentences") > 0)
+
+
+def merged_lists(parts: list[DataFrame], key: str = "key", values: str = "values") -> DataFrame:
+    """Lists of several sets by key, joined in the order of the sets (a set's rows of one key in the order of ``_pos``, if it has one)."""
+    rows = reduce(DataFrame.unionByName, [p.select(key, values, F.lit(i).alias("_part"), (F.col("_pos") if "_pos" in p.columns else F.lit(0)).cast("long").alias("_at")) for i, p in enumerate(parts)])
+    lists = F.array_sort(F.collect_list(F.struct("_part", "_at", values)))
+    return rows.groupBy(key).agg(F.flatten(F.transform(lists, lambda x: x[values])).alias(values))
+
+
 def originals(parts: list[DataFrame]) -> DataFrame:
     """Records by id; a later part replaces an earlier one's."""
     rows = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])

@@ -221,3 +221,63 @@ def test_words_sent_are_bounded(spark, monkeypatch):
 def test_empty_completion_is_refused(spark):
     with pytest.raises(Exception, match="completion is empty"):
         spark.sql("SELECT '' AS t, 'stop' AS f, array(-1.0D) AS l").select(vectors.completion(F.col("t"), F.col("f"), F.col("l"))).collect()
+
+
+# --- loaders and agents -----------------------------------------------------
+
+
+def test_story_references_are_checked(spark):
+    from hopsmith.sources import readers
+
+    lines = [("f", 0, "1 Mary went to the hall."), ("f", 1, "2 John slept."), ("f", 2, "3 Where is Mary? \thall\t1"), ("f", 3, "4 Who slept? \tJohn\t2 9")]
+    df = spark.createDataFrame(lines, "file string, line int, value string")
+    assert [r.references_idx for r in readers.stories(df.where("line < 3"), strict=True).collect()] == [[0]]
+    assert sorted(r.references_idx for r in readers.stories(df).collect()) == [[0], [1]]
+    with pytest.raises(Exception, match="points at no earlier fact"):
+        readers.stories(df, strict=True).collect()
+
+
+def test_pool_of_examples_is_bounded(spark, monkeypatch):
+    from hopsmith.operators import adapt
+
+    rows = spark.createDataFrame([("1", "p", "s", "a", 0), ("2", "q", "t", "b", 1)], "id string, problem string, solution string, answer string, _pos long")
+    assert [r.chunks for r in adapt.in_context(rows, rows, "MATH").collect()] == [["p\n #||# s", "q\n #||# t"]] * 2
+    assert adapt.in_context(rows, rows.limit(0), "MATH").first().chunks == []
+    monkeypatch.setattr(adapt, "POOL_EXAMPLES", 1)
+    with pytest.raises(ValueError):
+        adapt.in_context(rows, rows, "MATH")
+
+
+def test_combined_names_unknown_sources(spark):
+    from hopsmith.operators import adapt
+
+    df = spark.sql("SELECT 'babilong' AS source, 'q' AS question, 'a' AS answer, array('c') AS chunks, array(0) AS references_idx, 7L AS _pos UNION ALL SELECT 'other', 'q', 'a', array('c'), array(0), 8L")
+    assert adapt.combined(df.where("source = 'babilong'")).first().id == "7"
+    with pytest.raises(Exception, match="unknown source: other"):
+        adapt.combined(df).collect()
+
+
+def test_the_agent_asks_for_open_rows_only(spark, tmp_path):
+    from hopsmith import backends
+    from hopsmith.plans import search_agent
+
+    folder = str(tmp_path)
+
+    def make():
+        import uuid
+
+        class Noting(backends.StubBackend):
+            def generate(self, messages, n):
+                for m in messages:
+                    with open(f"{folder}/{m[-1]['content'].split()[0]}.{uuid.uuid4().hex}", "w"):
+                        pass
+                return [["<answer>x</answer>" if m[-1]["content"].startswith("now") or m[-1]["content"].count("<information>") == 2 else "<search>more</search>"] * n for m in messages]
+
+        return Noting()
+
+    rows = spark.createDataFrame([(str(i), f"{'now' if i % 2 else 'later'}{i} q", ["a", "b", "c"], [[1.0] * 16] * 3) for i in range(6)], "id string, question string, chunks array<string>, vectors array<array<double>>")
+    kept = []
+    done = search_agent.run(rows, 4, lambda df: kept.append(df.cache()) or kept[-1], make=make).collect()
+    assert {r.id: (r.num_steps, r.generated_answer) for r in done} == {str(i): (0 if i % 2 else 2, "x") for i in range(6)}
+    asked_of = Counter(p.name.split(".")[0] for p in tmp_path.iterdir())
+    assert asked_of == Counter({f"now{i}" if i % 2 else f"later{i}": 1 if i % 2 else 3 for i in range(6)})

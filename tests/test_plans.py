@@ -83,5 +83,5 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = logs.scored_stream(log_frame(spark))
     key = lambda d: sorted((r.id, r.em, r.f1) for r in d.collect())
     assert key(got) == key(batch)
-    logs.running_summary(logs.log_stream(spark, str(tmp_path / "in")), "so_far", str(tmp_path / "ck2")).awaitTermination()
-    assert spark.table("so_far").first().n == 6
+    logs.running_summary(logs.log_stream(spark, str(tmp_path / "in")), str(tmp_path / "so_far"), str(tmp_path / "ck2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "so_far")).first().n == 6

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from hopsmith import flow_queries, queries, record_queries  # noqa: F401  registers their queries
+from hopsmith import family_queries, flow_queries, queries, record_queries  # noqa: F401  registers their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
