@@ -298,9 +298,20 @@ def sentence_pieces(spark, sf_dir):
     return d.select("doc_id", F.size(pieces).alias("n_pieces"), F.coalesce(F.array_max(F.transform(pieces, lambda s: F.length(s))), F.lit(0)).alias("longest"))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(regexp_replace(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\x0B]+', '\\1' || chr(1), 'g'), '(\\n\\n)', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM documents WHERE text IS NOT NULL
+), g AS (
+  SELECT doc_id, 0 AS i, 0 AS k, '' AS cur, CAST(NULL AS VARCHAR) AS done FROM p
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN fits THEN k ELSE k + 1 END, CASE WHEN fits THEN joined ELSE s END, CASE WHEN NOT fits THEN cur END FROM (
+    SELECT *, length(joined) <= 500 AS fits FROM (SELECT g.doc_id, i, k, cur, p.p[i + 1] AS s, CASE WHEN cur = '' THEN p.p[i + 1] ELSE cur || ' ' || p.p[i + 1] END AS joined FROM g JOIN p ON g.doc_id = p.doc_id WHERE i < len(p.p)))
+)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_idx, done AS chunk FROM g WHERE done IS NOT NULL
+UNION ALL SELECT g.doc_id, CAST(k AS INTEGER), cur FROM g JOIN p ON g.doc_id = p.doc_id WHERE i = len(p.p) AND cur <> ''
+""")
 def sentence_chunking(spark, sf_dir):
-    """Greedy packing; see the tests for its brute-force comparison."""
+    """Sentences packed greedily into chunks of at most 500 characters."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(text.pack_chunks_udf("text", F.lit(500))).alias("chunk_idx", "chunk"))
 
@@ -805,8 +816,27 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences("text")).alias("n_sentences"))
 
 
-@query()
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+def _best(step: int, moved: str) -> str:
+    """The best chunk that isn't taken, and its score, for a query that has moved."""
+    taken = " AND ".join(f"c.vec_id <> t{step - 1}.c{i}" for i in range(1, step)) or "true"
+    return f"""t{step} AS (SELECT * EXCLUDE (r) FROM (
+  SELECT t{step - 1}.*, c.vec_id AS c{step}, c.e AS v{step}, {_dot(moved, 'c.e')} AS q{step}, row_number() OVER (PARTITION BY id ORDER BY {_dot(moved, 'c.e')} DESC, c.vec_id) AS r
+  FROM t{step - 1} JOIN v c ON c.vec_id // {SAMPLE} = id // {SAMPLE} AND c.vec_id <> id AND {taken}) WHERE r = 1)"""
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+t0 AS (SELECT vec_id AS id, e AS q FROM v WHERE vec_id % {SAMPLE} = 0), {_best(1, 'q')},
+{_best(2, 'list_transform(list_zip(q, v1), lambda z: z[1] + 0.5 * z[2])')},
+{_best(3, 'list_transform(list_zip(q, v1, v2), lambda z: z[1] + 0.5 * (z[2] + z[3]) / 2)')}
+SELECT CAST(id AS VARCHAR) AS id, c1 || '|' || c2 || '|' || c3 AS taken, round(q1, 5) AS q1, round(q2, 5) AS q2, round(q3, 5) AS q3 FROM t3
+""")
 def shifting_query_episode(spark, sf_dir):
     """Three greedy steps whose query moves towards what is selected."""
     done = episodes.greedy_episode(_episodes(spark, sf_dir), episodes.shifting_scores(0.5), 3)
-    return done.select("id", F.transform("selected", lambda i: F.get("chunks", i)).alias("taken"), F.transform("q_values", lambda q: F.round(q, 6)).alias("q_values"))
+    taken = F.array_join(F.transform("selected", lambda i: F.get("chunks", i)), "|")
+    return done.select("id", taken.alias("taken"), *(F.round(F.get("q_values", F.lit(i)), 5).alias(f"q{i + 1}") for i in range(3)))
