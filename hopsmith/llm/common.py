@@ -65,17 +65,23 @@ def kept(kind: str) -> dict:
     return _KEPT.setdefault(kind, {})
 
 
+def forget_others(kind: str) -> None:
+    """Empties the worker's stores of other kinds. A function of the module, so that it finds the
+    worker's own stores: globals of an inner function travel to the worker as copies."""
+    others = [store for other, store in _KEPT.items() if other != kind and store]
+    for store in others:
+        store.clear()
+    if others:
+        release_memory()
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
     """``mapInArrow`` that hands freed memory back at the end of a task: workers live on,
     and several share an executor's memory. What tasks of another kind than ``keeps`` left
     in the worker goes first."""
 
     def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others = [store for kind, store in _KEPT.items() if kind != keeps and store]
-        for store in others:
-            store.clear()
-        if others:
-            release_memory()
+        forget_others(keeps)
         yield from run(batches)
         release_memory()
 

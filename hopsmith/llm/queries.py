@@ -81,11 +81,13 @@ FROM c GROUP BY source, lang, tokenizer_version
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and the components of those that differ in at most two bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, bits=2, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, learned from four fifths of those that name one."""
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs, ~is_held_out(F.col("doc_id")), spread=False)
     return language.predict(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -142,16 +144,19 @@ def page_images(pages: DataFrame) -> DataFrame:
 
 
 def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of copies among the pages' pictures."""
     return media.near_copies(page_images(_table(spark, sf_dir, "pages")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 4096 tokens: where each piece of each document lies."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer, end_id=2, capacity=4096)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and whether decoding gives its text back."""
     model = unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
     both = unigram.decode(unigram.encode(_table(spark, sf_dir, "documents"), model), model)
     n = (F.length("ids") / 4).cast("long")
@@ -159,6 +164,7 @@ def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score, learned from four fifths of the labels, and the verdict at 0.3."""
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"), ~is_held_out(F.col("doc_id")))
     scored = quality.predict(docs, model)
@@ -166,16 +172,19 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 100-byte strings that start earlier."""
     found = suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
     removed = (F.col("n_bytes") - F.length("kept")).cast("long")
     return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every fiftieth vector."""
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
     path = f"{shared_dir(spark)}-token-files"
     tokenfile.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

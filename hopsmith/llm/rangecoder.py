@@ -16,6 +16,9 @@ A block's ids are dealt to lanes, stretches of equal length, and a step codes on
 every lane with numpy. All lanes of a block share the predictions, which learn from a step
 when all of it is coded. The frequencies are worked out anew at steps that double, then
 every ``REFRESH`` steps.
+
+Defined cases: a chunk without documents or ids decodes to none; documents may have no ids; ids are unsigned 32-bit numbers;
+a broken checksum, magic or length raises.
 """
 
 from __future__ import annotations

@@ -5,10 +5,10 @@ a sum of committed batches. A batch holds signed rows: an insert adds a document
 count, a delete takes it back, a revision takes back the old and adds the new one.
 Before it is written a batch is summed by group, so totals read a few rows a batch.
 
-A batch is committed by its identifier: its folder counts once Spark's commit marker is
-there. A replayed identifier changes nothing; a folder without the marker (a job that
-died) is not read and is written anew by the next try. ``compact`` folds committed
-batches into one base that names them.
+A batch is committed by its identifier: it is written aside and moved to its place in one step that
+fails if the place is taken. A replayed identifier changes nothing; a folder without Spark's commit marker (a
+job that died) is not read and makes way for the next try. ``compact`` folds committed
+batches into one base, with a table of their identifiers; folders that a base has folded go at the next compaction.
 
 Counts are those of tokenizer files (``tokenised``; a version is named by its file), or of
 regular expressions in the JVM (``counted``). Defined cases: a null text
@@ -19,10 +19,12 @@ own; groups whose documents and tokens have all been taken back have no row.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,48 +109,84 @@ class TokenRollup:
         return self._fs.exists(self._path(f"{self.path}/{folder}/_SUCCESS"))
 
     def _folders(self, prefix: str) -> list[str]:
+        """Finished folders by name; those of folded batches go at the compaction after theirs, so there are few."""
         if not self._fs.exists(self._path(self.path)):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
         return sorted(n for n in names if n.startswith(prefix) and self._done(n))
 
+    def _folded(self, base: str | None) -> DataFrame:
+        """(batch): identifiers that a base holds."""
+        if base is None:
+            return self.spark.createDataFrame([], "batch string")
+        return self.spark.read.schema("value string").text(f"{self.path}/{base}/batches").toDF("batch")
+
+    def _unfolded(self, base: str | None, folders: list[str]) -> list[str]:
+        """Those of the batch folders at hand that a base doesn't hold."""
+        named = self.spark.createDataFrame([(n.removeprefix("batch-"),) for n in folders], "batch string")
+        return [f"batch-{r.batch}" for r in named.join(self._folded(base), "batch", "left_anti").collect()]
+
+    def _base(self) -> str | None:
+        return max(self._folders("base-"), default=None)
+
+    def is_committed(self, batch: str) -> bool:
+        return self._done(f"batch-{batch}") or bool(self._folded(self._base()).where(F.col("batch") == batch).limit(1).count())
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False if it has been committed before."""
-        if batch in self.batches():
+        if self.is_committed(batch):
+            return False
+        own, target = f"{self.path}/new-{uuid.uuid4().hex}", self._path(f"{self.path}/batch-{batch}")
+        summed(changes).coalesce(1).write.parquet(own)
+        if self._fs.exists(target) and not self._done(f"batch-{batch}"):
+            self._fs.delete(target, True)  # what an unfinished attempt has left
+        if not self._moved(self._path(own), target):
+            self._fs.delete(self._path(own), True)
             return False
-        # a repeated attempt replaces what an unfinished one has left
-        summed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
         return True
 
-    def _base(self) -> tuple[str | None, set[str]]:
-        bases = self._folders("base-")
-        if not bases:
-            return None, set()
-        rows = self.spark.read.text(f"{self.path}/{bases[-1]}/batches").collect()
-        return bases[-1], {r[0] for r in rows}
+    def _moved(self, source, target) -> bool:
+        """Moves a folder in one step; False if the place is taken: one of two writers comes first."""
+        jvm, sc = self.spark._jvm, self.spark._sc
+        try:
+            if self._fs.getUri().getScheme() == "file":  # a filled folder isn't replaced
+                local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.move(local(source), local(target), sc._gateway.new_array(jvm.java.nio.file.CopyOption, 0))
+            else:
+                files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                files.rename(source, target, sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if not any(told in e.java_exception.toString() for told in ("FileAlreadyExists", "Directory not empty")):
+                raise
+            return False
+        return True
 
     def batches(self) -> list[str]:
         """Identifiers of the committed batches."""
-        return sorted({n.removeprefix("batch-") for n in self._folders("batch-")} | self._base()[1])
+        there = self.spark.createDataFrame([(n.removeprefix("batch-"),) for n in self._folders("batch-")], "batch string")
+        return sorted(r.batch for r in there.unionByName(self._folded(self._base())).distinct().collect())
 
     def totals(self) -> DataFrame:
         return self._totals(self._base(), self._folders("batch-"))
 
-    def _totals(self, based: tuple[str | None, set[str]], folders: list[str]) -> DataFrame:
-        base, within = based
-        paths = [f"{self.path}/{n}" for n in folders if n.removeprefix("batch-") not in within]
+    def _totals(self, base: str | None, folders: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{n}" for n in self._unfolded(base, folders)]
         paths += [f"{self.path}/{base}/totals"] if base else []
         parts = [self.spark.read.schema(SCHEMA).parquet(p) for p in paths]
         rows = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], SCHEMA))
         return summed(rows).where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new base; readers switch at its marker."""
+        """Fold all committed batches into a new base; readers switch at its marker. Folders that
+        the base before had folded go now: who reads them still has had a compaction's time."""
         # one listing for both: a batch committed meanwhile is in neither and stays a batch
-        based, folders = self._base(), self._folders("batch-")
-        held = sorted({n.removeprefix("batch-") for n in folders} | based[1])
-        number = len(self._folders("base-"))
-        at = f"{self.path}/base-{number:08d}"
-        self._totals(based, folders).write.mode("overwrite").parquet(f"{at}/totals")
-        self.spark.createDataFrame([(b,) for b in held], "batch string").coalesce(1).write.mode("overwrite").text(f"{at}/batches")
-        self._fs.create(self._path(f"{at}/_SUCCESS")).close()
+        bases, folders = self._folders("base-"), self._folders("batch-")
+        base = max(bases, default=None)
+        number = int(base.split("-")[1]) + 1 if base else 0
+        name = f"base-{number:08d}-{uuid.uuid4().hex}"  # of two at once one is read, and what only the other holds still has its folders
+        self._totals(base, folders).write.parquet(f"{self.path}/{name}/totals")
+        named = self.spark.createDataFrame([(n.removeprefix("batch-"),) for n in folders], "batch string")
+        named.unionByName(self._folded(base)).distinct().coalesce(1).write.text(f"{self.path}/{name}/batches")
+        self._fs.create(self._path(f"{self.path}/{name}/_SUCCESS")).close()
+        for old in {*folders} - {*self._unfolded(base, folders)} | {b for b in bases if b != base}:
+            self._fs.delete(self._path(f"{self.path}/{old}"), True)

@@ -9,6 +9,9 @@ and the library encodes the new ones.
 What a character becomes and which kind it is of is asked of the library's own normaliser
 and pre-tokeniser when it first occurs. Texts that hold an added token, aren't in normal
 form C or hold a character that doesn't become one character are encoded whole.
+
+Defined cases: a null or empty text has no ids but the end; lone surrogates don't occur in Arrow texts; texts of any
+length are cut in stretches, and a piece longer than ``CACHED_LENGTH`` is encoded each time it occurs.
 """
 
 from __future__ import annotations

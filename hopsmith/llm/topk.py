@@ -7,7 +7,9 @@ score rows of the block. A partition selection keeps each block's best k and a
 window merges the blocks.
 
 Blocks of queries meet blocks of candidates by an equi-join on the pair of
-block numbers, so a task holds one block of each and nothing is broadcast.
+block numbers, so a task holds one block of each and nothing is broadcast. Candidates move once
+for each block of queries: these are as large as a task holds well (65,536 rows of 64 numbers are 32 MB), and
+their scores are made a few rows at a time.
 
 Defined cases: vectors that are null or hold a null or non-finite component take
 no part; so do vectors with a quantised component that doesn't fit a long; a score
@@ -96,7 +98,7 @@ def too_large(queries: np.ndarray, block: np.ndarray, scores: np.ndarray) -> np.
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 8192, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1 << 16, block: int = 4096) -> DataFrame:
     """The k best candidates of each query: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on ``vec_id``. Ties go to the smaller id.

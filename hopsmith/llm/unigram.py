@@ -235,4 +235,4 @@ def decode(coded: DataFrame, model: UnigramModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], ["doc_id", "text", "ids", "decoded"])
 
     kind = dict(coded.dtypes)["doc_id"]
-    return map_arrow(coded.select("doc_id", "text", "ids"), run, f"doc_id {kind}, text string, ids binary, decoded string")
+    return map_arrow(coded.select("doc_id", "text", "ids"), run, f"doc_id {kind}, text string, ids binary, decoded string", UNITS)
