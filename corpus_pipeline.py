@@ -34,6 +34,7 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.3 or more; empty texts score by the intercept alone."""
     short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, ~is_held_out(F.col("doc_id")))
@@ -41,22 +42,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned; texts that are null or have no letter go."""
     short_batches(spark)
     model = language.train(docs, ~is_held_out(F.col("doc_id")))
     return language.keep_rows(docs, model, 0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest ``doc_id`` of each group of near duplicates; all null and wordless texts are one group, rows without a ``doc_id`` stay."""
     short_batches(spark)
     return near.one_of_each(docs, words=5, similarity=0.8)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without byte strings that start earlier; rows that had no text stay, rows that lose all of it go."""
     short_batches(spark)
     return suffix.without_repeats(docs, length=100)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of the tokens of what is left; null texts count as empty, so each document has its end token."""
     short_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
