@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopsmith.functions import text as T
@@ -66,11 +66,7 @@ def paragraphs(df: DataFrame, source: Column | str = "musique") -> DataFrame:
 
 def stories(df: DataFrame, source: Column | str = "babilong") -> DataFrame:
     """The id is the row's number in reading order."""
-    # ranks within files, after the rows of the files before; only the files are in one task
-    files = df.groupBy("file").agg(F.count("*").alias("_n"))
-    files = files.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before"))
-    df = df.withColumn("_within", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).join(files, "file")
-    return _sample(df, F.col("_before") + F.col("_within"), F.col("question"), F.col("answer"), F.col("facts"), F.col("references_idx"), source)
+    return _sample(numbered(df, "file", "line", into="_n"), F.col("_n"), F.col("question"), F.col("answer"), F.col("facts"), F.col("references_idx"), source)
 
 
 def long_context(df: DataFrame, source: Column | str = "LongBench", size: int = 2000) -> DataFrame:

@@ -6,18 +6,15 @@ ranked by name and rows within a file by where they stand.
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopsmith import schemas
 from hopsmith.functions import text as T
 from hopsmith.functions.vectors import draw
+from hopsmith.operators.numbering import numbered
 from hopsmith.sources import arrays
 
 
@@ -43,27 +40,9 @@ def json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     return arrays.json_array(spark, path, schema).drop("_pos")
 
 
-def _values(whole: str) -> Iterator[str]:
-    """Each of the JSON values that follow one another in a text."""
-    decoder, blank = json.JSONDecoder(), re.compile(r"\s*")
-    at = blank.match(whole).end()
-    while at < len(whole):
-        start = at
-        _, at = decoder.raw_decode(whole, at)
-        yield whole[start:at]
-        at = blank.match(whole, at).end()
-
-
 def concatenated_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects that follow one another without line ends; a file is one task."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for whole in batch["value"]:
-                yield pd.DataFrame({"value": list(_values(whole))}, dtype=object)
-
-    rows = spark.read.text(path, wholetext=True).mapInPandas(parse, "value string")
-    return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    """Objects that follow one another, with or without line ends, read by byte ranges."""
+    return arrays.concatenated_json(spark, path, schema).drop("_pos")
 
 
 def latest_by_id(df: DataFrame, key: Column | str = "id", order: str = "_pos") -> DataFrame:
@@ -218,8 +197,8 @@ def stories(lines: DataFrame, most_facts: int | None = None, strict: bool = Fals
     number = F.split("value", " ", 2)
     parts = F.split(F.get(number, F.lit(1)), "\t")
     told = lines.select("file", "line", F.get(number, F.lit(0)).cast("int").alias("n"), F.get(parts, F.lit(0)).alias("text"), F.get(parts, F.lit(1)).alias("answer"), F.get(parts, F.lit(2)).alias("refs"))
-    in_file = Window.partitionBy("file").orderBy("line")
-    told = told.withColumn("story", F.sum((F.col("n") == 1).cast("int")).over(in_file))
+    # each file begins with a story's first line, so stories are numbered over all files at once
+    told = numbered(told.withColumn("_first", (F.col("n") == 1).cast("int")), "file", "line", into="_row", sums={"story": "_first"}).drop("_row", "_first")
     facts = told.where("answer IS NULL").groupBy("file", "story").agg(F.array_sort(F.collect_list(F.struct("line", "n", "text"))).alias("all"))
     asked = told.where("answer IS NOT NULL").join(facts, ["file", "story"])
     before = F.filter("all", lambda f: f["line"] < F.col("line"))
@@ -240,9 +219,10 @@ def stories(lines: DataFrame, most_facts: int | None = None, strict: bool = Fals
 
 
 def story_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files; a story file is one task."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return whole.where(F.trim("value") != "")
+    """(file, line, value) of the lines that aren't blank, read by byte ranges; line rises over all files."""
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")
+    rows = spark.read.text(path).select(*place, "value").where(F.trim("value") != "").withColumn("_at", F.monotonically_increasing_id())
+    return numbered(rows, "file", "_block", "_at", into="line").select("file", "line", "value")
 
 
 def story_contexts(samples: DataFrame, most: int | None = None) -> DataFrame:

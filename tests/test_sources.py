@@ -160,3 +160,29 @@ def test_writers_at_once_lose_nothing(spark, tmp_path):
 def test_a_taken_number_is_not_claimed(spark, tmp_path):
     table = store(spark, tmp_path / "t")
     assert table._claimed(1, ["x"]) and not table._claimed(1, ["y"]) and table._folders(1) == ["x"]
+
+
+@pytest.mark.parametrize("between", ["", "\n", "  \n\t"])
+def test_objects_that_follow_one_another(spark, short_ranges, tmp_path, between):
+    for name, part in (("a.json", RECORDS[:70]), ("b.json", RECORDS[70:])):
+        (tmp_path / name).write_text(between + between.join(json.dumps(r, ensure_ascii=False) for r in part) + between)
+    (tmp_path / "c.json").write_text(" ")
+    got = arrays.concatenated_json(spark, str(tmp_path), SCHEMA).orderBy("_pos").collect()
+    assert [fields(r) for r in got] == [(w["id"], w["t"], [x["x"] for x in w["n"]], w["big"]) for w in RECORDS]
+
+
+@pytest.mark.parametrize("bad", ['{"a":1},{"a":2}', '{"a":1', '[{"a":1}]', '{"a":1} x', '{"a":1}}', '{"a":"}'])
+def test_broken_objects_are_refused(spark, tmp_path, bad):
+    (tmp_path / "bad.json").write_text(bad)
+    with pytest.raises(Exception, match="broken array|something else|MALFORMED|FAILFAST"):
+        arrays.concatenated_json(spark, str(tmp_path / "bad.json"), "a int").collect()
+
+
+def test_story_lines_of_many_ranges(spark, short_ranges, tmp_path):
+    for name, first in (("a.txt", 0), ("b.txt", 100)):
+        lines = []
+        for story in range(30):
+            lines += [f"1 Fact {first + story} one.", "", f"2 Fact {first + story} two.", f"3 Which {first + story}? \tyes\t2", f"4 Fact {first + story} three."]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    got = readers.stories(readers.story_lines(spark, str(tmp_path))).orderBy("line").collect()
+    assert [(r.facts, r.question, r.references_idx) for r in got] == [([f"Fact {n} one.", f"Fact {n} two."], f"Which {n}?", [1]) for n in [*range(30), *range(100, 130)]]
