@@ -10,9 +10,9 @@ from hopsmith.functions import prompts, vectors
 from hopsmith.operators import aggregates, filters, ranking, rewards
 from hopsmith.plans import probe_data
 from hopsmith.queries import query, table
-from hopsmith.record_queries import _LINES, _PART, _draw, _lines, _literal, _paragraph_rows, _part, _raw, _text, _uniform, joined
+from hopsmith.record_queries import _LINES, _PART, _draw, _lines, _literal, _paragraph_json, _paragraph_rows, _part, _raw, _text, _uniform, joined
 from hopsmith.session import scratch
-from hopsmith.sources import readers
+from hopsmith.sources import readers, writers
 from hopsmith.streaming.logs import windowed_values
 
 # --- probe samples ------------------------------------------------------------
@@ -67,6 +67,33 @@ class _Echo(backends.StubBackend):
         return [[m[-1]["content"] + "!"] * n for m in messages]
 
 
+@query(_LINES + """
+, x AS (SELECT r.*, list_transform(range(1, len(string_split(dotted, '|')) + 1), lambda i: 'TITLE: ' || string_split(string_split(dotted, '|')[i], '. ')[1] || chr(10) || 'TEXT: ' || substr(string_split(dotted, '|')[i], 3 + length(string_split(string_split(dotted, '|')[i], '. ')[1])) || chr(10) || chr(10)) AS parts FROM r)
+SELECT 'qa' AS type, 'MuSiQue' AS dataset_name, CASE WHEN c % 2 = 0 THEN 'dev' ELSE 'train' END AS dataset_partition, question, answer, CAST(8 * n AS BIGINT) AS context_length, md5(array_to_string(parts, '')) AS context,
+  md5('There is a context which is crucial to answer question ''' || question || ''':' || chr(10) || array_to_string(parts, '') || chr(10) || chr(10) || 'Carefully read information above and answer the question: ' || question || chr(10) || 'YOUR ANSWER: ' || answer) AS prompt
+FROM x WHERE 8 * n BETWEEN 16 AND 40
+""")
+def paragraph_tasks(spark, sf_dir):
+    """Tasks of two partitions whose contexts have 16 to 40 words."""
+    rows = _lines(spark, sf_dir)
+    parts = {}
+    for name, part in (("dev", rows.where("c % 2 = 0")), ("train", rows.where("c % 2 <> 0"))):
+        path = scratch(spark, name)
+        writers.jsonl(_paragraph_json(part), path)
+        parts[name] = readers.paragraph_qa(spark, path)
+    tasks = readers.paragraph_tasks(parts, 16, 40)
+    prompt = prompts.task_prompt(F.col("type"), F.col("context"), F.col("question"), F.col("answer"))
+    return tasks.select("type", "dataset_name", "dataset_partition", "question", "answer", "context_length", F.md5("context").alias("context"), F.md5(prompt).alias("prompt"))
+
+
+@query(_LINES + "SELECT 'hotpot' AS kind, id, question, answer FROM r UNION ALL SELECT 'musique', id, question, answer FROM r UNION ALL SELECT '2wiki', id, question, answer FROM r WHERE type <> 'bridge_comparison'")
+def question_kinds(spark, sf_dir):
+    """Questions of all three families."""
+    raw = readers.multihop(spark, _text(_raw(_lines(spark, sf_dir)), scratch(spark, "questions")))
+    kinds = [readers.question_rows(df, kind).select(F.lit(kind).alias("kind"), "id", "question", "answer") for kind, df in (("hotpot", raw), ("musique", _paragraph_rows(spark, sf_dir)), ("2wiki", raw))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
 # --- scores ---------------------------------------------------------------------
 
 @query("""

@@ -165,6 +165,27 @@ def yes_no_messages(question: Column, answer: Column, prediction: Column, templa
     return F.array(F.struct(F.lit("user").alias("role"), filled(template, question=question, answer=answer, prediction=prediction).alias("content")))
 
 
+# The prompts of tasks.
+TASK_QA = """There is a context which is crucial to answer question '{question}':
+{context}
+
+Carefully read information above and answer the question: {question}
+YOUR ANSWER: """
+TASK_SUMMARY = """There is a context you need to summarize into comprehensive and short paragraphs:
+{context}
+
+Carefully read information above and summarize it into one, two or three paragraphs of text. 
+This summary must be expressive and accurate.
+YOUR SUMMARY: """
+
+
+def task_prompt(kind: Column, context: Column, question: Column, answer: Column | None = None) -> Column:
+    """A task's prompt by its kind (qa or summary), with its answer if that is given."""
+    asked = {"qa": filled(TASK_QA, context=context, question=question), "summary": filled(TASK_SUMMARY, context=context)}
+    prompt = F.when(kind == "qa", asked["qa"]).when(kind == "summary", asked["summary"])
+    return prompt if answer is None else F.concat(prompt, answer)
+
+
 def story_messages(question: Column, facts: Column, template: str, system: str = STORY) -> Column:
     return messages(system, stripped(filled(template, context=F.array_join(facts, JOINS["facts"]), question=question)))
 

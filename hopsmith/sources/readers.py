@@ -145,13 +145,28 @@ def two_wiki_split(spark: SparkSession, folder: str, split: str, skip_bridge: bo
     return first_rows(rows, length if length > 0 else None, *hash_order(seed, "_id"))
 
 
+def _paragraph_text() -> Column:
+    return F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("TITLE: "), p["title"], F.lit("\nTEXT: "), p["paragraph_text"], F.lit("\n\n"))), "")
+
+
 def paragraph_qa(spark: SparkSession, path: str | list[str], least: int | None = None, most: int | None = None, length: int | None = None, seed: int = 42, kind: str = "qa", annotation: str = "real") -> DataFrame:
     """Records with paragraphs; nothing unless ``kind`` is qa or any and ``annotation`` real or any."""
     rows = with_position(jsonl(spark, path, schemas.PARAGRAPH_QA))
     if kind not in ("qa", "any") or annotation not in ("real", "any"):
         return rows.limit(0)
-    text = F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("TITLE: "), p["title"], F.lit("\nTEXT: "), p["paragraph_text"], F.lit("\n\n"))), "")
-    return first_rows(token_window(rows, T.word_count(text), least, most), length, *hash_order(seed, "id"))
+    return first_rows(token_window(rows, T.word_count(_paragraph_text()), least, most), length, *hash_order(seed, "id"))
+
+
+def paragraph_tasks(parts: dict[str, DataFrame], least: int | None = None, most: int | None = None, length: int | None = None, seed: int = 42, n_tokens: Column | None = None) -> DataFrame:
+    """Tasks (type, anno_type, context_length, context, answer, question, dataset_name, dataset_partition, options) of
+    records with paragraphs by partition, in a random order. ``n_tokens`` counts the tokens of ``context`` (words by
+    default); contexts outside the window go."""
+    rows = reduce(DataFrame.unionByName, [df.withColumn("dataset_partition", F.lit(name)) for name, df in parts.items()])
+    rows = rows.withColumn("context", _paragraph_text()).withColumn("context_length", (T.word_count(F.col("context")) if n_tokens is None else n_tokens).cast("long"))
+    rows = first_rows(token_window(rows, F.col("context_length"), least, most), length, *hash_order(seed, "id"))
+    fixed = {"type": F.lit("qa"), "anno_type": F.lit("real"), "dataset_name": F.lit("MuSiQue"), "options": F.array().cast("array<string>")}
+    names = ["type", "anno_type", "context_length", "context", "answer", "question", "dataset_name", "dataset_partition", "options"]
+    return rows.select(*(fixed.get(n, F.col(n)).alias(n) for n in names))
 
 
 def open_qa(spark: SparkSession, path: str, length: int | None = None, seed: int = 5) -> DataFrame:
