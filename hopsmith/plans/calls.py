@@ -25,6 +25,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopsmith.session import scratch
+
 #: Rows of results that a task hands on at once.
 TOLD = 256
 
@@ -65,16 +67,20 @@ def pooled(df: DataFrame, name: str, kind: str, make: Callable[[], object], ask:
     return df.mapInPandas(over, f"{schema}, `{name}` {kind}, error string, tries int")
 
 
-def committed(df: DataFrame, key: str, path: str, name: str, kind: str) -> DataFrame:
-    """(key, ``name``, error, tries) of the store, a row a key: a result if there is one, else the failure."""
-    schema = f"`{key}` {dict(df.dtypes)[key]}, `{name}` {kind}, error string, tries int, round int"
+def _stored(df: DataFrame, key: str, path: str, name: str, kind: str) -> DataFrame:
+    schema = f"`{key}` {dict(df.dtypes)[key]}, `{name}` {kind}, error string, tries int, rounds int, round int"
     try:
-        rows = df.sparkSession.read.schema(schema).parquet(path)
+        return df.sparkSession.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = df.sparkSession.createDataFrame([], schema)
-    return rows.groupBy(key).agg(F.max_by(F.struct(name, "error", "tries"), F.struct(F.col("error").isNull(), "round")).alias("told")).select(key, "told.*")
+        return df.sparkSession.createDataFrame([], schema)
+
+
+def committed(df: DataFrame, key: str, path: str, name: str, kind: str) -> DataFrame:
+    """(key, ``name``, error, tries) of the store, a row a key: a result if there is one, else the failure."""
+    told = F.max_by(F.struct(name, "error", "tries"), F.struct(F.col("error").isNull(), "rounds", "round"))
+    return _stored(df, key, path, name, kind).groupBy(key).agg(told.alias("told")).select(key, "told.*")
 
 
 def resumable(requests: DataFrame, key: str, path: str, name: str, kind: str, make: Callable[[], object], ask: Callable[[object, dict], object], rounds: int = 16, stop_after: int | None = None, **how) -> DataFrame:
@@ -83,10 +89,14 @@ def resumable(requests: DataFrame, key: str, path: str, name: str, kind: str, ma
     checked = F.when(F.col(key).isNull(), F.raise_error(F.lit("a request's key is null")).cast(dict(requests.dtypes)[key])).otherwise(F.col(key))
     row = F.struct(*requests.columns)
     unique = requests.withColumn(key, checked).groupBy(F.col(key).alias("_key")).agg(F.min(row).alias("_row")).select("_row.*")
-    of_round = F.pmod(F.xxhash64(F.lit("round"), key), F.lit(rounds))
+    # dealt once, so that a round reads its own requests only
+    dealt = scratch(requests.sparkSession, "requests")
+    unique.withColumn("_round", F.pmod(F.xxhash64(F.lit("round"), key), F.lit(rounds)).cast("int")).write.partitionBy("_round").parquet(dealt)
+    unique = requests.sparkSession.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in unique.dtypes)}, _round int").parquet(dealt)
     for number in range(rounds if stop_after is None else min(stop_after, rounds)):
-        there = committed(requests, key, path, name, kind).where("error IS NULL").select(key)
-        todo = unique.where(of_round == number).join(there, key, "left_anti")
+        # what is there of this round, or of runs with another number of rounds
+        there = _stored(requests, key, path, name, kind).where((F.col("rounds") != rounds) | (F.col("round") == number)).where("error IS NULL").select(key)
+        todo = unique.where(F.col("_round") == number).drop("_round").join(there, key, "left_anti")
         asked = pooled(todo, name, kind, make, ask, **how)
-        asked.select(key, name, "error", "tries", F.lit(number).alias("round")).write.mode("append").parquet(path)
+        asked.select(key, name, "error", "tries", F.lit(rounds).alias("rounds"), F.lit(number).alias("round")).write.partitionBy("rounds", "round").mode("append").parquet(path)
     return committed(requests, key, path, name, kind).join(unique.select(key), key, "left_semi")

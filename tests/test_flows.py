@@ -281,3 +281,11 @@ def test_the_agent_asks_for_open_rows_only(spark, tmp_path):
     assert {r.id: (r.num_steps, r.generated_answer) for r in done} == {str(i): (0 if i % 2 else 2, "x") for i in range(6)}
     asked_of = Counter(p.name.split(".")[0] for p in tmp_path.iterdir())
     assert asked_of == Counter({f"now{i}" if i % 2 else f"later{i}": 1 if i % 2 else 3 for i in range(6)})
+
+
+def test_another_number_of_rounds_asks_nothing_again(spark, tmp_path):
+    (tmp_path / "asked").mkdir()
+    requests = spark.createDataFrame([(f"k{i}",) for i in range(40)], "id string")
+    run = lambda rounds, **how: calls.resumable(requests, "id", str(tmp_path / "store"), "length", "int", object, noting(str(tmp_path / "asked")), rounds=rounds, **how).count()
+    assert 0 < run(4, stop_after=2) < 40 and run(7) == 40
+    assert asked(tmp_path / "asked") == Counter(f"k{i}" for i in range(40))
