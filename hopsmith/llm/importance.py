@@ -131,8 +131,8 @@ def gains(index: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     s, t = bucket_totals(index, buckets, "s"), written(bucket_totals(target, buckets, "t"), "target")
     s = written(s, "corpus")
     all_s, all_t = (df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for df, c in ((s, "s"), (t, "t")))
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)) + F.lit(1)
-    ratio = (n("t") * F.lit(all_s + buckets)).cast("double") / (n("s") * F.lit(all_t + buckets)).cast("double")
+    n = lambda c: (F.coalesce(F.col(c), F.lit(0)) + F.lit(1)).cast("double")
+    ratio = n("t") * F.lit(float(all_s + buckets)) / (n("s") * F.lit(float(all_t + buckets)))
     return s.join(t, "bucket", "full").select("bucket", F.floor(F.lit(1000) * F.log(ratio)).alias("gain"))
 
 
