@@ -13,6 +13,11 @@ and n', it is also known that at most min(n - i, n' - j) are in common: pairs fo
 isn't enough don't meet there. The order is by the number of sampled texts that hold a shingle,
 then by its hash; the sample decides how long postings get, not what is found.
 
+Of two sets the shorter one has its first common shingle among fewer of its own, the first
+n - ceil(2 t n / (1 + t)) + 1 (no longer set can share enough with it otherwise): these lead, and a pair meets only where its
+shorter set leads. Postings that nobody leads are dropped, so texts that share a template, but each begin their order with
+several shingles of their own, don't meet at all.
+
 No posting's pairs are all made. First every text meets, beside those that SimHash nominates,
 one other, the smallest of the first members of its postings. Members that this (and what it connects) hasn't joined to
 the largest component in a posting then meet the rest of it, but for pairs that the
@@ -148,6 +153,8 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
         texts = texts.groupBy("node").agg(F.min("text").alias("text"))
     alike = [F.first(c).alias(c) for c in ("n", "keys", "fp", *PARITIES)]  # of equal words
     nodes = written(_sets(texts, words, similarity).groupBy("same").agg(F.min("node").alias("node"), *alike).drop("same"), "nodes")
+    # the shorter set of a pair has its first common key among so many of its own
+    lead = F.col("at") < F.col("n") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("n") - F.lit(SLACK)) + 1
     # place and size travel as one number
     spot = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("spot")
     postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", spot)
@@ -157,7 +164,8 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     def at_n(spot: str, *names: str):
         return F.col(spot).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(names[0]), F.shiftright(spot, 32).cast("int").alias(names[1])
 
-    met = written(met.select("key", "node", *at_n("spot", "at", "n"), "members", F.struct("first.node", *at_n("first.spot", "at", "n")).alias("first")), "met")
+    met = met.select("key", "node", *at_n("spot", "at", "n"), "members", F.struct("first.node", *at_n("first.spot", "at", "n")).alias("first"))
+    met = written(met.withColumn("lead", lead).withColumn("led", F.max("lead").over(in_key)).where("led").drop("led"), "met")
 
     def reach(at, n, other_at, other_n):
         both = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
@@ -196,7 +204,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     discard(*used)
     used.clear()
     linked = connected_components(first)
-    placed = met.select("key", "node", "at", "n", "members").join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+    placed = met.select("key", "node", "at", "n", "lead", "members").join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
     # dealt by posting once, for both windows below
     placed = placed.repartition("key")
     # a posting's head is the component that most of its members are in
@@ -206,14 +214,17 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     placed = placed.withColumn("open", F.count_if(F.col("own") != F.col("head")).over(in_key))
     placed = written(placed.where("open > 0").drop("open"), "placed")
     def meetings(rows: DataFrame, *sketch: str) -> DataFrame:
+        """Members apart meet the rest; the shorter set of a pair (of equal ones the smaller node) is at one of its leading keys."""
         told = ("node", "own", "at", "n", *sketch)
-        apart = rows.where("own <> head").select("key", *[F.col(c).alias(f"m_{c}") for c in told])
-        others = rows.select("key", (F.col("own") == F.col("head")).alias("in_head"), *[F.col(c).alias(f"k_{c}") for c in told])
-        once = F.col("in_head") | (F.col("m_node") < F.col("k_node"))
-        can_be = (F.col("m_own") != F.col("k_own")) & once & reach("m_at", "m_n", "k_at", "k_n")
+        named = lambda rows, side: rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in told])
+        can_be = (F.col("m_own") != F.col("k_own")) & reach("m_at", "m_n", "k_at", "k_n")
         if sketch:
             can_be &= may_agree("m", "k")
-        return apart.join(others.hint("merge"), "key").where(can_be).select(F.least("m_node", "k_node").alias("a"), F.greatest("m_node", "k_node").alias("b"))
+        is_shorter = F.struct("m_n", "m_node") < F.struct("k_n", "k_node")
+        apart, head = rows.where("own <> head"), rows.where("own = head")
+        led = named(apart.where("lead"), "m").join(named(rows, "k").hint("merge"), "key").where(is_shorter & can_be)
+        leading = named(apart, "m").join(named(head.where("lead"), "k").hint("merge"), "key").where(~is_shorter & can_be)
+        return led.unionByName(leading).select(F.least("m_node", "k_node").alias("a"), F.greatest("m_node", "k_node").alias("b"))
 
     # members of long postings bring their parities, so that the join itself leaves out pairs that are known to be apart
     long = placed.where(F.col("members") > FEW).join(nodes.select("node", *PARITIES).hint("merge"), "node")
