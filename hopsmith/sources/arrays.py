@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ _STEP[[ord("["), ord("{")]] = 1
 _STEP[[ord("]"), ord("}")]] = -1
 _CLOSING = ord("}")
 _RANGE = ["file", "block"]
+#: Bytes that are looked at at once; the marks of a byte take about 30.
+STRETCH = 1 << 21
 
 
 def nesting(data: bytes, in_string: bool, depth: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -50,10 +53,12 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    """First row and text of each run of rows of one range; every piece gets its brace back."""
+    """First row and text of each run of rows of one range, about ``STRETCH`` bytes at most; every
+    piece gets its brace back."""
     n = batch.num_rows
+    size = np.cumsum(pc.binary_length(batch.column("value")).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // STRETCH
     block, file = batch.column("block").to_numpy(), batch.column("file").dictionary_encode().indices.to_numpy()
-    cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(file) != 0)) + 1 if n else []
+    cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(file) != 0) | (np.diff(size) != 0)) + 1 if n else []
     for a, b in zip([0, *cuts], [*cuts, n]):
         if b > a:
             yield int(a), b"}".join([*batch.column("value").slice(a, b - a).to_pylist(), b""])

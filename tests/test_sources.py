@@ -4,6 +4,7 @@ import json
 import random
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ RECORDS = [{"id": i, "t": "".join(rng.choices('ab"\\{}[],: é\n', k=rng.randint(
 @pytest.fixture
 def short_ranges(spark):
     """Files are cut into ranges of 1000 bytes."""
-    settings = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "10", "spark.sql.files.minPartitionNum": "50"}
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "10", "spark.sql.files.minPartitionNum": "50"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -32,7 +33,16 @@ def fields(r):
     return r.id, r.t, [x.x for x in r.n], r.big
 
 
-def test_array_of_many_ranges(spark, short_ranges, tmp_path):
+def test_runs_are_short(monkeypatch):
+    monkeypatch.setattr(arrays, "STRETCH", 300)
+    batch = pa.RecordBatch.from_pydict({"value": [b"x" * 200] * 4, "file": ["f"] * 4, "block": [0] * 4})
+    assert [(at, len(d)) for at, d in arrays._runs(batch)] == [(0, 201), (1, 201), (2, 402)]
+
+
+@pytest.mark.parametrize("rows", ["10000", "3"])
+def test_array_of_many_ranges(spark, short_ranges, tmp_path, rows):
+    """Also where a range comes in several batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     for name, part, indent in (("b.json", RECORDS[50:], 2), ("a.json", RECORDS[:50], None)):
         (tmp_path / name).write_text("﻿" * (name == "a.json") + json.dumps(part, indent=indent, ensure_ascii=False) + "\n")
     (tmp_path / "c.json").write_text("  \n")
