@@ -32,27 +32,27 @@ def numbered(df: DataFrame, *order: str | Column, into: str = "_row", sums: dict
     """
     spark, sums = df.sparkSession, sums or {}
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    held = df.withColumn("_read", F.monotonically_increasing_id())
-    by = [*columns, F.col("_read")]
+    held = df.withColumn("_numbering_read", F.monotonically_increasing_id())
+    by = [*columns, F.col("_numbering_read")]
     dealt = held.repartitionByRange(partitions, *by) if partitions else held.repartitionByRange(*by)
-    dealt = dealt.sortWithinPartitions(*by).drop("_read").withColumn("_place", F.monotonically_increasing_id())
+    dealt = dealt.sortWithinPartitions(*by).drop("_numbering_read").withColumn("_numbering_place", F.monotonically_increasing_id())
     if sums:
         dealt = _with_running_sums(dealt, sums)
     path = scratch(spark, "numbered")
     dealt.write.parquet(path)
     rows = spark.read.schema(dealt.schema).parquet(path)
-    part = F.shiftrightunsigned("_place", _BITS)
-    counted = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), *(F.max_by(name, "_place").alias(f"_own_{name}") for name in sums))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a task
-    ends = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")]
-    ends += [F.coalesce(F.sum(f"_own_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in sums]
+    part = F.shiftrightunsigned("_numbering_place", _BITS)
+    counted = rows.groupBy(part.alias("_numbering_part")).agg(F.count("*").alias("_numbering_n"), *(F.max_by(name, "_numbering_place").alias(f"_numbering_own_{name}") for name in sums))
+    before = Window.orderBy("_numbering_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a task
+    ends = [F.coalesce(F.sum("_numbering_n").over(before), F.lit(0)).alias("_numbering_before")]
+    ends += [F.coalesce(F.sum(f"_numbering_own_{name}").over(before), F.lit(0)).alias(f"_numbering_before_{name}") for name in sums]
     if total:
-        ends.append(F.sum("_n").over(Window.partitionBy()).alias(total))
+        ends.append(F.sum("_numbering_n").over(Window.partitionBy()).alias(total))
     # a row a task: the bound of this broadcast
-    found = rows.withColumn("_part", part).join(F.broadcast(counted.select("_part", *ends)), "_part")
-    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << _BITS) - 1))
+    found = rows.withColumn("_numbering_part", part).join(F.broadcast(counted.select("_numbering_part", *ends)), "_numbering_part")
+    number = F.col("_numbering_before") + F.col("_numbering_place").bitwiseAND(F.lit((1 << _BITS) - 1))
     out = [c for c in df.columns if c not in (into, total, *sums)]
-    return found.select(*out, number.alias(into), *((F.col(f"_before_{name}") + F.col(name)).alias(name) for name in sums), *([total] if total else []))
+    return found.select(*out, number.alias(into), *((F.col(f"_numbering_before_{name}") + F.col(name)).alias(name) for name in sums), *([total] if total else []))
 
 
 def _with_running_sums(dealt: DataFrame, sums: dict[str, str]) -> DataFrame:
@@ -77,12 +77,12 @@ def running(df: DataFrame, group: str, order: str, sums: dict[str, str], rows_a_
     """``df`` with, by ``sums`` (new column: numeric column), the sum over the group's rows before
     each row. A group's rows stand in parts of at most ``rows_a_part``; the parts' sums, a few rows a group,
     give each part its start, so a group of any size is no single task."""
-    rows = numbered(df, group, order, into="_row").withColumn("_part", F.floor(F.col("_row") / rows_a_part))
+    rows = numbered(df, group, order, into="_numbering_row").withColumn("_numbering_part", F.floor(F.col("_numbering_row") / rows_a_part))
     value = {name: F.coalesce(F.col(source).cast("double"), F.lit(0.0)) for name, source in sums.items()}
-    parts = rows.groupBy(group, "_part").agg(*(F.sum(v).alias(f"_sum_{name}") for name, v in value.items()))
-    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), *(F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0.0)).alias(f"_start_{name}") for name in sums))
-    within = Window.partitionBy(group, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.select("*", *(F.coalesce(F.sum(v).over(within), F.lit(0.0)).alias(f"_own_{name}") for name, v in value.items()))
-    found = own.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
-    return found.select(*(c for c in df.columns if c not in sums), *((F.col(f"_start_{name}") + F.col(f"_own_{name}")).alias(name) for name in sums))
+    parts = rows.groupBy(group, "_numbering_part").agg(*(F.sum(v).alias(f"_numbering_sum_{name}") for name, v in value.items()))
+    earlier = Window.partitionBy(group).orderBy("_numbering_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col(group).alias("_numbering_group"), F.col("_numbering_part").alias("_numbering_of"), *(F.coalesce(F.sum(f"_numbering_sum_{name}").over(earlier), F.lit(0.0)).alias(f"_numbering_start_{name}") for name in sums))
+    within = Window.partitionBy(group, "_numbering_part").orderBy("_numbering_row").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.select("*", *(F.coalesce(F.sum(v).over(within), F.lit(0.0)).alias(f"_numbering_own_{name}") for name, v in value.items()))
+    found = own.join(starts, F.col(group).eqNullSafe(F.col("_numbering_group")) & (F.col("_numbering_part") == F.col("_numbering_of")))
+    return found.select(*(c for c in df.columns if c not in sums), *((F.col(f"_numbering_start_{name}") + F.col(f"_numbering_own_{name}")).alias(name) for name in sums))

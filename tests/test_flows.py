@@ -289,3 +289,11 @@ def test_another_number_of_rounds_asks_nothing_again(spark, tmp_path):
     run = lambda rounds, **how: calls.resumable(requests, "id", str(tmp_path / "store"), "length", "int", object, noting(str(tmp_path / "asked")), rounds=rounds, **how).count()
     assert 0 < run(4, stop_after=2) < 40 and run(7) == 40
     assert asked(tmp_path / "asked") == Counter(f"k{i}" for i in range(40))
+
+
+def test_numbering_keeps_columns_of_any_name(spark):
+    df = spark.sql("SELECT id AS _place, id * 2 AS _part, id * 3 AS _n, id * 4 AS _before, 'g' AS _group FROM range(9)")
+    got = sorted(tuple(r) for r in numbering.numbered(df, F.desc("_place"), into="r", sums={"s": "_n"}, total="t").collect())
+    assert got == [(i, 2 * i, 3 * i, 4 * i, "g", 8 - i, sum(3 * j for j in range(i, 9)), 9) for i in range(9)]
+    run = numbering.running(df, "_group", "_place", {"before": "_n"}, rows_a_part=2)
+    assert sorted((r._place, r._part, r.before) for r in run.collect()) == [(i, 2 * i, float(sum(3 * j for j in range(i)))) for i in range(9)]
