@@ -835,15 +835,15 @@ def noise_sentences(spark, sf_dir):
 @query(f"""
 WITH p AS (SELECT p_partkey, {_draw(7, 'p_partkey')} AS h FROM part), r AS (SELECT *, row_number() OVER (ORDER BY h, p_partkey) AS k FROM p),
 o AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_draw(5, 'o_orderkey')}, o_orderkey) - 1 AS place FROM orders)
-SELECT 'example' AS what, p_partkey AS key, CAST(NULL AS BIGINT) AS place FROM r WHERE k <= 7
-UNION ALL SELECT 'sample', p_partkey, NULL FROM (SELECT p_partkey FROM r WHERE k > 7 ORDER BY h, p_partkey LIMIT 40)
+SELECT 'example' AS what, p_partkey AS key, CAST(-1 AS BIGINT) AS place FROM r WHERE k <= 7
+UNION ALL SELECT 'sample', p_partkey, -1 FROM (SELECT p_partkey FROM r WHERE k > 7 ORDER BY h, p_partkey LIMIT 40)
 UNION ALL SELECT 'shuffled', o_orderkey, place FROM o
 """)
 def disjoint_split(spark, sf_dir):
     """Disjoint examples and samples of parts, and orders in a random order."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pos"))
     samples, shown = readers.in_context_split(parts, 40, 7, 7)
-    told = lambda df, what: df.select(F.lit(what).alias("what"), F.col("_pos").alias("key"), F.lit(None).cast("long").alias("place"))
+    told = lambda df, what: df.select(F.lit(what).alias("what"), F.col("_pos").alias("key"), F.lit(-1).cast("long").alias("place"))
     orders = numbered(ranking.shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), 5, "o_orderkey").withColumn("_at", F.monotonically_increasing_id()), "_at", into="place")
     return told(samples, "sample").unionByName(told(shown, "example")).unionByName(orders.select(F.lit("shuffled").alias("what"), F.col("o_orderkey").alias("key"), "place"))
 
