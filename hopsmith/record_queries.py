@@ -77,9 +77,8 @@ def _text(df: DataFrame, path: str) -> str:
 
 
 def _array_text(df: DataFrame, path: str) -> str:
-    """Whole files that are arrays: a part of the rows in each."""
-    ordered = df.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.collect_list("value").alias("v"))
-    return _text(ordered.select(F.concat(F.lit("["), F.array_join("v", ","), F.lit("]")).alias("value")).repartition(4), path)
+    """Whole files that are arrays: a task's rows in each."""
+    return _text(writers.array_lines(df), path)
 
 
 @query(_LINES + "SELECT id, question, answer, chunks, sf_idx, 'hotpotqa' AS source FROM r")

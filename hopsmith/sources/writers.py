@@ -30,7 +30,11 @@ def json_array(df: DataFrame, path: str) -> None:
 
 
 def _arrays(df: DataFrame) -> DataFrame:
-    """The lines of each partition's array."""
+    return array_lines(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")))
+
+
+def array_lines(rows: DataFrame) -> DataFrame:
+    """The lines of each partition's array of ``rows(value)``, objects as text."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = "["
@@ -41,7 +45,6 @@ def _arrays(df: DataFrame) -> DataFrame:
                 held = rows[-1] + ","
         yield pd.DataFrame({"value": ["[]" if held == "[" else held[:-1] + "]"]})
 
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
     return rows.mapInPandas(lines, "value string")
 
 

@@ -38,3 +38,17 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["scan_2wiki", "scan_hotpotqa", "success_samples"])
+def test_arrays_of_many_tasks(spark, db, name):
+    """Each task's rows are one array in a file of its own, however many tasks there are."""
+    settings = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert rows(queries.QUERIES[name](spark, DATA).toPandas()) == rows(db.execute(queries.SQL[name]).df())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
