@@ -10,7 +10,7 @@ from hopsmith.functions import prompts, vectors
 from hopsmith.operators import aggregates, filters, ranking, rewards
 from hopsmith.plans import probe_data
 from hopsmith.queries import query, table
-from hopsmith.record_queries import _LINES, _PART, _draw, _lines, _literal, _paragraph_json, _paragraph_rows, _part, _raw, _text, _uniform, joined
+from hopsmith.record_queries import _LINES, _PART, _both_rows, _draw, _lines, _literal, _paragraph_json, _part, _uniform, joined
 from hopsmith.session import scratch
 from hopsmith.sources import readers, writers
 from hopsmith.streaming.logs import windowed_values
@@ -31,8 +31,8 @@ SELECT 'whole' AS kind, question, replace(chunks, '|', ' ') AS context, answer F
 def probe_samples(spark, sf_dir):
     """Samples for a probe: whole contexts, two drawn chunks of 500 random questions, and questions
     of two paragraphs."""
-    raw = readers.multihop(spark, _text(_raw(_lines(spark, sf_dir)), scratch(spark, "probe")))
-    kinds = {"whole": probe_data.multihop(raw, -1), "partial": probe_data.multihop_partial(raw, 500), "paragraphs": probe_data.paragraphs(_paragraph_rows(spark, sf_dir), -1)}
+    raw, listed = _both_rows(spark, sf_dir)
+    kinds = {"whole": probe_data.multihop(raw, -1), "partial": probe_data.multihop_partial(raw, 500), "paragraphs": probe_data.paragraphs(listed, -1)}
     told = [df.select(F.lit(kind).alias("kind"), "question", "context", "answer") for kind, df in kinds.items()]
     return told[0].unionByName(told[1]).unionByName(told[2])
 
@@ -89,8 +89,8 @@ def paragraph_tasks(spark, sf_dir):
 @query(_LINES + "SELECT 'hotpot' AS kind, id, question, answer FROM r UNION ALL SELECT 'musique', id, question, answer FROM r UNION ALL SELECT '2wiki', id, question, answer FROM r WHERE type <> 'bridge_comparison'")
 def question_kinds(spark, sf_dir):
     """Questions of all three families."""
-    raw = readers.multihop(spark, _text(_raw(_lines(spark, sf_dir)), scratch(spark, "questions")))
-    kinds = [readers.question_rows(df, kind).select(F.lit(kind).alias("kind"), "id", "question", "answer") for kind, df in (("hotpot", raw), ("musique", _paragraph_rows(spark, sf_dir)), ("2wiki", raw))]
+    raw, listed = _both_rows(spark, sf_dir)
+    kinds = [readers.question_rows(df, kind).select(F.lit(kind).alias("kind"), "id", "question", "answer") for kind, df in (("hotpot", raw), ("musique", listed), ("2wiki", raw))]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 

@@ -52,7 +52,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, question, answer, type, lines): an order with its lines in order."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
     line = F.struct(place.alias("i"), F.concat(F.lit("Part "), "l_partkey").alias("title"), F.concat(F.lit("Flag "), "l_returnflag", F.lit(".")).alias("s1"), F.concat(F.lit("Status "), "l_linestatus", F.lit(".")).alias("s2"), (F.col("l_quantity") > 25).alias("support"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), line.alias("l")).groupBy("k").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    # renamed only after grouping: the window's exchange then serves grouping and join as well
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("l")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("lines")).withColumnRenamed("l_orderkey", "k")
     kind = F.when(F.col("o_orderstatus") == "F", "bridge").when(F.col("o_orderstatus") == "O", "comparison").otherwise("bridge_comparison")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("Which part of order "), "o_orderkey", F.lit("?")).alias("question"), F.col("o_orderpriority").alias("answer"), kind.alias("type"), F.col("o_custkey").alias("c"))
     return orders.join(lines, "k")
@@ -63,16 +64,21 @@ def _quoted(c: Column) -> Column:
 
 
 def _raw(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select(_raw_value(*more).alias("value"))
+
+
+def _raw_value(*more: Column) -> Column:
     """One JSON object a line, nested lists mixed as in the public files. No text needs escapes."""
     context = F.transform("lines", lambda x: F.concat(F.lit("["), _quoted(x["title"]), F.lit(",["), _quoted(x["s1"]), F.lit(","), _quoted(x["s2"]), F.lit("]]")))
     support = F.transform(F.filter("lines", lambda x: x["support"]), lambda x: F.concat(F.lit("["), _quoted(x["title"]), F.lit(",0]")))
     fields = [F.lit('{"_id":'), _quoted(F.col("k").cast("string")), F.lit(',"question":'), _quoted(F.col("question")), F.lit(',"answer":'), _quoted(F.col("answer")), F.lit(',"type":'), _quoted(F.col("type")), F.lit(',"level":"easy"')]
     fields += [F.lit(',"supporting_facts":['), F.array_join(support, ","), F.lit('],"context":['), F.array_join(context, ","), F.lit("]")]
-    return rows.select(F.concat(*fields, *more, F.lit("}")).alias("value"))
+    return F.concat(*fields, *more, F.lit("}"))
 
 
 def _text(df: DataFrame, path: str) -> str:
-    df.write.text(path)
+    """Compressed: the texts are a multiple of the tables."""
+    df.write.option("compression", "gzip").text(path)
     return path
 
 
@@ -110,9 +116,13 @@ def is_bridge_comparison(spark, sf_dir):
 
 
 def _paragraph_json(rows: DataFrame) -> DataFrame:
+    return rows.select(*_paragraph_columns())
+
+
+def _paragraph_columns() -> list[Column]:
     paragraphs = F.transform("lines", lambda x: F.struct(x["i"].alias("idx"), x["title"].alias("title"), F.concat(x["s1"], F.lit(" "), x["s2"]).alias("paragraph_text"), x["support"].alias("is_supporting")))
     hops = F.transform(F.filter("lines", lambda x: x["support"]), lambda x: F.struct(x["i"].alias("paragraph_support_idx")))
-    return rows.select(F.col("k").cast("string").alias("id"), "question", "answer", paragraphs.alias("paragraphs"), hops.alias("question_decomposition"))
+    return [F.col("k").cast("string").alias("id"), F.col("question"), F.col("answer"), paragraphs.alias("paragraphs"), hops.alias("question_decomposition")]
 
 
 def _paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +131,16 @@ def _paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.paragraph_qa(spark, path)
 
 
+def _both_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw and paragraph records. One pass over the tables writes the files of both, so that the lines are dealt and kept on disk once."""
+    path = scratch(spark, "both")
+    kinds = {"raw": _raw_value(), "paragraphs": F.to_json(F.struct(*_paragraph_columns()), {"ignoreNullFields": "false"})}
+    told = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in kinds.items())))
+    # rows of a compressed file are one task's
+    _lines(spark, sf_dir).select(told.alias("r")).select("r.*").write.partitionBy("kind").option("maxRecordsPerFile", 1 << 17).option("compression", "gzip").text(path)
+    return readers.multihop(spark, f"{path}/kind=raw"), readers.paragraph_qa(spark, f"{path}/kind=paragraphs")
+
+
 @query(_LINES + "SELECT id, question, answer, dotted AS chunks, hops AS sf_idx, 'musique' AS source FROM r")
 def scan_musique(spark, sf_dir):
     return as_sample(adapt.adapt(_paragraph_rows(spark, sf_dir), "musique"))

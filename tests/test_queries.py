@@ -52,3 +52,24 @@ def test_arrays_of_many_tasks(spark, db, name):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["probe_samples", "question_kinds"])
+def test_records_of_both_kinds_are_dealt_once(spark, monkeypatch, tmp_path, name):
+    """One pass over the lines, of one exchange a table, and compressed files."""
+    passes, folders = [], []
+    real = record_queries._lines
+    monkeypatch.setattr(record_queries, "_lines", lambda *a: passes.append(real(*a)) or passes[-1])
+    monkeypatch.setattr(family_queries, "_lines", record_queries._lines)
+    monkeypatch.setattr(record_queries, "scratch", lambda s, label: folders.append(f"{tmp_path}/{len(folders)}-{label}") or folders[-1])
+    monkeypatch.setattr(family_queries, "scratch", record_queries.scratch)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        queries.QUERIES[name](spark, DATA)
+        assert len(passes) == 1
+        assert passes[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    files = [f for f in tmp_path.rglob("part-*")]
+    assert files and all(f.suffix == ".gz" for f in files)
