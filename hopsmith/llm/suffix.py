@@ -18,13 +18,16 @@ the rest brings the strings that may be equal into one task.
    Adjacent common prefixes of ``length`` or more join equal strings; all but the
    earliest are repeated. A bucket beyond ``part_bytes`` is split by its owners'
    hashes (equal strings stay together) before it is sorted; its distinct segments are held until then.
+   Where one owner's strings alone are beyond it, owners of twice as many bytes split them, and at
+   last whole strings do: what very many different strings share is no longer sorted at once.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep all;
 rows that share a ``doc_id`` are ordered by text, and a repeated row is a later copy;
 rows with null ``doc_id`` come before all others. No rows give no rows.
 
 Limits: the direct sort tells strings of equal bytes by a 64-bit hash of their words; an owner
-that very many *different* strings share is one task's bucket until it is split there.
+that very many *different* strings share is one task's bucket until it is split there, and its distinct
+segments (not their suffixes) are held there.
 """
 
 from __future__ import annotations
@@ -60,10 +63,12 @@ def owners(text: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray,
     ``text`` holds at most 2**24 bytes; string i is text[i : i + length].
     """
     h, width = _TABLE[text], 1
-    while width < gram:
+    while 2 * width <= gram:
         factor = np.uint64(pow(_BASE, width, 1 << 64))
         h = h[:-width] * factor + h[width:]
         width *= 2
+    if width < gram:  # two that overlap
+        h = _mixed(h[: len(h) - (gram - width)]) * np.uint64(_BASE) + h[gram - width :]
     h = _mixed(h)
     window = length - gram + 1
     low = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
@@ -78,13 +83,13 @@ def owners(text: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray,
     return first, np.diff(np.append(first, len(owner))), h[owner[first]]
 
 
-def _stretches(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _stretches(texts: list[bytes], length: int, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Owner runs of many texts: (text number, first string, number of strings, hash)."""
     held, size = [], 0
 
     def out():
         joined = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
-        first, n, h = owners(joined, length)
+        first, n, h = owners(joined, length, gram)
         ends = np.cumsum([len(p) for _, _, p in held])
         begins = ends - [len(p) for _, _, p in held]
         # strings that reach into the next text are none; a run may be cut by them
@@ -259,7 +264,7 @@ def repeated_strings(segments: list[bytes], length: int) -> list[tuple[int, int,
     return list(zip(which.tolist(), (firsts - begin[which]).tolist(), (lasts + length - begin[which]).tolist()))
 
 
-def resolve(rows: list[tuple[int, int, bytes]], length: int, part_bytes: int) -> list[tuple[int, int, int]]:
+def resolve(rows: list[tuple[int, int, bytes]], length: int, part_bytes: int, gram: int = GRAM) -> list[tuple[int, int, int]]:
     """(document, from, to) covered ranges of segments (document, start, bytes)."""
     rows = sorted(rows, key=lambda r: r[:2])
     covers, distinct, seen = [], [], set()
@@ -271,23 +276,29 @@ def resolve(rows: list[tuple[int, int, bytes]], length: int, part_bytes: int) ->
         else:
             seen.add(piece)
             distinct.append((doc, start, piece))
-    total = sum(len(r[2]) for r in distinct)
-    if total <= part_bytes:
-        parts = [distinct]
-    else:
-        # owners' hashes deal the strings into parts; each run takes its own bytes along
-        n_parts = -(-5 * total // part_bytes)
-        dealt = [(number, at, n, h % np.uint64(n_parts)) for number, at, n, h in _stretches([r[2] for r in distinct], length)]
-        number, at, n, part = (np.concatenate(x) for x in zip(*dealt))
-        by = np.lexsort((at, number, part))
-        parts = []
-        for rows_of in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
-            parts.append([(distinct[number[i]][0], distinct[number[i]][1] + int(at[i]), distinct[number[i]][2][at[i] : at[i] + n[i] + length - 1]) for i in rows_of])
-    for part in parts:
-        covers += [(part[i][0], part[i][1] + a, part[i][1] + b) for i, a, b in repeated_strings([r[2] for r in part], length)]
+    if sum(len(r[2]) for r in distinct) <= part_bytes or gram > length:
+        covers += [(distinct[i][0], distinct[i][1] + a, distinct[i][1] + b) for i, a, b in repeated_strings([r[2] for r in distinct], length)]
+        return covers
+    longer = length + 1 if gram == length else min(2 * gram, length)
+    for part in _dealt(distinct, length, part_bytes, gram):
+        covers += resolve(part, length, part_bytes, longer)
     return covers
 
 
+def _dealt(rows: list[tuple[int, int, bytes]], length: int, part_bytes: int, gram: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """``rows`` in parts, dealt by the hashes of owners of ``gram`` bytes; each run of strings of one owner takes its
+    own bytes along. Runs whose owner is unique can't repeat and end here."""
+    number, at, n, h = (np.concatenate(x) for x in zip(*_stretches([r[2] for r in rows], length, gram)))
+    by = np.argsort(h)
+    new = np.concatenate(([True], h[by[1:]] != h[by[:-1]]))
+    by = by[~(new & np.append(new[1:], True))]
+    number, at, n, h = (x[by] for x in (number, at, n, h))
+    part = h % np.uint64(max(1, -(-2 * int((n + length - 1).sum()) // part_bytes)))
+    by = np.lexsort((at, number, part))
+    for of in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+        yield [(rows[i][0], rows[i][1] + a, rows[i][2][a : a + m + length - 1]) for i, a, m in zip(number[of].tolist(), at[of].tolist(), n[of].tolist())]
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """(rid, text, row): rid orders the rows; row holds every column but the text."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])

@@ -443,6 +443,23 @@ def test_resolve(part_bytes):
     assert all((x == y).all() for x, y in zip(gone, plain_repeats(texts)))
 
 
+@pytest.mark.parametrize("length, shared", [(100, 40), (100, 96), (100, 130), (32, 31), (33, 40), (200, 150)])
+def test_resolve_splits_what_many_different_strings_share(monkeypatch, length, shared):
+    """Hundreds of different segments around one passage, some of them again in others: right, and never sorted at once."""
+    own, sizes, real = random.Random(7), [], suffix.repeated_strings
+    monkeypatch.setattr(suffix, "repeated_strings", lambda segments, n: sizes.append(sum(map(len, segments))) or real(segments, n))
+    letters = lambda n: bytes(own.choices(b"abcdefgh ", k=n))
+    passage = letters(shared)
+    around = [letters(length - 20) + passage + letters(length - 20) for _ in range(300)]
+    around += [letters(9) + x[15 : own.randint(length, len(x))] for x in own.sample(around, 60)] + own.sample(around, 20)
+    own.shuffle(around)
+    gone = [np.zeros(len(t), bool) for t in around]
+    for d, a, b in suffix.resolve([(i, 0, t) for i, t in enumerate(around)], length, 4000):
+        gone[d][a:b] = True
+    assert all((x == y).all() for x, y in zip(gone, plain_repeats(around, length))) and any(x.any() for x in gone)
+    assert max(sizes) <= 2 * 4000
+
+
 @pytest.mark.parametrize("letters", [1, 2, 4, 60])
 def test_two_stage_sort(letters):
     for n in (1, 2, 7, 300, 3000):
