@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -215,6 +216,53 @@ def test_media_of_harder_edits(spark):
     assert (media._words(bits)[0] == media._words(bits)[1]).any()
 
 
+def test_media_keeps_matches_of_pairs_that_have_enough(spark):
+    images = [(10 * p + k, queries.drawn(f"<p>{p}</p>", e)) for p in range(60) for k, e in enumerate((None, p % 7))]
+    nodes = common.written(media.descriptors(spark.createDataFrame(images + [(1000, images[0][1]), (1001, None)], "media_id long, image binary").repartition(4)), "nodes")
+    own = {r.node: (np.frombuffer(r.places, media.PLACE), np.frombuffer(r.tests, "<u8").reshape(-1, 3)) for r in nodes.where("tests IS NOT NULL").collect()}
+    expected, n_matches = {}, 0
+    for a in own:
+        for b in own:
+            if a < b:
+                differ = own[a][1][:, None] ^ own[b][1][None]
+                words = np.ascontiguousarray(differ).view(np.uint8).reshape(*differ.shape[:2], media.TABLES, -1)
+                met = (words == 0).all(axis=3).any(axis=2) & (np.bitwise_count(differ).sum(axis=2) <= media.FARTHEST)
+                n_matches += met.sum()
+                if met.sum() >= 3:
+                    expected[a, b] = met.sum()
+    for crowd in (1, media.CROWD):  # every word by a join, or none
+        slots = [media._paired(nodes, t, 5, 2, crowd) for t in range(media.TABLES)]
+        if crowd > 1:
+            assert sum(r.n for s in slots for r in s.collect()) == n_matches
+            pairs = media._Pairs(slots[0].union(slots[1]).union(slots[2]).union(slots[3]), 2, 24, 3)
+            got = Counter((r.a_node, r.b_node) for t in range(media.TABLES) for r in media._matches(nodes, t, 5, crowd, pairs).collect())
+        else:
+            crowds = [s.withColumn("table", F.lit(t)) for t, s in enumerate(slots)]
+            assert sum(s.where("slice >= 0").count() for s in crowds) == 0
+            every = Counter((r.a_node, r.b_node) for r in media._joined(crowds[0].union(crowds[1]).union(crowds[2]).union(crowds[3])).collect())
+            got = {pair: n for pair, n in every.items() if n >= 3}
+            assert sum(every.values()) == n_matches
+        assert dict(got) == expected
+    assert n_matches > sum(expected.values()) > 0
+
+
+def test_media_with_crowded_words(spark):
+    images = spark.createDataFrame([(10 * p + k, queries.drawn(f"<p>{p}</p>", e)) for p in range(30) for k, e in enumerate((None, p % 7))] + [(7, None)], "media_id long, image binary")
+    plain = sorted(media.near_copies(images).collect(), key=lambda r: r.media_id)
+    assert sorted(media.near_copies(images, crowd=2).collect(), key=lambda r: r.media_id) == plain
+    assert sorted(media.near_copies(images, crowd=1).collect(), key=lambda r: r.media_id) == plain
+    assert sum(r.n_links for r in plain) > 30
+
+
+def test_shuffles_are_removed_when_a_query_ends(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with common.shuffles_removed(spark):
+        assert spark.conf.get(key) == "true"
+        assert common.written(spark.range(1000).repartition(7, "id"), "some", "zstd").count() == 1000
+    assert spark.conf.get(key, None) == before
+
+
 def test_descriptor_turns_with_the_image():
     image = media.read_pgm(queries.drawn("turn", None))
     a, b = media.describe(np.stack([image])), media.describe(np.stack([np.rot90(image)]))
