@@ -41,6 +41,8 @@ from hopsmith.llm.common import connected_components, discard, map_arrow, releas
 
 RADIUS, MARGIN, TURNS, TABLES = 7, 9, 32, 4
 TESTED, FARTHEST = 192, 48
+#: Images that are described at once: their arrays should fit a processor's cache.
+STACK = 32
 #: Bits of a word.
 WORD = TESTED // TABLES
 #: Entries of a bucket, on average; entries or pairs that a task holds at once.
@@ -96,11 +98,17 @@ def write_pgm(image: np.ndarray) -> bytes:
 
 def _box(stack: np.ndarray, r: int) -> np.ndarray:
     """Sums over (2r + 1) squares, the border left at zero."""
-    n = 2 * r + 1
-    rows = sum(stack[:, i : stack.shape[1] - n + 1 + i] for i in range(n))
-    both = sum(rows[:, :, i : stack.shape[2] - n + 1 + i] for i in range(n))
+    # sums run over the whole stack as one line; what wraps around is border
+    n, width, line = 2 * r + 1, stack.shape[2], np.ascontiguousarray(stack).reshape(-1)
+    for step in (width, 1):
+        size = max(0, len(line) - (n - 1) * step)
+        total = line[:size] + line[step : step + size]
+        for i in range(2, n):
+            total += line[i * step : i * step + size]
+        line = total
     out = np.zeros_like(stack)
-    out[:, r : out.shape[1] - r, r : out.shape[2] - r] = both
+    out.reshape(-1)[r * width + r : r * width + r + len(line)] = line
+    out[:, :r], out[:, -r:], out[:, :, :r], out[:, :, -r:] = 0, 0, 0, 0
     return out
 
 
@@ -132,6 +140,7 @@ def describe(stack: np.ndarray, density: float = 10 / 64**2, levels: int = 6) ->
         if min(height, width) <= 2 * MARGIN + 2:
             break
         keep = max(4, round(density * height * width))
+        level_stack = np.ascontiguousarray(level_stack)
         gx, gy = np.zeros_like(level_stack), np.zeros_like(level_stack)
         gx[:, :, 1:-1] = level_stack[:, :, 2:] - level_stack[:, :, :-2]
         gy[:, 1:-1] = level_stack[:, 2:] - level_stack[:, :-2]
@@ -149,12 +158,12 @@ def describe(stack: np.ndarray, density: float = 10 / 64**2, levels: int = 6) ->
         image, slot = np.nonzero(np.take_along_axis(flat, best, axis=1) > 0)
         y, x = np.divmod(best[image, slot], inner.shape[2])
         y, x = y + MARGIN, x + MARGIN
-        patch = level_stack[image[:, None], y[:, None] + _DY, x[:, None] + _DX]
+        corner = (image * height + y) * width + x
+        patch = level_stack.reshape(-1).take(corner[:, None] + (_DY * width + _DX))
         angle = np.arctan2(patch @ _DY.astype(np.float32), patch @ _DX.astype(np.float32))
         turn = np.rint(angle * (TURNS / (2 * np.pi))).astype(np.int64) % TURNS
-        smooth = _box(level_stack, 1)
-        at = TESTS[turn]
-        ends = smooth[image[:, None, None], y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
+        at = (TESTS[..., 1] * width + TESTS[..., 0])[turn]
+        ends = _box(level_stack, 1).reshape(-1).take(corner[:, None, None] + at)
         bits = np.packbits(ends[:, :, 0] < ends[:, :, 1], axis=1)
         places = np.zeros(len(x), PLACE)
         places["x"], places["y"], places["turn"], places["level"] = np.rint(x * scale), np.rint(y * scale), turn, level
@@ -180,7 +189,7 @@ def descriptors(media: DataFrame) -> DataFrame:
                         by_shape.setdefault(read.shape, []).append((i, read))
                     seen.add(node)
                 places, bits = [None] * batch.num_rows, [None] * batch.num_rows
-                for which in by_shape.values():
+                for which in (own[at : at + STACK] for own in by_shape.values() for at in range(0, len(own), STACK)):
                     for (i, _), (p, b) in zip(which, describe(np.stack([image for _, image in which]))):
                         if len(p):
                             places[i], bits[i] = p.tobytes(), b.tobytes()

@@ -96,18 +96,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDITS = 7
 
 
-def drawn(html: str | None, edit: int | None) -> bytes | None:
-    """A page's picture: smoothed noise seeded by its HTML; ``edit`` 0 crops it, 1 changes
-    contrast and brightness, 2 turns it by a quarter, 3 covers a part, 4 crops it at odd
-    offsets, 5 makes it three quarters as large, 6 adds noise."""
-    if html is None:
-        return None
+def _plain_picture(html: str) -> tuple[np.ndarray, np.random.Generator]:
     rng = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(html.encode("utf-8", "replace"))))
     coarse = rng.integers(0, 256, (17, 17)).astype(np.float32)
     steps = np.arange(64) / 4
     low, part = steps.astype(int), (steps % 1).astype(np.float32)
     rows = coarse[low] * (1 - part)[:, None] + coarse[low + 1] * part[:, None]
-    image = (rows[:, low] * (1 - part) + rows[:, low + 1] * part).astype(np.uint8)
+    return (rows[:, low] * (1 - part) + rows[:, low + 1] * part).astype(np.uint8), rng
+
+
+def _edited(image: np.ndarray, rng: np.random.Generator, edit: int | None) -> bytes:
     if edit == 0:
         image = image[10:58, 6:54]
     elif edit == 1:
@@ -126,6 +124,13 @@ def drawn(html: str | None, edit: int | None) -> bytes | None:
     return media.write_pgm(image)
 
 
+def drawn(html: str | None, edit: int | None) -> bytes | None:
+    """A page's picture: smoothed noise seeded by its HTML; ``edit`` 0 crops it, 1 changes
+    contrast and brightness, 2 turns it by a quarter, 3 covers a part, 4 crops it at odd
+    offsets, 5 makes it three quarters as large, 6 adds noise."""
+    return None if html is None else _edited(*_plain_picture(html), edit)
+
+
 def page_images(pages: DataFrame) -> DataFrame:
     """(media_id, image): the tables hold no images, so each page is drawn twice, once
     edited; the pictures of page p have the ids 2p and 2p + 1."""
@@ -135,9 +140,10 @@ def page_images(pages: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 ids, images = [], []
                 for page, html in zip(*(whole.slice(at, 256).column(c).to_pylist() for c in ("page_id", "html"))):
+                    picture = html is not None and _plain_picture(html)
                     for edit in (None, 0 if page is None else page % EDITS):
                         ids.append(None if page is None else 2 * page + (edit is not None))
-                        images.append(drawn(html, edit))
+                        images.append(_edited(*picture, edit) if picture else None)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], ["media_id", "image"])
 
     return map_arrow(pages.select(F.col("page_id").cast("long"), "html"), run, "media_id long, image binary")

@@ -263,6 +263,19 @@ def test_shuffles_are_removed_when_a_query_ends(spark):
     assert spark.conf.get(key, None) == before
 
 
+def test_page_pictures_are_those_drawn(spark):
+    pages = [(p, f"<p>{p}</p>") for p in range(14)] + [(20, None), (None, "x")]
+    got = {(r.media_id, r.image and bytes(r.image)) for r in queries.page_images(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert got == {(None if p is None else 2 * p + k, queries.drawn(h, e)) for p, h in pages for k, e in enumerate((None, (p or 0) % 7))}
+
+
+def test_box_sums():
+    stack = np.random.default_rng(1).integers(0, 256, (3, 23, 31)).astype(np.float32)
+    for r in (1, 2):
+        sums = np.lib.stride_tricks.sliding_window_view(stack, (2 * r + 1, 2 * r + 1), axis=(1, 2)).sum(axis=(3, 4))
+        assert (media._box(stack, r) == np.pad(sums, ((0, 0), (r, r), (r, r)))).all()
+
+
 def test_descriptor_turns_with_the_image():
     image = media.read_pgm(queries.drawn("turn", None))
     a, b = media.describe(np.stack([image])), media.describe(np.stack([np.rot90(image)]))
