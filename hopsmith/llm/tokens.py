@@ -29,7 +29,7 @@ from hopsmith.llm.common import kept
 
 #: Pieces that a worker keeps; one takes about 200 bytes.
 CACHED_PIECES = 500_000
-#: Longer pieces aren't kept.
+#: Pieces of more characters aren't kept.
 CACHED_LENGTH = 64
 #: Characters of a text that are cut at once.
 STRETCH = 1 << 21
@@ -67,14 +67,18 @@ class Encoder:
             definition = json.load(file)
         self.by_piece = cuts_into_pieces(definition)
         self.guards = [a["content"] for a in definition.get("added_tokens", [])]
-        # the same model behind a cut at single spaces, for pieces that are cut already
+        # the same model behind a cut at single spaces, for pieces that are cut already and whose bytes are letters
         self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         letters = pre_tokenizers.ByteLevel.alphabet()
         self.by_piece = self.by_piece and all(c in vocab and c + "</w>" in vocab for c in letters)
+        every = "".join(map(chr, (*range(0x1000), *range(0x1000, 0xD000, 0x1000), 0xD000, 0xE000, 0xF000, *range(0x10000, 0x110000, 0x10000))))
+        self.letters = np.zeros(256, "<u2")  # the letter of each byte that UTF-8 has
+        self.letters[np.frombuffer(every.encode(), np.uint8)] = [ord(c) for t, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(every) for c in t]
+        self.letters[32] = 32  # it stands between pieces
         self.lower = np.full(_CODES, _NOT_MET, np.int32)
         self.kind = np.full(_CODES, _UNKNOWN, np.uint8)
         if self.by_piece:
@@ -108,16 +112,16 @@ class Encoder:
         self.used += len(ids)
         numbers = len(self.start) + np.arange(len(pieces))
         self.start, self.length, self.uses = np.concatenate((self.start, start)), np.concatenate((self.length, length)), np.concatenate((self.uses, uses))
-        self.known.update((p, n) for p, n in zip(pieces, numbers.tolist()) if len(p) <= CACHED_LENGTH)
+        self.known.update((p, n) for p, n in zip(pieces, numbers.tolist()) if len(p) <= 2 * CACHED_LENGTH)
         return numbers
 
     def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces in a row, and where each piece's ids end."""
-        length = self.length[numbers]
+        length = self.length.take(numbers)
         ends = np.cumsum(length)
-        at = np.repeat(self.start[numbers] - (ends - length), length)
+        at = np.repeat(self.start.take(numbers) - (ends - length), length)
         at += np.arange(len(at))
-        return self.flat[at], ends
+        return self.flat.take(at), ends
 
     # what the library makes of characters and pieces
 
@@ -142,21 +146,23 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[bytes], uses: np.ndarray) -> np.ndarray:
-        """Numbers of pieces that aren't kept."""
+        """Numbers of pieces (UTF-16) that aren't kept."""
         out = np.empty(len(pieces), np.int64)
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
-            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            joined = b" \0".join(part).decode("utf-16-le")
+            lettered = self.letters[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.plain.encode_batch_fast([lettered], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(part):
-                each = self._whole([p.decode() for p in part])
+                each = self._whole(joined.split(" "))
                 ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
             out[at : at + len(part)] = self._add(part, ids, np.diff(ends, prepend=0), uses[at : at + len(part)])
         return out
 
     # texts
 
-    def _starts(self, low: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def _begins(self, low: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Where pieces and runs of spaces begin."""
         begins = np.empty(len(low), bool)
         begins[:1] = True
@@ -176,58 +182,63 @@ class Encoder:
             begins[at + 1] = False
             after = at + taken + 1
             begins[after[after < len(low)]] = True
-        return np.flatnonzero(begins)
-
-    def _cut(self, texts: list[str], closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts in a row, the end id after each that is ``closed``, and where each text's ids end."""
-        joined = " ".join(texts)
-        low = self.lower[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
-        kind = self.kind[low]
-        starts = self._starts(low, kind)
-        data = low.astype(np.uint8).tobytes() if joined.isascii() else low.astype("<u4").tobytes().decode("utf-32-le").encode()
-        if len(data) == len(low):
-            place = starts
+        return begins
+
+    def _cut(self, low: np.ndarray, sizes: list[int], closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, the end id after each that is ``closed``, and where each text's ids
+        end. ``low`` is what the texts' characters become, with a space between texts."""
+        kind = self.kind.take(low, mode="wrap")
+        begins, inked = self._begins(low, kind), kind != _SPACE
+        begins &= inked
+        after = np.searchsorted(np.flatnonzero(begins), np.cumsum(np.array(sizes) + 1) - 1)
+        place, low = np.flatnonzero(begins[inked]), low[inked]  # without spaces a piece ends where the next begins
+        if low.max(initial=0) < 0x10000:
+            data = low.astype("<u2").tobytes()
         else:
-            width = (low >= 0x80).astype(np.int8)
-            width += low >= 0x800
-            width += low >= 0x10000
-            place = starts + (np.cumsum(width, dtype=np.int32) - width)[starts]
-        offsets = np.append(place, len(data)).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            place = place + (np.cumsum(low >= 0x10000) - (low >= 0x10000))[place]
+            data = low.astype("<u4").tobytes().decode("utf-32-le").encode("utf-16-le")
+        offsets = np.append(2 * place, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         index, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHED_PIECES:
             self._keep_repeated()
         uses = np.bincount(index, minlength=len(pieces))
-        number = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
-        new = np.flatnonzero(number < 0)
-        number[new] = _EMPTY
-        new = np.array([i for i in new.tolist() if pieces[i][0] != 32], np.int64)  # not a run of spaces
-        met = np.flatnonzero(number > 0)
+        number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new, met = np.flatnonzero(number < 0), np.flatnonzero(number > 0)
         self.uses[number[met]] += uses[met]
         if len(new):
             number[new] = self._learn([pieces[i] for i in new.tolist()], uses[new])
-        text_ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        after = np.searchsorted(starts, text_ends)
-        numbers = np.insert(number[index], after, np.where(closed, _END, _EMPTY))
+        numbers = np.insert(number.take(index), after, np.where(closed, _END, _EMPTY))
         ids, ends = self._gathered(numbers)
-        return ids, ends[after + np.arange(len(texts))]
+        return ids, ends[after + np.arange(len(sizes))]
+
+    def _lowered(self, text: str) -> np.ndarray:
+        """What each character becomes; negative if that isn't one character."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        low = self.lower.take(codes, mode="wrap")
+        if low.min(initial=0) == _NOT_MET:
+            self._meet(np.unique(codes[low == _NOT_MET]))
+            low = self.lower.take(codes, mode="wrap")
+        return low
+
+    def _is_whole(self, text: str) -> bool:
+        """Whether a text's own form rules out that it is cut."""
+        return any(g in text for g in self.guards) or not (text.isascii() or unicodedata.is_normalized("NFC", text))
 
     def _is_plain(self, text: str) -> bool:
-        if any(g in text for g in self.guards) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            return False
-        for at in range(0, len(text), STRETCH):
-            codes = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), "<u4")
-            low = self.lower[codes]
-            if (low == _NOT_MET).any():
-                self._meet(np.unique(codes[low == _NOT_MET]))
-                low = self.lower[codes]
-            if (low == _NOT_ONE).any():
-                return False
-        return True
+        return not self._is_whole(text) and all(self._lowered(text[at : at + STRETCH]).min(initial=0) >= 0 for at in range(0, len(text), STRETCH))
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (null: empty), each with the end id last, and each
         text's number of ids."""
+        sizes = [len(t or "") for t in texts]
+        if texts and self.by_piece and sum(sizes) <= 2 * STRETCH:
+            # most often all texts are plain, which one look at them together tells: a space joins no characters
+            joined = " ".join([t or "" for t in texts])
+            if not self._is_whole(joined) and (low := self._lowered(joined)).min(initial=0) >= 0:
+                del joined
+                ids, ends = self._cut(low, sizes, np.ones(len(texts), bool))
+                return ids, np.diff(ends, prepend=0)
         out: list[np.ndarray] = []
         lengths = np.zeros(len(texts), np.int64)
         held: list[tuple[int, str, bool]] = []
@@ -236,7 +247,8 @@ class Encoder:
         def flush() -> None:
             nonlocal held, size
             if held:
-                ids, ends = self._cut([t for _, t, _ in held], np.array([c for _, _, c in held]))
+                low = self._lowered(" ".join([t for _, t, _ in held]))
+                ids, ends = self._cut(low, [len(t) for _, t, _ in held], np.array([c for _, _, c in held]))
                 np.add.at(lengths, [i for i, _, _ in held], np.diff(ends, prepend=0))
                 out.append(ids)
             held, size = [], 0

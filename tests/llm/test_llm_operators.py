@@ -352,6 +352,29 @@ def test_range_coder():
         rangecoder.decode_chunk(b"something else")
 
 
+def test_range_coder_tells_damage_in_any_code_word():
+    ids = np.random.default_rng(6).zipf(1.3, 3000).clip(max=900).astype("u4")
+    data = rangecoder.encode_ids(ids)
+    words = len(data) - 4 * (len(data) // 8)
+    for at in [*range(words, len(data), 97), *range(len(data) - 100, len(data))]:
+        damaged = bytearray(data)
+        damaged[at] ^= 16
+        with pytest.raises(ValueError, match="checksum"):
+            rangecoder.decode_ids(bytes(damaged))
+    with pytest.raises(ValueError, match="cut short|checksum"):
+        rangecoder.decode_ids(data[:-4])
+
+
+def test_range_coder_carries_run_through_full_words():
+    full = 0xFFFFFFFF
+    lane, word = np.array([1, 0, 1, 1, 0], "u2"), np.array([7, 5, full, full, 9], "u4")
+    low = np.array([(1 << 32) | 2, (3 << 32) | 4], "u8")
+    # lane 1 has emitted 7, full, full when it runs over, lane 0 only its first word
+    got = rangecoder._in_reading_order(lane, word, np.array([1, 0], "u2"), np.array([3, 1]), low)
+    lanes = [6, 9, 1, 2], [8, 0, 0, 3, 4]
+    assert got.tolist() == [lanes[0][0], lanes[1][0], lanes[0][1], lanes[1][1], lanes[1][2], lanes[0][2], lanes[1][3], lanes[1][4], lanes[0][3]]
+
+
 def test_token_files(spark, docs, empty, encoded, tmp_path):
     tokenfile.write(docs, str(tmp_path / "f"), WORD_BPE, chunk_tokens=3000)
     got = by_id(tokenfile.read(spark, str(tmp_path / "f"), with_ids=True))

@@ -29,6 +29,22 @@ def test_awkward_characters():
     assert coder.by_piece and coder.encode(texts) == library(coder, texts)
 
 
+def test_plain_texts_are_looked_at_together(monkeypatch):
+    """Texts that can be cut take one look a slice, and have the ids that the library gives them."""
+    coder, r = tokens.Encoder(WORD_BPE, 2), random.Random(5)
+    letters = "abcdesSTRVMLD!?.,-_$09   \n\t'éßÑœ漢\U0001f600\U00010400\u0301"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 24))) for _ in range(3000)]
+    texts = ["", None, "'", "s", "\u0301", "\U0001f600"] + [t for t in texts if coder._is_plain(t)]
+    assert len(texts) > 1500
+    looks = []
+    known = tokens.unicodedata.is_normalized
+    monkeypatch.setattr(tokens.unicodedata, "is_normalized", lambda form, text: looks.append(text) or known(form, text))
+    got = coder.encode(texts)
+    assert len(looks) == 1
+    assert got == library(coder, [t or "" for t in texts])
+    assert coder.encode(["", None]) == coder.encode([""]) * 2 == library(coder, ["", ""]) and coder.encode([]) == []
+
+
 def test_forgetting_and_long_texts(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 40)
     monkeypatch.setattr(tokens, "STRETCH", 300)
